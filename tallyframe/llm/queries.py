@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import line_dedup, packing, quality_rules, secret_scan, source_mix, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op4_bestfit_packing": packing.op4_bestfit_packing,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_source_mix": source_mix.op7_source_mix,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
