@@ -1,11 +1,9 @@
-"""Shared plumbing: shipping the package, cutting lineage, skew-proof ranks."""
+"""Shared plumbing: cutting lineage, skew-proof ranks, components."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,32 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship
+
 #: White space that separates words and pads lines: space and U+0009..U+000D.
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once an application, as a zip of its sources."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    path = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: later stages survive
     lost executors without recomputing what came before, and see one fixed set of rows.
     The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

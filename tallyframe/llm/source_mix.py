@@ -20,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, group_index, table
+from .common import group_index, table
 
 BLOCK_DOCS = 16
 PERIOD = 4096
@@ -51,6 +51,8 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> tuple[dict[str, i
 
 def schedule(share: dict[str, int], period: int) -> list[tuple[str, int]]:
     """(source, block in period) of each slot: earliest deadline first over released blocks."""
+    if not share:
+        return []
     waiting = [(0, s, 0) for s in share]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs:
     The last block of a source may be short.
 
     A null source is a source of its own (""), shown as null. Sources without a weight get no slot
-    (slot null, in_mix false); by default weights are natural shares capped at MAX_SHARE.
+    (slot null, in_mix false), weights without documents count for nothing; by default weights are natural shares capped at MAX_SHARE.
     Rows are ordered in a source by a seeded hash of id and text, then id, then text, so repeated rows tie and
     are interchangeable. An empty table gives no rows. The table of sources is on the
     driver: shares() refuses more than MAX_PERIOD / 16 of them.
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs:
     sizes = {r[0]: r[1] for r in ranked.groupBy("__source").count().limit(limit + 1).collect()}
     if len(sizes) > limit:
         raise ValueError(f"more than {limit} sources; group small sources first")
-    weights = capped_weights(sizes) if weights is None else {("" if s is None else s): w for s, w in weights.items()}
+    weights = capped_weights(sizes) if weights is None else {("" if s is None else s): w for s, w in weights.items() if sizes.get(s or "")}
     share, period = shares(weights, period)
     slots = schedule(share, period)
     horizon = min((_slot_of(slots, share, period, s, -(-sizes.get(s, 0) // block_docs)) for s in share), default=0)
