@@ -151,8 +151,11 @@ def _many(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 
 def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generated_at: str | None = None) -> DataFrame:
-    """The report as one row of nested columns; to_json of the row is the document."""
+    """The report as one row of nested columns; to_json of the row is the document.
+
+    Ten sections read the scored table, so it is kept (narrow, without text) after the first."""
     spark = scored.sparkSession
+    scored = scored.persist()
     if isinstance(stats, ScanStats):
         stats = spark.createDataFrame([tuple(vars(stats).values())], "files_scanned long, files_failed long, bytes_scanned long, duplicates_dropped long")
     by_count = (-F.col("count"), F.col("word"))

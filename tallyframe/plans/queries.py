@@ -273,9 +273,8 @@ def _report(spark, sf_dir):
 )
 def report_json(spark, sf_dir):
     """The document written and read again."""
-    text = report.to_json(_report(spark, sf_dir))
-    schema = _report(spark, sf_dir).schema
-    r = text.select(F.from_json("report", schema).alias("r")).select("r.*")
+    made = _report(spark, sf_dir)
+    r = report.to_json(made).select(F.from_json("report", made.schema).alias("r")).select("r.*")
     return r.select(
         "generated_at", "version", F.col("totals.prompts").alias("prompts"), F.col("totals.swears_per_100_prompts").alias("rate"), F.col("agent.messages").alias("messages"), F.size("daily").cast("long").alias("days"),
         F.size("projects").cast("long").alias("projects"), F.array_join("top_words.word", ",").alias("words"), F.array_join("projects.name", ",").alias("names"), F.col("coverage.duplicates_dropped").alias("duplicates"),

@@ -44,4 +44,4 @@ def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None =
     """The whole report of a home directory, as one row."""
     found = scan(spark, home, harnesses)
     scored = report.score(d.since(found.messages, cutoff_ms), lexicon, user_home)
-    return report.build(scored.persist(), found.stats, version)
+    return report.build(scored, found.stats, version)
