@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import cut, discard, ship, table
 from .shingles import Powers, mixed
 
 MIN_BYTES = 200
@@ -300,14 +300,17 @@ def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter(F.octet_length("text") >= k)
     found = cut(source.mapInArrow(lambda it: _find_anchors(k, it), _ANCHOR))
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h")
+    # Written out, so that the join below deals both its sides itself and may split a hot string.
+    shared = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"))
     ids = source.select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("size"))
     groups = ids.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first")).filter("n > 1")
     copies = cut(ids.join(groups, ["th", "th2"]).select("doc_id", "th", "size", F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("is_first")))
     later = copies.filter(~F.col("is_first")).select("doc_id", "th").distinct()
     used = _same_doc(found.join(shared, "h"), later, "left_anti")
     marks = used.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("marks"))
-    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").mapInArrow(lambda it: _contexts(k, it), _CONTEXT))
+    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").mapInArrow(lambda it: _contexts(k, it), _CONTEXT), "zstd")
+    discard(found)
+    discard(shared)
     ranges = _resolve(contexts.withColumn("n", F.lit(1).cast("long")).withColumn("ask", F.lit(True)), k, first, 0)
     lost = copies.filter(~F.col("is_first")) if first else copies
     ranges = ranges.unionByName(lost.select("doc_id", "th", F.lit(0).alias("lo"), (F.col("size") - k).cast("int").alias("hi")))
