@@ -11,8 +11,9 @@ mean similarity to the node's sets is high (estimated from sampled minhashes, as
 would part them) are compared with all the node's sets and leave the recursion; the rest
 are split further, and at `DEPTH` compared as they are.
 
-Brute force runs over blocks of sets: a node of m sets is dealt by hash to m / BLOCK
-blocks, and each pair of blocks is a task's group, so no group outgrows two blocks.
+Brute force runs over blocks of sets: a node is dealt by hash to as many blocks as bound a
+block's sets and tokens, and each pair of blocks is a task's group, so no group outgrows two blocks.
+Small nodes at the first level whose sets all meet at another one are left to that one.
 Similarities are exact. A pair met at several nodes counts at the first of them only. Pairs
 are not emitted: a group gives each set's number of links and the edges of a spanning
 forest, from which components follow.
@@ -41,7 +42,9 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 FANOUT = 3
 LEAF = 128
-BLOCK = 256
+#: A block's tokens (8 bytes each) and sets at most, on average; a task holds two blocks.
+BLOCK_TOKENS = 400_000
+BLOCK = 1024
 DEPTH = 4
 SKETCH = 48
 PROBES = 8
@@ -234,6 +237,17 @@ def _with(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop("__d", "__t")
 
 
+def _undominated(rows: DataFrame) -> DataFrame:
+    """(path, doc_id, th) of (path, doc_id, th, m) without nodes whose sets are all in one larger
+    node (or equal one of smaller path) of these rows. A set is in one node a root at most."""
+    own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "m")).alias("nodes"))
+    each = own.select(F.explode("nodes").alias("q"), "nodes").select("q", F.explode("nodes").alias("p"))
+    above = (F.col("p.m") > F.col("q.m")) | ((F.col("p.m") == F.col("q.m")) & (F.col("p.path") < F.col("q.path")))
+    met = each.filter(above).groupBy("q", F.col("p.path").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    lost = met.filter(F.col("n") == F.col("q.m")).select(F.col("q.path").alias("path")).distinct()
+    return rows.select("path", "doc_id", "th").join(lost, "path", "left_anti")
+
+
 def _leaves(classes: DataFrame, roots: int) -> DataFrame:
     """(path, doc_id, th, active) of every node to compare by brute force."""
     rows = classes.select(F.lit(None).cast("long").alias("path"), "doc_id", "th", "sketch")
@@ -247,6 +261,8 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
         live = cut(children.join(nodes, "path"))
         done = F.lit(True) if depth == DEPTH else F.col("m") <= LEAF
         found = live.filter(done).select("path", "doc_id", "th", F.lit(True).alias("active"))
+        if depth == 1:
+            found = _undominated(live.filter(done)).withColumn("active", F.lit(True))
         leaves = found if leaves is None else leaves.unionByName(found)
         heavy = live.filter(~done)
         if depth == DEPTH or heavy.isEmpty():
@@ -281,15 +297,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     described = cut(source.mapInArrow(_describe, "doc_id long, th long, d1 long, d2 long, n long, sketch binary"))
-    grouped = described.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "sketch")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(grouped.select("d1", "d2", "r.doc_id", "r.th", "r.sketch", "copies"))
+    grouped = described.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(grouped.select("d1", "d2", "r.doc_id", "r.th", "r.n", "r.sketch", "copies"))
     roots = FANOUT * runs(threshold, target_recall)
     leaves = cut(_leaves(classes, roots))
     own = leaves.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "active")).alias("leaves"))  # a node a root and level at most
     wanted = _with(source, own)
     tokens = wanted.select("doc_id", "th", "text").mapInArrow(_sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
     facts = cut(_with(_with(own, tokens), classes.select("doc_id", "th", "copies")))
-    sizes = leaves.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    sizes = _with(leaves, classes.select("doc_id", "th", "n")).groupBy("path").agg(need.alias("blocks"))
     placed = leaves.join(sizes, "path").withColumn("block", F.expr("cast(pmod(xxhash64(path, doc_id, th), blocks) as int)"))
     tasks = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "path", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "active", "doc_id", "th"
@@ -300,7 +317,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     counts = links.groupBy("doc_id", "th").agg(F.sum("links").alias("links"))
     roots_of = components(links.select(F.struct("doc_id", "th").alias("a"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th")).alias("b")))
     roots_of = roots_of.select("node.doc_id", "node.th", F.col("root.doc_id").alias("root_doc"), F.col("root.th").alias("root_th"), F.lit(True).alias("in"))
-    verdicts = _with(_with(classes.drop("sketch"), counts, "left"), roots_of, "left").select(
+    verdicts = _with(_with(classes.drop("sketch", "n"), counts, "left"), roots_of, "left").select(
         "d1", "d2", F.col("doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.when(F.col("in"), F.col("root_doc")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("in"), F.col("root_th")).otherwise(F.col("th")).alias("root_th"), F.lit(True).alias("found"),
     )

@@ -344,7 +344,7 @@ def brute_join(rows, threshold=0.8):
 @pytest.mark.parametrize("leaf", [128, 3])
 def test_jaccard_join(spark, leaf, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
-    monkeypatch.setattr(jaccard_join, "BLOCK", leaf * 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", leaf * 270)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(140)]
     texts = [" ".join(base)] * 4 + [None, "", " \n", "two words", "two words"]
