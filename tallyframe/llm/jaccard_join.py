@@ -90,7 +90,7 @@ def _mix64(*parts) -> np.ndarray:
 
 
 def _chosen(roots: int, fanout: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of each row's node: path, doc_id, th, sketch in, child path, doc_id, th out. At
+    """Children of each row's node: path, doc_id, th, sketch, n in, child path, doc_id, th, n out. At
     the root (path null) there are `roots` children, the first coordinates; below, a path
     picks its coordinates among all."""
     for b in batches:
@@ -106,8 +106,8 @@ def _chosen(roots: int, fanout: int, batches: Iterator[pa.RecordBatch]) -> Itera
             out.append(_mix64(path.view(np.uint64), j, coordinate, values[np.arange(n), coordinate]).view(np.int64))
         k = len(out)
         rows = np.tile(np.arange(n), k)
-        same = pa.RecordBatch.from_arrays([b.column(1), b.column(2)], names=["doc_id", "th"]).take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *same.columns], names=["path", "doc_id", "th"])
+        same = pa.RecordBatch.from_arrays([b.column(i) for i in (1, 2, 4)], names=["doc_id", "th", "n"]).take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *same.columns], names=["path", "doc_id", "th", "n"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,36 +238,37 @@ def _with(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _undominated(rows: DataFrame) -> DataFrame:
-    """(path, doc_id, th) of (path, doc_id, th, m) without nodes whose sets are all in one larger
+    """The rows (path, doc_id, th, m, blocks) without nodes whose sets are all in one larger
     node (or equal one of smaller path) of these rows. A set is in one node a root at most."""
     own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "m")).alias("nodes"))
     each = own.select(F.explode("nodes").alias("q"), "nodes").select("q", F.explode("nodes").alias("p"))
     above = (F.col("p.m") > F.col("q.m")) | ((F.col("p.m") == F.col("q.m")) & (F.col("p.path") < F.col("q.path")))
     met = each.filter(above).groupBy("q", F.col("p.path").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     lost = met.filter(F.col("n") == F.col("q.m")).select(F.col("q.path").alias("path")).distinct()
-    return rows.select("path", "doc_id", "th").join(lost, "path", "left_anti")
+    return rows.join(lost, "path", "left_anti")
 
 
 def _leaves(classes: DataFrame, roots: int) -> DataFrame:
-    """(path, doc_id, th, active) of every node to compare by brute force."""
-    rows = classes.select(F.lit(None).cast("long").alias("path"), "doc_id", "th", "sketch")
+    """(path, doc_id, th, active, blocks) of every node to compare by brute force. A node's number
+    of blocks comes with its count, so that its rows are joined to it once."""
+    rows = classes.select(F.lit(None).cast("long").alias("path"), "doc_id", "th", "sketch", "n")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        children = rows.mapInArrow(lambda it: _chosen(roots, FANOUT, it), "path long, doc_id long, th long")
+        children = rows.mapInArrow(lambda it: _chosen(roots, FANOUT, it), "path long, doc_id long, th long, n long")
         children = cut(children)
-        seen = children.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(doc_id, th))").alias("x1"), F.expr("bit_xor(xxhash64(th, doc_id, 1))").alias("x2"))
+        seen = children.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(doc_id, th))").alias("x1"), F.expr("bit_xor(xxhash64(th, doc_id, 1))").alias("x2"), blocks.alias("blocks"))
         # Nodes of the same sets are one: the smallest path stays.
-        nodes = seen.filter("m > 1").groupBy("m", "x1", "x2").agg(F.min("path").alias("path")).select("path", "m")
+        nodes = seen.filter("m > 1").groupBy("m", "x1", "x2").agg(F.min("path").alias("path"), F.max("blocks").alias("blocks")).select("path", "m", "blocks")
         live = cut(children.join(nodes, "path"))
         done = F.lit(True) if depth == DEPTH else F.col("m") <= LEAF
-        found = live.filter(done).select("path", "doc_id", "th", F.lit(True).alias("active"))
-        if depth == 1:
-            found = _undominated(live.filter(done)).withColumn("active", F.lit(True))
+        found = _undominated(live.filter(done)) if depth == 1 else live.filter(done)
+        found = found.select("path", "doc_id", "th", F.lit(True).alias("active"), "blocks")
         leaves = found if leaves is None else leaves.unionByName(found)
         heavy = live.filter(~done)
         if depth == DEPTH or heavy.isEmpty():
             break
-        sketched = _with(heavy.select("path", "doc_id", "th", "m"), classes.select("doc_id", "th", "sketch"))
+        sketched = _with(heavy.select("path", "doc_id", "th", "n", "m", "blocks"), classes.select("doc_id", "th", "sketch"))
         probes = cut(sketched.select("path", "doc_id", "th", "sketch").mapInArrow(_probe, "path long, doc_id long, th long, probe long"))
         alike = probes.groupBy("path", "probe").agg(F.count(F.lit(1)).alias("same"))
         means = probes.join(alike, ["path", "probe"]).groupBy(F.col("path").alias("__p"), "doc_id", "th").agg(F.sum("same").alias("same"))
@@ -275,11 +276,11 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
         judged = cut(
             sketched.join(right, (F.col("path") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")))
             .withColumn("dense", (F.col("same") - PROBES) >= DENSE * PROBES * (F.col("m") - 1))
-            .select("path", "doc_id", "th", "sketch", "dense")
+            .select("path", sketched["doc_id"], sketched["th"], "sketch", "n", "blocks", "dense")
         )
         busy = judged.filter("dense").select("path").distinct()
-        leaves = leaves.unionByName(judged.join(busy, "path").select("path", "doc_id", "th", F.col("dense").alias("active")))
-        rows = judged.filter(~F.col("dense")).select("path", "doc_id", "th", "sketch")
+        leaves = leaves.unionByName(judged.join(busy, "path", "left_semi").select("path", "doc_id", "th", F.col("dense").alias("active"), "blocks"))
+        rows = judged.filter(~F.col("dense")).select("path", "doc_id", "th", "sketch", "n")
     return leaves
 
 
@@ -305,9 +306,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     wanted = _with(source, own)
     tokens = wanted.select("doc_id", "th", "text").mapInArrow(_sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
     facts = cut(_with(_with(own, tokens), classes.select("doc_id", "th", "copies")))
-    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    sizes = _with(leaves, classes.select("doc_id", "th", "n")).groupBy("path").agg(need.alias("blocks"))
-    placed = leaves.join(sizes, "path").withColumn("block", F.expr("cast(pmod(xxhash64(path, doc_id, th), blocks) as int)"))
+    placed = leaves.withColumn("block", F.expr("cast(pmod(xxhash64(path, doc_id, th), blocks) as int)"))
     tasks = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "path", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "active", "doc_id", "th"
     )
