@@ -12,7 +12,7 @@ partitioning that splits common lengths, look up their place, and no task ever h
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,8 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Exchanges that the search may make; each raises the squared fill, so it ends by itself.
 MAX_EXCHANGES = 20_000
-#: Kinds of underfull bins searched against each other at a time, emptiest first.
-SEARCH_KINDS = 200
+#: Kinds of underfull bins, the fullest first, that one is tried against.
+SEARCH_KINDS = 100
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,35 +100,43 @@ def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
 
 
 def local_search(bins: Counter, capacity: int, max_exchanges: int = MAX_EXCHANGES, kinds: int = SEARCH_KINDS) -> Counter:
-    """Exchanges documents between underfull bins while that raises the sum of squared fills."""
+    """Exchanges documents between underfull bins while that raises the sum of squared fills,
+    until there are as few bins as the lengths' sum allows. Equal bins make an exchange together.
+    Patterns wait in line, emptiest first, to be tried against the `kinds` fullest others."""
+    bound = -(-sum(sum(p) * m for p, m in bins.items()) // capacity)
+    number = sum(bins.values())
     done = Counter({p: m for p, m in bins.items() if sum(p) == capacity})
     under = Counter({p: m for p, m in bins.items() if sum(p) < capacity})
-    barren: set[tuple] = set()
-    for _ in range(max_exchanges):
-        order = sorted(under, key=lambda p: (sum(p), p))
+    line = deque(sorted(under, key=lambda p: (sum(p), p)))
+    waiting = set(line)
+    made = 0
+    while line and made < max_exchanges and number > bound:
+        a = line.popleft()
+        waiting.discard(a)
+        if not under[a]:
+            continue
         found = None
-        for a in order[:kinds]:
-            for b in reversed(order[-kinds:]):
-                if (a == b and under[a] < 2) or (a, b) in barren:
-                    continue
-                if sum(b) < sum(a):
-                    break
-                found = _exchange(a, b, capacity)
+        for b in sorted((p for p in under if under[p]), key=lambda p: (-sum(p), p))[:kinds]:
+            if a != b or under[a] > 1:
+                low, high = (a, b) if sum(a) <= sum(b) else (b, a)
+                found = _exchange(low, high, capacity)
                 if found:
                     break
-                barren.add((a, b))
-            if found:
-                break
         if not found:
-            break
-        times = under[a] // 2 if a == b else min(under[a], under[b])
-        for p in (a, b):
-            under[p] -= times
-            if not under[p]:
-                del under[p]
+            continue
+        made += 1
+        times = under[a] // 2 if low == high else min(under[low], under[high])
+        under[low] -= times
+        under[high] -= times
         for p in found:
             if p:
                 (done if sum(p) == capacity else under)[p] += times
+            else:
+                number -= times
+        for p in (*found, low, high):
+            if p and under[p] and p not in waiting:
+                line.append(p)
+                waiting.add(p)
     return done + under
 
 
