@@ -48,6 +48,7 @@ BLOCK = 1024
 DEPTH = 4
 SKETCH = 48
 PROBES = 8
+COMMON = 16
 DENSE = 0.7
 
 
@@ -110,18 +111,38 @@ def _chosen(roots: int, fanout: int, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *same.columns], names=["path", "doc_id", "th", "n"])
 
 
+def _probes(path: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """PROBES of each row's minhashes, as the row's path picks them: a row of hashes a probe."""
+    n = len(sketches)
+    values = np.frombuffer(b"".join(sketches), np.uint32).reshape(n, SKETCH)
+    at = [(_mix64(path.view(np.uint64), 1000 + j) % np.uint64(SKETCH)).astype(np.int64) for j in range(PROBES)]
+    return np.stack([_mix64(j, values[np.arange(n), c]).view(np.int64) for j, c in enumerate(at)])
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PROBES minhashes of each row: path, doc_id, th, sketch in, path, doc_id, th, probe out."""
+    """path, m, sketch in, path, m, probe out, PROBES rows a row."""
     for b in batches:
-        n = b.num_rows
-        if not n:
+        if b.num_rows:
+            out = _probes(b.column(0).to_numpy(), b.column(2).to_pylist())
+            same = b.select([0, 1]).take(pa.array(np.tile(np.arange(b.num_rows), PROBES)))
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(out.ravel())], names=["path", "m", "probe"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, doc_id, th, sketch, n, blocks, m, the node's common probes in; dense out for the last two."""
+    last, known = None, {}
+    for b in batches:
+        if not b.num_rows:
             continue
-        values = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(n, SKETCH)
-        path = b.column(0).to_numpy().view(np.uint64)
-        at = [(_mix64(path, 1000 + j) % np.uint64(SKETCH)).astype(np.int64) for j in range(PROBES)]
-        out = np.concatenate([_mix64(j, values[np.arange(n), c]).view(np.int64) for j, c in enumerate(at)])
-        same = b.select([0, 1, 2]).take(pa.array(np.tile(np.arange(n), PROBES)))
-        yield pa.RecordBatch.from_arrays([*same.columns, pa.array(out)], names=["path", "doc_id", "th", "probe"])
+        path, common = b.column(0).to_numpy(), b.column(7)
+        probes = _probes(path, b.column(3).to_pylist()).T.tolist()
+        met = np.zeros(b.num_rows)
+        for i, (p, own) in enumerate(zip(path.tolist(), probes, strict=True)):
+            if p != last:
+                last, known = p, {c["probe"]: c["same"] for c in common[i].as_py() or ()}
+            met[i] = sum(known.get(x, 1) - 1 for x in own)
+        dense = met >= DENSE * PROBES * (b.column(6).to_numpy() - 1)
+        yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(dense)], names=[*b.schema.names[:6], "dense"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,16 +289,13 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
         heavy = live.filter(~done)
         if depth == DEPTH or heavy.isEmpty():
             break
-        sketched = _with(heavy.select("path", "doc_id", "th", "n", "m", "blocks"), classes.select("doc_id", "th", "sketch"))
-        probes = cut(sketched.select("path", "doc_id", "th", "sketch").mapInArrow(_probe, "path long, doc_id long, th long, probe long"))
-        alike = probes.groupBy("path", "probe").agg(F.count(F.lit(1)).alias("same"))
-        means = probes.join(alike, ["path", "probe"]).groupBy(F.col("path").alias("__p"), "doc_id", "th").agg(F.sum("same").alias("same"))
-        right = means.withColumnsRenamed({"doc_id": "__d", "th": "__t"})
-        judged = cut(
-            sketched.join(right, (F.col("path") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")))
-            .withColumn("dense", (F.col("same") - PROBES) >= DENSE * PROBES * (F.col("m") - 1))
-            .select("path", sketched["doc_id"], sketched["th"], "sketch", "n", "blocks", "dense")
-        )
+        sketched = cut(_with(heavy.select("path", "doc_id", "th", "n", "m", "blocks"), classes.select("doc_id", "th", "sketch")))
+        probes = sketched.select("path", "m", "sketch").mapInArrow(_probe, "path long, m long, probe long")
+        # A node has COMMON values a probe at most that a COMMONth of its sets share: its rows get them by one join.
+        common = probes.groupBy("path", "m", "probe").agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") * COMMON >= F.col("m"))
+        common = common.groupBy("path").agg(F.collect_list(F.struct("probe", "same")).alias("common"))
+        judged = sketched.join(common, "path", "left").select("path", "doc_id", "th", "sketch", "n", "blocks", "m", "common")
+        judged = cut(judged.mapInArrow(_judge, "path long, doc_id long, th long, sketch binary, n long, blocks int, dense boolean"))
         busy = judged.filter("dense").select("path").distinct()
         leaves = leaves.unionByName(judged.join(busy, "path", "left_semi").select("path", "doc_id", "th", F.col("dense").alias("active"), "blocks"))
         rows = judged.filter(~F.col("dense")).select("path", "doc_id", "th", "sketch", "n")
