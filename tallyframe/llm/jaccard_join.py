@@ -43,12 +43,15 @@ TARGET_RECALL = 0.9999
 FANOUT = 3
 LEAF = 128
 #: A block's tokens (8 bytes each) and sets at most, on average; a task holds two blocks.
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 1_000_000
 BLOCK = 1024
 DEPTH = 4
 SKETCH = 48
 PROBES = 8
 COMMON = 16
+FILTER = 2048
+#: Stands for a null id: no id is smaller.
+NO_ID = -(1 << 63)
 DENSE = 0.7
 
 
@@ -251,11 +254,17 @@ def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def _with(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on (doc_id, th), null ids being equal; other's two columns go."""
-    right = other.withColumnsRenamed({"doc_id": "__d", "th": "__t"})
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))
-    joined = df.join(right, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop("__d", "__t")
+    return df.join(other, ["doc_id", "th"], how)
+
+
+def _among(source: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of `source` whose (doc_id, th) may be in `own`, by a broadcast bitmap of 16 bits a
+    row of `own`, FILTER pages of 4 kB at most. More rows let more of `source` by and lose none."""
+    pages = min(FILTER, 1 + own.count() // 2048)
+    at = F.pmod(F.xxhash64("doc_id", "th"), F.lit(pages * 32768)).alias("at")
+    marks = own.select(at).groupBy(F.expr("at div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    found = F.expr("getbit(cast(conv(hex(substring(bits, cast(at % 32768 div 8 + 1 as int), 1)), 16, 10) as bigint), cast(at % 8 as int)) = 1")
+    return source.withColumn("at", at).join(F.broadcast(marks), (F.expr("at div 32768") == F.col("page")) & found).select(*source.columns)
 
 
 def _undominated(rows: DataFrame) -> DataFrame:
@@ -310,20 +319,19 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     component_id: the smallest doc_id reachable by links. kept: it is the component's document of smallest
     (doc_id, text_hash). Texts without words, nulls too, link with nothing and are kept.
     Rows equal in doc_id and text count as copies of each other and are kept or not together;
-    ids may repeat with other texts, and be null (smallest). An empty table gives no rows.
+    ids may repeat with other texts, and be null (smallest; the id -2**63 counts as null). An empty table gives no rows.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     described = cut(source.mapInArrow(_describe, "doc_id long, th long, d1 long, d2 long, n long, sketch binary"))
     grouped = described.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.count(F.lit(1)).alias("copies"))
     classes = cut(grouped.select("d1", "d2", "r.doc_id", "r.th", "r.n", "r.sketch", "copies"))
     roots = FANOUT * runs(threshold, target_recall)
     leaves = cut(_leaves(classes, roots))
-    own = leaves.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "active")).alias("leaves"))  # a node a root and level at most
-    wanted = _with(source, own)
-    tokens = wanted.select("doc_id", "th", "text").mapInArrow(_sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
-    facts = cut(_with(_with(own, tokens), classes.select("doc_id", "th", "copies")))
+    own = cut(leaves.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "active")).alias("leaves")))  # a node a root and level at most
+    tokens = _among(source, own).mapInArrow(_sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
+    facts = _with(_with(own, tokens), classes.select("doc_id", "th", "copies"))
     placed = leaves.withColumn("block", F.expr("cast(pmod(xxhash64(path, doc_id, th), blocks) as int)"))
     tasks = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "path", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "active", "doc_id", "th"
@@ -339,10 +347,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
         F.when(F.col("in"), F.col("root_doc")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("in"), F.col("root_th")).otherwise(F.col("th")).alias("root_th"), F.lit(True).alias("found"),
     )
     every = described.select("doc_id", "th", "d1", "d2").join(verdicts, ["d1", "d2"], "left")
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("root_th"))
+    kept = (F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("root_th"))
+    class_id, component_id = (F.when(F.col("found"), F.col(c)).otherwise(F.col("doc_id")) for c in ("class_id", "component_id"))
     return every.select(
-        "doc_id", F.col("th").alias("text_hash"), F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("found"), kept).otherwise(True).alias("kept"),
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("th").alias("text_hash"), F.nullif(class_id, F.lit(NO_ID)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.nullif(component_id, F.lit(NO_ID)).alias("component_id"), F.when(F.col("found"), kept).otherwise(True).alias("kept"),
     )
 
 
