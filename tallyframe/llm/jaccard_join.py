@@ -119,16 +119,16 @@ def _probes(path: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     n = len(sketches)
     values = np.frombuffer(b"".join(sketches), np.uint32).reshape(n, SKETCH)
     at = [(_mix64(path.view(np.uint64), 1000 + j) % np.uint64(SKETCH)).astype(np.int64) for j in range(PROBES)]
-    return np.stack([_mix64(j, values[np.arange(n), c]).view(np.int64) for j, c in enumerate(at)])
+    return np.stack([_mix64(path.view(np.uint64), j, values[np.arange(n), c]).view(np.int64) for j, c in enumerate(at)])
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, m, sketch in, path, m, probe out, PROBES rows a row."""
+    """path, m, sketch in, path, m, probe, same out: how many of a batch's rows have a probe."""
     for b in batches:
         if b.num_rows:
-            out = _probes(b.column(0).to_numpy(), b.column(2).to_pylist())
-            same = b.select([0, 1]).take(pa.array(np.tile(np.arange(b.num_rows), PROBES)))
-            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(out.ravel())], names=["path", "m", "probe"])
+            probe, at, same = np.unique(_probes(b.column(0).to_numpy(), b.column(2).to_pylist()), return_index=True, return_counts=True)
+            node = b.select([0, 1]).take(pa.array(at % b.num_rows))
+            yield pa.RecordBatch.from_arrays([*node.columns, pa.array(probe), pa.array(same)], names=["path", "m", "probe", "same"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +299,9 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
         if depth == DEPTH or heavy.isEmpty():
             break
         sketched = cut(_with(heavy.select("path", "doc_id", "th", "n", "m", "blocks"), classes.select("doc_id", "th", "sketch")))
-        probes = sketched.select("path", "m", "sketch").mapInArrow(_probe, "path long, m long, probe long")
+        probes = sketched.select("path", "m", "sketch").mapInArrow(_probe, "path long, m long, probe long, same long")
         # A node has COMMON values a probe at most that a COMMONth of its sets share: its rows get them by one join.
-        common = probes.groupBy("path", "m", "probe").agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") * COMMON >= F.col("m"))
+        common = probes.groupBy("path", "m", "probe").agg(F.sum("same").alias("same")).filter(F.col("same") * COMMON >= F.col("m"))
         common = common.groupBy("path").agg(F.collect_list(F.struct("probe", "same")).alias("common"))
         judged = sketched.join(common, "path", "left").select("path", "doc_id", "th", "sketch", "n", "blocks", "m", "common")
         judged = cut(judged.mapInArrow(_judge, "path long, doc_id long, th long, sketch binary, n long, blocks int, dense boolean"))
