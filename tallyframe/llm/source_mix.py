@@ -15,6 +15,7 @@ range-partitioned rows, so a source with a third of all rows spans many tasks.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,14 +83,24 @@ def capped_weights(sizes: dict[str, int], max_share: float = MAX_SHARE) -> dict[
     return got
 
 
+def quota(sizes: dict[str, int], weights: dict[str, float], block_docs: int = BLOCK_DOCS) -> dict[str, int]:
+    """Blocks of each source that the weights leave in the mix; the source that bounds it keeps all."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = min((sizes[s] / w for s, w in exact.items()), default=Fraction(0))
+    # Weights are doubles: a share within rounding of a source's size is its size.
+    return {s: -(-(sizes[s] if w * total > sizes[s] * (1 - Fraction(1, 10**9)) else math.ceil(w * total)) // block_docs) for s, w in exact.items()}
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with its place in the mix: doc_id, source, block (in its source),
     slot (of the schedule), position (in its block), in_mix; `carry` columns follow, prefixed `__in_`.
 
-    `slot` then `position` is the order to read in. in_mix is true for slots before the
-    horizon, the first slot whose source has no block left: up to there, each source's
-    count of blocks is within one block of its weight, and past it no order can keep that.
-    The last block of a source may be short.
+    `slot` then `position` is the order to read in. A source that has run out leaves its
+    slots empty and the others go on by earliest deadline: every row of a source with a weight has a slot.
+    in_mix is false only for what the weights exclude: the mix has as many documents as keep
+    every source at its weight, the least of size over weight, and takes each source's first
+    blocks up to its share of them. Natural weights exclude nothing, whatever the period rounds small
+    sources to. The last block of a source may be short.
 
     A null source is a source of its own (""), shown as null. Sources without a weight get no slot
     (slot null, in_mix false), weights without documents count for nothing; by default weights are natural shares capped at MAX_SHARE.
@@ -112,23 +123,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs:
     weights = capped_weights(sizes) if weights is None else {("" if s is None else s): w for s, w in weights.items() if sizes.get(s or "")}
     share, period = shares(weights, period)
     slots = schedule(share, period)
-    horizon = min((_slot_of(slots, share, period, s, -(-sizes.get(s, 0) // block_docs)) for s in share), default=0)
+    quotas = quota(sizes, weights, block_docs)
     plan = spark.createDataFrame([(s, j, t, share[s]) for t, (s, j) in enumerate(slots)], "__s string, __j int, __t int, __a int")
-    owed = spark.createDataFrame([(s, a) for s, a in share.items()], "__o string, __share int")
+    owed = spark.createDataFrame([(s, a, quotas[s]) for s, a in share.items()], "__o string, __share int, __quota long")
     block = F.expr(f"__rank div {block_docs}")
     placed = ranked.join(F.broadcast(owed), F.col("__source") == F.col("__o"), "left").withColumn("block", block)  # at most MAX_PERIOD / 16 rows
     on = (F.col("__source") == F.col("__s")) & (F.expr("block % __share") == F.col("__j"))
     placed = placed.join(F.broadcast(plan.drop("__a")), on, "left")  # at most MAX_PERIOD rows
     slot = F.expr(f"(block div __share) * {period}L + __t")
     return placed.select(
-        "doc_id", "source", "block", slot.alias("slot"), F.expr(f"__rank % {block_docs}").alias("position"), F.coalesce(slot < horizon, F.lit(False)).alias("in_mix"), *[f"__in_{c}" for c in carry]
+        "doc_id", "source", "block", slot.alias("slot"), F.expr(f"__rank % {block_docs}").alias("position"), F.coalesce(F.col("block") < F.col("__quota"), F.lit(False)).alias("in_mix"), *[f"__in_{c}" for c in carry]
     )
 
 
-def _slot_of(slots: list[tuple[str, int]], share: dict[str, int], period: int, source: str, block: int) -> int:
-    own = next(t for t, x in enumerate(slots) if x == (source, block % share[source]))
-    return block // share[source] * period + own
-
-
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -41,3 +41,8 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_mix_stage_drops_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "big" if i % 50 else "small") for i in range(2000)], "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect()} == set(range(2000))

@@ -276,6 +276,16 @@ def test_mix(spark, docs):
     assert source_mix.capped_weights({"a": 90, "b": 5, "c": 5}, 0.5) == {"a": 0.5, "b": 0.25, "c": 0.25}
 
 
+def test_mix_keeps_all_beside_a_stray_source(spark):
+    rows = [(i, f"text {i}", f"s{i % 8}") for i in range(800)] + [(800, "stray", None), (801, "stray", "tiny"), (802, "stray", "tiny")]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_docs=1, period=64).collect()
+    assert len(got) == 803 and all(r["in_mix"] for r in got)
+    assert len({(r["slot"], r["position"]) for r in got}) == 803
+    # a stated weight excludes what is over it, and only that
+    part = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"s0": 2.0, "s1": 1.0}, block_docs=1, period=64)
+    assert Counter(r["source"] for r in part.filter("in_mix").collect()) == {"s0": 100, "s1": 50}
+
+
 def brute_lines(rows, policy):
     key = [[x.strip("\x20\x09\x0a\x0b\x0c\x0d").encode().lower() for x in t.split("\n")] for _, t in rows]
     where = defaultdict(set)
