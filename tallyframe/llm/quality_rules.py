@@ -9,6 +9,10 @@ language that passes the base rules and has `MIN_CHARS` characters, of the docum
 histograms. A language with fewer than `MIN_DOCS` such documents uses the mean over all
 languages for character classes and skips the word test. Documents below the minimum
 lengths skip a test, as their histograms are noise.
+
+The limits given are upper bounds. A text is also rejected when it is `MAX_WORD_SHARE` as far from its
+language's common words as a text that has none of them, or when its character classes are further
+away than a text of its number of words comes by chance.
 """
 
 from __future__ import annotations
@@ -44,6 +48,10 @@ MIN_COMMON_TEST_WORDS = 100
 MIN_DOCS = 20
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.5
+#: Share of the distance of a text without any common word, as references hold few of them.
+MAX_WORD_SHARE = 0.8
+#: The class distance of a text of n words stays under a floor and a part for the noise of short texts.
+CLASS_FLOOR, CLASS_NOISE = 0.13, 14.0
 
 
 def _js(p: list[Column], q: list[Column]) -> Column:
@@ -149,7 +157,10 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     by_class = F.when(F.col("__chars") >= MIN_CHARS, _js(p, q))
     by_word = F.when(F.col("n_words") >= MIN_COMMON_TEST_WORDS, _js([F.col(f"__w{k}") for k in range(n_word)], [F.col(f"__v{k}") for k in range(n_word)]))
     judged = joined.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
-    fine = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
+    without = _js([*[F.lit(0.0)] * N_COMMON, F.lit(1.0)], [F.col(f"__v{k}") for k in range(n_word)])
+    class_limit = F.least(F.lit(max_class_distance), CLASS_FLOOR + CLASS_NOISE / F.greatest("n_words", F.lit(1)))
+    word_limit = F.least(F.lit(max_word_distance), MAX_WORD_SHARE * without)
+    fine = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & F.coalesce(F.col("word_distance") <= word_limit, F.lit(True))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), "class_distance", "word_distance",
         *[f"__in_{c}" for c in carry],

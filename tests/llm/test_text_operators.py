@@ -238,6 +238,23 @@ def test_quality_divergence(spark):
     assert kept == set(range(60))
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(9)
+    rare = [f"{a}{b}" for a in "lor ips dol sit amet conse adip elit sed eius temp inci".split() for b in ("em", "um", "or", "a", "is")]
+
+    def text(n, share):
+        return " ".join(rng.choice(["the", "of", "and", "to"]) if rng.random() < share else rng.choice(rare) for _ in range(n)).capitalize() + "."
+
+    good = [text(rng.choice([120, 200, 600]), 0.2) for _ in range(120)]
+    no_common = [text(n, 0.0) for n in (120, 300, 900)]
+    separators = [" | ".join(text(n, 0.05).split()) for n in (120, 300, 900)]
+    attached = [" ".join(w + rng.choice(["###", "%%%", "&&&"]) for w in text(n, 0.2).split()) for n in (120, 300, 900)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + no_common + separators + attached)], "doc_id long, text string, lang string")
+    rows = quality_rules.judge(df).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(range(120))
+
+
 def test_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     df = spark.range(1).select(quality_rules._js([F.lit(x) for x in p], [F.lit(x) for x in q]).alias("d"), quality_rules._js([F.lit(1.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0)]).alias("far"))
