@@ -9,15 +9,17 @@ neighbours meet, and each takes the best of the others; a centre with many rever
 neighbours meets them in several lots. Rounds end when few links are new.
 
 Lists hold LIST neighbours. Where the last one is over the threshold still, the list is
-saturated; such lists are enlarged to the vector's whole component of the links
-found so far, whose pairs are compared in blocks. (So are other lists' components of more than
-two: links inside a component are then exact.) Recall is audited by comparing a bounded
+saturated, and may hold none of the links that leave the vector's component of the links found so far.
+Saturated vectors therefore look again for their best neighbours, in windows and joins that
+leave their own component out; links found join components, until no more are found. All
+pairs inside a component are then compared in blocks, so its links are exact. Recall is audited by comparing a bounded
 sample of SAMPLE vectors with all vectors; below the target, more runs and rounds follow.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ RUNS = 12
 WINDOW = 192
 MAX_ROUNDS = 3
 LOT = 24
+EDGE = 16
 BLOCK = 512
 SAMPLE = 128
 TARGET_RECALL = 0.995
@@ -47,7 +50,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _project(runs: range, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v, dim, vec to a row a run: run, dim, code, along, v, vec."""
+    """v, dim, vec, label to a row a run: run, dim, code, along, v, label, vec."""
     for b in batches:
         dims = b.column(1).to_numpy()
         for dim in np.unique(dims).tolist():
@@ -58,15 +61,15 @@ def _project(runs: range, bits: int, batches: Iterator[pa.RecordBatch]) -> Itera
                 p = x @ planes
                 code = (p[:, :bits] > 0) @ (1 << np.arange(bits))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), run, np.int32)), own.column(1), pa.array(code.astype(np.int64)), pa.array(p[:, bits]), own.column(0), own.column(2)], names=["run", "dim", "code", "along", "v", "vec"]
+                    [pa.array(np.full(len(x), run, np.int32)), own.column(1), pa.array(code.astype(np.int64)), pa.array(p[:, bits]), own.column(0), own.column(3), own.column(2)], names=["run", "dim", "code", "along", "v", "label", "vec"]
                 )
 
 
-def _best(ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's k best columns, itself apart."""
+def _best(ids: np.ndarray, labels: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k best columns, those of its own label apart."""
     cos = cos.copy()
     np.fill_diagonal(cos, -2)
-    cos[ids[:, None] == ids[None, :]] = -2
+    cos[labels[:, None] == labels[None, :]] = -2
     k = min(k, len(ids) - 1)
     at = np.argpartition(cos, -k, axis=1)[:, -k:]
     rows = np.repeat(np.arange(len(ids)), k)
@@ -82,7 +85,10 @@ def _pairs(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (run, dim, v, vec): each window of WINDOW rows of a run and dim, half new."""
+    """Sorted rows (run, dim, v, label, vec): each window of WINDOW rows of a run and dim, half new.
+
+    Of a stretch of one label the ends meet others: its middle is left out, so that a large
+    component doesn't fill the windows."""
     held: pa.Table | None = None
     key = None
     for batch in batches:
@@ -91,7 +97,8 @@ def _slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cuts = [0, *(np.flatnonzero((runs[1:] != runs[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), len(runs)]
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            part = pa.Table.from_batches([batch.slice(a, e - a)]).select(["v", "vec"])
+            part = pa.Table.from_batches([batch.slice(a, e - a)]).select(["v", "label", "vec"])
+            part = part.take(pa.array(_ends(part.column("label").to_numpy())))
             now = (int(runs[a]), int(dims[a]))
             if now == key:
                 part = pa.concat_tables([held, part])
@@ -107,18 +114,26 @@ def _slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs([_window(held)])
 
 
+def _ends(labels: np.ndarray) -> np.ndarray:
+    """Rows that are among the first or last EDGE of their stretch of one label."""
+    starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(labels)]]))
+    at = np.arange(len(labels)) - np.repeat(starts, sizes)
+    return np.flatnonzero((at < EDGE) | (at >= np.repeat(sizes, sizes) - EDGE))
+
+
 def _window(t: pa.Table) -> tuple:
     x = _matrix(t.column("vec").combine_chunks())
-    return _best(t.column("v").to_numpy(), x @ x.T, LIST)
+    return _best(t.column("v").to_numpy(), t.column("label").to_numpy(), x @ x.T, LIST)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, lot), with v and vec: the members of a lot meet."""
+    """Rows sorted by (centre, lot), with v, label and vec: the members of a lot meet."""
     for key, t in _groups(batches, 2):
         ids, first = np.unique(t.column("v").to_numpy(), return_index=True)
         if len(ids) > 1:
             x = _matrix(t.column("vec").combine_chunks().take(pa.array(first)))
-            yield _pairs([_best(ids, x @ x.T, LIST)])
+            yield _pairs([_best(ids, t.column("label").to_numpy()[first], x @ x.T, LIST)])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -206,26 +221,27 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         .select("d1", "d2", F.col("r.vec_id").alias("v"), F.col("r.vec").cast("array<float>").alias("vec") if _single(vectors, vector_col) else F.col("r.vec").alias("vec"), "copies")
     )
     number = classes.count()
-    source = classes.select("v", F.size("vec").alias("dim"), "vec")
-    schema = f"run int, dim int, code long, along double, v long, vec {classes.schema['vec'].dataType.simpleString()}"
+    source = classes.select("v", F.size("vec").alias("dim"), "vec", F.col("v").alias("label"))
     bits = max(1, min(40, math.ceil(math.log2(max(number, 2) / 64))))
-    lists, links, done = None, None, None
+    lists, edges, links, done = None, None, None, None
     for attempt in range(MAX_ATTEMPTS):
         seeds = range(attempt * RUNS, (attempt + 1) * RUNS)
-        dealt = source.mapInArrow(lambda it, seeds=seeds: _project(seeds, bits, it), schema).repartitionByRange("run", "dim", "code", "along", "v")
-        pairs = dealt.sortWithinPartitions("run", "dim", "code", "along", "v").select("run", "dim", "v", "vec").mapInArrow(_slide, _PAIR)
+        pairs = _near(source, seeds, bits)
         if lists is not None:
             pairs = pairs.unionByName(_exploded(lists))
         lists = _lists(pairs)
         before = _found(lists, threshold)
         for _ in range(MAX_ROUNDS):
-            lists = _lists(_joined(lists, source).unionByName(_exploded(lists)))
+            lists = _lists(_joined(_exploded(lists).select("v", "u"), source).unionByName(_exploded(lists)))
             now = _found(lists, threshold)
             if now <= before * 1.001:
                 break
             before = now
-        edges = _exploded(lists).filter(F.col("cos") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
+        edges = _edges(lists, threshold) if edges is None else edges.unionByName(_edges(lists, threshold))
         groups = components(edges)
+        while (more := _leaving(lists, groups, source, seeds, threshold)) is not None:
+            edges = edges.unionByName(more)
+            groups = components(edges)
         links = cut(_exact(groups, classes, threshold))
         sample = classes.orderBy(F.xxhash64(F.lit(attempt), "v"), "v").limit(SAMPLE).select("v", "vec").collect()
         sample = [(r[0], list(r[1])) for r in sample]
@@ -234,6 +250,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         done = 1.0 if not seen[0] else seen[1] / seen[0]
         if done >= target_recall:
             break
+    else:
+        warnings.warn(f"the audited recall of links is {done:.4f}, under {target_recall}", stacklevel=2)
     verdicts = classes.select("d1", "d2", "v", "copies").join(links, "v", "left").join(groups.withColumnRenamed("node", "v"), "v", "left")
     verdicts = verdicts.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "v").alias("component_id"))
     every = ids.join(verdicts, ["d1", "d2"], "left")
@@ -253,16 +271,46 @@ def _found(lists: DataFrame, threshold: float) -> int:
     return lists.agg(F.coalesce(F.sum(F.size(F.filter("nbrs", lambda x: x["cos"] >= threshold))), F.lit(0))).first()[0]
 
 
-def _joined(lists: DataFrame, source: DataFrame) -> DataFrame:
+def _edges(lists: DataFrame, threshold: float) -> DataFrame:
+    return _exploded(lists).filter(F.col("cos") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
+
+
+def _near(source: DataFrame, seeds: range, bits: int) -> DataFrame:
+    """Pairs of different labels that share a window."""
+    schema = f"run int, dim int, code long, along double, v long, label long, vec {source.schema['vec'].dataType.simpleString()}"
+    dealt = source.select("v", "dim", "vec", "label").mapInArrow(lambda it: _project(seeds, bits, it), schema).repartitionByRange("run", "dim", "code", "along", "v")
+    return dealt.sortWithinPartitions("run", "dim", "code", "along", "v").select("run", "dim", "v", "label", "vec").mapInArrow(_slide, _PAIR)
+
+
+def _leaving(lists: DataFrame, groups: DataFrame, source: DataFrame, seeds: range, threshold: float) -> DataFrame | None:
+    """Links that leave components, if any is found. Both ends of a link that no list holds are
+    saturated, so only such vectors look for the best neighbours outside their component."""
+    full = lists.filter((F.size("nbrs") >= LIST) & (F.element_at("nbrs", -1)["cos"] >= threshold)).select("v")
+    inside = cut(source.drop("label").join(full, "v").join(groups.select(F.col("node").alias("v"), F.col("root").alias("label")), "v").select("v", "dim", "vec", "label"))
+    most = inside.groupBy("dim").agg(F.count_distinct("label").alias("n"), F.count(F.lit(1)).alias("rows")).agg(F.max("n"), F.max("rows")).first()
+    if (most[0] or 0) < 2:
+        return None
+    outside = _lists(_near(inside, seeds, max(1, min(40, math.ceil(math.log2(most[1] / 64))))))
+    own = _exploded(lists).select("v", "u").join(inside.select("v"), "v", "left_semi").join(inside.select(F.col("v").alias("u")), "u", "left_semi").select("v", "u")
+    before = _found(outside, threshold)
+    for _ in range(MAX_ROUNDS):
+        outside = _lists(_joined(_exploded(outside).select("v", "u").unionByName(own), inside).unionByName(_exploded(outside)))
+        now = _found(outside, threshold)
+        if now <= before * 1.001:
+            break
+        before = now
+    return _edges(outside, threshold) if now else None
+
+
+def _joined(near: DataFrame, source: DataFrame) -> DataFrame:
     """The neighbours-of-neighbours join: new pairs, each member's best of its lots."""
-    near = _exploded(lists).select("v", "u")
     lots = near.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")).withColumnRenamed("u", "centre")
     reverse = near.select(F.col("u").alias("centre"), F.col("v").alias("m")).join(lots, "centre").select("centre", F.expr("cast(pmod(xxhash64(centre, m), lots) as int)").alias("lot"), "m")
     # Forward neighbours and the centre itself are in its first lot, each lot has the centre.
     forward = near.select(F.col("v").alias("centre"), F.lit(0).alias("lot"), F.col("u").alias("m"))
     heads = lots.select("centre", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("centre").alias("m"))
     members = reverse.unionByName(forward).unionByName(heads)
-    full = members.join(source.select(F.col("v").alias("m"), "dim", "vec"), "m").select("centre", "lot", F.col("m").alias("v"), "vec")
+    full = members.join(source.select(F.col("v").alias("m"), "label", "vec"), "m").select("centre", "lot", F.col("m").alias("v"), "label", "vec")
     dealt = full.repartition("centre", "lot").sortWithinPartitions("centre", "lot", "v")
     return dealt.mapInArrow(_meet, _PAIR)
 

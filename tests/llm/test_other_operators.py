@@ -148,3 +148,19 @@ def test_nn_descent_of_nothing(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = spark.createDataFrame([(5, [1.0, 2.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in nn_descent.near_duplicates(one).collect()) == [(3, 1, 3, True), (5, 1, 3, False)]
+
+
+@pytest.mark.parametrize("size", [12, 300])
+def test_nn_descent_links_saturated_groups(spark, size):
+    rng = np.random.default_rng(size)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    rows = []
+    for centre in (a, 0.964 * a + np.sqrt(1 - 0.964**2) * b):
+        for _ in range(size):
+            v = centre + 0.003 * rng.standard_normal(32)
+            rows.append((len(rows), [float(np.float32(x)) for x in v]))
+    links, roots = brute_vectors(rows)
+    assert set(roots.values()) == {0} and min(links.values()) == 2 * size - 1
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == links
+    assert {i: r["component_id"] for i, r in got.items()} == roots
