@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,6 +20,32 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _own_dir: dict[str, str] = {}
+_libc: list = []
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on after a task, and what their
+    allocators hold adds to the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda pad: 0)
+    _libc[0](0)
+
+
+def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow of `work`, with this package on the executors and its memory given back after each task."""
+    ship(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
@@ -99,13 +128,9 @@ def group_index(df: DataFrame, group: list[str], order: list[str], out: str) ->
     table with a row for each (group, task) pair, that is, tasks plus groups at most.
     `order` must settle ties for the ranks to be the same from run to run.
     """
-    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__index", T.LongType())])
-    rows = cut(
-        df.repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .mapInArrow(lambda it: _number(group, it), schema)
-    )
+    dealt = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    rows = cut(arrow(dealt, lambda it: _number(group, it), schema))
     keys = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]
     sizes = rows.groupBy(*keys, F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     names = [f"__g{i}" for i in range(len(group))]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, ship, table
+from .common import SPACE, arrow, cut, ship, table
 
 MIN_DOCS = 10
 _STRIP = SPACE.encode()
@@ -177,9 +177,9 @@ def line_dedup(docs: DataFrame, *, policy: str = "common", min_docs: int = MIN_D
     ship(spark)
     text = _text(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = source.mapInArrow(lambda it: _lines(min_length, it), _LINE_ROWS)
+    rows = source.transform(arrow, lambda it: _lines(min_length, it), _LINE_ROWS)
     dealt = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash")
-    decided = cut(dealt.mapInArrow(lambda it: _decide(policy, min_docs, it), _DECIDED))
+    decided = cut(dealt.transform(arrow, lambda it: _decide(policy, min_docs, it), _DECIDED))
     summaries = decided.filter(F.col("kind") == _SUMMARY).groupBy("h1", "h2")
     totals = summaries.agg(F.sum("n_docs").alias("__n"), F.min(F.struct("doc_id", "text_hash")).alias("__first"))
     left = decided.filter(F.col("kind") == _OPEN).drop("n_docs").join(totals, ["h1", "h2"])
@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, *, policy: str = "common", min_docs: int = MIN_D
     gathered = drops.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.collect_list("lines").alias("__lines"))
     counted = source.groupBy("doc_id", "text_hash").agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     joined = counted.join(gathered, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left").select("doc_id", "text_hash", "n_lines", "__lines")
-    return joined.mapInArrow(_bitmaps, "doc_id long, text_hash long, n_lines long, n_dropped long, keep_bitmap binary")
+    return joined.transform(arrow, _bitmaps, "doc_id long, text_hash long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def _kept(text: str | None, bitmap: bytes, n_lines: int, n_dropped: int) -> str:
@@ -224,13 +224,13 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", t
     others = [c for c in docs.columns if c != text_col]
     marked = apply_bitmaps(docs, bitmaps, id_col=id_col, text_col=text_col).select(*others, text_col, "__n_lines", "__n_dropped", "__keep_bitmap")
     schema = marked.select(*others, F.col(text_col).cast("string").alias(text_col)).schema
-    return marked.mapInArrow(_rewrite, schema).select(*docs.columns)
+    return marked.transform(arrow, _rewrite, schema).select(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marked = apply_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), line_dedup(docs))
-    return marked.select("doc_id", "text", "__n_lines", "__n_dropped", "__keep_bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("doc_id", "text", "__n_lines", "__n_dropped", "__keep_bitmap").transform(arrow, _digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE = r"""

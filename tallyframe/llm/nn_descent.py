@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, table
+from .common import arrow, components, cut, ship, table
 
 THRESHOLD = 0.95
 LIST = 8
@@ -245,7 +245,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         links = cut(_exact(groups, classes, threshold))
         sample = classes.orderBy(F.xxhash64(F.lit(attempt), "v"), "v").limit(SAMPLE).select("v", "vec").collect()
         sample = [(r[0], list(r[1])) for r in sample]
-        true = classes.select("v", "vec", "copies").mapInArrow(lambda it, sample=sample: _audit(sample, threshold, it), "v long, links long").groupBy("v").agg(F.sum("links").alias("true"))
+        true = classes.select("v", "vec", "copies").transform(arrow, lambda it, sample=sample: _audit(sample, threshold, it), "v long, links long").groupBy("v").agg(F.sum("links").alias("true"))
         seen = true.join(links, "v", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
         done = 1.0 if not seen[0] else seen[1] / seen[0]
         if done >= target_recall:
@@ -278,8 +278,8 @@ def _edges(lists: DataFrame, threshold: float) -> DataFrame:
 def _near(source: DataFrame, seeds: range, bits: int) -> DataFrame:
     """Pairs of different labels that share a window."""
     schema = f"run int, dim int, code long, along double, v long, label long, vec {source.schema['vec'].dataType.simpleString()}"
-    dealt = source.select("v", "dim", "vec", "label").mapInArrow(lambda it: _project(seeds, bits, it), schema).repartitionByRange("run", "dim", "code", "along", "v")
-    return dealt.sortWithinPartitions("run", "dim", "code", "along", "v").select("run", "dim", "v", "label", "vec").mapInArrow(_slide, _PAIR)
+    dealt = source.select("v", "dim", "vec", "label").transform(arrow, lambda it: _project(seeds, bits, it), schema).repartitionByRange("run", "dim", "code", "along", "v")
+    return dealt.sortWithinPartitions("run", "dim", "code", "along", "v").select("run", "dim", "v", "label", "vec").transform(arrow, _slide, _PAIR)
 
 
 def _leaving(lists: DataFrame, groups: DataFrame, source: DataFrame, seeds: range, threshold: float) -> DataFrame | None:
@@ -312,7 +312,7 @@ def _joined(near: DataFrame, source: DataFrame) -> DataFrame:
     members = reverse.unionByName(forward).unionByName(heads)
     full = members.join(source.select(F.col("v").alias("m"), "label", "vec"), "m").select("centre", "lot", F.col("m").alias("v"), "label", "vec")
     dealt = full.repartition("centre", "lot").sortWithinPartitions("centre", "lot", "v")
-    return dealt.mapInArrow(_meet, _PAIR)
+    return dealt.transform(arrow, _meet, _PAIR)
 
 
 def _exact(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -322,7 +322,7 @@ def _exact(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     tasks = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", F.col("node").alias("v"))
     full = tasks.join(classes.select("v", "copies", "vec"), "v").select("root", "i", "j", "block", "v", "copies", "vec")
     dealt = full.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "v")
-    return dealt.mapInArrow(lambda it: _count(threshold, it), "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
+    return dealt.transform(arrow, lambda it: _count(threshold, it), "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

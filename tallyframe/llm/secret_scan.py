@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import arrow, ship, table
 
 KINDS = ("assign", "access", "hex", "literal")
 # re.ASCII: only the ASCII letters match in either case.
@@ -153,7 +153,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.transform(arrow, _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, ship, table
+from .common import arrow, cut, discard, ship, table
 from .shingles import Powers, mixed
 
 MIN_BYTES = 200
@@ -276,12 +276,12 @@ def _resolve(contexts: DataFrame, k: int, first: bool, level: int) -> DataFrame:
     members = cut(members.select(*_CONTEXT_NAMES, "n", "ask", "size"))
     small = members.filter(F.col("size") <= MAX_BUCKET).select("h", "doc_id", "th", "lo", "context", "ask")
     dealt = small.repartition("h").sortWithinPartitions("h", "doc_id", "th", "lo")
-    ranges = ranges.unionByName(dealt.mapInArrow(lambda it: _suffix_sort(k, first, it), _RANGE))
+    ranges = ranges.unionByName(dealt.transform(arrow, lambda it: _suffix_sort(k, first, it), _RANGE))
     large = members.filter(F.col("size") > MAX_BUCKET).drop("size")
     if large.isEmpty():
         return ranges
     width = _WIDTHS[level + 1]
-    narrow = cut(large.mapInArrow(lambda it: _narrow(k, width, it), _CONTEXT + ", n long, ask boolean"))
+    narrow = cut(large.transform(arrow, lambda it: _narrow(k, width, it), _CONTEXT + ", n long, ask boolean"))
     return ranges.unionByName(_resolve(narrow, k, first, level + 1))
 
 
@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first"
     first = policy == "first"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter(F.octet_length("text") >= k)
-    found = cut(source.mapInArrow(lambda it: _find_anchors(k, it), _ANCHOR))
+    found = cut(source.transform(arrow, lambda it: _find_anchors(k, it), _ANCHOR))
     # Written out, so that the join below deals both its sides itself and may split a hot string.
     shared = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"))
     ids = source.select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("size"))
@@ -308,14 +308,14 @@ def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first"
     later = copies.filter(~F.col("is_first")).select("doc_id", "th").distinct()
     used = _same_doc(found.join(shared, "h"), later, "left_anti")
     marks = used.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("marks"))
-    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").mapInArrow(lambda it: _contexts(k, it), _CONTEXT), "zstd")
+    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").transform(arrow, lambda it: _contexts(k, it), _CONTEXT), "zstd")
     discard(found)
     discard(shared)
     ranges = _resolve(contexts.withColumn("n", F.lit(1).cast("long")).withColumn("ask", F.lit(True)), k, first, 0)
     lost = copies.filter(~F.col("is_first")) if first else copies
     ranges = ranges.unionByName(lost.select("doc_id", "th", F.lit(0).alias("lo"), (F.col("size") - k).cast("int").alias("hi")))
     gathered = ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    return gathered.mapInArrow(lambda it: _merge(k, it), "doc_id long, text_hash long, spans array<struct<start:long,end:long>>")
+    return gathered.transform(arrow, lambda it: _merge(k, it), "doc_id long, text_hash long, spans array<struct<start:long,end:long>>")
 
 
 def _merge(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,4 +356,4 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs, policy="all").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "spans")
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__t"))
-    return docs.join(spans, on, "left").select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(spans, on, "left").select("doc_id", "text", "spans").transform(arrow, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

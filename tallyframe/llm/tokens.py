@@ -16,7 +16,7 @@ import numpy as np
 
 #: Code points handled at once, and the largest number of words the cache may hold.
 CHUNK = 1 << 20
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 200_000
 _LETTER, _NUMBER, _OTHER, _SPACE, _EDGE = range(5)
 #: White_Space of Unicode.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -34,9 +34,8 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -57,6 +56,15 @@ class Encoder:
         self.inverse = inverse
         self._clear()
 
+    @property
+    def whole(self):
+        """The library's tokenizer, loaded only for texts that hold a special token."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _grow(self, n: int, inverse) -> None:
         if n > self.size:
             with np.errstate(over="ignore"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import arrow, ship, table
 
 #: Entries (host, path, verdict) of the production list.
 RULES = [
@@ -137,7 +137,7 @@ def filter_urls(
         return _joined(urls, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
     held = spark.sparkContext.broadcast(Trie(rules))
     schema = f"page_id {urls.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return urls.mapInArrow(lambda it: _judge(held.value, default, it), schema)
+    return urls.transform(arrow, lambda it: _judge(held.value, default, it), schema)
 
 
 def _parts() -> tuple:
