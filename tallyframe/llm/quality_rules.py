@@ -4,11 +4,12 @@ A document's histogram over character classes and over its language's common wor
 compared with a reference for the language by Jensen-Shannon distance (base 2, 0..1).
 Only DataFrame functions run here, so all of it stays in the JVM.
 
-References are not fitted to a sample: they are the means, over every document of the
-language that passes the base rules and has `MIN_CHARS` characters, of the documents'
-histograms. A language with fewer than `MIN_DOCS` such documents uses the mean over all
-languages for character classes and skips the word test. Documents below the minimum
-lengths skip a test, as their histograms are noise.
+References are fitted to all documents of a language that pass the base rules and have
+`MIN_CHARS` characters, in two steps, so that junk doesn't pull them: first the median of each
+character class, then the means over the documents whose classes are near these medians.
+A fixed prior counts as `PRIOR_DOCS` documents, so that few documents, or none, don't make a
+reference of their own; it fades as a language grows. Documents below the minimum
+lengths skip a test, as their histograms are noise, and languages without a word list the word test.
 
 The limits given are upper bounds. A text is also rejected when it is `MAX_WORD_SHARE` as far from its
 language's common words as a text that has none of them, or when its character classes are further
@@ -45,13 +46,19 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_CHARS = 200
 MIN_COMMON_TEST_WORDS = 100
-MIN_DOCS = 20
+#: The classes of ordinary prose, and the share of words that common words have in it.
+PRIOR_CLASSES = [0.03, 0.005, 0.165, 0.03, 0.0005, 0.7695]
+PRIOR_COMMON = 0.25
+PRIOR_DOCS = 20
+_HARMONIC = [1 / (k + 2) for k in range(N_COMMON)]
+PRIOR_WORDS = [*(PRIOR_COMMON * x / sum(_HARMONIC) for x in _HARMONIC), 1 - PRIOR_COMMON]
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.5
 #: Share of the distance of a text without any common word, as references hold few of them.
 MAX_WORD_SHARE = 0.8
 #: The class distance of a text of n words stays under a floor and a part for the noise of short texts.
 CLASS_FLOOR, CLASS_NOISE = 0.13, 14.0
+MAX_BROADCAST_LANGUAGES = 10_000
 
 
 def _js(p: list[Column], q: list[Column]) -> Column:
@@ -132,6 +139,24 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return df.withColumn(f"__w{N_COMMON}", F.greatest(rest, F.lit(0.0)))
 
 
+def _class_limit() -> Column:
+    return CLASS_FLOOR + CLASS_NOISE / F.greatest("n_words", F.lit(1))
+
+
+def _references(rows: DataFrame) -> DataFrame:
+    """A row a language: __l, mean classes __q and words __v of the documents near its medians, and of the prior."""
+    fit = rows.filter(~F.col("base_failed") & (F.col("__chars") >= MIN_CHARS))
+    middle = fit.groupBy(F.col("__lang").alias("__l")).agg(*[F.percentile_approx(f"__p{i}", 0.5, 1000).alias(f"__m{i}") for i in range(N_CLASS)])
+    middle = cut(middle)
+    near = fit.join(F.broadcast(middle) if middle.count() <= MAX_BROADCAST_LANGUAGES else middle, F.col("__lang") == F.col("__l"))
+    total = reduce(lambda a, b: a + b, [F.col(f"__m{i}") for i in range(N_CLASS)])
+    near = near.filter(_js([F.col(f"__p{i}") for i in range(N_CLASS)], [F.col(f"__m{i}") / total for i in range(N_CLASS)]) <= _class_limit())
+    n = F.count(F.lit(1)) + PRIOR_DOCS
+    sums = [((F.sum(f"__p{i}") + PRIOR_DOCS * PRIOR_CLASSES[i]) / n).alias(f"__q{i}") for i in range(N_CLASS)]
+    sums += [((F.sum(f"__w{k}") + PRIOR_DOCS * PRIOR_WORDS[k]) / n).alias(f"__v{k}") for k in range(N_COMMON + 1)]
+    return near.groupBy("__l").agg(*sums)
+
+
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, carry: list[str] | None = None) -> DataFrame:
     """Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, word_distance for every row, and `carry` columns
@@ -147,18 +172,18 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     keep = ["doc_id", "__lang", *[f"__in_{c}" for c in carry]]
     rows = cut(features(source, keep))
     n_class, n_word = N_CLASS, N_COMMON + 1
-    fit = rows.filter(~F.col("base_failed") & (F.col("__chars") >= MIN_CHARS))
-    sums = [F.avg(f"__p{i}").alias(f"__q{i}") for i in range(n_class)] + [F.avg(f"__w{k}").alias(f"__v{k}") for k in range(n_word)]
-    by_lang = fit.groupBy(F.col("__lang").alias("__l")).agg(F.count(F.lit(1)).alias("__docs"), *sums).filter(F.col("__docs") >= MIN_DOCS)
-    overall = fit.agg(*[F.avg(f"__p{i}").alias(f"__o{i}") for i in range(n_class)])
-    joined = rows.join(by_lang, F.col("__lang") == F.col("__l"), "left").crossJoin(F.broadcast(overall))  # one row
+    refs = cut(_references(rows.drop(*[f"__in_{c}" for c in carry])))
+    small = refs.count() <= MAX_BROADCAST_LANGUAGES  # a row of 25 numbers a language
+    joined = rows.join(F.broadcast(refs) if small else refs, F.col("__lang") == F.col("__l"), "left")
+    words = F.col("__lang").isin(list(COMMON_WORDS))
     p = [F.col(f"__p{i}") for i in range(n_class)]
-    q = [F.coalesce(F.col(f"__q{i}"), F.col(f"__o{i}")) for i in range(n_class)]
+    q = [F.coalesce(f"__q{i}", F.lit(PRIOR_CLASSES[i])) for i in range(n_class)]
+    v = [F.coalesce(f"__v{k}", F.lit(PRIOR_WORDS[k])) for k in range(n_word)]
     by_class = F.when(F.col("__chars") >= MIN_CHARS, _js(p, q))
-    by_word = F.when(F.col("n_words") >= MIN_COMMON_TEST_WORDS, _js([F.col(f"__w{k}") for k in range(n_word)], [F.col(f"__v{k}") for k in range(n_word)]))
+    by_word = F.when(words & (F.col("n_words") >= MIN_COMMON_TEST_WORDS), _js([F.col(f"__w{k}") for k in range(n_word)], v))
     judged = joined.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
-    without = _js([*[F.lit(0.0)] * N_COMMON, F.lit(1.0)], [F.col(f"__v{k}") for k in range(n_word)])
-    class_limit = F.least(F.lit(max_class_distance), CLASS_FLOOR + CLASS_NOISE / F.greatest("n_words", F.lit(1)))
+    without = _js([*[F.lit(0.0)] * N_COMMON, F.lit(1.0)], v)
+    class_limit = F.least(F.lit(max_class_distance), _class_limit())
     word_limit = F.least(F.lit(max_word_distance), MAX_WORD_SHARE * without)
     fine = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & F.coalesce(F.col("word_distance") <= word_limit, F.lit(True))
     return judged.select(
