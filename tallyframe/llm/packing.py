@@ -4,15 +4,17 @@ The packing needs only how many pieces there are of each length, a table of at m
 `capacity` rows. On it, best-fit decreasing works with groups of equal bins, and a swap-based
 local search then improves the underfull ones: it moves a document, exchanges one for
 one, or two for one, between two bins whenever that raises the sum of squared fills, until
-no exchange does; bins that empty are gone. The plan says for each length which ranks go to
+no exchange does or there are as few bins as the sum of lengths allows; bins that empty are gone.
+Every partner can be found, by index; nothing else bounds the search. The plan says for each length which ranks go to
 which sequences and offsets. Pieces get their rank inside their length by a range
 partitioning that splits common lengths, look up their place, and no task ever holds a bin.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, group_index, ship, table
+from .common import arrow, cut, group_index, ship, table
 from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Exchanges that the search may make; each raises the squared fill, so it ends by itself.
-MAX_EXCHANGES = 20_000
-#: Kinds of underfull bins, the fullest first, that one is tried against.
-SEARCH_KINDS = 100
+#: Rows of a plan that is broadcast (32 bytes each); a longer one is joined.
+MAX_BROADCAST_ROWS = 1 << 18
+#: Ranks of a length that a longer plan is joined by at once.
+RANKS = 256
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,78 +68,178 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
-    """The first exchange that fills b further from a: a move, one for one, or two for one
-    either way. b takes `gain` more than it gives; that raises the squared fill if b ends
-    fuller than a began, or gains and is the fuller one."""
-    fill_a, fill_b = sum(a), sum(b)
-    room = capacity - fill_b
-    best = None
-    give_a = [((x,), x) for x in set(a)] + [((a[i], a[j]), a[i] + a[j]) for i in range(len(a)) for j in range(i + 1, len(a))]
-    give_b = [((), 0)] + [((x,), x) for x in set(b)]
-    give_b2 = [((b[i], b[j]), b[i] + b[j]) for i in range(len(b)) for j in range(i + 1, len(b))]
-    for xs, x in give_a:
-        for ys, y in give_b if len(xs) == 1 else give_b[1:]:
-            gain = x - y
-            if 0 < gain <= room and fill_b + gain > fill_a and (best is None or gain > best[0]):
-                best = (gain, xs, ys)
-        if len(xs) == 1:
-            for ys, y in give_b2:
-                gain = x - y
-                if 0 < gain <= room and fill_b + gain > fill_a and (best is None or gain > best[0]):
-                    best = (gain, xs, ys)
-    if best is None:
+class _Underfull:
+    """Kinds of underfull bins with their number, findable by what an exchange needs.
+
+    takers[z][room]: kinds with `room` to spare that hold a document of z - room (or give nothing, z = room),
+    so that a document of up to z fits in its place. holders[x][room]: kinds that hold a document of x.
+    The masks have a bit for each z or x that is there, so the next one is found at once."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.number: Counter = Counter()
+        self.takers: dict[int, dict[int, dict]] = {}
+        self.holders: dict[int, dict[int, dict]] = {}
+        self.taker_mask = self.holder_mask = 0
+
+    def add(self, kind: tuple, times: int) -> None:
+        before = self.number[kind]
+        self.number[kind] = before + times
+        if before == 0:
+            room = self.capacity - sum(kind)
+            for y in {0, *kind}:
+                self.takers.setdefault(y + room, {}).setdefault(room, {})[kind] = None
+                self.taker_mask |= 1 << (y + room)
+                if y:
+                    self.holders.setdefault(y, {}).setdefault(room, {})[kind] = None
+                    self.holder_mask |= 1 << y
+        elif before + times == 0:
+            del self.number[kind]
+            room = self.capacity - sum(kind)
+            for y in {0, *kind}:
+                self.taker_mask = self._drop(self.takers, self.taker_mask, y + room, room, kind)
+                if y:
+                    self.holder_mask = self._drop(self.holders, self.holder_mask, y, room, kind)
+
+    @staticmethod
+    def _drop(index: dict, mask: int, at: int, room: int, kind: tuple) -> int:
+        own = index[at]
+        del own[room][kind]
+        if not own[room]:
+            del own[room]
+            if not own:
+                del index[at]
+                return mask & ~(1 << at)
+        return mask
+
+    def _other(self, own: dict, room: int, kind: tuple) -> tuple | None:
+        """A kind of `own[room]` that `kind` can be paired with: another, or itself if there are two."""
+        for other in own[room]:
+            if other != kind or self.number[kind] > 1:
+                return other
         return None
-    _, xs, ys = best
-    na, nb = list(a), list(b)
-    for x in xs:
-        na.remove(x)
-        nb.append(x)
-    for y in ys:
-        nb.remove(y)
-        na.append(y)
-    return tuple(sorted(na, reverse=True)), tuple(sorted(nb, reverse=True))
-
-
-def local_search(bins: Counter, capacity: int, max_exchanges: int = MAX_EXCHANGES, kinds: int = SEARCH_KINDS) -> Counter:
-    """Exchanges documents between underfull bins while that raises the sum of squared fills,
-    until there are as few bins as the lengths' sum allows. Equal bins make an exchange together.
-    Patterns wait in line, emptiest first, to be tried against the `kinds` fullest others."""
+
+    def give(self, kind: tuple, x: int, best: int) -> tuple[int, int, tuple] | None:
+        """The fullest bin that documents of length x from `kind` can make, with less than `best` room left:
+        (room left, document given back or 0, its kind)."""
+        ahead = self.taker_mask >> x
+        while ahead:
+            left = (ahead & -ahead).bit_length() - 1
+            if left >= best:
+                return None
+            own = self.takers[x + left]
+            for room in sorted(own, reverse=True):
+                if room <= left:
+                    break
+                if other := self._other(own, room, kind):
+                    return left, x + left - room, other
+            ahead &= ahead - 1
+        return None
+
+    def take(self, kind: tuple, y: int, room: int, best: int) -> tuple[int, int, tuple] | None:
+        """The longest document that fits into `kind` where documents of length y go, and is longer than these:
+        (room left, its length, its kind). Its bin must have more room than is left here."""
+        within = (self.holder_mask & ((1 << (y + room + 1)) - 1)) >> (y + 1)
+        while within:
+            top = within.bit_length() - 1
+            x = y + 1 + top
+            left = y + room - x
+            if left >= best:
+                return None
+            own = self.holders[x]
+            for other_room in sorted(own, reverse=True):
+                if other_room <= left:
+                    break
+                if other := self._other(own, other_room, kind):
+                    return left, x, other
+            within ^= 1 << top
+        return None
+
+
+def _pairs(kind: tuple) -> dict[int, tuple]:
+    """Sums of two documents of a bin."""
+    once = sorted(set(kind), reverse=True)
+    found = {}
+    for i, x in enumerate(once):
+        if kind.count(x) > 1:
+            found.setdefault(2 * x, (x, x))
+        for y in once[i + 1 :]:
+            found.setdefault(x + y, (x, y))
+    return found
+
+
+def _exchange(under: _Underfull, kind: tuple) -> tuple[tuple, tuple, tuple] | None:
+    """The exchange that leaves least room in a bin: its partner and the two bins after it. A move, one
+    for one, and two for one, each way. The fuller bin after it must be fuller than both before, which is when
+    the sum of squared fills grows."""
+    room = under.capacity - sum(kind)
+    pairs = _pairs(kind)
+    best, found = room, None
+    for out in (*((x,) for x in sorted(set(kind), reverse=True)), *pairs.values()):
+        if got := under.give(kind, sum(out), best):
+            best, found = got[0], (got[2], out, (got[1],) if got[1] else ())
+            if not best:
+                break
+    if best:
+        limit = under.capacity if found is None else best
+        for out in ((), *((y,) for y in set(kind)), *pairs.values()):
+            if got := under.take(kind, sum(out), room, min(limit, room)):
+                limit, found = got[0], (got[2], out, (got[1],))
+                if not limit:
+                    break
+    if found is None:
+        return None
+    other, out, back = found
+    mine, theirs = list(kind), list(other)
+    for x in out:
+        mine.remove(x)
+        theirs.append(x)
+    for x in back:
+        theirs.remove(x)
+        mine.append(x)
+    return other, tuple(sorted(mine, reverse=True)), tuple(sorted(theirs, reverse=True))
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Exchanges documents between underfull bins while that raises the sum of squared fills. Ends when no
+    exchange does, or when there are as few bins as the lengths' sum allows, which none can lower.
+    Equal bins make an exchange together. Kinds of bins wait in line, emptiest first; when the line is
+    done, all are tried once more, until a whole pass finds nothing."""
     bound = -(-sum(sum(p) * m for p, m in bins.items()) // capacity)
     number = sum(bins.values())
     done = Counter({p: m for p, m in bins.items() if sum(p) == capacity})
-    under = Counter({p: m for p, m in bins.items() if sum(p) < capacity})
-    line = deque(sorted(under, key=lambda p: (sum(p), p)))
-    waiting = set(line)
-    made = 0
-    while line and made < max_exchanges and number > bound:
-        a = line.popleft()
-        waiting.discard(a)
-        if not under[a]:
-            continue
-        found = None
-        for b in sorted((p for p in under if under[p]), key=lambda p: (-sum(p), p))[:kinds]:
-            if a != b or under[a] > 1:
-                low, high = (a, b) if sum(a) <= sum(b) else (b, a)
-                found = _exchange(low, high, capacity)
-                if found:
-                    break
-        if not found:
-            continue
-        made += 1
-        times = under[a] // 2 if low == high else min(under[low], under[high])
-        under[low] -= times
-        under[high] -= times
-        for p in found:
-            if p:
-                (done if sum(p) == capacity else under)[p] += times
-            else:
-                number -= times
-        for p in (*found, low, high):
-            if p and under[p] and p not in waiting:
-                line.append(p)
-                waiting.add(p)
-    return done + under
+    under = _Underfull(capacity)
+    for p, m in bins.items():
+        if sum(p) < capacity:
+            under.add(p, m)
+    improved = True
+    while improved and number > bound:
+        improved = False
+        line = [(sum(p), p) for p in under.number]
+        heapq.heapify(line)
+        while line and number > bound:
+            _, kind = heapq.heappop(line)
+            if kind not in under.number:
+                continue
+            found = _exchange(under, kind)
+            if not found:
+                continue
+            improved = True
+            other, *after = found
+            times = under.number[kind] // 2 if other == kind else min(under.number[kind], under.number[other])
+            under.add(kind, -times)
+            under.add(other, -times)
+            for p in after:
+                if not p:
+                    number -= times
+                elif sum(p) == capacity:
+                    done[p] += times
+                else:
+                    under.add(p, times)
+            for p in {kind, other, *after}:
+                if p in under.number:
+                    heapq.heappush(line, (sum(p), p))
+    return done + under.number
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, np.ndarray]:
@@ -181,7 +283,7 @@ def tokenize(docs: DataFrame, *, path: str, capacity: int = CAPACITY, id_col: st
     capacity is cut so that all pieces but the first are full."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(lambda it: _pieces(path, capacity, it), _PIECE)
+    return source.transform(arrow, lambda it: _pieces(path, capacity, it), _PIECE)
 
 
 def _place(segments: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +297,20 @@ def _place(segments: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
         )
 
 
+def _joined(ranked: DataFrame, segments: np.ndarray, counts: dict[int, int]) -> DataFrame:
+    """Places from a plan of any size: its rows are gathered by length and RANKS ranks, of which a row there has one."""
+    until = np.append(segments[1:, 1], 0)
+    until[np.append(segments[1:, 0] != segments[:-1, 0], True)] = 0
+    until = np.where(until == 0, [counts[n] for n in segments[:, 0].tolist()], until)
+    table_ = pa.table([pa.array(c) for c in (*segments.T, until)], names=["length", "first", "sequence", "at", "until"])
+    rows = ranked.sparkSession.createDataFrame(table_)
+    spread = rows.withColumn("lot", F.explode(F.expr(f"sequence(first div {RANKS}, (until - 1) div {RANKS})")))
+    lots = spread.groupBy("length", "lot").agg(F.collect_list(F.struct("first", "sequence", "at")).alias("own"))  # RANKS at most
+    found = ranked.withColumn("lot", F.expr(f"__rank div {RANKS}")).join(lots, ["length", "lot"])
+    found = found.withColumn("own", F.array_max(F.filter("own", lambda s: s["first"] <= F.col("__rank"))))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own.sequence") + F.col("__rank") - F.col("own.first")).alias("sequence_id"), F.col("own.at").alias("offset"))
+
+
 def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -209,9 +325,11 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
     pieces = cut(tokenize(docs, path=path, capacity=capacity, id_col=id_col, text_col=text_col))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     _, segments = plan(counts, capacity)
-    held = spark.sparkContext.broadcast(segments)
     ranked = group_index(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "__rank").select("doc_id", "piece", "start", "length", "ids_crc32", "__rank")
-    return ranked.mapInArrow(lambda it: _place(held.value, it), _PIECE + ", sequence_id long, offset long")
+    if len(segments) > MAX_BROADCAST_ROWS:
+        return _joined(ranked, segments, counts)
+    held = spark.sparkContext.broadcast(segments)
+    return ranked.transform(arrow, lambda it: _place(held.value, it), _PIECE + ", sequence_id long, offset long")
 
 
 def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
