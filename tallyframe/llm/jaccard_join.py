@@ -7,8 +7,8 @@ sets' tokens, each the minhash under a hash function that the node's path picks,
 a set to the children named by its tokens; two sets of Jaccard similarity J sample the
 same token with probability J. The root is split RUNS times over, which is repeating the
 join. A node of at most `LEAF` sets is compared by brute force. In a larger node, sets whose
-mean similarity to the node's sets is high (estimated from sampled minhashes, as no split
-would part them) are compared with all the node's sets and leave the recursion; the rest
+mean similarity to the node's sets (estimated from sampled minhashes) is so high that splits would
+cost more than they save are compared with all the node's sets and leave the recursion; the rest
 are split further, and at `DEPTH` compared as they are.
 
 Brute force runs over blocks of sets: a node is dealt by hash to as many blocks as bound a
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, table
+from .common import arrow, components, cut, ship, table
 from .shingles import shingle_sets, sketches
 
 THRESHOLD = 0.8
@@ -44,14 +44,18 @@ FANOUT = 3
 LEAF = 128
 #: A block's tokens (8 bytes each) and sets at most, on average; a task holds two blocks.
 BLOCK_TOKENS = 1_000_000
-BLOCK = 1024
+BLOCK = 2048
+TILE = 1024
 DEPTH = 4
 SKETCH = 48
 PROBES = 8
 COMMON = 16
+#: Shares of a task's run of a node under this part are not counted.
+NOISE = 64
 FILTER = 2048
 #: Stands for a null id: no id is smaller.
 NO_ID = -(1 << 63)
+#: A set of mean similarity a to its node of m sets meets FANOUT * a * m of them a level further down: from here on, splitting makes more comparisons than it saves.
 DENSE = 0.7
 
 
@@ -123,12 +127,38 @@ def _probes(path: np.ndarray, sketches: list[bytes]) -> np.ndarray:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, m, sketch in, path, m, probe, same out: how many of a batch's rows have a probe."""
+    """Rows sorted by path (path, m, sketch) to path, m, probe, same: how many rows of a task's run of a
+    path have a probe, for those that a NOISE-th of the run shares. That is at most PROBES * NOISE rows a run,
+    and there are no more runs than paths and tasks together."""
+    key, held, rows = None, [], 0
+
+    def count() -> pa.RecordBatch:
+        found, same = _summed(held)
+        wide = (same > 1) & (same * NOISE >= rows)
+        n = int(wide.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), pa.array(found[wide]), pa.array(same[wide])], names=["path", "m", "probe", "same"])
+
+    def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        values, which = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        return values, np.bincount(which.reshape(-1), np.concatenate([c for _, c in parts])).astype(np.int64)
+
     for b in batches:
-        if b.num_rows:
-            probe, at, same = np.unique(_probes(b.column(0).to_numpy(), b.column(2).to_pylist()), return_index=True, return_counts=True)
-            node = b.select([0, 1]).take(pa.array(at % b.num_rows))
-            yield pa.RecordBatch.from_arrays([*node.columns, pa.array(probe), pa.array(same)], names=["path", "m", "probe", "same"])
+        if not b.num_rows:
+            continue
+        path, m = b.column(0).to_numpy(), b.column(1).to_numpy()
+        probes = _probes(path, b.column(2).to_pylist())
+        edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            if held and key[0] != path[a]:
+                yield count()
+                held, rows = [], 0
+            key = (path[a], m[a])
+            held.append(np.unique(probes[:, a:e], return_counts=True))
+            rows += e - a
+            if len(held) > 16:
+                held = [_summed(held)]
+    if held:
+        yield count()
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,77 +186,80 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["doc_id", "th", "tokens"])
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of 0/1 matrices over shared tokens."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[which] > 1
-    owner, which = owner[shared], (np.cumsum(count > 1) - 1)[which[shared]]
-    width = int((count > 1).sum())
-    out = np.zeros((m, m), np.int64)
-    step = max(256, 4_000_000 // max(m, 1))
-    order = np.argsort(which, kind="stable")
-    owner, which = owner[order], which[order]
-    for a in range(0, width, step):
-        i, j = np.searchsorted(which, [a, a + step])
-        x = np.zeros((m, min(step, width - a)), np.float32)
-        x[owner[i:j], which[i:j] - a] = 1
-        out += np.rint(x @ x.T).astype(np.int64)
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of `left` with each of `right`, by products of 0/1 matrices over tokens of both."""
+    tokens = [np.concatenate(x) for x in (left, right)]
+    both = np.intersect1d(*(np.unique(t) for t in tokens), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int32)
+    sides = []
+    for sets, t in zip((left, right), tokens, strict=True):
+        at = np.searchsorted(both, t)
+        shared = both[np.minimum(at, len(both) - 1)] == t if len(both) else np.zeros(len(t), bool)
+        owner, which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared], at[shared]
+        order = np.argsort(which, kind="stable")
+        sides.append((len(sets), owner[order], which[order]))
+    step = 4096
+    for a in range(0, len(both), step):
+        dense = []
+        for m, owner, which in sides:
+            i, j = np.searchsorted(which, [a, a + step])
+            x = np.zeros((m, min(step, len(both) - a)), np.float32)
+            x[owner[i:j], which[i:j] - a] = 1
+            dense.append(x)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int32)
     return out
 
 
+def _linked(path: int, left: list[tuple], right: list[tuple], same: bool, p: int, q: int) -> np.ndarray:
+    """Which pairs of rows link that are to be compared at this node; see _verify for the rows."""
+    active = [np.array([r[4] for r in rows]) for rows in (left, right)]
+    fit = active[0][:, None] | active[1][None, :]
+    if same:
+        np.fill_diagonal(fit, False)
+    # Met before: at a node of smaller path that compares them.
+    members: dict[int, tuple[list, list]] = {}
+    for side, rows in enumerate((left, right)):
+        for k, r in enumerate(rows):
+            for leaf in r[9]:
+                if leaf["path"] < path:
+                    members.setdefault(leaf["path"], ([], []))[side].append((k, leaf["active"]))
+    for own in members.values():
+        if own[0] and own[1]:
+            (at, act), (to, bct) = (map(np.array, zip(*x, strict=True)) for x in own)
+            fit[np.ix_(at, to)] &= ~(act[:, None] | bct[None, :])
+    if not fit.any():
+        return fit
+    sets = [[np.frombuffer(r[8], np.uint64) for r in rows] for rows in (left, right)]
+    n = [np.array([len(x) for x in own]) for own in sets]
+    return fit & ((p + q) * intersections(*sets).astype(np.int64) >= p * (n[0][:, None] + n[1][None, :]))
+
+
 def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (path, i, j, block, active, doc_id, th, copies, tokens, leaves) to links of
-    each set and forest edges: doc_id, th, links, to_doc, to_th."""
+    each set and forest edges: doc_id, th, links, to_doc, to_th. Blocks are compared TILE by TILE."""
     part = Fraction(str(threshold))
     p, q = part.numerator, part.denominator
     out: list[tuple] = []
 
     def work(rows: list[tuple], key: tuple) -> None:
         path, i, j = key
-        m = len(rows)
-        if m < 2:
-            return
-        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
-        n = np.array([len(s) for s in sets])
-        block = np.array([r[3] for r in rows])
-        active = np.array([r[4] for r in rows])
-        fit = active[:, None] | active[None, :]
-        if i != j:
-            fit &= block[:, None] != block[None, :]
-        np.fill_diagonal(fit, False)
-        members: dict[int, list[tuple[int, bool]]] = {}
-        for k, r in enumerate(rows):
-            for leaf in r[9]:
-                if leaf["path"] < path:
-                    members.setdefault(leaf["path"], []).append((k, leaf["active"]))
-        for own in members.values():  # met before, at a node of smaller path
-            if len(own) > 1:
-                at = np.array([k for k, _ in own])
-                act = np.array([a for _, a in own])
-                fit[np.ix_(at, at)] &= ~(act[:, None] | act[None, :])
-        if not fit.any():
-            return
-        link = fit & ((p + q) * intersections(sets) >= p * (n[:, None] + n[None, :]))
-        if not link.any():
-            return
-        links = link @ np.array([r[7] for r in rows], np.int64)
-        parent = list(range(m))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a in range(m):
-            for b in np.flatnonzero(link[a, :a]):
-                ra, rb = find(a), find(int(b))
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
+        rows = [r for r in rows if r[3] == i] + ([r for r in rows if r[3] == j] if i != j else [])
+        first = len(rows) if i == j else sum(r[3] == i for r in rows)
+        copies = np.array([r[7] for r in rows], np.int64)
+        links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for a in range(0, first, TILE):
+            for b in range(a if i == j else first, len(rows), TILE):
+                ends = min(a + TILE, first), min(b + TILE, len(rows))
+                link = _linked(path, rows[a : ends[0]], rows[b : ends[1]], a == b, p, q)
+                links[a : ends[0]] += link @ copies[b : ends[1]]
+                if a != b:
+                    links[b : ends[1]] += copies[a : ends[0]] @ link
+                for k in np.flatnonzero(link.any(axis=1)):
+                    joined = np.unique(np.append(label[b : ends[1]][link[k]], label[a + k]))
+                    if len(joined) > 1:
+                        label[np.isin(label, joined)] = joined[0]
         for k in np.flatnonzero(links):
-            to = rows[find(int(k))]
+            to = rows[label[k]]
             out.append((rows[k][5], rows[k][6], int(links[k]), to[5], to[6]))
 
     def batch() -> pa.RecordBatch:
@@ -285,7 +318,7 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        children = rows.mapInArrow(lambda it: _chosen(roots, FANOUT, it), "path long, doc_id long, th long, n long")
+        children = rows.transform(arrow, lambda it: _chosen(roots, FANOUT, it), "path long, doc_id long, th long, n long")
         children = cut(children)
         seen = children.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(doc_id, th))").alias("x1"), F.expr("bit_xor(xxhash64(th, doc_id, 1))").alias("x2"), blocks.alias("blocks"))
         # Nodes of the same sets are one: the smallest path stays.
@@ -299,12 +332,13 @@ def _leaves(classes: DataFrame, roots: int) -> DataFrame:
         if depth == DEPTH or heavy.isEmpty():
             break
         sketched = cut(_with(heavy.select("path", "doc_id", "th", "n", "m", "blocks"), classes.select("doc_id", "th", "sketch")))
-        probes = sketched.select("path", "m", "sketch").mapInArrow(_probe, "path long, m long, probe long, same long")
+        dealt = sketched.select("path", "m", "doc_id", "th", "sketch").repartitionByRange("path", "doc_id", "th").sortWithinPartitions("path")
+        probes = dealt.select("path", "m", "sketch").transform(arrow, _probe, "path long, m long, probe long, same long")
         # A node has COMMON values a probe at most that a COMMONth of its sets share: its rows get them by one join.
         common = probes.groupBy("path", "m", "probe").agg(F.sum("same").alias("same")).filter(F.col("same") * COMMON >= F.col("m"))
         common = common.groupBy("path").agg(F.collect_list(F.struct("probe", "same")).alias("common"))
         judged = sketched.join(common, "path", "left").select("path", "doc_id", "th", "sketch", "n", "blocks", "m", "common")
-        judged = cut(judged.mapInArrow(_judge, "path long, doc_id long, th long, sketch binary, n long, blocks int, dense boolean"))
+        judged = cut(judged.transform(arrow, _judge, "path long, doc_id long, th long, sketch binary, n long, blocks int, dense boolean"))
         busy = judged.filter("dense").select("path").distinct()
         leaves = leaves.unionByName(judged.join(busy, "path", "left_semi").select("path", "doc_id", "th", F.col("dense").alias("active"), "blocks"))
         rows = judged.filter(~F.col("dense")).select("path", "doc_id", "th", "sketch", "n")
@@ -324,13 +358,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    described = cut(source.mapInArrow(_describe, "doc_id long, th long, d1 long, d2 long, n long, sketch binary"))
+    described = cut(source.transform(arrow, _describe, "doc_id long, th long, d1 long, d2 long, n long, sketch binary"))
     grouped = described.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.count(F.lit(1)).alias("copies"))
     classes = cut(grouped.select("d1", "d2", "r.doc_id", "r.th", "r.n", "r.sketch", "copies"))
     roots = FANOUT * runs(threshold, target_recall)
     leaves = cut(_leaves(classes, roots))
     own = cut(leaves.groupBy("doc_id", "th").agg(F.collect_list(F.struct("path", "active")).alias("leaves")))  # a node a root and level at most
-    tokens = _among(source, own).mapInArrow(_sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
+    tokens = _among(source, own).transform(arrow, _sets, "doc_id long, th long, tokens binary").groupBy("doc_id", "th").agg(F.first("tokens").alias("tokens"))
     facts = _with(_with(own, tokens), classes.select("doc_id", "th", "copies"))
     placed = leaves.withColumn("block", F.expr("cast(pmod(xxhash64(path, doc_id, th), blocks) as int)"))
     tasks = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -338,7 +372,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
     )
     full = _with(tasks, facts).select("path", "i", "j", "block", "active", "doc_id", "th", "copies", "tokens", "leaves")
     dealt = full.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "doc_id", "th")
-    links = cut(dealt.mapInArrow(lambda it: _verify(threshold, it), "doc_id long, th long, links long, to_doc long, to_th long"))
+    links = cut(dealt.transform(arrow, lambda it: _verify(threshold, it), "doc_id long, th long, links long, to_doc long, to_th long"))
     counts = links.groupBy("doc_id", "th").agg(F.sum("links").alias("links"))
     roots_of = components(links.select(F.struct("doc_id", "th").alias("a"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th")).alias("b")))
     roots_of = roots_of.select("node.doc_id", "node.th", F.col("root.doc_id").alias("root_doc"), F.col("root.th").alias("root_th"), F.lit(True).alias("in"))
