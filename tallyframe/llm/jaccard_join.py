@@ -56,7 +56,7 @@ FILTER = 2048
 #: Stands for a null id: no id is smaller.
 NO_ID = -(1 << 63)
 #: A set of mean similarity a to its node of m sets meets FANOUT * a * m of them a level further down: from here on, splitting makes more comparisons than it saves.
-DENSE = 0.7
+DENSE = 1 / FANOUT
 
 
 def runs(threshold: float = THRESHOLD, target: float = TARGET_RECALL, fanout: int = FANOUT, depth: int = DEPTH) -> int:
