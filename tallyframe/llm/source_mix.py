@@ -1,112 +1,203 @@
 """Mixing sources to target weights by Pfair scheduling of source blocks.
 
-Weights become whole shares a_s of a period of M slots (largest remainders, at least one
-a source). In each period source s owes a_s blocks; its block j (from 0) is released at
-floor(j M / a_s) and due at ceil((j + 1) M / a_s). Earliest deadline first over released
-blocks fills every slot and keeps each source's count within one block of its weight at all
-times; the lag is zero at the period's end, so one period, simulated once on the driver,
-describes the whole schedule. Its table has M rows, whatever the data's size.
-
-A source's documents are put in a seeded random order, cut into blocks of `block_docs`, and
-block j goes to slot (j div a_s) M + slot_in_period(s, j mod a_s). Ranks are taken over
-range-partitioned rows, so a source with a third of all rows spans many tasks.
+Weights are kept as exact fractions a_s / D. Block j (from 0) of source s is released at slot
+floor(j D / a_s) and due at ceil((j + 1) D / a_s); earliest deadline first over the released blocks
+fills every slot, and every source's number of blocks is at all times less than one block off
+its weight (Baruah, Cohen, Plaxton, Varvel: "Proportionate progress").
+
+The schedule is as long as the data, so slots are cut into segments, which tasks fill:
+
+* at a slot t between two segments, exactly the blocks due by t must be over, and some of those
+  whose window spans t. next_state() picks these: as many as there are slots left, earliest deadline
+  first, but never more than fit between their releases and t. What earlier slots can hold is a
+  family of nested bounds, so this greedy choice leaves the later slots as much room as any choice can.
+  The driver does this with a few array operations a segment, and no slot is filled there;
+* between two such states, windows are clipped to the segment, and earliest deadline first
+  meets all deadlines there (test: every slot against the exact weights).
+
+The mix ends at slot T, where the first source would run out. Blocks that are left follow
+by earliest deadline, so a source that has run out leaves its slots to the others.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import group_index, table
+from .common import arrow, cut, group_index, table
 
 BLOCK_DOCS = 16
-PERIOD = 4096
-MAX_SHARE = 0.25
-MAX_PERIOD = 1 << 20
+#: Slots that are scheduled at once.
+SEGMENT = 1 << 16
+MAX_SHARE = Fraction(1, 4)
+#: Sources whose sizes and weights the driver holds.
+MAX_SOURCES = 1 << 16
+#: Slots of a schedule that is broadcast (about 40 bytes each); a longer one is joined by shuffling.
+MAX_BROADCAST_SLOTS = 1 << 19
 SEED = 7
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> tuple[dict[str, int], int]:
-    """Whole slots of each source in a period, summing to it; the period grows to hold
-    sixteen slots a source, up to MAX_PERIOD."""
-    if not weights:
-        return {}, period
-    if any(not w > 0 for w in weights.values()):
+def whole_weights(weights: dict) -> tuple[list[str], list[int], int]:
+    """Sources in order, and their weights as whole numbers over their sum."""
+    names = sorted(weights)
+    exact = [Fraction(weights[s]) for s in names]
+    if any(not w > 0 for w in exact):
         raise ValueError("weights must be positive")
-    period = max(period, 16 * len(weights))
-    if period > MAX_PERIOD:
-        raise ValueError(f"{len(weights)} sources need a period over {MAX_PERIOD} slots; group small sources first")
-    total = sum(Fraction(w) for w in weights.values())
-    spare = period - len(weights)
-    exact = {s: Fraction(w) * spare / total for s, w in weights.items()}
-    got = {s: 1 + int(x) for s, x in exact.items()}
-    late = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in late[: period - sum(got.values())]:
-        got[s] += 1
-    return got, period
-
-
-def schedule(share: dict[str, int], period: int) -> list[tuple[str, int]]:
-    """(source, block in period) of each slot: earliest deadline first over released blocks."""
-    if not share:
-        return []
-    waiting = [(0, s, 0) for s in share]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    parts = [int(w * scale) for w in exact]
+    common = math.gcd(*parts) if parts else 1
+    parts = [a // common for a in parts]
+    return names, parts, sum(parts)
+
+
+def next_state(parts: list[int], total: int, begin: int, now: list[int], end: int) -> list[int]:
+    """How many blocks of each source are over before slot `end`, given those before slot `begin`."""
+    done = [a * end // total for a in parts]
+    left = end - sum(max(d, c) for d, c in zip(done, now, strict=True))
+    # room[x]: slots from begin + x on that the blocks due by `end`, and not released before, leave.
+    due = np.zeros(end - begin + 1, np.int64)
+    spanning = []
+    for i, (a, d, c) in enumerate(zip(parts, done, now, strict=True)):
+        if d > c:
+            if d * total < 1 << 62:
+                releases = np.arange(c, d, dtype=np.int64) * total // a
+            else:
+                releases = np.array([j * total // a for j in range(c, d)])
+            np.add.at(due, np.maximum(releases - begin, 0).astype(np.int64), 1)
+        if c <= d and a * end % total:
+            spanning.append((-(-(d + 1) * total // a), i, max(0, d * total // a - begin)))
+    room = (np.arange(end - begin + 1) - np.cumsum(due[::-1]))[::-1][: end - begin]
+    room = room - due[-1]
+    state = [max(d, c) for d, c in zip(done, now, strict=True)]
+    for _, i, release in sorted(spanning):
+        if not left:
+            break
+        if room[: release + 1].min() > 0:
+            room[: release + 1] -= 1
+            state[i] += 1
+            left -= 1
+    if left:
+        raise AssertionError("no state meets all deadlines")
+    return state
+
+
+def states(parts: list[int], total: int, length: int, segment: int) -> list[list[int]]:
+    """The numbers of blocks that are over before each segment, and at the end."""
+    out = [[0] * len(parts)]
+    for begin in range(0, length, segment):
+        out.append(next_state(parts, total, begin, out[-1], min(begin + segment, length)))
+    return out
+
+
+def schedule(parts: list[int], total: int, begin: int, end: int, now: list[int], then: list[int]) -> list[tuple[int, int]]:
+    """(source's number, block) of the slots from `begin` to `end`, between two states."""
+    waiting = [(max(begin, j * total // a), i, j) for i, (a, j) in enumerate(zip(parts, now, strict=True)) if j < then[i]]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for t in range(period):
+    ready: list[tuple[int, int, int]] = []
+    out = []
+    for t in range(begin, end):
         while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // share[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots.append((s, j))
-        if j + 1 < share[s]:
-            heapq.heappush(waiting, ((j + 1) * period // share[s], s, j + 1))
-    return slots
-
-
-def capped_weights(sizes: dict[str, int], max_share: float = MAX_SHARE) -> dict[str, float]:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (min(end, -(-(j + 1) * total // parts[i])), i, j))
+        due, i, j = heapq.heappop(ready)
+        if due <= t:
+            raise AssertionError("a block missed its deadline")
+        out.append((i, j))
+        if j + 1 < then[i]:
+            heapq.heappush(waiting, (max(begin, (j + 1) * total // parts[i]), i, j + 1))
+    return out
+
+
+def capped_weights(sizes: dict[str, int], max_share: Fraction = MAX_SHARE) -> dict[str, Fraction]:
     """Natural shares, none over max_share (or an equal share, if that is more)."""
     total = sum(sizes.values())
-    cap = max(max_share, 1 / max(len(sizes), 1))
-    got = {s: n / total for s, n in sizes.items() if n}
+    cap = max(Fraction(max_share), Fraction(1, max(len(sizes), 1)))
+    got = {s: Fraction(n, total) for s, n in sizes.items() if n}
     capped: set[str] = set()
-    while over := {s for s, w in got.items() if s not in capped and w > cap * (1 + 1e-9)}:
+    while over := {s for s, w in got.items() if s not in capped and w > cap}:
         capped |= over
         rest = sum(n for s, n in sizes.items() if s not in capped)
         room = 1 - cap * len(capped)
-        got = {s: cap if s in capped else sizes[s] / rest * room for s in got}
+        got = {s: cap if s in capped else Fraction(sizes[s], rest) * room for s in got}
     return got
 
 
-def quota(sizes: dict[str, int], weights: dict[str, float], block_docs: int = BLOCK_DOCS) -> dict[str, int]:
+def quota(sizes: dict[str, int], weights: dict, block_docs: int = BLOCK_DOCS) -> dict[str, int]:
     """Blocks of each source that the weights leave in the mix; the source that bounds it keeps all."""
     exact = {s: Fraction(w) for s, w in weights.items()}
-    total = min((sizes[s] / w for s, w in exact.items()), default=Fraction(0))
-    # Weights are doubles: a share within rounding of a source's size is its size.
-    return {s: -(-(sizes[s] if w * total > sizes[s] * (1 - Fraction(1, 10**9)) else math.ceil(w * total)) // block_docs) for s, w in exact.items()}
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    most = min((sizes[s] / w for s, w in exact.items()), default=Fraction(0))
+    return {s: -(-math.ceil(w * most) // block_docs) for s, w in exact.items()}
+
+
+def _segments(parts: list[int], total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """begin, end, the sources one block ahead of their floors at both, to a row a slot."""
+    for b in batches:
+        for begin, end, *ahead in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            now, then = ([a * t // total for a in parts] for t in (begin, end))
+            for state, own in zip((now, then), ahead, strict=True):
+                for i in own:
+                    state[i] += 1
+            n, j = zip(*schedule(parts, total, begin, end, now, then), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(j, pa.int64()), pa.array(range(begin, end), pa.int64())], names=["__n", "__j", "__t"])
+
+
+def _planned(spark: SparkSession, parts: list[int], total: int, length: int, segment: int) -> tuple[DataFrame, list[int]]:
+    """(__n, __j, __t): source, block and slot; and the number of blocks over at the end."""
+    found = states(parts, total, length, segment)
+    edges = [*range(0, length, segment), length]
+    ahead = [[i for i, (a, c) in enumerate(zip(parts, state, strict=True)) if c > a * t // total] for t, state in zip(edges, found, strict=False)]
+    rows = [(edges[k], edges[k + 1], ahead[k], ahead[k + 1]) for k in range(len(edges) - 1)]
+    asked = spark.createDataFrame(rows, "begin long, end long, now array<int>, then array<int>").repartition(max(1, min(10_000, len(rows))), "begin")
+    return cut(asked.transform(arrow, lambda it: _segments(parts, total, it), "__n int, __j long, __t long")), found[-1]
+
+
+def _late(parts: list[int], total: int, length: int, over: list[int], blocks: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (__n, block, ..., __t) get slots where __t is null: after `length`, by deadline and source."""
+
+    def rank(n: int, j: int) -> int:
+        due = -(-(j + 1) * total // parts[n])
+        before = 0
+        for i, a in enumerate(parts):
+            # Blocks of source i that are left and due before, or at the same slot if i comes first.
+            limit = due if i < n else due - 1
+            before += max(0, min(blocks[i], limit * a // total) - over[i]) if i != n else j - over[n]
+        return length + before
+
+    known: tuple = (None, 0)
+    for b in batches:
+        n, j, t = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        for i, at in enumerate(t):
+            if at is None and n[i] is not None:
+                if known[0] != (n[i], j[i]):
+                    known = ((n[i], j[i]), rank(n[i], j[i]))
+                t[i] = known[1]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t, pa.int64())], names=b.schema.names)
+
+
+def mix(docs: DataFrame, weights: dict | None = None, *, block_docs: int = BLOCK_DOCS, segment: int = SEGMENT, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with its place in the mix: doc_id, source, block (in its source),
     slot (of the schedule), position (in its block), in_mix; `carry` columns follow, prefixed `__in_`.
 
-    `slot` then `position` is the order to read in. A source that has run out leaves its
-    slots empty and the others go on by earliest deadline: every row of a source with a weight has a slot.
+    `slot` then `position` is the order to read in; slots run without gaps, a block each. Weights are shares
+    of blocks of `block_docs` documents (the last of a source may be short), taken exactly: give Fraction
+    where a double isn't the weight meant. Up to the slot where the first source would run out, each source is
+    less than one block off its weight; blocks left then follow by earliest deadline.
     in_mix is false only for what the weights exclude: the mix has as many documents as keep
     every source at its weight, the least of size over weight, and takes each source's first
-    blocks up to its share of them. Natural weights exclude nothing, whatever the period rounds small
-    sources to. The last block of a source may be short.
+    blocks up to its share of them. Natural weights exclude nothing.
 
     A null source is a source of its own (""), shown as null. Sources without a weight get no slot
     (slot null, in_mix false), weights without documents count for nothing; by default weights are natural shares capped at MAX_SHARE.
-    Rows are ordered in a source by a seeded hash of id and text, then id, then text, so repeated rows tie and
+    Rows are ordered in a source by a seeded hash of id and text, then id, so repeated rows tie and
     are interchangeable. An empty table gives no rows. The table of sources is on the
-    driver: shares() refuses more than MAX_PERIOD / 16 of them.
+    driver: more than MAX_SOURCES of them are refused.
     """
     spark = docs.sparkSession
     carry = carry or []
@@ -116,24 +207,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs:
         F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("__key"), *[F.col(c).alias(f"__in_{c}") for c in carry],
     )
     ranked = group_index(rows, ["__source"], ["__key", "doc_id"], "__rank")
-    limit = MAX_PERIOD // 16
-    sizes = {r[0]: r[1] for r in ranked.groupBy("__source").count().limit(limit + 1).collect()}
-    if len(sizes) > limit:
-        raise ValueError(f"more than {limit} sources; group small sources first")
+    sizes = {r[0]: r[1] for r in ranked.groupBy("__source").count().limit(MAX_SOURCES + 1).collect()}
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group small sources first")
     weights = capped_weights(sizes) if weights is None else {("" if s is None else s): w for s, w in weights.items() if sizes.get(s or "")}
-    share, period = shares(weights, period)
-    slots = schedule(share, period)
+    names, parts, total = whole_weights(weights)
+    blocks = [-(-sizes[s] // block_docs) for s in names]
+    length = min((b * total // a for a, b in zip(parts, blocks, strict=True)), default=0)
     quotas = quota(sizes, weights, block_docs)
-    plan = spark.createDataFrame([(s, j, t, share[s]) for t, (s, j) in enumerate(slots)], "__s string, __j int, __t int, __a int")
-    owed = spark.createDataFrame([(s, a, quotas[s]) for s, a in share.items()], "__o string, __share int, __quota long")
-    block = F.expr(f"__rank div {block_docs}")
-    placed = ranked.join(F.broadcast(owed), F.col("__source") == F.col("__o"), "left").withColumn("block", block)  # at most MAX_PERIOD / 16 rows
-    on = (F.col("__source") == F.col("__s")) & (F.expr("block % __share") == F.col("__j"))
-    placed = placed.join(F.broadcast(plan.drop("__a")), on, "left")  # at most MAX_PERIOD rows
-    slot = F.expr(f"(block div __share) * {period}L + __t")
-    return placed.select(
-        "doc_id", "source", "block", slot.alias("slot"), F.expr(f"__rank % {block_docs}").alias("position"), F.coalesce(F.col("block") < F.col("__quota"), F.lit(False)).alias("in_mix"), *[f"__in_{c}" for c in carry]
-    )
+    plan, over = _planned(spark, parts, total, length, segment)
+    plan = F.broadcast(plan) if length <= MAX_BROADCAST_SLOTS else plan
+    owed = spark.createDataFrame([(s, n, quotas[s]) for n, s in enumerate(names)], "__o string, __n int, __quota long")
+    placed = ranked.join(F.broadcast(owed), F.col("__source") == F.col("__o"), "left").withColumn("block", F.expr(f"__rank div {block_docs}"))  # at most MAX_SOURCES rows
+    placed = placed.withColumnRenamed("__n", "__m").join(plan, (F.col("__m") == F.col("__n")) & (F.col("block") == F.col("__j")), "left")
+    inputs = [f"__in_{c}" for c in carry]
+    fine = F.coalesce(F.col("__t").isNotNull() | (F.col("block") < F.col("__quota")), F.lit(False))
+    placed = placed.select(F.col("__m").alias("__n"), "block", "doc_id", "source", "__rank", fine.alias("in_mix"), *inputs, "__t")
+    placed = placed.transform(arrow, lambda it: _late(parts, total, length, over, blocks, it), placed.schema)
+    return placed.select("doc_id", "source", "block", F.col("__t").alias("slot"), F.expr(f"__rank % {block_docs}").alias("position"), "in_mix", *inputs)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,13 @@
 import hashlib
+import math
 import random
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -133,6 +138,45 @@ def squared(bins):
     return sum(sum(p) ** 2 * m for p, m in bins.items())
 
 
+def held(bins):
+    got = Counter()
+    for p, m in bins.items():
+        for x in p:
+            got[x] += m
+    return got
+
+
+def exchanges(a, b, capacity):
+    """All moves, one for one and two for one that raise the sum of squares: brute force."""
+    for n, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+        for xs in combinations(a, n):
+            for ys in combinations(b, m):
+                fa, fb = sum(a) - sum(xs) + sum(ys), sum(b) + sum(xs) - sum(ys)
+                if fb <= capacity and fa <= capacity and fa**2 + fb**2 > sum(a) ** 2 + sum(b) ** 2:
+                    yield fa, fb
+
+
+def least_bins(lengths, capacity):
+    """The optimum, by trying every place of every document."""
+    best = len(lengths)
+    lengths = sorted(lengths, reverse=True)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                place(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best
+
+
 def test_packing_search():
     rng = random.Random(6)
     for low in (1, 300, 900):
@@ -140,18 +184,46 @@ def test_packing_search():
         before = packing.best_fit_decreasing(counts, 2048)
         after = packing.local_search(before, 2048)
         for bins in (before, after):
-            got = Counter()
-            for p, m in bins.items():
-                assert 0 < sum(p) <= 2048
-                for x in p:
-                    got[x] += m
-            assert got == counts
+            assert all(0 < sum(p) <= 2048 for p in bins) and held(bins) == counts
         assert sum(after.values()) <= sum(before.values()) and squared(after) >= squared(before)
     # best fit decreasing needs three bins here, exchanges find two
     poor = Counter({(6, 2): 1, (5, 3): 1, (4,): 1})
     assert sum(packing.local_search(poor, 10).values()) == 2
 
 
+@pytest.mark.parametrize(("n", "low", "high"), [(2000, 500, 1200), (4000, 300, 1100), (6000, 500, 900)])
+def test_packing_search_where_best_fit_is_not_best(n, low, high):
+    rng = random.Random(5)
+    counts = Counter(rng.randint(low, high) for _ in range(n))
+    before = packing.best_fit_decreasing(counts, 2048)
+    after = packing.local_search(before, 2048)
+    assert held(after) == counts and squared(after) > squared(before)
+    # the search closes a quarter and more of what parts best fit decreasing from the sum of lengths
+    bound = sum(x * m for x, m in counts.items()) / 2048
+    assert sum(after.values()) - bound <= 0.75 * (sum(before.values()) - bound)
+
+
+def test_packing_search_leaves_no_exchange():
+    rng = random.Random(11)
+    for _ in range(40):
+        counts = Counter(rng.randint(3, 14) for _ in range(rng.randint(4, 30)))
+        after = packing.local_search(packing.best_fit_decreasing(counts, 20), 20)
+        assert held(after) == counts
+        bins = [p for p, m in after.items() for _ in range(m)]
+        if len(bins) > -(-sum(x * m for x, m in counts.items()) // 20):
+            assert not any(list(exchanges(a, b, 20)) for i, a in enumerate(bins) for k, b in enumerate(bins) if i != k)
+
+
+def test_packing_search_against_the_optimum():
+    rng = random.Random(12)
+    over = 0
+    for _ in range(150):
+        lengths = [rng.randint(3, 12) for _ in range(rng.randint(1, 9))]
+        found = sum(packing.local_search(packing.best_fit_decreasing(Counter(lengths), 20), 20).values())
+        over += found - least_bins(lengths, 20)
+    assert over <= 2
+
+
 def test_pack(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -182,6 +254,14 @@ def test_pack(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_pack_by_a_joined_plan(spark, docs, monkeypatch):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    want = Counter(tuple(r[c] for c in columns) for r in packing.pack(docs).collect())
+    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(packing, "RANKS", 2)
+    assert Counter(tuple(r[c] for c in columns) for r in packing.pack(docs).collect()) == want
+
+
 def test_secret_examples():
     def found(t):
         return [t[a:b] for a, b in secret_scan.literal_spans(t)]
@@ -255,6 +335,73 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert {r["doc_id"] for r in rows if r["kept"]} == set(range(120))
 
 
+def js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, sum((a * math.log2(a / c) if a else 0) / 2 for x in (p, q) for a, c in zip(x, m, strict=True))))
+
+
+def histograms(text, lang):
+    """Character classes and common words of a text, by plain Python."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    n = len(text)
+    upper, digit = (sum(unicodedata.category(c) == k for c in text) for k in ("Lu", "Nd"))
+    marks, symbols = (sum(c in k for c in text) for k in (".,;:!?'\"()-", "#*$%&|<>"))
+    classes = [upper, digit, n - sum(map(len, words)), marks, symbols]
+    common = quality_rules.COMMON_WORDS.get(lang, [])
+    counts = [sum(w in (x, x.capitalize(), x.upper()) for w in words) for x in common] or [0] * 16
+    shares = [c / max(len(words), 1) for c in counts]
+    return [c / max(n, 1) for c in (*classes, n - sum(classes))], [*shares, max(0.0, 1 - sum(shares))], n, len(words)
+
+
+def verdicts(rows):
+    """{id: (kept, class distance, word distance)} of (id, text, lang) rows."""
+    q = quality_rules
+    seen = [(i, (lang or ""), base_quality(t or "")[-1], *histograms(t or "", lang)) for i, t, lang in rows]
+    out = {}
+    refs = {}
+    for lang in {x[1] for x in seen}:
+        fit = [(p, w, n) for _, own, failed, p, w, chars, n in seen if own == lang and not failed and chars >= q.MIN_CHARS]
+        middle = [sorted(p[k] for p, _, _ in fit)[(len(fit) + 1) // 2 - 1] for k in range(6)] if fit else []
+        near = [(p, w) for p, w, n in fit if js(p, [x / sum(middle) for x in middle]) <= q.CLASS_FLOOR + q.CLASS_NOISE / n]
+        n = len(near) + q.PRIOR_DOCS
+        refs[lang] = ([(sum(p[k] for p, _ in near) + q.PRIOR_DOCS * q.PRIOR_CLASSES[k]) / n for k in range(6)], [(sum(w[k] for _, w in near) + q.PRIOR_DOCS * q.PRIOR_WORDS[k]) / n for k in range(17)])
+    for i, lang, failed, p, w, chars, n in seen:
+        classes, words = refs[lang]
+        by_class = js(p, classes) if chars >= q.MIN_CHARS else None
+        by_word = js(w, words) if n >= q.MIN_COMMON_TEST_WORDS and lang in q.COMMON_WORDS else None
+        fine = (by_class or 0) <= min(q.MAX_CLASS_DISTANCE, q.CLASS_FLOOR + q.CLASS_NOISE / max(n, 1))
+        fine &= by_word is None or by_word <= min(q.MAX_WORD_DISTANCE, q.MAX_WORD_SHARE * js([0.0] * 16 + [1.0], words))
+        out[i] = (not failed and fine, by_class, by_word)
+    return out
+
+
+def test_quality_verdicts_against_a_model(spark):
+    """Whole verdicts and distances over prose, junk, short and very long texts, null and unknown languages."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.choice([15, 30, 60, 120, 400])), rng.choice(["en", "en", "fr", "xx", None])) for i in range(150)]
+    texts = [None, "", "A1 " * 3, prose(rng, 20_000), " ".join(f"{rng.random():.5f}" for _ in range(150)), prose(rng, 200).upper(), prose(rng, 150).replace("e", "|#"), prose(rng, 90).replace(" ", "\n"), "\u65e5\u672c\u8a9e " * 120, "\U0001f600 " + prose(rng, 100)]
+    rows += [(1000 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("en", "de", None))]
+    rows.append(rows[3])
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).collect()
+    want = verdicts(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        kept, by_class, by_word = want[r["doc_id"]]
+        for have, need in ((r["class_distance"], by_class), (r["word_distance"], by_word)):
+            assert (have is None) == (need is None) and (have is None or abs(have - need) < 1e-9), r
+        assert r["kept"] == kept, r
+    assert 20 < sum(k for k, _, _ in want.values()) < len(want) - 20
+
+
+def test_quality_references_withstand_junk(spark):
+    """A third of a language's documents may be junk without moving the verdicts on the rest."""
+    rng = random.Random(22)
+    good = [prose(rng, 150) for _ in range(60)]
+    junk = [" ".join(f"{rng.randint(0, 10**6):07d}|#" for _ in range(100)) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + junk)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality_rules.judge(df).filter("kept").collect()} == set(range(60))
+
+
 def test_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     df = spark.range(1).select(quality_rules._js([F.lit(x) for x in p], [F.lit(x) for x in q]).alias("d"), quality_rules._js([F.lit(1.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0)]).alias("far"))
@@ -263,44 +410,100 @@ def test_jensen_shannon(spark):
     assert abs(df.first()[0] - want) < 1e-12 and df.first()[1] == 1.0
 
 
-def test_pfair_stays_within_a_block():
-    rng = random.Random(3)
-    for _ in range(25):
-        share, period = source_mix.shares({str(i): rng.random() + 0.01 for i in range(rng.randint(1, 25))}, 400)
-        done = dict.fromkeys(share, 0)
-        assert sum(share.values()) == period
-        for t, (s, j) in enumerate(source_mix.schedule(share, period)):
-            assert j == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - (t + 1) * share[x] / period) < 1 for x in share)
-        assert done == share
-
-
-def test_mix(spark, docs):
-    rows = source_mix.mix(docs, block_docs=2, carry=["th", "source"]).collect()
+def exact(weights):
+    return {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64, 5000])
+def test_pfair_stays_within_a_block_of_the_target_weights(segment):
+    """Counts after every slot against the weights themselves: equal, skewed, tiny and awkward ones."""
+    rng = random.Random(segment)
+    cases = [dict.fromkeys(map(str, range(20)), 1), {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.25} | {str(i): 0.75 / 19 for i in range(19)}, {"big": 1, "tiny": Fraction(1, 10_000), "small": Fraction(1, 4099)}]
+    cases += [{str(i): rng.choice([rng.random(), rng.random() / 5000, Fraction(rng.randint(1, 9), rng.randint(1, 9))]) + Fraction(1, 10**9) for i in range(rng.randint(1, 12))} for _ in range(12)]
+    for weights in cases:
+        target = exact(weights)
+        names, parts, total = source_mix.whole_weights(weights)
+        assert [Fraction(a, total) for a in parts] == [target[s] for s in names]
+        length = 12_000 if segment == 5000 else 900  # at least ten periods of the equal and the short weights
+        at = source_mix.states(parts, total, length, segment)
+        done, t = dict.fromkeys(names, 0), 0
+        for k, begin in enumerate(range(0, length, segment)):
+            assert [done[s] for s in names] == at[k]
+            for i, j in source_mix.schedule(parts, total, begin, min(begin + segment, length), at[k], at[k + 1]):
+                t += 1
+                assert j == done[names[i]]
+                done[names[i]] += 1
+                assert all(abs(done[s] - t * w) < 1 for s, w in target.items())
+        assert t == length
+
+
+def test_pfair_segments_are_cheap():
+    parts = [1000 + i for i in range(200)]
+    began = time.perf_counter()
+    source_mix.states(parts, sum(parts), 40 * 65_536, 65_536)  # 2.6 million slots without filling one
+    assert time.perf_counter() - began < 10
+
+
+def read_in_order(rows):
+    """Sources in order of the slots of a mix; slots run without gaps and hold one block each."""
+    blocks = defaultdict(set)
+    for r in rows:
+        if r["slot"] is not None:
+            blocks[r["slot"]].add((r["source"] or "", r["block"]))
+    assert sorted(blocks) == list(range(len(blocks))) and all(len(b) == 1 for b in blocks.values())
+    return [next(iter(blocks[t])) for t in range(len(blocks))]
+
+
+@pytest.mark.parametrize("broadcast", [1 << 19, 0])
+def test_mix(spark, docs, broadcast, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_BROADCAST_SLOTS", broadcast)
+    rows = source_mix.mix(docs, block_docs=2, segment=5, carry=["th", "source"]).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in pairs(docs))
     assert len({(r["slot"], r["position"]) for r in rows}) == len(rows)
-    inside = sorted({(r["slot"], r["source"]) for r in rows if r["in_mix"]}, key=lambda x: x[0])
-    assert [s for s, _ in inside] == list(range(len(inside)))
+    order = read_in_order(rows)
     sizes = Counter(r["source"] or "" for r in rows)
-    share, period = source_mix.shares(source_mix.capped_weights(sizes))
-    for t in range(1, len(inside) + 1):
-        seen = Counter(s or "" for _, s in inside[:t])
-        assert all(abs(seen[s] - t * a / period) < 1 for s, a in share.items())
+    target = source_mix.capped_weights(sizes)
+    length = math.floor(min(-(-sizes[s] // 2) / w for s, w in target.items()))
+    for t in range(1, length + 1):
+        seen = Counter(s for s, _ in order[:t])
+        assert all(abs(seen[s] - t * w) < 1 for s, w in target.items())
+    late = order[length:]
+    due = [math.ceil((j + 1) / target[s]) for s, j in late]
+    assert due == sorted(due)
     assert source_mix.mix(docs.limit(0)).count() == 0
     part = source_mix.mix(docs, {"s0": 3.0, "s1": 1.0, "none": 5.0}, block_docs=1)
     assert part.filter("source = 's2' and (in_mix or slot is not null)").count() == 0
-    assert source_mix.capped_weights({"a": 90, "b": 5, "c": 5}, 0.5) == {"a": 0.5, "b": 0.25, "c": 0.25}
+    assert source_mix.capped_weights({"a": 90, "b": 5, "c": 5}, Fraction(1, 2)) == {"a": Fraction(1, 2), "b": Fraction(1, 4), "c": Fraction(1, 4)}
+
+
+def test_mix_of_target_weights(spark):
+    """Ten hyperperiods and more of stated weights, one under 1/4,096."""
+    weights = {"a": Fraction(1, 2), "b": Fraction(3, 10), "c": Fraction(2, 10) - Fraction(1, 5000), "d": Fraction(1, 5000)}
+    sizes = {"a": 7000, "b": 4000, "c": 3000, "d": 2}
+    rows = [(i, str(i), s) for s, n in sizes.items() for i in range(n)]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_docs=1, segment=1000).collect()
+    order = [s for s, _ in read_in_order(got)]
+    assert len(order) == sum(sizes.values())
+    length = int(min(n / weights[s] for s, n in sizes.items()))
+    assert length == 10_000
+    done = Counter()
+    for t, s in enumerate(order[:length], 1):
+        done[s] += 1
+        assert all(abs(done[x] - t * w) < 1 for x, w in weights.items())
+    assert Counter(r["source"] for r in got if r["in_mix"]) == done == {s: int(w * length) for s, w in weights.items()}
 
 
 def test_mix_keeps_all_beside_a_stray_source(spark):
     rows = [(i, f"text {i}", f"s{i % 8}") for i in range(800)] + [(800, "stray", None), (801, "stray", "tiny"), (802, "stray", "tiny")]
-    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_docs=1, period=64).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mix(df, block_docs=1, segment=64).collect()
     assert len(got) == 803 and all(r["in_mix"] for r in got)
-    assert len({(r["slot"], r["position"]) for r in got}) == 803
+    read_in_order(got)
     # a stated weight excludes what is over it, and only that
-    part = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"s0": 2.0, "s1": 1.0}, block_docs=1, period=64)
+    part = source_mix.mix(df, {"s0": 2.0, "s1": 1.0}, block_docs=1, segment=64)
     assert Counter(r["source"] for r in part.filter("in_mix").collect()) == {"s0": 100, "s1": 50}
+    with pytest.raises(ValueError):
+        source_mix.mix(df, {"s0": 0.0, "s1": 1.0})
 
 
 def brute_lines(rows, policy):
@@ -372,6 +575,7 @@ def brute_join(rows, threshold=0.8):
 def test_jaccard_join(spark, leaf, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", leaf * 270)
+    monkeypatch.setattr(jaccard_join, "TILE", leaf)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(140)]
     texts = [" ".join(base)] * 4 + [None, "", " \n", "two words", "two words"]
