@@ -164,3 +164,50 @@ def test_nn_descent_links_saturated_groups(spark, size):
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert {i: r["n_links"] for i, r in got.items()} == links
     assert {i: r["component_id"] for i, r in got.items()} == roots
+
+
+def test_nn_descent_finds_links_that_seeds_miss(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "WINDOW", 32)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 32))
+    near = base[:150].repeat(2, axis=0) + 0.15 * rng.standard_normal((300, 32))
+    rows = [(i, 32, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, near]))]
+    vectors = spark.createDataFrame(rows, "v long, dim int, vec array<double>").cache()
+    codes = vectors.transform(nn_descent.arrow, nn_descent._codes, "v long, dim int, code binary").selectExpr("v", "dim", "v as label", "code").cache()
+    links, _ = brute_vectors([(i, v) for i, _, v in rows])
+    true = sum(links.values()) // 2
+    seeded = nn_descent._lists(nn_descent._seeded(codes, range(2), 0.95))
+    before = nn_descent._edges(seeded, vectors, 0.95).count()
+    after = nn_descent._edges(nn_descent._search(seeded, codes, 0.95), vectors, 0.95).count()
+    # the descent finds nearly all of what the seeds miss
+    assert before < true and true - after <= 0.2 * (true - before)
+
+
+def test_nn_descent_codes_bound_their_error():
+    rng = np.random.default_rng(2)
+    x = nn_descent._unit(np.concatenate([rng.standard_normal((200, 24)), np.eye(24), rng.standard_normal((50, 24)) ** 9]))
+    y, error = nn_descent.decode(nn_descent.encode(x))
+    bound = error[:, None] + error[None, :] + error[:, None] * error[None, :] + 1e-5
+    assert (np.abs(y @ y.T - x @ x.T) <= bound).all()
+
+
+def test_nn_descent_extreme_values_and_ids(spark):
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.standard_normal(8)]
+    y = [float(v) for v in rng.standard_normal(8)]
+    rows = [(1, [v * 1e300 for v in x]), (2, [v * 1e-300 for v in x]), (3, x), (4, y), (None, [v * 2 for v in y]), (None, None), (7, None), (3, y), (3, None), (5, [1e308, -1e308] + [0.0] * 6)]
+    got = sorted((tuple(r) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    # 3 stands at x and y, so one component holds both; a null id is the smallest
+    assert got == sorted([(1, 2, None, False), (2, 2, None, False), (3, 2, None, False), (4, 2, None, False), (None, 2, None, True), (None, 0, None, True), (7, 0, 7, True), (3, 2, None, False), (3, 0, None, False), (5, 0, 5, True)], key=str)
+
+
+def test_nn_descent_refuses_a_short_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nn_descent.near_duplicates(df).filter("n_links > 0").count() == 0
+    # no pair links here, and a search that finds nothing is noticed all the same
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    monkeypatch.setattr(nn_descent, "_search", lambda lists, codes, threshold: lists.filter("false"))
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(df)
