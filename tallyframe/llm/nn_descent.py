@@ -6,7 +6,7 @@ few seeds (neighbours in windows over sorted projections) and are then refined b
 neighbours-of-neighbours joins: all that a centre lists, and all that list it, meet there, and
 each takes what is better than the worst of its own list. Pairs met before are left out: one of a pair must be
 fresh, which is new in a list since the last round. A centre that very many list meets them in
-lots of LOT. Rounds end when few entries are new.
+lots of LOT. Rounds end when few near entries (see below) are new.
 
 Vectors travel as codes of a byte a component, with the norm of what rounding took away. So
 the cosine of two codes comes with a bound on its error, and an entry is `near` if its true
@@ -14,7 +14,7 @@ cosine may reach the threshold. Vectors themselves are fetched for near pairs on
 in double precision.
 
 A list whose last entry is near still is saturated: links may be missing from it. It is
-enlarged GROWTH-fold and the descent goes on, up to MAX_LIST. Vectors that are saturated
+enlarged GROWTH-fold, all of it counts as fresh, and the descent goes on, up to MAX_LIST. Vectors that are saturated
 even then are crowded. Two things settle their links exactly: they look for neighbours outside their
 component until no link joins two components any more, and inside it each is compared with all
 members, in blocks. So no list grows with a group, and nothing is lost by its bound.
@@ -32,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,12 @@ THRESHOLD = 0.95
 LIST = 8
 GROWTH = 4
 MAX_LIST = 32
-SEEDS = 4
-WINDOW = 64
+SEEDS = 6
+WINDOW = 256
 EDGE = 16
 LOT = 24
-#: Rounds go on while more than this share of all entries, or of near ones, is new.
-DELTA = 0.02
-DELTA_NEAR = 0.001
+#: Rounds go on while more than this share of near entries is new; probes see to it that there are some.
+DELTA = 0.005
 BLOCK = 2048
 TILE = 1024
 PROBES = 128
@@ -59,6 +60,11 @@ ATTEMPTS = 4
 NO_ID = -(1 << 63)
 _HEAD = 8  # bytes before a code's components: its scale and the norm of its error
 _ENTRY = "v long, u long, cos float, near boolean, fresh boolean, k int"
+#: Lists and nodes in one table, as both are dealt by v: entries have u, and a node its code, and the worst
+#: cosine of its list if that is full.
+_LISTS = _ENTRY + ", worst float, label long, code binary"
+#: Rows of a centre that are held at once; what lists a centre may be more.
+PIECE = 10_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -244,24 +250,110 @@ def _meet(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield groups(held, np.array([0, held.num_rows]))
 
 
+def _entries_of(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+
+
+def _written(entries: tuple[np.ndarray, ...], nodes: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Whole lists and their nodes, in the form of _LISTS. A list that is full of near entries grows, and
+    all of it is fresh again."""
+    v, u, cos, near, fresh, k = entries
+    names = [f.split()[0] for f in _LISTS.split(", ")]
+    own = np.zeros(0, np.int64)
+    if len(v):
+        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        sizes = np.diff(np.append(starts, len(v)))
+        own, room = v[starts], k[starts]
+        grow = np.logical_and.reduceat(near, starts) & (sizes >= room) & (room < MAX_LIST)
+        room = np.where(grow, np.minimum(room * GROWTH, MAX_LIST), room).astype(np.int32)
+        low = np.where(sizes >= room, cos[starts + sizes - 1], np.float32(-2)).astype(np.float32)
+        none = [pa.nulls(len(v), t) for t in (pa.float32(), pa.int64(), pa.binary())]
+        columns = [v, u, cos, near, fresh | np.repeat(grow, sizes), np.repeat(room, sizes)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *none], names=names)
+    if nodes.num_rows:
+        n = nodes.column("v").to_numpy()
+        at = np.minimum(np.searchsorted(own, n), max(len(own) - 1, 0))
+        has = own[at] == n if len(own) else np.zeros(len(n), bool)
+        size, worst = np.full(len(n), LIST, np.int32), np.full(len(n), -2, np.float32)
+        if has.any():
+            size[has], worst[has] = room[at[has]], low[at[has]]
+        none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.float32(), pa.bool_(), pa.bool_())]
+        rest = [nodes.column(c).combine_chunks() for c in ("label", "code")]
+        yield pa.RecordBatch.from_arrays([pa.array(n), *none, pa.array(size), pa.array(worst), *rest], names=names)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by v to lists; what is held of the last v is never more than its list."""
+    """Entries and nodes (_LISTS) sorted by v to lists; what is held of the last v is never more than its list."""
     held: tuple | None = None
+    nodes: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        now = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        is_node = b.column(8).is_valid()
+        now = _entries_of(b.filter(pc.invert(is_node)))
         now = _top(*(now if held is None else (np.concatenate(x) for x in zip(held, now, strict=True))))
-        cut_at = int(np.searchsorted(now[0], now[0][-1]))
-        held = tuple(x[cut_at:] for x in now)
-        if cut_at:
-            yield _entries([tuple(x[:cut_at] for x in now)])
+        own = pa.Table.from_batches([b.filter(is_node)]).select(["v", "label", "code"])
+        nodes = own if nodes is None else pa.concat_tables([nodes, own])
+        last = b.column(0)[b.num_rows - 1].as_py()
+        over, done = int(np.searchsorted(now[0], last)), int(np.searchsorted(nodes.column("v").to_numpy(), last))
+        held = tuple(x[over:] for x in now)
+        yield from _written(tuple(x[:over] for x in now), nodes.slice(0, done))
+        nodes = nodes.slice(done)
     if held is not None:
-        yield _entries([held])
+        yield from _written(held, nodes)
+
+
+def _lists(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists of entries (_ENTRY) and nodes (v, label, code)."""
+    none = {c: F.lit(None).cast(t) for c, t in (f.split() for f in _LISTS.split(", "))}
+    both = entries.select(*_columns(_ENTRY), *[none[c].alias(c) for c in ("worst", "label", "code")]).unionByName(
+        nodes.select("v", *[none[c].alias(c) for c in ("u", "cos", "near", "fresh", "k", "worst")], "label", "code")
+    )
+    return cut(both.repartition("v").sortWithinPartitions("v").transform(arrow, _merge, _LISTS))
+
+
+def _columns(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """centre, back, m, fresh, sorted by the first two and fresh ones first, to centre, lot, m, fresh: a
+    centre's own list and the centre meet in each of its lots, and each LOT of what lists it is a lot."""
+    base = TaskContext.get().partitionId() << 32
+    held: pa.RecordBatch | None = None
 
+    def deal(b: pa.RecordBatch, edges: list[int]) -> pa.RecordBatch:
+        nonlocal base
+        centre, back, m, fresh = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        out: list[tuple] = []
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            split = a + int(np.searchsorted(back[a:e], 1))
+            own, own_fresh = m[a:split], fresh[a:split]
+            # Lots of old entries alone have nothing new to say.
+            ends = e if own_fresh.any() else split + int(fresh[split:e].sum())
+            lots = -(-(ends - split) // LOT) if ends > split else int(own_fresh.any())
+            if not lots:
+                continue
+            theirs = np.arange(split, min(split + lots * LOT, e))
+            lot = base + np.concatenate([np.repeat(np.arange(lots), len(own) + 1), (theirs - split) // LOT])
+            out.append((np.full(len(lot), centre[a]), lot, np.concatenate([np.tile(np.append(own, centre[a]), lots), m[theirs]]), np.concatenate([np.tile(np.append(own_fresh, True), lots), fresh[theirs]])))
+            base += lots
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["centre", "lot", "m", "fresh"])
 
-def _lists(entries: DataFrame) -> DataFrame:
-    return cut(entries.repartition("v").sortWithinPartitions("v").transform(arrow, _merge, _ENTRY))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        centre = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(centre[1:] != centre[:-1]) + 1).tolist()]
+        if b.num_rows - edges[-1] > PIECE:
+            edges.append(b.num_rows)
+        held = b.slice(edges[-1]) if edges[-1] < b.num_rows else None
+        yield deal(b.slice(0, edges[-1]), edges)
+    if held is not None:
+        yield deal(held, [0, held.num_rows])
 
 
 def _seeded(codes: DataFrame, seeds: range, threshold: float) -> DataFrame:
@@ -274,53 +366,33 @@ def _seeded(codes: DataFrame, seeds: range, threshold: float) -> DataFrame:
     return dealt.transform(arrow, lambda it: _slide(threshold, it), _ENTRY)
 
 
-def _round(lists: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+def _round(lists: DataFrame, threshold: float) -> DataFrame:
     """One neighbours-of-neighbours join."""
-    facts = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("low"), F.max("k").alias("k"))
-    worst = F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(F.lit(-2.0)).cast("float")
-    nodes = codes.join(facts, "v", "left").select(F.col("v").alias("m"), "label", worst.alias("worst"), F.coalesce("k", F.lit(LIST)).alias("k"), "code")
-    forward = lists.select(F.col("v").alias("centre"), F.col("u").alias("m"), "fresh", F.lit(0).alias("back"))
-    both = forward.unionByName(lists.select(F.col("u").alias("centre"), F.col("v").alias("m"), "fresh", F.lit(1).alias("back")))
-    lots = F.greatest(F.ceil(F.sum("back") / LOT), F.lit(1)).cast("int")
-    centres = both.groupBy("centre").agg(F.max("fresh").alias("any"), lots.alias("lots")).filter("any").select("centre", "lots")
-    # A centre's own list meets in each of its lots, and so does the centre; what lists it is in one lot.
-    every = F.sequence(F.lit(0), F.col("lots") - 1)
-    one = F.array(F.expr("cast(pmod(xxhash64(centre, m), lots) as int)"))
-    placed = both.join(centres, "centre").select("centre", F.explode(F.when(F.col("back") == 0, every).otherwise(one)).alias("lot"), "m", "fresh")
-    heads = centres.select("centre", F.explode(every).alias("lot"), F.col("centre").alias("m"), F.lit(True).alias("fresh"))
-    full = placed.unionByName(heads).join(nodes, "m").select("centre", "lot", F.col("m").alias("v"), "label", "fresh", "worst", "k", "code")
+    entries, nodes = lists.filter("u is not null"), lists.filter("code is not null")
+    forward = entries.select(F.col("v").alias("centre"), F.lit(0).alias("back"), F.col("u").alias("m"), "fresh")
+    both = forward.unionByName(entries.select(F.col("u").alias("centre"), F.lit(1).alias("back"), F.col("v").alias("m"), "fresh"))
+    # By range, so that what lists a hub spans tasks.
+    dealt = both.repartitionByRange("centre", "back", "m").sortWithinPartitions("centre", "back", F.desc("fresh"))
+    placed = dealt.transform(arrow, _lots, "centre long, lot long, m long, fresh boolean")
+    full = placed.join(nodes.select(F.col("v").alias("m"), "label", "worst", "k", "code"), "m").select("centre", "lot", F.col("m").alias("v"), "label", "fresh", "worst", "k", "code")
     dealt = full.repartition("centre", "lot").sortWithinPartitions("centre", "lot")
     met = dealt.transform(arrow, lambda it: _meet(threshold, it), _ENTRY)
-    return _lists(lists.withColumn("fresh", F.lit(False)).unionByName(met))
+    return _lists(entries.withColumn("fresh", F.lit(False)).select(*_columns(_ENTRY)).unionByName(met), nodes)
 
 
-def _descend(lists: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """Rounds until few entries are new; every one raises lists, so they end."""
+def _search(lists: DataFrame, threshold: float) -> DataFrame:
+    """Rounds until few near entries are new; every one raises lists, so they end."""
     while True:
-        one = F.lit(1)
-        fresh = F.when(F.col("fresh"), one)
-        n, new, near, new_near = lists.agg(F.count(one), F.count(fresh), F.count(F.when(F.col("near"), one)), F.count(F.when(F.col("near"), fresh))).first()
-        if new <= DELTA * n and new_near <= DELTA_NEAR * near:
+        near, new = lists.filter("near").agg(F.count(F.lit(1)), F.count(F.when(F.col("fresh"), F.lit(1)))).first()
+        if new <= DELTA * near:
             return lists
-        old, lists = lists, _round(lists, codes, threshold)
+        old, lists = lists, _round(lists, threshold)
         discard(old)
 
 
 def _saturated(lists: DataFrame) -> DataFrame:
-    """v, k of the lists whose last entry is near: full ones, and those that saw no vector further off."""
-    return lists.groupBy("v").agg(F.max("k").alias("k"), F.min("near").alias("near")).filter("near").select("v", "k")
-
-
-def _search(lists: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """Descent, with saturated lists enlarged until they are not, or hold MAX_LIST."""
-    lists = _descend(lists, codes, threshold)
-    while not (grow := _saturated(lists).filter(F.col("k") < MAX_LIST)).isEmpty():
-        grow = grow.select("v", F.least(F.col("k") * GROWTH, F.lit(MAX_LIST)).alias("more"))
-        wider = lists.join(grow, "v", "left").select("v", "u", "cos", "near", (F.col("fresh") | F.col("more").isNotNull()).alias("fresh"), F.coalesce("more", "k").alias("k"))
-        old, lists = lists, cut(wider)
-        discard(old)
-        lists = _descend(lists, codes, threshold)
-    return lists
+    """v of the lists whose last entry is near: full ones, and those that saw no vector further off."""
+    return lists.filter("u is not null").groupBy("v").agg(F.min("near").alias("near")).filter("near").select("v")
 
 
 def _confirm(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +420,7 @@ def _leaving(crowded: DataFrame, groups: DataFrame, codes: DataFrame, vectors: D
     inside = cut(codes.drop("label").join(crowded.select("v"), "v").join(groups.select(F.col("node").alias("v"), F.col("root").alias("label")), "v"))
     if inside.select("label").distinct().limit(2).count() < 2:
         return None
-    lists = _descend(_lists(_seeded(inside, seeds, threshold)), inside, threshold)
+    lists = _search(_lists(_seeded(inside, seeds, threshold), inside), threshold)
     found = _edges(lists, vectors, threshold)
     return None if found.isEmpty() else found
 
@@ -448,10 +520,10 @@ def audited_recall(links: DataFrame, classes: DataFrame, threshold: float, turn:
     return seen / all_ if all_ else None
 
 
-def _probes(classes: DataFrame, threshold: float, turn: int) -> list[tuple[int, int, list[float], int]]:
+def _probes(classes: DataFrame, threshold: float) -> list[tuple[int, int, list[float], int]]:
     """(v, dim, vector, origin): for each of PROBES vectors one that links with it, with a negative v."""
-    chosen = classes.select("v", "vec").orderBy(F.xxhash64(F.lit(turn), F.lit(1), "v"), "v").limit(PROBES).collect()
-    rng = np.random.default_rng(turn)
+    chosen = classes.select("v", "vec").orderBy(F.xxhash64(F.lit(1), "v"), "v").limit(PROBES).collect()
+    rng = np.random.default_rng(1)
     out = []
     for i, r in enumerate(chosen):
         x = _unit(np.array([r[1]], np.float64))[0]
@@ -519,18 +591,18 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
 def _linked(classes: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
     """(v, links) and (node, root) of the classes' vectors."""
     spark = classes.sparkSession
+    probes = _probes(classes, threshold)
+    kind = classes.schema["vec"].dataType.simpleString()
+    planted = spark.createDataFrame([(v, d, x) for v, d, x, _ in probes], "v long, dim int, vec array<double>").withColumn("vec", F.col("vec").cast(kind))
+    vectors = cut(classes.select("v", "dim", "vec").unionByName(planted))
+    codes = cut(vectors.transform(arrow, _codes, "v long, dim int, code binary").select("v", "dim", F.col("v").alias("label"), "code"))
     lists, recalls = None, []
     for turn in range(ATTEMPTS):
-        probes = _probes(classes, threshold, turn)
-        kind = classes.schema["vec"].dataType.simpleString()
-        planted = spark.createDataFrame([(v, d, x) for v, d, x, _ in probes], "v long, dim int, vec array<double>").withColumn("vec", F.col("vec").cast(kind))
-        vectors = cut(classes.select("v", "dim", "vec").unionByName(planted))
-        codes = cut(vectors.transform(arrow, _codes, "v long, dim int, code binary").select("v", "dim", F.col("v").alias("label"), "code"))
         seeds = range(turn * SEEDS, (turn + 1) * SEEDS)
         entries = _seeded(codes, seeds, threshold)
-        if lists is not None:  # go on from what is there, without the last turn's probes
-            entries = entries.unionByName(lists.filter("v >= 0 and u >= 0").withColumn("fresh", F.lit(True)))
-        lists = _search(_lists(entries), codes, threshold)
+        if lists is not None:
+            entries = entries.unionByName(lists.filter("u is not null").withColumn("fresh", F.lit(False)).select(*_columns(_ENTRY)))
+        lists = _search(_lists(entries, codes), threshold)
         edges = _edges(lists, vectors, threshold)
         crowded_all = cut(_saturated(lists))
         crowded = crowded_all.filter("v >= 0")

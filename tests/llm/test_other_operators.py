@@ -176,9 +176,9 @@ def test_nn_descent_finds_links_that_seeds_miss(spark, monkeypatch):
     codes = vectors.transform(nn_descent.arrow, nn_descent._codes, "v long, dim int, code binary").selectExpr("v", "dim", "v as label", "code").cache()
     links, _ = brute_vectors([(i, v) for i, _, v in rows])
     true = sum(links.values()) // 2
-    seeded = nn_descent._lists(nn_descent._seeded(codes, range(2), 0.95))
+    seeded = nn_descent._lists(nn_descent._seeded(codes, range(2), 0.95), codes)
     before = nn_descent._edges(seeded, vectors, 0.95).count()
-    after = nn_descent._edges(nn_descent._search(seeded, codes, 0.95), vectors, 0.95).count()
+    after = nn_descent._edges(nn_descent._search(seeded, 0.95), vectors, 0.95).count()
     # the descent finds nearly all of what the seeds miss
     assert before < true and true - after <= 0.2 * (true - before)
 
@@ -208,6 +208,6 @@ def test_nn_descent_refuses_a_short_result(spark, monkeypatch):
     assert nn_descent.near_duplicates(df).filter("n_links > 0").count() == 0
     # no pair links here, and a search that finds nothing is noticed all the same
     monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
-    monkeypatch.setattr(nn_descent, "_search", lambda lists, codes, threshold: lists.filter("false"))
+    monkeypatch.setattr(nn_descent, "_search", lambda lists, threshold: lists.filter("false"))
     with pytest.raises(RuntimeError, match="recall"):
         nn_descent.near_duplicates(df)
