@@ -46,7 +46,9 @@ _WIDTHS = (None, 16, 1)  # windows in a context, by level of splitting
 _MASK = np.uint64((1 << 21) - 1)
 _value = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[Powers] = []
-_ANCHOR = "h long, doc_id long, th long, pos int, lo int, hi int"
+_ANCHOR = "h long, doc_id long, th long, pos int, lo int, hi int, run int"
+#: Bytes and rows of contexts that a batch holds at most, a context over.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 20_000
 _CONTEXT = "h long, c1 long, c2 long, doc_id long, th long, pos int, lo int, hi int, context binary"
 _RANGE = "doc_id long, th long, lo int, hi int"
 
@@ -93,6 +95,15 @@ def anchors(segments: list[np.ndarray], k: int = MIN_BYTES, g: int = GRAM) -> tu
     return t, h[pos[first]].view(np.int64), pos[first] - begins[t], inside[first], inside[last]
 
 
+def runs(text: np.ndarray, h: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of anchors that follow each other with equal strings and windows, as the
+    periods of a periodic text give them, and how many there are."""
+    new = np.ones(len(h), bool)
+    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (lo[1:] != hi[:-1] + 1) | ((pos - lo)[1:] != (pos - lo)[:-1]) | ((hi - lo)[1:] != (hi - lo)[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(h)))
+
+
 def _find_anchors(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, hashes = b.column(0), b.column(1)
@@ -104,9 +115,11 @@ def _find_anchors(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             row = np.array([i for i, _, _ in held])[text]
             base = np.array([a for _, a, _ in held])[text]
             held.clear()
+            first, run = runs(text, h, pos, lo, hi)
+            row, base = row[first], base[first]
             return pa.RecordBatch.from_arrays(
-                [pa.array(h), docs.take(pa.array(row)), hashes.take(pa.array(row)), *(pa.array((x + base).astype(np.int32)) for x in (pos, lo, hi))],
-                names=["h", "doc_id", "th", "pos", "lo", "hi"],
+                [pa.array(h[first]), docs.take(pa.array(row)), hashes.take(pa.array(row)), *(pa.array((x[first] + base).astype(np.int32)) for x in (pos, lo, hi)), pa.array(run.astype(np.int32))],
+                names=["h", "doc_id", "th", "pos", "lo", "hi", "run"],
             )
 
         for i, text in enumerate(b.column(2).to_pylist()):
@@ -135,27 +148,45 @@ _CONTEXT_NAMES = ["h", "c1", "c2", "doc_id", "th", "pos", "lo", "hi", "context"]
 _CONTEXT_TYPES = [*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
 
 
+def _equal_runs(data: np.ndarray, lo: int, step: int, run: int, size: int) -> list[tuple[int, int]]:
+    """(number, how many) of the stretches of equal ones among `run` strings of `size` bytes that begin at
+    lo, lo + step, ..."""
+    if run == 1:
+        return [(0, 1)]
+    part = data[lo : lo + (run - 1) * step + size]
+    differ = np.concatenate([[0], np.cumsum(part[step:] != part[:-step])])
+    at = np.arange(run - 1) * step
+    first = np.concatenate([[0], np.flatnonzero(differ[at + size] != differ[at]) + 1])
+    return list(zip(first.tolist(), np.diff(np.append(first, run)).tolist(), strict=True))
+
+
 def _contexts(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, text, marks (array of h, pos, lo, hi) to _CONTEXT rows."""
-    rows = []
+    """doc_id, th, text, marks (array of h, pos, lo, hi, run) to _CONTEXT rows and `run`: as many
+    equal contexts follow each other from here on, each a row's windows further."""
+    names, types = [*_CONTEXT_NAMES, "run"], [*_CONTEXT_TYPES, pa.int32()]
+    rows, held = [], 0
     for b in batches:
         for doc, th, text, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = (text or "").encode()
+            places = np.frombuffer(data, np.uint8)
             for m in marks:
-                h, pos, lo, hi = m["h"], m["pos"], m["lo"], m["hi"]
-                context = data[lo : hi + k]
-                rows.append((h, *_two(b"%d,%d," % (pos - lo, hi - lo) + context), doc, th, pos, lo, hi, context))
-            if len(rows) > 20_000:
-                yield _rows_batch(rows, _CONTEXT_NAMES, _CONTEXT_TYPES)
-                rows = []
-    yield _rows_batch(rows, _CONTEXT_NAMES, _CONTEXT_TYPES)
+                step, size = m["hi"] - m["lo"] + 1, m["hi"] - m["lo"] + k
+                for number, run in _equal_runs(places, m["lo"], step, m["run"], size):
+                    lo = m["lo"] + number * step
+                    context = data[lo : lo + size]
+                    rows.append((m["h"], *_two(b"%d,%d," % (m["pos"] - m["lo"], step - 1) + context), doc, th, m["pos"] + number * step, lo, lo + step - 1, context, run))
+                    held += size
+                    if held > BATCH_BYTES or len(rows) > BATCH_ROWS:
+                        yield _rows_batch(rows, names, types)
+                        rows, held = [], 0
+    yield _rows_batch(rows, names, types)
 
 
 def _narrow(k: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_CONTEXT rows and `ask` to narrower ones: windows at offsets from the anchor in the same
     `width`, in a bucket by the bytes that such windows share whichever of them are there."""
     names, types = [*_CONTEXT_NAMES, "n", "ask"], [*_CONTEXT_TYPES, pa.int64(), pa.bool_()]
-    rows = []
+    rows, held = [], 0
     for b in batches:
         for h, _, _, doc, th, pos, lo, hi, context, n, ask in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for block in range((pos - hi) // width, (pos - lo) // width + 1):
@@ -164,9 +195,10 @@ def _narrow(k: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 bucket = xxhash.xxh3_64_intdigest(b"%d,%d,%d," % (h, block, width) + core) - (1 << 63)
                 own = context[a - lo : e + k - lo]
                 rows.append((bucket, *_two(b"%d,%d," % (pos - a, e - a) + own), doc, th, pos, a, e, own, n, ask))
-            if len(rows) > 20_000:
+                held += len(own)
+            if held > BATCH_BYTES or len(rows) > BATCH_ROWS:
                 yield _rows_batch(rows, names, types)
-                rows = []
+                rows, held = [], 0
     yield _rows_batch(rows, names, types)
 
 
@@ -259,14 +291,14 @@ def _same_doc(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 
 
 def _resolve(contexts: DataFrame, k: int, first: bool, level: int) -> DataFrame:
-    """_RANGE rows of the repeated windows under `contexts` (with n, ask)."""
+    """_RANGE rows of the repeated windows under `contexts` (with run, and n, how often each counts, and ask)."""
     place = F.struct("doc_id", "th", "pos", "lo")
     kinds = cut(contexts.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(place).alias("first"), F.max("ask").alias("ask")))
     several = kinds.filter("n > 1").select("h", "c1", "c2", F.col("first").alias("__first"))
     whole = contexts.drop("n").join(several, ["h", "c1", "c2"]).filter("ask")
-    if first:
-        whole = whole.filter(place != F.col("__first"))
-    ranges = whole.select("doc_id", "th", "lo", "hi")
+    step = F.col("hi") - F.col("lo") + 1
+    begin = F.when(place == F.col("__first"), F.col("lo") + step).otherwise(F.col("lo")) if first else F.col("lo")
+    ranges = whole.select("doc_id", "th", begin.alias("lo"), (F.col("hi") + (F.col("run") - 1) * step).alias("hi")).filter("lo <= hi")
     if _WIDTHS[level] == 1:
         return ranges
     buckets = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -282,7 +314,7 @@ def _resolve(contexts: DataFrame, k: int, first: bool, level: int) -> DataFrame:
         return ranges
     width = _WIDTHS[level + 1]
     narrow = cut(large.transform(arrow, lambda it: _narrow(k, width, it), _CONTEXT + ", n long, ask boolean"))
-    return ranges.unionByName(_resolve(narrow, k, first, level + 1))
+    return ranges.unionByName(_resolve(narrow.withColumn("run", F.lit(1)), k, first, level + 1))
 
 
 def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +325,9 @@ def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first"
     earlier by doc_id, then place), or anywhere else (policy "all"). Texts are UTF-8
     bytes; null texts are empty; texts of under k bytes lose nothing. Rows that are equal in id and
     text are one document for "first", and copies of each other for "all". Ids may repeat with
-    other texts, and be null (smallest). An empty table gives no rows.
+    other texts, and be null (smallest). An empty table gives no rows. Very long texts are read in
+    chunks, and periodic ones give a row a run of periods; what is gathered for a document (its marks
+    and ranges, some 20 bytes each) is smaller than its text, which is one value anyway.
     """
     ship(docs.sparkSession)
     first = policy == "first"
@@ -301,17 +335,17 @@ def repeated_spans(docs: DataFrame, *, k: int = MIN_BYTES, policy: str = "first"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter(F.octet_length("text") >= k)
     found = cut(source.transform(arrow, lambda it: _find_anchors(k, it), _ANCHOR))
     # Written out, so that the join below deals both its sides itself and may split a hot string.
-    shared = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"))
+    shared = cut(found.groupBy("h").agg(F.sum("run").alias("__n")).filter("__n > 1").select("h"))
     ids = source.select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("size"))
     groups = ids.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first")).filter("n > 1")
     copies = cut(ids.join(groups, ["th", "th2"]).select("doc_id", "th", "size", F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("is_first")))
     later = copies.filter(~F.col("is_first")).select("doc_id", "th").distinct()
     used = _same_doc(found.join(shared, "h"), later, "left_anti")
-    marks = used.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("marks"))
-    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").transform(arrow, lambda it: _contexts(k, it), _CONTEXT), "zstd")
+    marks = used.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "pos", "lo", "hi", "run")).alias("marks"))
+    contexts = cut(_same_doc(source, marks, "inner").select("doc_id", "th", "text", "marks").transform(arrow, lambda it: _contexts(k, it), _CONTEXT + ", run int"), "zstd")
     discard(found)
     discard(shared)
-    ranges = _resolve(contexts.withColumn("n", F.lit(1).cast("long")).withColumn("ask", F.lit(True)), k, first, 0)
+    ranges = _resolve(contexts.withColumn("n", F.col("run").cast("long")).withColumn("ask", F.lit(True)), k, first, 0)
     lost = copies.filter(~F.col("is_first")) if first else copies
     ranges = ranges.unionByName(lost.select("doc_id", "th", F.lit(0).alias("lo"), (F.col("size") - k).cast("int").alias("hi")))
     gathered = ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))

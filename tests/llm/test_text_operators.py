@@ -90,6 +90,37 @@ def test_suffix_dedup_keeps_the_first(spark):
         assert (mask == lost).all(), i
 
 
+@pytest.mark.parametrize("policy", ["all", "first"])
+def test_suffix_dedup_of_periodic_texts(spark, policy):
+    rng = random.Random(31)
+    texts = ["x" * 700, "abc" * 300, "x" * 250 + prose(rng, 60) + "x" * 260, prose(rng, 30) + "0123456789" * 60 + prose(rng, 30), ("abcdefghij" * 9 + "k") * 9, "abc" * 70, "ab" * 150 + "c" + "ab" * 150]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spans = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), policy=policy).collect()}
+    for (i, t), lost in zip(rows, brute_repeats(rows, 200, policy == "first"), strict=True):
+        got = np.zeros(len(t.encode()), bool)
+        for x in spans.get(i) or ():
+            got[x["start"] : x["end"]] = True
+        assert (got == lost).all(), i
+
+
+def test_suffix_dedup_of_long_periodic_texts(spark):
+    """Rows and memory follow the runs of periods, not the text's length."""
+    import pyarrow as pa
+
+    for size in (1_000_000, 10_000_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["z" * size])], names=["doc_id", "th", "text"])
+        found = list(suffix_dedup._find_anchors(200, iter([batch])))
+        marks = [r for b in found for r in b.select(["h", "pos", "lo", "hi", "run"]).to_pylist()]
+        assert len(marks) <= 3 * (1 + size // suffix_dedup.CHUNK) and sum(m["run"] for m in marks) == size - 199
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("run", pa.int32())]))
+        whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array([marks], kind)], names=["doc_id", "th", "text", "marks"])
+        contexts = [r for b in suffix_dedup._contexts(200, iter([whole])) for r in b.to_pylist()]
+        assert len(contexts) == len(marks) and sum(r["run"] for r in contexts) == size - 199
+    df = spark.createDataFrame([(1, "z" * 3_000_000), (2, "y" * 250 + "z" * 100)], "doc_id long, text string")
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, policy="all").collect()} == {1: [(0, 3_000_000)], 2: [(0, 250)]}
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, policy="first").collect()} == {1: [(1, 3_000_000)], 2: [(1, 250)]}
+
+
 def test_longest_previous_factors():
     rng = random.Random(2)
     for _ in range(60):
