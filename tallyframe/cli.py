@@ -92,16 +92,26 @@ def run(argv: list[str], spark=None, home: str | None = None) -> str:
 
     from pyspark.sql import SparkSession
 
-    from .operators.report import to_json
+    from .operators.report import release, to_json
     from .plans.scan import report_for
     from .sources import store
 
     spark = spark or SparkSession.builder.appName("tallyframe").getOrCreate()
     own = home or os.path.expanduser("~")
-    body = to_json(report_for(spark, own, harnesses=harnesses or None, cutoff_ms=cutoff, lexicon=lexicon, version=__version__, user_home=own)).first()[0]
+
+    def progress(n: int, size: int) -> None:
+        print(f"reading {n} files, {size / 1e6:.1f} MB", file=sys.stderr)
+
+    whole = report_for(spark, own, harnesses=harnesses or None, cutoff_ms=cutoff, lexicon=lexicon, version=__version__, user_home=own, on_progress=None if args.json else progress)
+    body = to_json(whole).first()[0]
+    release(whole)
     if args.json:
         return body
-    done = store.publish(spark, args.store or f"{own}/.tallyframe/reports", body.encode())
+    url = os.environ.get("TALLYFRAME_HOST")
+    if url and not args.store:
+        done = store.send(url, body.encode())
+    else:
+        done = store.publish(spark, args.store or f"{own}/.tallyframe/reports", body.encode())
     return f"{done['url']}\nAnyone with the link can read it. It expires in {done['expires_in_days']} days."
 
 

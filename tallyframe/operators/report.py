@@ -153,7 +153,8 @@ def _many(df: DataFrame, name: str, *order: Column) -> DataFrame:
 def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generated_at: str | None = None) -> DataFrame:
     """The report as one row of nested columns; to_json of the row is the document.
 
-    Ten sections read the scored table, so it is kept (narrow, without text) after the first."""
+    Ten sections read the scored table, so it is kept (narrow, without text) after the first,
+    until release()."""
     spark = scored.sparkSession
     scored = scored.persist()
     if isinstance(stats, ScanStats):
@@ -177,7 +178,14 @@ def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generat
     for p in parts[1:]:
         whole = whole.crossJoin(p)  # one row each
     names = ["totals", "by_harness", "top_words", "daily", "projects", "agent", "agent_by_harness", "agent_daily", "agent_top_words", "coverage"]
-    return whole.select(made.alias("generated_at"), F.lit(version).alias("version"), *names)
+    out = whole.select(made.alias("generated_at"), F.lit(version).alias("version"), *names)
+    out._kept = scored
+    return out
+
+
+def release(report: DataFrame) -> None:
+    """Give up what build() keeps, once the report is read."""
+    report._kept.unpersist()
 
 
 def to_json(report: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,8 +23,10 @@ class Scan:
     stats: DataFrame
 
 
-def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None) -> Scan:
-    """Harnesses that are not asked for are not listed or read."""
+def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None, on_progress: Callable[[int, int], None] | None = None) -> Scan:
+    """Harnesses that are not asked for are not listed or read. `on_progress` is told how many files and
+    bytes there are; from there on Spark's own progress (status tracker, console bar) shows the tasks.
+    A file that can't be read counts as failed and stops nothing. Spark packs the largest files first."""
     wanted = [h for h in files.ALL_HARNESSES if h in (harnesses or files.ALL_HARNESSES)]
     parts, failed = [], spark.createDataFrame([], "path string")
     if "claude" in wanted:
@@ -34,14 +37,18 @@ def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None) ->
         messages, failed = cursor.read(spark, home)
         parts.append(messages)
     messages = d.dedup(reduce(DataFrame.unionByName, parts))
-    listed = files.listing(spark, home, wanted).agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_scanned"))
-    broken = failed.agg(F.count(F.lit(1)).alias("files_failed"))
+    every = files.listing(spark, home, wanted)
+    if on_progress:
+        on_progress(*every.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first())
+    listed = every.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_scanned"))
+    broken = every.filter("failed").select("path").unionByName(failed)
+    broken = broken.agg(F.count(F.lit(1)).alias("files_failed"))
     stats = listed.crossJoin(broken).crossJoin(d.duplicates_dropped(messages))
     return Scan(messages, stats.select("files_scanned", "files_failed", "bytes_scanned", "duplicates_dropped"))
 
 
-def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None = None, cutoff_ms: int | None = None, lexicon: Compiled | None = None, version: str = "", user_home: str | None = None) -> DataFrame:
+def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None = None, cutoff_ms: int | None = None, lexicon: Compiled | None = None, version: str = "", user_home: str | None = None, on_progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """The whole report of a home directory, as one row."""
-    found = scan(spark, home, harnesses)
+    found = scan(spark, home, harnesses, on_progress)
     scored = report.score(d.since(found.messages, cutoff_ms), lexicon, user_home)
     return report.build(scored, found.stats, version)

@@ -50,17 +50,25 @@ def _read_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _binary(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
+    """The contents of the readable files of a name below `paths`."""
+    own = [files._uri(p) for p, _ in files.found(spark, paths, name) if files.readable(p)]
+    if not own:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(own)
+
+
 def blobs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A row a blob, and one with `failed` for a database that can't be read."""
     ship(spark)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "store.db").load(paths)
+    found = _binary(spark, paths, "store.db")
     rows = found.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.unix_millis("modificationTime").alias("modified"), "content")
     return rows.mapInArrow(_read_blobs, _ROWS)
 
 
 def metas(spark: SparkSession, paths: list[str]) -> DataFrame:
     """dir, cwd, created, updated of each meta.json; one bad field discards the file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").load(paths)
+    found = _binary(spark, paths, "meta.json")
     r = F.col("r")
     parsed = found.select(F.regexp_replace("path", "/[^/]*$", "").alias("__dir"), F.col("content").cast("string").alias("t")).filter(F.is_valid_utf8("t")).select("__dir", sj.once(sj.parse(F.col("t"))).alias("r"))
     sound = sj.all_of(sj.is_long(r, "$.createdAtMs"), sj.is_long(r, "$.updatedAtMs"), sj.is_string(r, "$.cwd"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import urllib.parse
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 ALL_HARNESSES = ["claude", "codex", "cursor"]
 # Where each harness keeps its logs, below the home directory, and their names.
 ROOTS = [
@@ -23,6 +31,69 @@ def parse_harness(name: str) -> str | None:
     return folded if folded in ALL_HARNESSES else None
 
 
+def _local(path: str) -> str | None:
+    """The local path that a path or file: URI names, or None for other file systems."""
+    if path.startswith("file:"):
+        return urllib.parse.unquote(urllib.parse.urlparse(path).path)
+    return None if "://" in path else path
+
+
+def _uri(path: str) -> str:
+    """A path for Spark's readers, to which `[`, `*` and the like would be patterns."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _readable(path: str) -> bool:
+    try:
+        with open(path, "rb") as f:
+            f.read(1)
+    except OSError:
+        return False
+    return True
+
+
+def _walk_local(root: str) -> Iterator[tuple[str, int]]:
+    """Regular files below a directory, with their sizes. Links are not followed, and
+    directories that can't be read are passed over."""
+    todo = [root]
+    while todo:
+        try:
+            with os.scandir(todo.pop()) as entries:
+                for e in entries:
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            todo.append(e.path)
+                        elif e.is_file(follow_symlinks=False):
+                            yield e.path, e.stat(follow_symlinks=False).st_size
+                    except OSError:
+                        continue
+        except OSError:
+            continue
+
+
+def _walk_remote(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo = [where]
+    while todo:
+        try:
+            entries = fs.listStatus(todo.pop())
+        except Py4JJavaError:
+            continue
+        for e in entries:
+            if e.isDirectory():
+                todo.append(e.getPath())
+            elif e.isFile():
+                yield e.getPath().toString(), e.getLen()
+
+
+def walk(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """Every file below a directory of any file system, whatever its name: path, bytes."""
+    own = _local(root)
+    yield from _walk_local(own) if own is not None else _walk_remote(spark, root)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -37,29 +108,68 @@ def pattern(harness: str) -> str:
     return next(g for h, _, g in ROOTS if h == harness)
 
 
+def found(spark: SparkSession, paths: list[str], name: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below `paths` whose name fits, largest first."""
+    own = {p: n for root in paths for p, n in walk(spark, root) if fnmatch.fnmatchcase(os.path.basename(p), name)}
+    return sorted(own.items(), key=lambda x: (-x[1], x[0]))
+
+
+def readable(path: str) -> bool:
+    """Whether a file can be opened; of other file systems than the local one that is left to the readers, which
+    don't take names that begin with `_` or `.`."""
+    own = _local(path)
+    return _readable(own) if own is not None else os.path.basename(path)[:1] not in ("_", ".")
+
+
 def listing(spark: SparkSession, home: str, harnesses: list[str]) -> DataFrame:
-    """Every log file: harness, path, bytes. Contents are not read."""
-    found = []
-    for h in harnesses:
-        if own := roots(spark, home, h):
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern(h)).load(own)
-            found.append(files.select(F.lit(h).alias("harness"), "path", F.col("length").alias("bytes")))
-    if not found:
-        return spark.createDataFrame([], "harness string, path string, bytes long")
-    return reduce(DataFrame.unionByName, found)
+    """Every log file: harness, path, bytes, failed. Of contents no more than a byte is read."""
+    rows = [(h, p, n, not readable(p)) for h in harnesses for p, n in found(spark, roots(spark, home, h), pattern(h))]
+    return spark.createDataFrame(rows, "harness string, path string, bytes long, failed boolean")
 
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MESSAGE)
 
 
+def _hidden(path: str) -> bool:
+    return os.path.basename(path)[:1] in ("_", ".")
+
+
+def _read_hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of local files that Spark's readers would leave out because of their names."""
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            at, held = 0, []
+            with open(path, "rb") as f:
+                for line in f:
+                    held.append(line.removesuffix(b"\n"))
+                    if len(held) == 10_000:
+                        yield _lines_batch(path, at, held)
+                        at, held = at + len(held), []
+            yield _lines_batch(path, at, held)
+
+
+def _lines_batch(path: str, at: int, held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([path] * len(held), pa.string()), pa.array(range(at, at + len(held)), pa.int64())], names=["value", "path", "row"])
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of JSONL files with a place that orders them inside their file: value, path, pos.
+    """Lines of the JSONL files below `paths`, with a place that orders them inside their file: value, path, pos.
 
     A file may be split over tasks; a split's start and the row's number in its task give
-    the order. Lines that are not valid UTF-8 go, their files stay."""
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(paths)
-    placed = text.select(
-        F.col("value"), F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("pos")
-    )
-    return placed.filter(F.is_valid_utf8("value"))
+    the order. Lines that are not valid UTF-8 go, their files stay. Files that can't be read are left out; listing() counts them."""
+    own = [p for p, _ in found(spark, paths, "*.jsonl") if readable(p)]
+    plain, hidden = [p for p in own if not _hidden(p)], [p for p in own if _hidden(p)]
+    parts = []
+    if plain:
+        text = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text([_uri(p) for p in plain])
+        parts.append(text.select(
+            F.col("value"), F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("pos")
+        ))
+    if hidden:
+        ship(spark)
+        rows = spark.createDataFrame([(p,) for p in hidden], "path string").repartition(len(hidden)).mapInArrow(_read_hidden, "value binary, path string, row long")
+        parts.append(rows.select(F.col("value").cast("string").alias("value"), "path", F.struct(F.lit(0).cast("long").alias("split"), "row").alias("pos")))
+    if not parts:
+        return spark.createDataFrame([], "value string, path string, pos struct<split:long,row:long>")
+    return reduce(DataFrame.unionByName, parts).filter(F.is_valid_utf8("value"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import re
 import secrets
+import urllib.error
+import urllib.request
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +96,32 @@ def publish(spark: SparkSession, path: str, raw: bytes, content_type: str = "app
     return {"id": report_id, "url": f"{host()}/r/{report_id}", "expires_in_days": TTL_DAYS}
 
 
+def send(url: str, body: bytes) -> dict:
+    """Posts a report, gzipped, to a host that publishes: its link and days to live. One over the size limit is
+    not sent at all; a refusal is raised with the reason that the host gives."""
+    if len(body) > MAX_BYTES:
+        raise ValueError(f"the report has {len(body) // 1024} KB, more than the {MAX_BYTES // 1024} KB that can be published; shorten it by --since, or print it by --json")
+    where = f"{url.rstrip('/')}/api/publish"
+    request = urllib.request.Request(where, gzip.compress(body), {"Content-Type": "application/json", "Content-Encoding": "gzip"}, method="POST")
+    try:
+        with urllib.request.urlopen(request) as answer:
+            said = answer.read()
+    except urllib.error.HTTPError as e:
+        text = e.read().decode("utf-8", "replace").strip()
+        try:
+            text = json.loads(text)["error"]
+        except (ValueError, KeyError, TypeError):
+            pass
+        raise RuntimeError(f"{where} refused the report: HTTP {e.code}" + (f", {text}" if text else "")) from None
+    except OSError:
+        raise RuntimeError(f"can't reach {where}; --json prints the report instead") from None
+    try:
+        got = json.loads(said)
+        return {"url": str(got["url"]), "expires_in_days": got["expires_in_days"]}
+    except (ValueError, KeyError, TypeError):
+        raise RuntimeError(f"what {where} answered is not a link") from None
+
+
 def read(spark: SparkSession, path: str, report_id: str) -> str:
     """A report's body as it was stored; the id prunes to one partition."""
     if not is_id(report_id):

@@ -1,17 +1,20 @@
+import gzip
+import http.server
 import json
 import sqlite3
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import cli
 from tallyframe.plans.scan import scan
-from tallyframe.sources import claude, codex, cursor, files
+from tallyframe.sources import claude, codex, cursor, files, store
 from tallyframe.streaming import live
 
 
 def line(**over):
-    base = {"type": "user", "message": {"content": "hello there"}, "origin": {"kind": "human"}, "timestamp": "2026-08-17T21:33:43.823Z", "cwd": "/w", "sessionId": "s"}
+    base = {"type": "user", "message": {"content": "hello there"}, "origin": {"kind": "human"}, "timestamp": "2027-06-04T10:20:30.456Z", "cwd": "/w", "sessionId": "s"}
     return json.dumps({k: v for k, v in (base | over).items() if v != "drop"})
 
 
@@ -21,7 +24,7 @@ def parsed(spark, *lines):
 
 def test_claude_line(spark):
     (r,) = parsed(spark, line())
-    assert tuple(r[f] for f in ("harness", "role", "ts", "ts_precision", "cwd", "session_id", "text")) == ("claude", "user", 1787002423823, "exact", "/w", "s", "hello there")
+    assert tuple(r[f] for f in ("harness", "role", "ts", "ts_precision", "cwd", "session_id", "text")) == ("claude", "user", 1812104430456, "exact", "/w", "s", "hello there")
 
 
 BLOCKS = [{"type": "text", "text": "one"}, {"type": "image"}, {"type": "text", "text": None}, {"type": "text", "text": "two"}]
@@ -33,7 +36,7 @@ BLOCKS = [{"type": "text", "text": "one"}, {"type": "image"}, {"type": "text", "
         ({"message": {"content": BLOCKS}}, "one two"), ({"type": "assistant", "message": {"content": BLOCKS}}, "one two"), ({"type": "assistant"}, None), ({"origin": "drop"}, "hello there"),
         ({"origin": None}, "hello there"), ({"origin": "drop", "message": {"content": BLOCKS}}, None), ({"origin": "drop", "message": {"content": "  <command-name>x"}}, None), ({"origin": {"kind": "tool"}}, None), ({"origin": {}}, None),
         ({"isMeta": True}, None), ({"isSidechain": True}, None), ({"isCompactSummary": True}, None), ({"isMeta": False}, "hello there"), ({"type": "summary"}, None), ({"type": "drop"}, None),
-        ({"sessionId": "drop", "cwd": None}, "hello there"), ({"timestamp": "drop"}, None), ({"timestamp": "2026-08-17"}, None), ({"timestamp": "2026-08-17T21:33:43+02:00"}, "hello there"), ({"extra": [1]}, "hello there"),
+        ({"sessionId": "drop", "cwd": None}, "hello there"), ({"timestamp": "drop"}, None), ({"timestamp": "2027-06-04"}, None), ({"timestamp": "2027-06-04T10:20:30+02:00"}, "hello there"), ({"extra": [1]}, "hello there"),
         ({"type": None}, None), ({"isMeta": None}, None), ({"isMeta": "no"}, None), ({"cwd": 5}, None), ({"sessionId": {}}, None), ({"timestamp": 5}, None), ({"message": "x"}, None), ({"message": {"content": 5}}, None),
         ({"message": {"content": ["x", {"type": "text"}]}}, None), ({"message": {"content": [{"type": 5}]}}, None), ({"message": {"content": [{"type": None}]}}, None), ({"origin": "x"}, None), ({"origin": {"kind": None}}, None),
         ({"message": {"content": None}}, None), ({"message": {"content": []}}, None), ({"message": {"content": "```\ncode\n```"}}, None),
@@ -52,7 +55,7 @@ def write_codex(path, rows, eol="\n"):
     path.write_bytes(b"".join(r if isinstance(r, bytes) else (r if isinstance(r, str) else json.dumps(r)).encode() + eol.encode() for r in rows))
 
 
-def said(text, kind="user_message", at="2026-08-01T08:15:00.250Z"):
+def said(text, kind="user_message", at="2027-05-06T07:08:09.125Z"):
     return {"type": "event_msg", "timestamp": at, "payload": {"type": kind, "message": text}}
 
 
@@ -61,12 +64,12 @@ def meta(cwd, session):
 
 
 def test_codex_files(spark, tmp_path):
-    write_codex(tmp_path / "a" / "one.jsonl", [said("early"), {"type": "session_meta", "payload": {"cwd": 5}}, meta("/w", "s1"), said("hi", at="2026-08-01T08:15:00.250Z"), meta("/fork", "s2"), said("there", "agent_message"), {"type": "response_item", "payload": {"type": "user_message", "message": "mirror"}}, said("x", "token_count"), b'{"type":"event_msg","user_message":"\xff"}\n', {"type": "event_msg", "payload": None}, said(5), "nonsense"], "\r\n")
+    write_codex(tmp_path / "a" / "one.jsonl", [said("early"), {"type": "session_meta", "payload": {"cwd": 5}}, meta("/w", "s1"), said("hi", at="2027-05-06T07:08:09.125Z"), meta("/fork", "s2"), said("there", "agent_message"), {"type": "response_item", "payload": {"type": "user_message", "message": "mirror"}}, said("x", "token_count"), b'{"type":"event_msg","user_message":"\xff"}\n', {"type": "event_msg", "payload": None}, said(5), "nonsense"], "\r\n")
     write_codex(tmp_path / "two.jsonl", [said("alone")])
     (tmp_path / "skip.txt").write_text(json.dumps(said("no")))
     got = codex.parse(files.lines(spark, [str(tmp_path)])).collect()
     assert {(r["role"], r["text"], r["cwd"], r["session_id"], r["ts"]) for r in got} == {
-        ("user", "early", None, "", 1785572100250), ("user", "hi", "/w", "s1", 1785572100250), ("agent", "there", "/w", "s1", 1785572100250), ("user", "alone", None, "", 1785572100250),
+        ("user", "early", None, "", 1809587289125), ("user", "hi", "/w", "s1", 1809587289125), ("agent", "there", "/w", "s1", 1809587289125), ("user", "alone", None, "", 1809587289125),
     }
 
 
@@ -128,8 +131,8 @@ def test_cursor_chats(spark, tmp_path):
 @pytest.fixture
 def home(tmp_path):
     own = tmp_path / "home"
-    write_codex(own / ".codex/sessions/x/a.jsonl", [meta("/w/p", "s"), said("damn it"), said("again", at="2026-08-02T08:15:00Z")])
-    write_codex(own / ".codex/archived_sessions/b.jsonl", [meta("/w/p", "s"), said("damn it", at="2026-08-05T08:15:00Z")])
+    write_codex(own / ".codex/sessions/x/a.jsonl", [meta("/w/p", "s"), said("damn it"), said("again", at="2027-05-07T07:08:09Z")])
+    write_codex(own / ".codex/archived_sessions/b.jsonl", [meta("/w/p", "s"), said("damn it", at="2027-05-10T07:08:09Z")])
     (own / ".claude/projects/p").mkdir(parents=True)
     (own / ".claude/projects/p/c.jsonl").write_bytes(b"\xef\xbb\xbf" + line(message={"content": "oh shit"}).encode() + b"\n\xff\xfe\n" + line(type="assistant", message={"content": BLOCKS}).encode())
     write_chat(own / ".cursor/chats/u/c1", [ask("fine")], json.dumps({"updatedAtMs": 1700000000000}))
@@ -149,9 +152,10 @@ def test_scan(spark, home):
 
 
 def test_command(spark, home):
-    r = json.loads(cli.run(["--json", "--since", "2026-08-02"], spark, str(home)))
+    r = json.loads(cli.run(["--json", "--since", "2027-05-07"], spark, str(home)))
     # the late replay of an early prompt stays out
     assert r["totals"]["prompts"] == 2 and [w["word"] for w in r["top_words"]] == ["shit"]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
     assert r["coverage"]["duplicates_dropped"] == 1 and r["coverage"]["files_failed"] == 1
     out = cli.run(["--no-open", "--harness=codex"], spark, str(home))
     assert "/r/" in out and "expires in 30 days" in out
@@ -165,11 +169,93 @@ def test_live(spark, tmp_path):
     try:
         q.processAllAvailable()
         (r,) = spark.sql("SELECT * FROM live").collect()
-        assert (r["date"], r["harness"], r["prompts"], r["swears"], r["weight"]) == ("2026-08-17", "claude", 2, 1, 5)
+        assert (r["date"], r["harness"], r["prompts"], r["swears"], r["weight"]) == ("2027-06-04", "claude", 2, 1, 5)
     finally:
         q.stop()
 
 
+def test_walk_takes_every_name_and_follows_no_link(spark, tmp_path, monkeypatch):
+    own = tmp_path / "home" / ".claude/projects"
+    for i, name in enumerate(["_x/a.jsonl", "p/_b.jsonl", "p/.c.jsonl", "p/d.jsonl", "q r/%41.jsonl", "shut/e.jsonl", "p/unreadable.jsonl"]):
+        (own / name).parent.mkdir(parents=True, exist_ok=True)
+        (own / name).write_text(line(message={"content": f"text {i}"}))
+    (own / "linked").symlink_to(own / "p")
+    (own / "p" / "f.jsonl").symlink_to(own / "p" / "d.jsonl")
+    (own / "p" / "skip.json").write_text("{}")
+    scandir, readable = files.os.scandir, files._readable
+
+    def guarded(path):
+        if str(path).endswith("/shut"):
+            raise PermissionError(path)
+        return scandir(path)
+
+    # (the tests may run as a user whom no permission stops)
+    monkeypatch.setattr(files.os, "scandir", guarded)
+    monkeypatch.setattr(files, "_readable", lambda path: readable(path) and "unreadable" not in path)
+    seen = []
+    found = scan(spark, str(tmp_path / "home"), on_progress=lambda *x: seen.append(x))
+    assert sorted(r["text"] for r in found.messages.collect()) == [f"text {i}" for i in range(5)]
+    stats = found.stats.first().asDict()
+    assert stats["files_scanned"] == 6 and stats["files_failed"] == 1
+    assert stats["bytes_scanned"] == sum((own / n).stat().st_size for n in ("_x/a.jsonl", "p/_b.jsonl", "p/.c.jsonl", "p/d.jsonl", "q r/%41.jsonl", "p/unreadable.jsonl"))
+    assert seen == [(6, stats["bytes_scanned"])]
+
+
+def test_a_file_that_goes_away_is_no_error(spark, tmp_path):
+    write_codex(tmp_path / "a.jsonl", [said("here")])
+    write_codex(tmp_path / "b.jsonl", [said("gone")])
+    rows = files.lines(spark, [str(tmp_path)])
+    (tmp_path / "b.jsonl").unlink()
+    assert [r["text"] for r in codex.parse(rows).collect()] == ["here"]
+
+
+@pytest.fixture
+def server():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        answers, seen = [], []
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["content-length"]))
+            self.seen.append((self.path, {k.lower(): v for k, v in self.headers.items()}, body))
+            status, answer = self.answers.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(answer.encode())
+
+        def log_message(self, *args):
+            pass
+
+    Handler.answers, Handler.seen = [], []
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", Handler
+    s.shutdown()
+
+
+def test_send(server):
+    url, handler = server
+    handler.answers += [(200, '{"url": "u", "expires_in_days": 30, "id": "i"}'), (200, "[]"), (422, '{"error": "no report"}'), (502, "<b>bad</b>"), (500, "")]
+    assert store.send(url, b'{"a": 1}') == {"url": "u", "expires_in_days": 30}
+    path, headers, body = handler.seen[0]
+    assert path == "/api/publish" and headers["content-encoding"] == "gzip" and headers["content-type"] == "application/json" and gzip.decompress(body) == b'{"a": 1}'
+    for part in ("not a link", "no report", "<b>bad</b>", "500"):
+        with pytest.raises(RuntimeError, match=part):
+            store.send(url, b"{}")
+    with pytest.raises(ValueError, match="--since"):
+        store.send(url, b"x" * (store.MAX_BYTES + 1))
+    assert len(handler.seen) == 5
+    with pytest.raises(RuntimeError, match="reach"):
+        store.send("http://127.0.0.1:9", b"{}")
+
+
+def test_command_sends_to_a_host(spark, home, server, monkeypatch):
+    url, handler = server
+    handler.answers.append((200, '{"url": "https://x/r/1", "expires_in_days": 30}'))
+    monkeypatch.setenv("TALLYFRAME_HOST", url + "//")
+    assert "https://x/r/1" in cli.run([], spark, str(home))
+    assert store.looks_like_report(json.loads(gzip.decompress(handler.seen[0][2])))
+
+
 def test_listing_reads_no_contents(spark, home):
     plan = files.listing(spark, str(home), ["codex"])._jdf.queryExecution().executedPlan().toString()
     assert "content:" not in plan
