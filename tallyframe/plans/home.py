@@ -1,0 +1,37 @@
+"""A home directory with logs, made from the test tables, for queries over files."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the cluster's shared folder, or in a temporary one where Spark runs on this machine alone."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tallyframe-")
+    return f"{own}/home-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, lines: DataFrame, places: dict[str, str]) -> str:
+    """Writes lines (place, value) as a log file a place, below a new home directory; gives its path.
+    `places` says where each place's file is; a chat database beside them can't be read."""
+    home = shared_folder(spark)
+    lines.repartition("place").write.partitionBy("place").text(f"{home}/out")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path(home))
+    for place, where in places.items():
+        for n, part in enumerate(fs.globStatus(path(f"{home}/out/place={place}/part-*")) or []):
+            fs.mkdirs(path(f"{home}/{where}"))
+            fs.rename(part.getPath(), path(f"{home}/{where}/log{n}.jsonl"))
+    fs.delete(path(f"{home}/out"), True)
+    broken = fs.create(path(f"{home}/.cursor/chats/a/b/store.db"))
+    broken.writeBytes("no database")
+    broken.close()
+    return home

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from ..operators import clean, dashboard, matcher, report
 from ..operators import dedup as d
 from ..operators.lexicon import Overrides, compile_lexicon
 from ..operators.since import parse_since
-from ..sources import claude, codex, cursor
+from ..sources import claude, codex, cursor, files, store
+from . import home as h
 from . import oracle as o
+from .scan import scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -463,3 +467,59 @@ def timestamp_parse(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     shape = F.when(F.expr("event_id % 4 = 0"), F.date_format("ts", "yyyy-MM-dd")).when(F.expr("event_id % 4 = 1"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'"))
     return e.select("event_id", strict_json.rfc3339_ms(shape).alias("ms"))
+
+
+# Whole home directories, over log files made from conversations: even ones are Claude's, in a
+# folder that begins with `_`, odd ones Codex's; every third turn of these is replayed in an archived file.
+
+_LOGGED = "SELECT conv_id, turn, role, 'c' || conv_id || 't' || turn || ' ' || text AS text FROM conversations WHERE role IN ('user', 'assistant')"
+_PLACES = {"a0": ".claude/projects/_p0", "a2": ".claude/projects/q/p2", "b1": ".codex/sessions/x/d1", "b3": ".codex/sessions/d3", "c": ".codex/archived_sessions"}
+
+
+def _home(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
+    c = c.withColumn("text", F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), F.col("turn"), F.lit(" "), F.col("text"))).withColumn("stamp", _stamp())
+    block = F.struct(F.lit("text").alias("type"), "text")
+    human = F.struct(F.lit("human").alias("kind"))
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"), human.alias("origin"), F.col("stamp").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
+    blocks = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(block).alias("content")).alias("message"), F.col("stamp").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
+    event = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.col("stamp").alias("timestamp"), F.struct(F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message")).alias("payload")))
+    own = c.filter("conv_id % 2 = 0").select(F.expr("concat('a', conv_id % 4)").alias("place"), F.when(F.col("role") == "user", plain).otherwise(blocks).alias("value"))
+    theirs = c.filter("conv_id % 2 = 1").select(F.expr("concat('b', conv_id % 4)").alias("place"), event.alias("value"))
+    again = c.filter("conv_id % 2 = 1 AND turn % 3 = 0").select(F.lit("c").alias("place"), event.alias("value"))
+    return h.written(spark, own.unionByName(theirs).unionByName(again), _PLACES)
+
+
+@query(
+    f"""SELECT CASE conv_id % 2 WHEN 0 THEN 'claude' ELSE 'codex' END AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, {_TS} AS ts,
+  CASE conv_id % 2 WHEN 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, md5({_SQUEEZED}) AS digest, CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 2 ELSE 1 END AS copies FROM ({_LOGGED})"""
+)
+def home_messages(spark, sf_dir):
+    """Discovery, walk, dispatch, readers and dedup over files."""
+    return scan(spark, _home(spark, sf_dir)).messages.select("harness", "role", "ts", "session_id", F.md5("text").alias("digest"), "copies")
+
+
+@query(
+    """SELECT 1 + count(DISTINCT CASE conv_id % 2 WHEN 0 THEN 'a' ELSE 'b' END || (conv_id % 4)) + max(CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 1 ELSE 0 END) AS files_scanned, 1 AS files_failed,
+  count(*) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) AS duplicates_dropped FROM conversations WHERE role IN ('user', 'assistant')"""
+)
+def home_statistics(spark, sf_dir):
+    """Counts of files, of one that can't be read, and of replays."""
+    return scan(spark, _home(spark, sf_dir)).stats.filter("bytes_scanned > 0").drop("bytes_scanned")
+
+
+@query("SELECT 'codex' AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 2 = 1 GROUP BY ALL")
+def home_one_harness(spark, sf_dir):
+    return scan(spark, _home(spark, sf_dir), [files.parse_harness(" CODEX ")]).messages.groupBy("harness", "role").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query("SELECT source AS name, count(*) AS prompts, sum(n_chars) AS swears FROM documents GROUP BY source")
+def store_round_trip(spark, sf_dir):
+    """A report published gzipped, checked, kept, found by its id and read as columns."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n_chars").alias("swears"))
+    by = F.collect_list(F.struct(F.col("source").alias("name"), "prompts", "swears"))  # a row a source
+    totals = F.struct(F.lit(0.5).alias("swears_per_100_prompts"), F.sum("prompts").alias("prompts"), F.sum("swears").alias("swears"))
+    body = rows.agg(by.alias("by_harness"), totals.alias("totals")).select(F.to_json(F.struct(F.lit("1").alias("version"), "totals", F.array().cast("array<string>").alias("top_words"), "by_harness"))).first()[0]
+    path = h.shared_folder(spark)
+    done = store.publish(spark, path, gzip.compress(body.encode()))
+    return store.load(spark, store.read(spark, path, done["id"])).select(F.explode("by_harness").alias("h")).select("h.name", "h.prompts", "h.swears")
