@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer that scores literals.
 
-The lexer reads lines of source code or configuration that hold `=` or `:` into (name,
-value) pairs: `name = "x"`, `name: x`, `"name": "x"`, `export NAME=x`, `name => x`, with
-type words, sigils and member chains before the name. A value is a string literal, a bare
-word, a name of an earlier constant, or a `+`/`.`/`..` chain of these. Names are held in a table
+The lexer reads source code and configuration into (name, value) pairs: `name = "x"`, `name: x`,
+`"name": "x"`, `export NAME=x`, `name => x`, `map["name"] = "x"`, `put("name", "x")`,
+`<add key="name" value="x"/>`, `<name>x</name>`, and a YAML block below `name: |`, with
+type words, sigils and member chains before the name. A value is a string literal (of several lines
+too, in triple quotes), the strings that a call is given, a bare literal, a name of an earlier constant,
+or a `+`/`.`/`..` chain of these; a bare word or name that nothing defines is none, or prose would
+be full of secrets. Names are held in a table
 through the document, so a constant reaches the names that it is assigned to later. A
 literal is reported as kind `literal` when the names that it reaches are sensitive and it
 looks like a secret: see score().
@@ -44,9 +47,26 @@ MIN_LITERAL = 8
 MIN_SCORE = 1.0
 
 _NAME = r"[A-Za-z_$@][A-Za-z0-9_$\-]*(?:(?:\.|->|::)[A-Za-z_$][A-Za-z0-9_$\-]*)*"
-_PAIR = re.compile(rf"""(?:^|[\s,;{{(&?\[<])(?:(?:["'](?P<quoted>[^"'\n]{{1,100}})["'])|(?P<name>{_NAME})(?:\[\])?)[ \t]*(?::[ \t]*[A-Za-z_][\w<>\[\], ]{{0,40}}?[ \t]*(?==))?(?P<op>=>|:=|\?=|\+=|=(?!=)|:(?![:/]))[ \t]*""")
-_TERM = re.compile(rf"""(?P<prefix>[rbufRBUF@$]{{0,2}})(?P<quote>\"\"\"|'''|["'`])(?P<body>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<name>{_NAME})(?![\w(+/=@!%^*~])|(?P<bare>[A-Za-z0-9+/_.=@!%^*~\-]+)""")
+#: A target and its operator: `name =`, `"name":`, `map["name"] =`, `name: type =`.
+_PAIR = re.compile(
+    rf"""(?:^|[\s,;{{(&?\[<])(?:["'](?P<quoted>[^"'\n]{{1,100}})["']|(?P<name>{_NAME})(?:\[["'](?P<sub>[^"'\]\n]{{1,100}})["']\]|\[\])?)[ \t]*"""
+    r"""(?::[ \t]*[A-Za-z_][\w<>\[\], ]{0,40}?[ \t]*(?==))?(?P<op>=>|:=|\?=|\+=|=(?!=)|:(?![:/]))[ \t]*"""
+)
+_TRIPLE = re.compile(r"""[rbufRBUF]{0,2}(?P<quote>\"\"\"|''')(?P<body>(?:\\.|(?!(?P=quote))[^\\])*)(?P=quote)""", re.DOTALL)
+_QUOTED = re.compile(r"""[rbufRBUF@$]{0,2}(?P<quote>["'`])(?P<body>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)""")
+_CALL = re.compile(rf"(?:new[ \t]+)?{_NAME}\((?P<args>[^()\n]*)\)")
+_IDENT = re.compile(rf"(?P<name>{_NAME})(?![\w(+/=@!%^*~])")
+_BARE = re.compile(r"(?P<bare>[A-Za-z0-9+/_.=@!%^*~\-]+)")
+_CHAINED = re.compile(rf"{_NAME}[ \t]*=(?![=>])[ \t]*")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]))[ \t]*")
+#: `put("name", "value")`
+_SETTER = re.compile(r"""[\w\])]\([ \t]*["'](?P<key>[^"'\n]{1,100})["'][ \t]*,[ \t]*(?=[rbufRBUF@$]{0,2}["'`])""")
+#: `<add key="name" value="value"/>` and `<name>value</name>`
+_ATTRIBUTES = re.compile(r"""\b(?:key|name|id)[ \t]*=[ \t]*["'](?P<key>[^"'\n]{1,100})["'][^<>\n]{0,200}?\bvalue[ \t]*=[ \t]*["'](?P<value>[^"'\n]*)["']""")
+_ELEMENT = re.compile(r"<(?P<key>[A-Za-z][\w.\-]*)>(?P<value>[^<>\n]{1,1000})</(?P=key)>")
+_BLOCK = re.compile(r"[|>][+\-]?[0-9]?[ \t]*(?:#[^\n]*)?$")
+#: A value without quotes that is a word, or a name of something, and no literal.
+_WORDLIKE = re.compile(r"[A-Za-z][a-z]*(?:[-_.$]+[A-Za-z]?[a-z]*|[A-Z][a-z]+)*[.,;:!?]?")
 
 
 def name_weight(name: str) -> float:
@@ -72,47 +92,133 @@ def score(name: str, value: str) -> float:
     return weight + 0.15 * (entropy(value) - 3.0) + 0.15 * (mixed - 2)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, literals) of each assignment, constants propagated; a literal is (value, start, end)."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    start = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for m in _PAIR.finditer(line):
-                name = m["quoted"] or m["name"]
-                literals, at = [], m.end()
-                while t := _TERM.match(line, at):
-                    if t["quote"]:
-                        literals.append((t["body"], start + t.start("body"), start + t.end("body")))
-                    elif t["name"]:
-                        known = constants.get(t["name"])
-                        literals.extend(known if known is not None else [(t["name"], start + t.start(), start + t.end())])
+class _Value:
+    """What a name holds: literals (value, start, end) and other names' values, in order. It is
+    shared, not copied, so that a chain of appends stays linear in the text."""
+
+    __slots__ = ("parts", "reported")
+
+    def __init__(self, parts: list):
+        self.parts, self.reported = parts, False
+
+    def literals(self) -> tuple[list[tuple[str, int, int]], bool]:
+        """Its literals, each once, but not those of values that were reported before; whether there are such."""
+        found, seen, stack, known = [], set(), [self], False
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                found.append(x)
+            elif x.reported:
+                known = True
+            elif id(x) not in seen:
+                seen.add(id(x))
+                stack.extend(reversed(x.parts))
+        return found, known
+
+
+def _stripped(body: str, start: int) -> tuple[str, int, int]:
+    value = body.strip()
+    at = start + body.find(value) if value else start
+    return value, at, at + len(value)
+
+
+def _term(text: str, at: int, constants: dict[str, _Value]) -> tuple[list, int] | None:
+    """The parts of one term of a value and its end: a string, a call's strings, a known name or a bare literal."""
+    if m := _TRIPLE.match(text, at):
+        return [_stripped(m["body"], m.start("body"))], m.end()
+    if m := _QUOTED.match(text, at):
+        return [(m["body"], m.start("body"), m.end("body"))], m.end()
+    if m := _CALL.match(text, at):
+        return [(q["body"], q.start("body"), q.end("body")) for q in _QUOTED.finditer(text, m.start("args"), m.end("args"))], m.end()
+    if m := _IDENT.match(text, at):
+        if (known := constants.get(m["name"])) is not None:
+            return [known], m.end()
+        return [] if _WORDLIKE.fullmatch(m["name"]) else [(m["name"], m.start(), m.end())], m.end()
+    if m := _BARE.match(text, at):
+        return [] if _WORDLIKE.fullmatch(m["bare"]) else [(m["bare"], m.start(), m.end())], m.end()
+    return None
+
+
+def _chain(text: str, at: int, constants: dict[str, _Value]) -> tuple[list, int]:
+    """Terms joined by `+`, `..` or ` . `."""
+    parts: list = []
+    while got := _term(text, at, constants):
+        parts += got[0]
+        at = got[1]
+        joint = _JOIN.match(text, at)
+        if not joint:
+            break
+        at = joint.end()
+    return parts, at
+
+
+def _block(lines: list[str], i: int, start: int) -> list[tuple[str, int, int]]:
+    """The lines of a YAML block below line i, which begins at `start`."""
+    indent = len(lines[i]) - len(lines[i].lstrip())
+    found = []
+    for line in lines[i + 1 :]:
+        start += len(lines[i]) + 1
+        i += 1
+        if line.strip():
+            if len(line) - len(line.lstrip()) <= indent:
+                break
+            found.append(_stripped(line, start))
+    return found
+
+
+def pairs(text: str) -> Iterator[tuple[str, _Value, bool]]:
+    """(name, value, whether it was appended to) of each assignment, in order, constants propagated."""
+    constants: dict[str, _Value] = {}
+    start, over = 0, 0
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if start >= over:  # not inside a literal of several lines
+            if "=" in line or ":" in line:
+                for m in _PAIR.finditer(line):
+                    name = m["quoted"] or (f"{m['name']}.{m['sub']}" if m["sub"] else m["name"])
+                    if m["op"] == ":" and _BLOCK.match(line, m.end()):
+                        parts, end = _block(lines, i, start), start + len(line)
                     else:
-                        literals.append((t["bare"], start + t.start(), start + t.end()))
-                    joint = _JOIN.match(line, t.end())
-                    if not joint:
-                        break
-                    at = joint.end()
-                if m["op"] == "+=":
-                    literals = constants.get(name, []) + literals
-                # A chain of appends is bounded, so that a long file can't make it quadratic.
-                constants[name] = literals[:64]
-                yield name, literals
+                        at = m.end()
+                        while m["op"] == "=" and (c := _CHAINED.match(line, at)):
+                            at = c.end()
+                        parts, end = _chain(text, start + at, constants)
+                    old = constants.get(name)
+                    more = m["op"] == "+=" and old is not None
+                    constants[name] = _Value([old, *parts] if more else parts)
+                    yield name, constants[name], more
+                    over = max(over, end)
+            if "(" in line and "," in line:
+                for m in _SETTER.finditer(line):
+                    yield m["key"], _Value(_chain(text, start + m.end(), constants)[0]), False
+            if "<" in line and ">" in line:
+                for m in (*_ATTRIBUTES.finditer(line), *_ELEMENT.finditer(line)):
+                    yield m["key"], _Value([_stripped(m["value"], start + m.start("value"))]), False
         start += len(line) + 1
 
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name with a high enough score."""
-    if "=" not in text and ":" not in text:
+    """Spans of the literals that reach a sensitive name with a high enough score. A name that is appended to
+    is judged when it is set anew, or at the end."""
+    if "=" not in text and ":" not in text and "(" not in text and "<" not in text:
         return []
-    found = {}
-    for name, literals in pairs(text):
+    found: dict[tuple[int, int], None] = {}
+    open_: dict[str, _Value] = {}
+
+    def judge(name: str, value: _Value) -> None:
+        literals, known = value.literals()
+        # What is added to a secret belongs to it.
+        if known or score(name, "".join(v for v, _, _ in literals)) >= MIN_SCORE:
+            value.reported = True
+            found.update(((a, b), None) for _, a, b in literals if b > a)
+
+    for name, value, more in pairs(text):
         if name_weight(name):
-            value = "".join(v for v, _, _ in literals)
-            if score(name, value) >= MIN_SCORE:
-                for _, a, b in literals:
-                    if b > a:
-                        found[a, b] = None
+            if not more and name in open_:
+                judge(name, open_[name])
+            open_[name] = value
+    for name, value in open_.items():
+        judge(name, value)
     return sorted(found)
 
 
@@ -149,7 +255,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
 
     A null text is an empty one: counts 0, no spans. Repeated rows give a row each. An empty
-    table gives no rows. Only the two columns are read; there is no shuffle.
+    table gives no rows. Very long texts are read line by line. Spans of one start come in the kinds' order. Only the two columns are read; there is no shuffle.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -303,6 +303,47 @@ def test_secret_examples():
     assert found("export DB_PWD=Sup3rS3cret!\nhost: example.com") == ["Sup3rS3cret!"]
     assert found("password = changeme\ntoken: ${TOKEN}\nkey: value") == []
     assert found('title = "hunter2-Secret99"') == []
+    s = "hunter2-Secret99"
+    for text in (
+        f'password = """\n  {s}\n"""', f"db_password: |\n  {s}\nhost: x", f'os.environ["DB_PASSWORD"] = "{s}"', f"config['secret'] = '{s}'", f'set("api_secret", "{s}")', f'<add key="DbPassword" value="{s}"/>',
+        f"<password>{s}</password>", f'password = decode("{s}")', f"a = b = '{s}'\nuser_token = a", f'auth = {{"password": "{s}"}}',
+    ):
+        assert found(text) == [s], text
+    for text in ("secret: Something", "The secret: patience and time.", "password = userInput", "token := request.headers", "my secret: Well-known", 'set("colour", "hunter2-Secret99")', "<note>hunter2-Secret99</note>", "password: |\nhost: hunter2-Secret99"):
+        assert found(text) == [], text
+
+
+def test_secret_literals_of_generated_files():
+    """Secrets planted by every form among decoys of the same forms: exactly these spans are found."""
+    rng = random.Random(41)
+    forms = ['{n} = "{v}"', "{n}: '{v}'", 'export {n}="{v}"', '"{n}": "{v}",', 'cfg["{n}"] = "{v}"', 'put("{n}", "{v}")', '<add key="{n}" value="{v}"/>', '{n} = """\n{v}\n"""', "{n}: |\n  {v}", '{n} = wrap("{v}")']
+    secret = ["db_password", "apiToken", "auth-secret", "client_secret", "PASSWD"]
+    plain = ["title", "colour", "host_name", "retries", "label"]
+
+    def value():
+        return "".join(rng.choice("abcdefghjkmnpqrstuvwxyz") + rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ") + rng.choice("23456789") for _ in range(6))
+
+    for _ in range(60):
+        text, want = "", []
+        for i in range(rng.randint(1, 12)):
+            hit, v = rng.random() < 0.5, value()
+            form = rng.choice(forms)
+            piece = form.format(n=rng.choice(secret if hit else plain), v=v)
+            if rng.random() < 0.2:  # by way of a constant
+                piece = f"k{i} = '{v}'\n{rng.choice(secret if hit else plain)}{i} = k{i}"
+            if hit:
+                want.append((len(text) + piece.index(v), len(text) + piece.index(v) + len(v)))
+            text += piece + "\n" + rng.choice(["", "some prose: a few words\n", "\n"])
+        assert secret_scan.literal_spans(text) == sorted(want), text
+
+
+def test_secret_chains_are_linear():
+    lines = [f"password += 'p{i}Q'" for i in range(30_000)]
+    began = time.perf_counter()
+    spans = secret_scan.literal_spans("password = 'Aa1-Bb2-Cc3'\n" + "\n".join(lines))
+    assert len(spans) == 30_001 and time.perf_counter() - began < 10
+    parts = "\n".join(f"x += 'a{i}Z'" for i in range(200))
+    assert len(secret_scan.literal_spans("x = 'start1A'\n" + parts + "\npassword = x")) == 201
 
 
 def test_secret_scan(spark, docs):
