@@ -28,13 +28,14 @@ FIXED_HEADERS = [
 
 
 def canonical_url(url: str | Column) -> Column:
-    """Host lower-cased, scheme, user part, default port and fragment dropped, `/` for an empty path.
+    """Host lower-cased, scheme, user part, the scheme's default port and fragment dropped, `/` for an empty path.
     What has no `://` is kept as it is."""
     u = F.col(url) if isinstance(url, str) else url
-    parts = r"(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?"
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, parts, 1)), ":(80|443)?$", "")
-    path = F.regexp_extract(u, parts, 2)
-    return F.when(u.contains("://"), F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(u, parts, 3))).otherwise(u)
+    parts = r"(?s)^([^:/?#]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?"
+    scheme, host = F.lower(F.regexp_extract(u, parts, 1)), F.lower(F.regexp_extract(u, parts, 2))
+    own = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(F.regexp_replace(host, ":$", ""))
+    path = F.regexp_extract(u, parts, 3)
+    return F.when(u.contains("://"), F.concat(own, F.when(path == "", "/").otherwise(path), F.regexp_extract(u, parts, 4))).otherwise(u)
 
 
 def _header(headers: str, name: str) -> Column:
@@ -128,11 +129,11 @@ ORACLE = r"""
 WITH base AS (
   SELECT page_id, 1700000000 + page_id * 7919 % 2592000 AS t0, '"' || substr(md5(html), 1, 12) || '"' AS tag, md5(html) AS digest, CAST(strlen(html) AS VARCHAR) AS size,
     CASE WHEN contains(url, '://') THEN
-      regexp_replace(lower(regexp_extract(url, '(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 1)), ':(80|443)?$', '')
+      CASE lower(regexp_extract(url, '^[^:/?#]*')) WHEN 'http' THEN regexp_replace(host, ':(80)?$', '') WHEN 'https' THEN regexp_replace(host, ':(443)?$', '') ELSE regexp_replace(host, ':$', '') END
       || CASE regexp_extract(url, '(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 2) WHEN '' THEN '/' ELSE regexp_extract(url, '(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 2) END
       || regexp_extract(url, '(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', 3)
     ELSE url END AS u
-  FROM pages
+  FROM (SELECT *, lower(regexp_extract(url, '(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#]*)', 1)) AS host FROM pages)
 ), r AS (
   SELECT page_id * 4 + step AS record_id, u, step, tag, size, CASE WHEN step = 0 THEN digest END AS digest,
     t0 + CASE step WHEN 3 THEN -3600 ELSE step * 86400 END AS ts,

@@ -124,6 +124,15 @@ def brute_vectors(rows, threshold=0.95):
     return links, {i: find(i) for i, _ in rows}
 
 
+def test_canonical_urls(spark):
+    urls = {
+        "http://a.com:80/p": "a.com/p", "https://a.com:443/p": "a.com/p", "https://a.com:80/p": "a.com:80/p", "http://a.com:443/p": "a.com:443/p", "HTTP://u@A.com:/": "a.com/", "ftp://a.com:80": "a.com:80/",
+        "https://A.com?q=1#f": "a.com/?q=1", "nothing": "nothing", "": "",
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc_revisit.canonical_url("url").alias("c")).collect()
+    assert {r["url"]: r["c"] for r in rows} == urls
+
+
 def test_nn_descent(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 16)
     monkeypatch.setattr(nn_descent, "LIST", 4)
