@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,6 +20,9 @@ from ..functions.shipping import ship
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: A table of offsets up to this size is broadcast.
+MAX_BROADCAST_BYTES = 8 << 20
+
 _own_dir: dict[str, str] = {}
 _libc: list = []
 
@@ -135,7 +139,10 @@ def group_index(df: DataFrame, group: list[str], order: list[str], out: str) ->
     sizes = rows.groupBy(*keys, F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     names = [f"__g{i}" for i in range(len(group))]
     before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*names, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = cut(sizes.select(*names, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    held = reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(n).cast("string")), F.lit(0)) for n in names]) + 32
+    if (offsets.agg(F.sum(held)).first()[0] or 0) <= MAX_BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)  # or else all rows, with what they carry, would be shuffled once more
     on = F.col("__part") == F.col("__p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
