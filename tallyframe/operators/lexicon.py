@@ -122,7 +122,7 @@ def _trie_pattern(words: list[str]) -> str:
         node[""] = {}
 
     def build(node: dict) -> str:
-        branches = [_escape(c) + build(child) for c, child in node.items() if c]
+        branches = [unfolded(c) + build(child) for c, child in node.items() if c]
         if not branches:
             return ""
         body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
@@ -133,8 +133,23 @@ def _trie_pattern(words: list[str]) -> str:
     return build(root)
 
 
-def _escape(c: str) -> str:
-    return "\\x01" if c == MASK else re.escape(c)
+def _raw(c: str) -> str:
+    """The characters that fold to c, as the body of a class."""
+    raw = [f for f, t in zip(FOLD_FROM, FOLD_TO, strict=True) if t == c] + ([] if c in FOLD_FROM else [c])
+    return "".join("\\x01" if x == MASK else re.escape(x) for x in raw)
+
+
+def _one_of(raw: str) -> str:
+    return f"[{raw}]" if raw else "(?!)"
+
+
+def unfolded(c: str) -> str:
+    """What folds to c, as a pattern: texts are matched as they are, and only hits are folded."""
+    return _one_of(_raw(c))
+
+
+#: Characters of words, once folded: `@`, `$` and `!` fold to letters, no word character folds to anything else.
+_WORD = "[" + r"\w'" + "".join(re.escape(f) for f, t in zip(FOLD_FROM, FOLD_TO, strict=True) if t.isalpha() and not f.isalnum()) + "]"
 
 
 def compile_lexicon(overrides: Overrides | None = None) -> Compiled:
@@ -154,7 +169,8 @@ def compile_lexicon(overrides: Overrides | None = None) -> Compiled:
     if not spellings:
         return Compiled({}, "", allow, True)
     trie = _trie_pattern(list(spellings))
-    ends = "|".join(SUFFIXES)
-    # An accepted match has groups 1 and 2; a rejected one is consumed by the last branch.
-    pattern = rf"((?<![\w'])(?>{trie})(?=([\w']*))(?=(?:{ends})?(?![\w'])))|(?>{trie})"
+    ends = "|".join("".join(map(unfolded, s)) for s in SUFFIXES)
+    # Most characters begin no word. An accepted match has groups 1 and 2; a rejected one is consumed by the last branch.
+    gate = f"(?={_one_of(''.join(dict.fromkeys(_raw(s[0]) for s in spellings)))})"
+    pattern = rf"{gate}(?:(?<!{_WORD})((?>{trie})(?=({_WORD}*))(?=(?:{ends})?(?!{_WORD})))|(?>{trie}))"
     return Compiled(spellings, pattern, allow, not overrides.add and not overrides.allow)

@@ -23,17 +23,17 @@ def find(text: Column | str, lexicon: Compiled | None = None) -> Column:
     lexicon = lexicon or compile_lexicon()
     if not lexicon.spellings:
         return F.array().cast(_NONE)
-    folded = normalise(text)
     pattern = F.lit(lexicon.pattern)
-    found = F.regexp_extract_all(folded, pattern, F.lit(1))
+    found = F.regexp_extract_all(text, pattern, F.lit(1))
     if lexicon.plain:
         kept = F.filter(found, lambda m: m != "")
     else:
-        tails = F.regexp_extract_all(folded, pattern, F.lit(2))
+        tails = F.regexp_extract_all(text, pattern, F.lit(2))
         allowed = F.array(*[F.lit(a) for a in sorted(lexicon.allow)])
         pairs = F.arrays_zip(found.alias("m"), tails.alias("t"))
-        fine = F.filter(pairs, lambda p: (p["m"] != "") & ~F.array_contains(allowed, F.concat(p["m"], p["t"])))
+        fine = F.filter(pairs, lambda p: (p["m"] != "") & ~F.array_contains(allowed, normalise(F.concat(p["m"], p["t"]))))
         kept = F.transform(fine, lambda p: p["m"])
+    kept = F.transform(kept, normalise)
     words = F.create_map(*[F.lit(x) for s, (w, _) in lexicon.spellings.items() for x in (s, w)])
     tiers = F.create_map(*[F.lit(x) for s, (_, t) in lexicon.spellings.items() for x in (s, t)])
     return F.transform(kept, lambda m: F.struct(F.element_at(words, m).alias("word"), F.element_at(tiers, m).alias("tier")))

@@ -52,6 +52,9 @@ def test_overrides(spark):
     assert words(spark, ["dick dickhead"], Overrides(allow=["Dickhead"])) == [["dick"]]
     every = Overrides(remove=lexicon.lexicon_words())
     assert words(spark, ["fuck"], every) == [[]]
+    # characters that fold to others are in no folded text, so words with them never match
+    assert words(spark, ["@b 4b ab x"], Overrides(add=[("@b", "mild"), ("4", "mild")], remove=every.remove)) == [[]]
+    assert words(spark, ["z 4B Z"], Overrides(add=[("z", "mild"), ("ab", "mild")], remove=every.remove)) == [["z", "ab", "z"]]
     # a word's first tier stays
     assert compile_lexicon(Overrides(add=[("hell", "strong")])).spellings["hell"] == ("hell", "mild")
 
