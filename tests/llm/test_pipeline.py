@@ -46,3 +46,27 @@ def test_stages_of_an_empty_table(spark):
 def test_mix_stage_drops_nothing(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "big" if i % 50 else "small") for i in range(2000)], "doc_id long, text string, source string")
     assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect()} == set(range(2000))
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls in every column, empty and repeated rows, and columns with names that operators use themselves."""
+    prose = "\n".join(f"The {i} of the house and the garden is in a place that nobody but {i * 7} knows to be old." for i in range(12))
+    other = " ".join(f"w{i * 31 % 997} the of and" for i in range(60))
+    rows = [(1, prose, "en", "a"), (2, prose, "en", "a"), (3, other, None, None), (3, other, None, None), (None, other + " more", "xx", "b"), (4, None, None, None), (5, "", "en", "b"), (None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, slot string, th long, d1 long, block long, __rank long, n_words long"
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *[None] * 7) for r in rows], schema)
+    expected = {"quality_rules": None, "line_dedup": 8, "ngram_jaccard_join": None, "source_mix": 8}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert expected[name] in (None, len(got))
+        ids = Counter(r["doc_id"] for r in got)
+        if name == "quality_rules":
+            assert ids[4] == ids[5] == 0 and ids[1] == ids[2]
+        if name == "ngram_jaccard_join":
+            assert ids[1] == 1 and ids[2] == 0  # copies
+            assert ids[3] == 0 and sum(1 for r in got if r["doc_id"] is None) == 2  # the null id is the smallest of its group
+            assert ids[4] == ids[5] == 1  # texts without words link with nothing
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(pieces) == 8 and sorted(r["length"] for r in pieces)[:3] == [1, 1, 1]
