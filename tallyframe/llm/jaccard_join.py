@@ -392,7 +392,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, target_rec
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group of near-duplicates."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__t"))
+    # (an id of -2**63 comes back as null from near_duplicates)
+    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.coalesce("__d", F.lit(NO_ID))) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__t"))
     return docs.join(kept, on, "left_semi")
 
 

@@ -672,6 +672,8 @@ def test_jaccard_join_edges(spark, docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id in (7, 8)").count() == 1 and kept.filter("doc_id = 11").count() >= 1
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+    lowest = docs.sparkSession.createDataFrame([(-(2**63), "a text of its own here"), (1, "")], "doc_id long, text string")
+    assert jaccard_join.keep_one(lowest).count() == 2
 
 
 def test_shingles():
