@@ -337,6 +337,58 @@ def test_secret_literals_of_generated_files():
         assert secret_scan.literal_spans(text) == sorted(want), text
 
 
+_S = "hunter2-Secret99"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('a = "Xk29dk"\nb = "Q81zAA"\npassword = a + b', ["Xk29dk", "Q81zAA"]), ('a = "Xk29dk"\nb = "Q81zAA"\npassword=a+b', ["Xk29dk", "Q81zAA"]), ('a = "Xk29dk"\npassword = a+"Xk29dkQ81zAA"', ["Xk29dk", "Xk29dkQ81zAA"]),
+        (f'password = decode(b64("{_S}"))', [_S]), (f'password = ("{_S[:8]}"\n  "{_S[8:]}")', [_S[:8], _S[8:]]), (f'password = "{_S[:8]}" \\\n   + "{_S[8:]}"', [_S[:8], _S[8:]]), (f"run --db-password={_S}", [_S]),
+        (f'#define DB_PASSWORD "{_S}"', [_S]), (f"CREATE USER x IDENTIFIED BY '{_S}'", [_S]), (f'String password = "{_S[:8]}"\n    + "{_S[8:]}";', [_S[:8], _S[8:]]), (f"Authorization: Bearer {_S}", [_S]),
+        (f'passwords = ["{_S}", "Other9-Secret1"]', [_S, "Other9-Secret1"]), (f'x = {{"a": 1, "password": "{_S}"}}', [_S]), (f'connect(host="a", password="{_S}", port=1)', [_S]), (f"const password = process.env.PW || '{_S}';", [_S]),
+        (f'password = "{_S}".strip()', [_S]), ("$db_password = 'Xk29dk' . 'Q81zAA';", ["Xk29dk", "Q81zAA"]), (f'password: Optional[Dict[str, Some.Very.Long.Type[Name, Another, Third]]] = "{_S}"', [_S]),
+        # look-ups are given names, and defaults
+        ('password = os.getenv("DB_PASSWORD_2x")', []), ('pw = config.get("db.password9X")\npassword = config.get("db.password9X")', []), ('token = get_token("https://a.b/cD9")', []), ('password = os.environ["DB_PASSWORD_2x"]', []), (f'password = os.getenv("DB_PASSWORD_2x", "{_S}")', [_S]),
+        # nothing is too long
+        (f"<secret>{_S * 70}</secret>", [_S * 70]), (f'"{"x" * 500}_password": "{_S}"', [_S]), ('<add name="password" ' + 'z="1" ' * 200 + f'value="{_S}"/>', [_S]), (f"password={_S * 500}", [_S * 500]), (f'secret = """{_S * 500}\n{_S}"""', None),
+        ("token: (see below\n", []), ("password = f(", []), ("password =", []), ("password: [\n", []),
+    ],
+)
+def test_secret_expressions(text, want):
+    found = [text[a:b] for a, b in secret_scan.literal_spans(text)]
+    assert found == want if want is not None else found == []  # a value with white space in it is no secret
+
+
+def test_secret_lexer_takes_any_text():
+    """Expressions made at random out of pieces, against what was put in; and the time that nested and broken texts take."""
+    rng = random.Random(43)
+    for _ in range(300):
+        n, lines, parts, want = rng.randint(1, 6), [], [], []
+        for i in range(n):
+            v = f"Q{rng.randrange(10**6)}z{i}K"
+            way = rng.randrange(4)
+            if way == 0:
+                lines.append(f"c{i} = '{v}'")
+                parts.append(f"c{i}")
+            elif way == 1:
+                parts.append(f'"{v}"')
+            elif way == 2:
+                parts.append(f"wrap(other({rng.choice(['', 'x, '])}'{v}'))")
+            else:
+                parts.append(f'("{v}")')
+            want.append(v)
+        glue = rng.choice([" + ", " +\n    ", "\n    + ", " \\\n + "])
+        if any(p[0] == "c" for p in parts) and glue.startswith("\n"):
+            glue = " + "  # a name at a line's end ends the value there
+        text = "\n".join([*lines, f"{rng.choice(['db_password', 'apiSecret'])} = " + glue.join(parts) + rng.choice(["", ";", "\n\nnext = 1"])])
+        assert sorted(text[a:b] for a, b in secret_scan.literal_spans(text)) == sorted(want), text
+    began = time.perf_counter()
+    for text in ("x: (\n" * 40_000, "x=f(a=" * 20_000, "x=(" * 20_000 + ")" * 20_000, "w: " * 100_000, 'a="' * 100_000, 'a="""' * 50_000, "<a " * 100_000, "password = " + "a+" * 100_000, "a0='x1Yq'\n" + "\n".join(f"a{i + 1}=a{i}+a{i}" for i in range(20_000)) + "\npassword=a20000"):
+        secret_scan.literal_spans(text)
+    assert time.perf_counter() - began < 60
+
+
 def test_secret_chains_are_linear():
     lines = [f"password += 'p{i}Q'" for i in range(30_000)]
     began = time.perf_counter()
