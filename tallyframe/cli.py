@@ -22,11 +22,13 @@ Options:
   --json                 Print the report's JSON and exit; nothing is published
   --lexicon <path>       Use another lexicon file
   --store <path>         Report store to publish to
+  --state <path>         Keep what was read here, and read only what has changed
   --help                 Show this help
   --version              Show the version"""
 
+# Names of options.
 _BARE = {"--json": "json", "--no-open": "no_open", "--help": "help", "--version": "version"}
-_VALUED = {"--since": "since", "--lexicon": "lexicon", "--store": "store"}
+_VALUED = {"--since": "since", "--lexicon": "lexicon", "--store": "store", "--state": "state"}
 
 
 class UsageError(ValueError):
@@ -43,10 +45,12 @@ class Args:
     since: str | None = None
     lexicon: str | None = None
     store: str | None = None
+    state: str | None = None
 
 
 def parse(argv: list[str]) -> Args:
     """`--flag`, `--option=value` or `--option value`; no positional arguments."""
+    # The texts of usage errors, here and in resolve_harnesses().
     args, rest = Args(), iter(argv)
     for arg in rest:
         if arg == "--":
@@ -93,16 +97,19 @@ def run(argv: list[str], spark=None, home: str | None = None) -> str:
     from pyspark.sql import SparkSession
 
     from .operators.report import release, to_json
+    from .plans.incremental import incremental_report
     from .plans.scan import report_for
     from .sources import store
 
     spark = spark or SparkSession.builder.appName("tallyframe").getOrCreate()
     own = home or os.path.expanduser("~")
 
-    def progress(n: int, size: int) -> None:
-        print(f"reading {n} files, {size / 1e6:.1f} MB", file=sys.stderr)
+    def progress(done: int, files: int, size: int) -> None:
+        """One line that is written over until all is read."""
+        print(f"\rread {done} of {files} files, {size / 1e6:.1f} MB", end="\n" if done == files else "", file=sys.stderr, flush=True)
 
-    whole = report_for(spark, own, harnesses=harnesses or None, cutoff_ms=cutoff, lexicon=lexicon, version=__version__, user_home=own, on_progress=None if args.json else progress)
+    asked = {"harnesses": harnesses or None, "cutoff_ms": cutoff, "lexicon": lexicon, "version": __version__, "user_home": own, "on_progress": None if args.json else progress}
+    whole = incremental_report(spark, own, args.state, **asked) if args.state else report_for(spark, own, **asked)
     body = to_json(whole).first()[0]
     release(whole)
     if args.json:

@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The shape of an RFC 3339 time with a zone, in upper case.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
 def parse(line: Column) -> Column:
     """The line as a VARIANT; null unless it is one JSON object with nothing after it."""
     whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
@@ -19,10 +23,11 @@ def parse(line: Column) -> Column:
     return F.when(fine, first)
 
 
-def once(value: Column) -> Column:
-    """For select(): the value's rows that are not null. A generator keeps the optimizer from
-    copying a costly value into every expression and filter that names it."""
-    return F.explode(F.array_compact(F.array(value)))
+def once(value: Column, keep: Column | None = None) -> Column:
+    """For select(): the value's rows that are not null, and those that `keep` is true of. A generator keeps the
+    optimizer from copying a costly value into every expression and filter that names it."""
+    found = F.array_compact(F.array(value))
+    return F.explode(found if keep is None else F.when(keep, F.array(value)).otherwise(found))
 
 
 def kind(v: Column) -> Column:
@@ -91,5 +96,5 @@ def blocks_text(record: Column, path: str) -> Column:
 def rfc3339_ms(text: Column) -> Column:
     """Epoch milliseconds of an RFC 3339 time with a zone; null for any other text."""
     upper = F.upper(text)
-    shaped = upper.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
+    shaped = upper.rlike(RFC3339)
     return F.when(shaped, F.unix_millis(upper.try_cast("timestamp")))

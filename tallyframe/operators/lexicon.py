@@ -101,10 +101,14 @@ def masked_spellings(word: str) -> list[str]:
     return [word[:i] + MASK + word[i + 1 :] for i, c in enumerate(word) if c in VOWELS]
 
 
+#: Spellings that one regular expression, and a map in the plan, are made of.
+MAX_PATTERN = 2_000
+
+
 @dataclass(frozen=True)
 class Compiled:
-    """What matching needs: spellings with their word and tier, the regular expression, and
-    the allowed whole words. `plain`: no user words, for which the allowlist never matters."""
+    """What matching needs: spellings with their word and tier, the regular expression (empty of more than MAX_PATTERN
+    spellings), and the allowed whole words. `plain`: no user words, for which the allowlist never matters."""
 
     spellings: dict[str, tuple[str, str]]
     pattern: str
@@ -168,6 +172,8 @@ def compile_lexicon(overrides: Overrides | None = None) -> Compiled:
     allow = frozenset([*ALLOWLIST, *(a.translate(_ascii_lower) for a in overrides.allow)])
     if not spellings:
         return Compiled({}, "", allow, True)
+    if len(spellings) > MAX_PATTERN:
+        return Compiled(spellings, "", allow, False)
     trie = _trie_pattern(list(spellings))
     ends = "|".join("".join(map(unfolded, s)) for s in SUFFIXES)
     # Most characters begin no word. An accepted match has groups 1 and 2; a rejected one is consumed by the last branch.

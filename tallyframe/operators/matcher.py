@@ -1,12 +1,29 @@
-"""Lexicon matching as Column expressions; no Python runs on text."""
+"""Lexicon matching as Column expressions.
+
+The built-in lexicon, and user words up to MAX_PATTERN spellings, are one regular expression, and no Python runs on text. Larger
+lexicons are an Aho-Corasick automaton, which tasks build once a worker from a broadcast list of words and run over Arrow batches; its
+hits are judged by the same rules.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lexicon import FOLD_FROM, FOLD_TO, TIER_WEIGHT, Compiled, compile_lexicon
+from ..functions.shipping import ship
+from .lexicon import FOLD_FROM, FOLD_TO, MAX_PATTERN, SUFFIXES, TIER_WEIGHT, Compiled, compile_lexicon
 
+#: Bytes of spellings, words and allowed words that are broadcast.
+MAX_LEXICON_BYTES = 256 << 20
+_HITS = pa.list_(pa.struct([("word", pa.string()), ("tier", pa.string())]))
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+_INSIDE = re.compile(r"[A-Za-z0-9_']")
+_WORD = re.compile(r"[A-Za-z0-9_']*")
+_ENDS = [re.compile(re.escape(s) + "(?![A-Za-z0-9_'])") for s in ["", *SUFFIXES]]
 _NONE = "array<struct<word:string,tier:string>>"
 
 
@@ -15,6 +32,55 @@ def normalise(text: Column | str) -> Column:
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
 
+class Automaton:
+    """A lexicon of any size: leftmost-longest hits of folded texts."""
+
+    def __init__(self, spellings: dict[str, tuple[str, str]], allow: frozenset[str]):
+        import ahocorasick
+
+        self.spellings, self.allow, self.words = spellings, allow, ahocorasick.Automaton()
+        for s in spellings:
+            self.words.add_word(s, s)
+        self.words.make_automaton()
+
+    def find(self, text: str) -> list[tuple[str, str]]:
+        folded, out = text.translate(_FOLD), []
+        for last, spelling in self.words.iter_long(folded):
+            end = last + 1
+            begin = end - len(spelling)
+            if begin and _INSIDE.match(folded, begin - 1) or not any(e.match(folded, end) for e in _ENDS):
+                continue
+            if folded[begin : _WORD.match(folded, end).end()] not in self.allow:
+                out.append(self.spellings[spelling])
+        return out
+
+
+_automata: dict[int, Automaton] = {}
+
+
+def _found_by(held: Broadcast):
+    """A function of Arrow arrays of texts, whose automaton is built once a worker."""
+
+    def found(texts: pa.Array) -> pa.Array:
+        if held.value[0] not in _automata:
+            _automata.clear()
+            _automata[held.value[0]] = Automaton(*held.value[1:])
+        own = _automata[held.value[0]]
+        return pa.array([None if t is None else [{"word": w, "tier": k} for w, k in own.find(t)] for t in texts.to_pylist()], _HITS)
+
+    return found
+
+
+def _automaton(text: Column | str, lexicon: Compiled) -> Column:
+    size = sum(len(s) + len(w) + len(t) + 150 for s, (w, t) in lexicon.spellings.items()) + sum(len(a) + 50 for a in lexicon.allow)
+    if size > MAX_LEXICON_BYTES:
+        raise ValueError(f"the lexicon has {size} bytes, more than {MAX_LEXICON_BYTES} that are broadcast")
+    spark = SparkSession.active()
+    ship(spark)
+    held = spark.sparkContext.broadcast((hash((tuple(lexicon.spellings.items()), lexicon.allow)), lexicon.spellings, lexicon.allow))
+    return F.arrow_udf(_found_by(held), "array<struct<word:string,tier:string>>")(text)
+
+
 def find(text: Column | str, lexicon: Compiled | None = None) -> Column:
     """Hits of a text in order, as an array of (word, tier).
 
@@ -23,6 +89,8 @@ def find(text: Column | str, lexicon: Compiled | None = None) -> Column:
     lexicon = lexicon or compile_lexicon()
     if not lexicon.spellings:
         return F.array().cast(_NONE)
+    if not lexicon.pattern:
+        return _automaton(text, lexicon)
     pattern = F.lit(lexicon.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(1))
     if lexicon.plain:

@@ -1,7 +1,8 @@
 """Rollups of scored messages, and the report document.
 
 `score` adds to each message what the rollups need and drops its text; all rollups are
-small hash aggregates over that narrow table.
+small hash aggregates over that narrow table, or over its cells: one pass adds messages up by all that any
+section groups by, cells add up to coarser ones, and those of disjoint sets of messages can be put together.
 """
 
 from __future__ import annotations
@@ -32,23 +33,51 @@ def local_day(ts: Column | str) -> Column:
 
 
 def score(messages: DataFrame, lexicon: Compiled | None = None, home: str | None = None, look_up: bool = True) -> DataFrame:
-    """harness, role, session_id, day, project, ts_precision, words, hits, swears, weight."""
-    named = with_projects(messages, home, look_up).withColumn("hits", find("text", lexicon))
+    """harness, role, session_id, day, project, ts_precision, n, words, hits, swears, swearing, weight. Facts have their words and hits already."""
+    named = with_projects(messages, home, look_up)
+    if "hits" not in messages.columns:
+        named = named.withColumn("hits", find("text", lexicon)).withColumn("words", word_count("text"))
+    swears = F.size("hits").cast("long")
     return named.select(
-        "harness", "role", "session_id", local_day("ts").alias("day"), "project", "ts_precision", word_count("text").alias("words"), "hits", F.size("hits").cast("long").alias("swears"), weight("hits").alias("weight")
+        "harness", "role", "session_id", local_day("ts").alias("day"), "project", "ts_precision", F.lit(1).cast("long").alias("n"), "words", "hits", swears.alias("swears"), (swears > 0).cast("long").alias("swearing"), weight("hits").alias("weight")
     )
 
 
+_KEYS = ["harness", "role", "session_id", "day", "project", "ts_precision", "word", "tier"]
+_MEASURES = ["n", "words", "swears", "swearing", "weight", "count"]
+
+
+def cells(scored: DataFrame) -> DataFrame:
+    """Messages added up by role, harness, session, day, project and precision (word and tier null), and their hits
+    by word beside these (`count`; the other measures 0): one aggregate, whose partial sums are cells too."""
+    zero = F.lit(0).cast("long")
+    own = F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("tier"), *[F.col(m).alias(m) for m in _MEASURES[:-1]], zero.alias("count"))
+    hit = F.transform("hits", lambda h: F.struct(h["word"].alias("word"), h["tier"].alias("tier"), *[zero.alias(m) for m in _MEASURES[:-1]], F.lit(1).cast("long").alias("count")))
+    each = scored.select("harness", "role", "session_id", "day", "project", "ts_precision", F.explode(F.concat(F.array(own), hit)).alias("x")).select(*_KEYS[:-2], "x.*")
+    return merge(each)
+
+
+def merge(some: DataFrame) -> DataFrame:
+    """Cells of disjoint sets of messages, put together by unionByName, as those of all."""
+    return some.groupBy(*_KEYS).agg(*[F.sum(m).alias(m) for m in _MEASURES])
+
+
+def _of(scored: DataFrame, role: str) -> DataFrame:
+    """Messages, or cells of messages, of a role."""
+    own = scored.filter(F.col("role") == role)
+    return own.filter(F.col("word").isNull()) if "word" in scored.columns else own
+
+
 def _users(scored: DataFrame) -> DataFrame:
-    return scored.filter(F.col("role") == "user")
+    return _of(scored, "user")
 
 
 def _agents(scored: DataFrame) -> DataFrame:
-    return scored.filter(F.col("role") == "agent")
+    return _of(scored, "agent")
 
 
 def _n(name: str) -> Column:
-    return F.count(F.lit(1)).alias(name)
+    return F.coalesce(F.sum("n"), F.lit(0)).alias(name)
 
 
 def _sum(column: str) -> Column:
@@ -56,7 +85,7 @@ def _sum(column: str) -> Column:
 
 
 def _swearing(name: str) -> Column:
-    return F.count_if(F.col("swears") > 0).alias(name)
+    return F.coalesce(F.sum("swearing"), F.lit(0)).alias(name)
 
 
 def totals(scored: DataFrame) -> DataFrame:
@@ -78,15 +107,16 @@ def projects(scored: DataFrame) -> DataFrame:
     return t.withColumn("rate", rate(F.col("swears"), F.col("prompts"))).orderBy(F.desc("swears"), F.desc("prompts"), "name")
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
+def _ranked(scored: DataFrame, role: str) -> DataFrame:
     """Words by count, then name; shares of a total that is one row."""
-    words = tally(scored)
+    own = scored.filter(F.col("role") == role)
+    words = own.filter(F.col("word").isNotNull()).groupBy("word", "tier").agg(F.sum("count").alias("count")) if "word" in scored.columns else tally(own)
     total = words.agg(F.sum("count").alias("total"))
     return words.crossJoin(F.broadcast(total)).select("word", "tier", "count", (F.col("count") / F.col("total")).alias("share")).orderBy(F.desc("count"), "word")
 
 
 def top_words(scored: DataFrame) -> DataFrame:
-    return _ranked(_users(scored))
+    return _ranked(scored, "user")
 
 
 def agent_totals(scored: DataFrame) -> DataFrame:
@@ -104,11 +134,11 @@ def agent_daily(scored: DataFrame) -> DataFrame:
 
 
 def agent_top_words(scored: DataFrame) -> DataFrame:
-    return _ranked(_agents(scored))
+    return _ranked(scored, "agent")
 
 
 def session_precision_prompts(scored: DataFrame) -> DataFrame:
-    return _users(scored).agg(F.count_if(F.col("ts_precision") != "exact").alias("session_precision_prompts"))
+    return _users(scored).agg(F.coalesce(F.sum(F.when(F.col("ts_precision") != "exact", F.col("n"))), F.lit(0)).alias("session_precision_prompts"))
 
 
 def rollup_totals(scored: DataFrame) -> DataFrame:
@@ -153,10 +183,9 @@ def _many(df: DataFrame, name: str, *order: Column) -> DataFrame:
 def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generated_at: str | None = None) -> DataFrame:
     """The report as one row of nested columns; to_json of the row is the document.
 
-    Ten sections read the scored table, so it is kept (narrow, without text) after the first,
-    until release()."""
+    Messages, or cells of them, are read in one pass; the sections are sums of cells, which are kept until release()."""
     spark = scored.sparkSession
-    scored = scored.persist()
+    scored = (scored if "word" in scored.columns else cells(scored)).persist()
     if isinstance(stats, ScanStats):
         stats = spark.createDataFrame([tuple(vars(stats).values())], "files_scanned long, files_failed long, bytes_scanned long, duplicates_dropped long")
     by_count = (-F.col("count"), F.col("word"))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import dataclasses
 import gzip
+import os
+import shutil
+import sqlite3
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import strict_json
+from ..functions import sql, strict_json
+from ..functions.shared import kept, shared_folder
+from ..functions.shipping import ship
 from ..operators import clean, dashboard, matcher, report
 from ..operators import dedup as d
+from ..operators.diff import differences
 from ..operators.lexicon import Overrides, compile_lexicon
 from ..operators.since import parse_since
-from ..sources import claude, codex, cursor, files, store
-from . import home as h
+from ..sources import claude, codex, cursor, export, files, store
 from . import oracle as o
-from .scan import scan
+from .incremental import State
+from .scan import report_for, scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,7 +57,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str, lexicon=None) -> DataFrame:
-    return report.score(d.dedup(messages(spark, sf_dir)), lexicon, look_up=False)
+    return report.score(d.dedup(messages(spark, sf_dir), "doc_id"), lexicon, look_up=False)
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +112,17 @@ def match_empty(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(matcher.find("text", nothing)).cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({o.quoted(w)}, {o.quoted(t)})" for w, t in compile_lexicon().spellings.values()) + ") v(word, tier) GROUP BY ALL")
+_LISTED = ", ".join(f"({o.quoted(w)}, {o.quoted(t)})" for w, t in dict.fromkeys(compile_lexicon().spellings.values()))
+
+
+@query(f"WITH m AS (SELECT doc_id AS id, text FROM documents), {o.hits('m')} SELECT v.word, v.tier, count(h.id) AS count FROM (VALUES {_LISTED}) v(word, tier) LEFT JOIN h ON h.word = v.word GROUP BY ALL")
 def lexicon_list(spark, sf_dir):
+    """The built-in words, and how often each is found."""
     from ..operators.lexicon import LEXICON
 
-    return spark.createDataFrame(LEXICON, "word string, tier string")
+    own = spark.createDataFrame(LEXICON, "word string, tier string")
+    found = matcher.tally(table(spark, sf_dir, "documents").select(matcher.find("text").alias("hits")))
+    return own.join(found, ["word", "tier"], "left").fillna(0, ["count"])
 
 
 # Cleaning.
@@ -147,35 +161,35 @@ _REPLAYED = "(SELECT *, 0 AS k FROM raw UNION ALL SELECT doc_id, harness, role,
 
 
 def _replayed(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    return m.unionByName(m.filter("doc_id % 2 = 0").withColumn("ts", F.col("ts") + 1000))
+    m = messages(spark, sf_dir).withColumn("address", F.expr("2 * doc_id"))
+    return m.unionByName(m.filter("doc_id % 2 = 0").withColumns({"ts": F.col("ts") + 1000, "address": F.expr("2 * doc_id + 1")}))
 
 
 @query(f"WITH {o.MESSAGES} SELECT harness, role, session_id, md5(text) AS digest, min(ts) AS ts, min(cwd) AS cwd, count(*) AS copies FROM {_REPLAYED} GROUP BY harness, role, session_id, text")
 def dedup_replay(spark, sf_dir):
-    return d.dedup(_replayed(spark, sf_dir)).select("harness", "role", "session_id", F.md5("text").alias("digest"), "ts", "cwd", "copies")
+    return d.dedup(_replayed(spark, sf_dir), "address").select("harness", "role", "session_id", F.md5("text").alias("digest"), "ts", "cwd", "copies")
 
 
 @query(f"WITH {o.MESSAGES}, k AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cwd END AS cwd FROM raw) SELECT md5(text) AS digest, CASE WHEN count(cwd) = count(*) THEN min(cwd) END AS cwd FROM k GROUP BY text")
 def dedup_tiebreak_null_cwd(spark, sf_dir):
     m = messages(spark, sf_dir).withColumns({"cwd": F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cwd END"), "ts": F.lit(0).cast("long"), "harness": F.lit("claude"), "role": F.lit("user"), "session_id": F.lit("")})
-    return d.dedup(m).select(F.md5("text").alias("digest"), "cwd")
+    return d.dedup(m, "doc_id").select(F.md5("text").alias("digest"), "cwd")
 
 
 @query(f"WITH {o.MESSAGES} SELECT CAST(sum(copies - 1) AS BIGINT) AS duplicates_dropped FROM m")
 def duplicates_dropped(spark, sf_dir):
-    return d.duplicates_dropped(d.dedup(messages(spark, sf_dir)))
+    return d.duplicates_dropped(d.dedup(messages(spark, sf_dir), "doc_id"))
 
 
 @query(f"WITH {o.MESSAGES}, x AS (SELECT harness, role, session_id, text, min(ts) AS ts FROM {_REPLAYED} GROUP BY ALL) SELECT harness, role, session_id, md5(text) AS digest, ts FROM x WHERE ts >= 1704326400000")
 def since_after_dedup(spark, sf_dir):
-    kept = d.since(d.dedup(_replayed(spark, sf_dir)), parse_since("2024-01-04"))
+    kept = d.since(d.dedup(_replayed(spark, sf_dir), "address"), parse_since("2024-01-04"))
     return kept.select("harness", "role", "session_id", F.md5("text").alias("digest"), "ts")
 
 
 @query(f"WITH {o.MESSAGES} SELECT ts, harness, role, session_id, md5(text) AS digest FROM m")
 def chronological(spark, sf_dir):
-    return d.dedup(messages(spark, sf_dir)).orderBy("ts", "harness", "role", "session_id", "text").select("ts", "harness", "role", "session_id", F.md5("text").alias("digest"))
+    return d.dedup(messages(spark, sf_dir), "doc_id").orderBy("ts", "harness", "role", "session_id", "text").select("ts", "harness", "role", "session_id", F.md5("text").alias("digest"))
 
 
 # The report.
@@ -265,15 +279,24 @@ def coverage_notes(spark, sf_dir):
     return n.withColumn("notes", F.array_join(report.notes(F.col("a"), F.col("b"), F.col("c")), "|"))
 
 
+#: When the report was made, how many files there were, of what size: from the table, in both dialects.
+_MADE = "strftime(make_timestamp((SELECT max(doc_id) FROM documents) * 3600000000 + 1704067200789000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+_FILES, _BYTES = "(SELECT count(*) FROM documents)", "(SELECT CAST(sum(n_chars) AS BIGINT) * 1000 FROM documents)"
+_DROPPED = "(SELECT CAST(sum(copies - 1) AS BIGINT) FROM m)"
+
+
 def _report(spark, sf_dir):
-    stats = report.ScanStats(3, 1, 1_500_000_000, 7)
-    return report.build(scored(spark, sf_dir), stats, "1.2.3", "2024-02-03T04:05:06.789Z")
+    docs = table(spark, sf_dir, "documents")
+    made = F.date_format(F.timestamp_millis(F.max("doc_id") * 3600000 + 1704067200789), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    counted = docs.agg(F.count(F.lit(1)).alias("files_scanned"), F.lit(1).cast("long").alias("files_failed"), (F.sum("n_chars") * 1000).alias("bytes_scanned"), made.alias("made"))
+    dropped = d.duplicates_dropped(d.dedup(messages(spark, sf_dir), "doc_id"))
+    return report.build(scored(spark, sf_dir), counted.drop("made").crossJoin(dropped), "1.2.3", counted.first()["made"])  # a row
 
 
 @query(
-    f"""{_S}, t AS {_TOTALS}, a AS {_AGENT} SELECT '2024-02-03T04:05:06.789Z' AS generated_at, '1.2.3' AS version, (SELECT prompts FROM t) AS prompts, (SELECT swears_per_100_prompts FROM t) AS rate, (SELECT messages FROM a) AS messages,
+    f"""{_S}, t AS {_TOTALS}, a AS {_AGENT} SELECT {_MADE} AS generated_at, '1.2.3' AS version, (SELECT prompts FROM t) AS prompts, (SELECT swears_per_100_prompts FROM t) AS rate, (SELECT messages FROM a) AS messages,
   (SELECT count(*) FROM {_DAILY}) AS days, (SELECT count(*) FROM {_PROJECTS}) AS projects, (SELECT string_agg(word, ',' ORDER BY count DESC, word) FROM {_words_sql('user')}) AS words,
-  (SELECT string_agg(name, ',' ORDER BY swears DESC, prompts DESC, name) FROM {_PROJECTS}) AS names, 7::BIGINT AS duplicates"""
+  (SELECT string_agg(name, ',' ORDER BY swears DESC, prompts DESC, name) FROM {_PROJECTS}) AS names, {_DROPPED} AS duplicates"""
 )
 def report_json(spark, sf_dir):
     """The document written and read again."""
@@ -377,7 +400,7 @@ def projects_by_rate(spark, sf_dir):
     return dashboard.project_table(report.projects(scored(spark, sf_dir)), "rate", descending=False)
 
 
-@query("SELECT '2024-02-03' AS snapshot, '2024-03-04' AS expires")
+@query(f"SELECT substr({_MADE}, 1, 10) AS snapshot, strftime(CAST(substr({_MADE}, 1, 10) AS DATE) + 30, '%Y-%m-%d') AS expires")
 def snapshot_expiry(spark, sf_dir):
     return dashboard.expires_on(_report(spark, sf_dir))
 
@@ -399,7 +422,7 @@ def agent_callout(spark, sf_dir):
     return dashboard.agent_callout(report.totals(s), report.agent_totals(s))
 
 
-@query("SELECT '3' AS files, '1.5' AS gb, '7' AS duplicates")
+@query(f"WITH {o.MESSAGES} SELECT format('{{:,}}', {_FILES}) AS files, printf('%.1f', {_BYTES} / 1e9) AS gb, format('{{:,}}', {_DROPPED}) AS duplicates")
 def coverage_line(spark, sf_dir):
     return dashboard.coverage_line(_report(spark, sf_dir).select("coverage.*"))
 
@@ -469,57 +492,196 @@ def timestamp_parse(spark, sf_dir):
     return e.select("event_id", strict_json.rfc3339_ms(shape).alias("ms"))
 
 
-# Whole home directories, over log files made from conversations: even ones are Claude's, in a
-# folder that begins with `_`, odd ones Codex's; every third turn of these is replayed in an archived file.
+# Whole home directories, over log files made from conversations, a file each: even ones are Claude's, some in folders
+# and files whose names begin with `_` or `.`, odd ones Codex's, of which every third turn is replayed in an archived file. Every third is
+# a Cursor chat too: with rows in a write-ahead log, which don't count, or (if odd) cut in the middle, which is a failure.
 
 _LOGGED = "SELECT conv_id, turn, role, 'c' || conv_id || 't' || turn || ' ' || text AS text FROM conversations WHERE role IN ('user', 'assistant')"
-_PLACES = {"a0": ".claude/projects/_p0", "a2": ".claude/projects/q/p2", "b1": ".codex/sessions/x/d1", "b3": ".codex/sessions/d3", "c": ".codex/archived_sessions"}
-
-
-def _home(spark, sf_dir):
+_USER = "CASE role WHEN 'user' THEN 'user' ELSE 'agent' END"
+
+
+def _spoil(batches):
+    """Chats with even names get a blob in a write-ahead log, others are cut in the middle."""
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            if int(path.split("/")[-2]) % 2:
+                os.truncate(path, os.path.getsize(path) // 2)
+            else:
+                db = sqlite3.connect(path)
+                db.execute("PRAGMA journal_mode=WAL")
+                db.setconfig(sqlite3.SQLITE_DBCONFIG_NO_CKPT_ON_CLOSE, True)
+                db.execute("INSERT INTO blobs VALUES ('late', ?)", (b'{"role": "assistant", "content": "unseen"}',))
+                db.commit()
+                db.close()
+        yield b
+
+
+def _logs(spark, sf_dir):
+    """Lines (path, pos, value) of transcripts and rollouts, and blobs of chats with their metas."""
     c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
     c = c.withColumn("text", F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), F.col("turn"), F.lit(" "), F.col("text"))).withColumn("stamp", _stamp())
     block = F.struct(F.lit("text").alias("type"), "text")
-    human = F.struct(F.lit("human").alias("kind"))
-    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"), human.alias("origin"), F.col("stamp").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
-    blocks = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(block).alias("content")).alias("message"), F.col("stamp").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
-    event = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.col("stamp").alias("timestamp"), F.struct(F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message")).alias("payload")))
-    own = c.filter("conv_id % 2 = 0").select(F.expr("concat('a', conv_id % 4)").alias("place"), F.when(F.col("role") == "user", plain).otherwise(blocks).alias("value"))
-    theirs = c.filter("conv_id % 2 = 1").select(F.expr("concat('b', conv_id % 4)").alias("place"), event.alias("value"))
-    again = c.filter("conv_id % 2 = 1 AND turn % 3 = 0").select(F.lit("c").alias("place"), event.alias("value"))
-    return h.written(spark, own.unionByName(theirs).unionByName(again), _PLACES)
+    human, session = F.struct(F.lit("human").alias("kind")).alias("origin"), F.col("conv_id").cast("string").alias("sessionId")
+    stamp, is_user = F.col("stamp").alias("timestamp"), F.col("role") == "user"
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"), human, stamp, session))
+    blocks = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(block).alias("content")).alias("message"), stamp, session))
+    said = F.struct(F.when(is_user, "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message")).alias("payload")
+    event = F.to_json(F.struct(F.lit("event_msg").alias("type"), stamp, said))
+    place = F.expr("concat('.claude/projects/', CASE conv_id % 4 WHEN 0 THEN '_p/.' ELSE 'q/p/' END, conv_id, '.jsonl')")
+    even, odd = c.filter("conv_id % 2 = 0"), c.filter("conv_id % 2 = 1")
+    lines = even.select(place.alias("path"), F.col("turn").alias("pos"), F.when(is_user, plain).otherwise(blocks).alias("value"))
+    lines = lines.unionByName(odd.select(F.expr("concat('.codex/sessions/x/', conv_id, '.jsonl')").alias("path"), F.col("turn").alias("pos"), event.alias("value")))
+    lines = lines.unionByName(odd.filter("turn % 3 = 0").select(F.expr("concat('.codex/archived_sessions/', conv_id, '.jsonl')").alias("path"), F.col("turn").alias("pos"), event.alias("value")))
+    chats = c.filter("conv_id % 3 = 0")
+    meta = F.to_json(F.struct(F.expr("1704067200000 + conv_id").alias("updatedAtMs"), F.when(F.expr("conv_id % 2 = 0"), F.lit("/meta")).alias("cwd")))
+    lines = lines.unionByName(chats.select(F.expr("concat('.cursor/chats/u/', conv_id, '/meta.json')").alias("path"), F.lit(0).alias("pos"), meta.alias("value")).distinct())
+    asked = F.when(is_user, F.concat(F.lit("<user_query>"), "text", F.lit("</user_query>"))).otherwise(F.col("text")).alias("content")
+    return lines, chats.select(F.expr("concat('.cursor/chats/u/', conv_id, '/store.db')").alias("path"), F.col("turn").alias("pos"), F.to_json(F.struct("role", asked)).alias("value"))
 
 
-@query(
-    f"""SELECT CASE conv_id % 2 WHEN 0 THEN 'claude' ELSE 'codex' END AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, {_TS} AS ts,
-  CASE conv_id % 2 WHEN 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, md5({_SQUEEZED}) AS digest, CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 2 ELSE 1 END AS copies FROM ({_LOGGED})"""
-)
+def _home(spark, sf_dir):
+    """Writes the logs below a new folder."""
+    home = shared_folder(spark, "home")
+    lines, chats = _logs(spark, sf_dir)
+    kept(export.write_lines(lines, home), "written")
+    kept(export.write_databases(chats, home).mapInArrow(_spoil, export.WRITTEN), "written")
+    return home
+
+
+_SAID = f"""l AS ({_LOGGED}), said AS (
+  SELECT CASE conv_id % 2 WHEN 0 THEN 'claude' ELSE 'codex' END AS harness, {_USER} AS role, {_TS} AS ts, NULL AS cwd, CASE conv_id % 2 WHEN 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, {_SQUEEZED} AS t,
+    CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 2 ELSE 1 END AS copies FROM l
+  UNION ALL SELECT 'cursor', {_USER}, 1704067200000 + conv_id, '/meta', CAST(conv_id AS VARCHAR), {_SQUEEZED}, 1 FROM l WHERE conv_id % 6 = 0)"""
+
+
+@query(f"WITH {_SAID} SELECT harness, role, ts, cwd, session_id, md5(t) AS digest, copies FROM said")
 def home_messages(spark, sf_dir):
     """Discovery, walk, dispatch, readers and dedup over files."""
-    return scan(spark, _home(spark, sf_dir)).messages.select("harness", "role", "ts", "session_id", F.md5("text").alias("digest"), "copies")
+    return scan(spark, _home(spark, sf_dir)).messages.select("harness", "role", "ts", "cwd", "session_id", F.md5("text").alias("digest"), "copies")
 
 
 @query(
-    """SELECT 1 + count(DISTINCT CASE conv_id % 2 WHEN 0 THEN 'a' ELSE 'b' END || (conv_id % 4)) + max(CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 1 ELSE 0 END) AS files_scanned, 1 AS files_failed,
-  count(*) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) AS duplicates_dropped FROM conversations WHERE role IN ('user', 'assistant')"""
+    f"""WITH l AS ({_LOGGED}) SELECT count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) + count(DISTINCT conv_id) FILTER (conv_id % 3 = 0) AS files_scanned,
+  count(DISTINCT conv_id) FILTER (conv_id % 6 = 3) AS files_failed, count(*) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) AS duplicates_dropped FROM l"""
 )
 def home_statistics(spark, sf_dir):
-    """Counts of files, of one that can't be read, and of replays."""
+    """Counts of files, of those that can't be read to their end, and of replays."""
     return scan(spark, _home(spark, sf_dir)).stats.filter("bytes_scanned > 0").drop("bytes_scanned")
 
 
-@query("SELECT 'codex' AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 2 = 1 GROUP BY ALL")
+_LINE_BYTES = """length('2024-01-01T00:00:00.000Z') + strlen(to_json(text)) + CASE WHEN conv_id % 2 = 1 THEN strlen('{"type":"event_msg","timestamp":"","payload":{"type":"","message":}}') + CASE role WHEN 'user' THEN 12 ELSE 13 END
+  WHEN role = 'user' THEN strlen('{"type":"user","message":{"content":},"origin":{"kind":"human"},"timestamp":"","sessionId":""}') + length(CAST(conv_id AS VARCHAR))
+  ELSE strlen('{"type":"assistant","message":{"content":[{"type":"text","text":}]},"timestamp":"","sessionId":""}') + length(CAST(conv_id AS VARCHAR)) END + 1"""
+
+
+@query(
+    f"""WITH l AS ({_LOGGED}), b AS (SELECT *, {_LINE_BYTES} AS bytes FROM l) SELECT 'claude' AS harness, count(DISTINCT conv_id) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM b WHERE conv_id % 2 = 0
+  UNION ALL SELECT 'codex', count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (turn % 3 = 0), CAST(sum(bytes) + sum(bytes) FILTER (turn % 3 = 0) AS BIGINT) FROM b WHERE conv_id % 2 = 1 HAVING count(*) > 0
+  UNION ALL SELECT 'cursor', count(DISTINCT conv_id), NULL FROM b WHERE conv_id % 3 = 0 HAVING count(*) > 0"""
+)
+def home_files(spark, sf_dir):
+    """Files by harness, and bytes of those whose size follows from the lines in them."""
+    listed = files.listing(spark, _home(spark, sf_dir), files.ALL_HARNESSES)
+    return listed.groupBy("harness").agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("harness") != "cursor", F.col("bytes"))).alias("bytes"))
+
+
+@query(f"WITH l AS ({_LOGGED}) SELECT CAST(conv_id AS VARCHAR) AS chat, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role FROM l WHERE conv_id % 6 = 0")
+def sqlite_source(spark, sf_dir):
+    """Blobs of real databases by the data source, in ranges of rows; the broken ones are left out, the log's rows unseen."""
+    cursor.register(spark)
+    home = _home(spark, sf_dir)
+    rows = spark.read.format("sqlite_blobs").option("splitBytes", "8192").load(files.local(f"{home}/.cursor/chats"))
+    return rows.filter("error IS NULL").select(F.element_at(F.split("path", "/"), -2).alias("chat"), "pos", F.get_json_object(F.col("data").cast("string"), "$.role").alias("role"))
+
+
+@query(f"SELECT 'codex' AS harness, {_USER} AS role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 2 = 1 GROUP BY ALL")
 def home_one_harness(spark, sf_dir):
     return scan(spark, _home(spark, sf_dir), [files.parse_harness(" CODEX ")]).messages.groupBy("harness", "role").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("SELECT source AS name, count(*) AS prompts, sum(n_chars) AS swears FROM documents GROUP BY source")
+_REPORTED = f"WITH {_SAID} SELECT harness, count(*) AS prompts, CAST(sum(len({o.tokens('t')})) AS BIGINT) AS words FROM said WHERE role = 'user' GROUP BY harness"
+
+
+@query(f"WITH r AS ({_REPORTED}) SELECT harness, prompts, (SELECT CAST(sum(words) AS BIGINT) FROM r) AS words FROM r")
+def home_report(spark, sf_dir):
+    """The report of a home directory, whose messages become facts where they are read."""
+    made = report_for(spark, _home(spark, sf_dir), version="1")
+    return made.select(F.explode("by_harness").alias("h"), "totals.words").select("h.harness", "h.prompts", "words")
+
+
+@query(_REPORTED)
+def home_incremental(spark, sf_dir):
+    """A second scan, after every fourth conversation was said anew and the archive was removed: equal to a full one."""
+    home, state = _home(spark, sf_dir), shared_folder(spark, "state")
+    own = State(spark, state)
+    own.refresh(home)
+    lines, _ = _logs(spark, sf_dir)
+    kept(export.write_lines(lines.filter("path LIKE '.claude/projects/_p/%'").withColumn("pos", -F.col("pos")), home), "written")
+    shutil.rmtree(f"{files.local(home)}/.codex/archived_sessions", ignore_errors=True)
+    s = report.score(d.dedup(own.live(own.refresh(home)), "address"), look_up=False)
+    return s.filter("role = 'user'").groupBy("harness").agg(F.sum("n").alias("prompts"), F.sum("words").alias("words"))
+
+
+def _gzipped(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gzip.compress(x.encode()) for x in b.column(1).to_pylist()], pa.binary())], names=["row", "raw"])
+
+
+@query("SELECT source AS name, lang, count(*) AS prompts, CAST(sum(n_chars) AS BIGINT) AS swears FROM documents GROUP BY source, lang")
 def store_round_trip(spark, sf_dir):
-    """A report published gzipped, checked, kept, found by its id and read as columns."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n_chars").alias("swears"))
-    by = F.collect_list(F.struct(F.col("source").alias("name"), "prompts", "swears"))  # a row a source
+    """A report a source, gzipped, checked, kept and read as columns; refused ones beside them."""
+    rows = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n_chars").alias("swears"))
+    langs = F.collect_list(F.struct(F.col("lang").alias("harness"), "prompts", "swears"))  # a row a language
     totals = F.struct(F.lit(0.5).alias("swears_per_100_prompts"), F.sum("prompts").alias("prompts"), F.sum("swears").alias("swears"))
-    body = rows.agg(by.alias("by_harness"), totals.alias("totals")).select(F.to_json(F.struct(F.lit("1").alias("version"), "totals", F.array().cast("array<string>").alias("top_words"), "by_harness"))).first()[0]
-    path = h.shared_folder(spark)
-    done = store.publish(spark, path, gzip.compress(body.encode()))
-    return store.load(spark, store.read(spark, path, done["id"])).select(F.explode("by_harness").alias("h")).select("h.name", "h.prompts", "h.swears")
+    made = rows.groupBy("source").agg(langs.alias("by_harness"), totals.alias("totals"))
+    body = F.to_json(F.struct(F.col("source").alias("version"), "totals", F.array().cast("array<string>").alias("top_words"), "by_harness"))
+    bodies = made.select(F.monotonically_increasing_id().alias("row"), body.alias("body"))
+    ship(spark)
+    requests = bodies.mapInArrow(_gzipped, "row long, raw binary").select("row", "raw", F.lit("application/json").alias("content_type"), F.lit(None).cast("long").alias("declared"))
+    requests = requests.unionByName(requests.select((-1 - F.col("row")).alias("row"), "raw", F.lit("text/plain").alias("content_type"), "declared"))
+    path = shared_folder(spark, "reports")
+    done = store.publish_all(requests, path).filter("status = 200")
+    schema = "version string, by_harness array<struct<harness:string,prompts:long,swears:long>>"
+    found = store.live(spark, path).join(done, "report_id").select(F.from_json("body", schema).alias("r"))
+    return found.select(F.col("r.version").alias("name"), F.explode("r.by_harness").alias("h")).select("name", F.col("h.harness").alias("lang"), "h.prompts", "h.swears")
+
+
+# Functions for SQL, lexicons too large for a regular expression, structural differences.
+
+
+@query(f"WITH m AS (SELECT doc_id AS id, {INJECTED} AS text FROM documents), {o.hits('m')} SELECT m.id AS doc_id, md5({o.strip('m.text')}) AS digest, count(h.id) AS hits, CAST(coalesce(sum(h.weight), 0) AS BIGINT) AS weight FROM m LEFT JOIN h ON h.id = m.id GROUP BY m.id, m.text")
+def sql_clean_and_match(spark, sf_dir):
+    """Cleaning and matching in SQL alone."""
+    sql.register(spark)
+    return spark.sql(f"SELECT doc_id, md5(tally_strip(t)) AS digest, CAST(size(tally_find(t)) AS BIGINT) AS hits, tally_weight(tally_find(t)) AS weight FROM (SELECT doc_id, {INJECTED} AS t FROM {{docs}})", docs=table(spark, sf_dir, "documents"))
+
+
+@query(_doc_hits_sql("text", CUSTOM))
+def sql_match_overrides(spark, sf_dir):
+    sql.register(spark, CUSTOM)
+    hits = "SELECT doc_id, tally_find(text) AS hits FROM {docs}"  # (SQL functions can't stand in a generator)
+    return spark.sql(f"SELECT doc_id, h.word, h.tier, count(*) AS n FROM ({hits}) LATERAL VIEW explode(hits) x AS h GROUP BY ALL", docs=table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT page_id, len({o.tokens('html')}) AS words, md5({o.strip('html')}) AS digest FROM pages")
+def sql_pages(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT page_id, tally_word_count(html) AS words, md5(tally_strip(html)) AS digest FROM {pages}", pages=table(spark, sf_dir, "pages"))
+
+
+@query(_doc_hits_sql("text", CUSTOM))
+def match_automaton(spark, sf_dir):
+    """The way that large lexicons are matched, for one that SQL can match too."""
+    return _doc_hits(table(spark, sf_dir, "documents"), dataclasses.replace(CUSTOM, pattern=""))
+
+
+@query(
+    """SELECT doc_id AS id, '/totals/prompts' AS path, CAST(n_chars AS VARCHAR) AS a, CAST(n_chars + 1 AS VARCHAR) AS b FROM documents WHERE n_chars % 2 = 1
+  UNION ALL SELECT doc_id, '/days', 'array[3]', 'array[2]' FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, '/days/1', '{"d":"x"}', '5' FROM documents WHERE n_chars % 7 = 0
+  UNION ALL SELECT doc_id, '/note', '{"by":"' || lang || '"}', '<missing>' FROM documents WHERE n_chars % 5 = 0"""
+)
+def report_diff(spark, sf_dir):
+    """A pair of documents a row, with planted differences."""
+    a = """concat('{"generated_at":"1","totals":{"prompts":', n_chars, ',"rate":50},"days":[1,{"d":"x"},3],"note":{"by":"', lang, '"}}')"""
+    b = """concat('{"days":[1,', IF(n_chars % 7 = 0, '5', '{"d":"x"}'), IF(n_chars % 3 = 0, ']', ',3]'), ',"generated_at":"2"', IF(n_chars % 5 = 0, '', concat(',"note":{"by":"', lang, '"}')), ',"totals":{"rate":50.0,"prompts":', n_chars + n_chars % 2, '}}')"""
+    return differences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(a).alias("a"), F.expr(b).alias("b")))

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import kept
 from ..operators import dedup as d
 from ..operators import report
+from ..operators.clean import word_count
 from ..operators.lexicon import Compiled
+from ..operators.matcher import find
 from ..sources import claude, codex, cursor, files
 
+#: (files done, files in all, bytes done)
+Progress = Callable[[int, int, int], None]
+POLL_SECONDS = 0.2
+_MESSAGE = ["harness", "role", "ts", "cwd", "session_id", "text"]
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -23,32 +33,95 @@ class Scan:
     stats: DataFrame
 
 
-def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None, on_progress: Callable[[int, int], None] | None = None) -> Scan:
-    """Harnesses that are not asked for are not listed or read. `on_progress` is told how many files and
-    bytes there are; from there on Spark's own progress (status tracker, console bar) shows the tasks.
-    A file that can't be read counts as failed and stops nothing. Spark packs the largest files first."""
-    wanted = [h for h in files.ALL_HARNESSES if h in (harnesses or files.ALL_HARNESSES)]
-    parts, failed = [], spark.createDataFrame([], "path string")
-    if "claude" in wanted:
-        parts.append(claude.read(spark, home))
-    if "codex" in wanted:
-        parts.append(codex.read(spark, home))
-    if "cursor" in wanted:
-        messages, failed = cursor.read(spark, home)
-        parts.append(messages)
-    messages = d.dedup(reduce(DataFrame.unionByName, parts))
-    every = files.listing(spark, home, wanted)
-    if on_progress:
-        on_progress(*every.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first())
-    listed = every.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_scanned"))
-    broken = every.filter("failed").select("path").unionByName(failed)
-    broken = broken.agg(F.count(F.lit(1)).alias("files_failed"))
-    stats = listed.crossJoin(broken).crossJoin(d.duplicates_dropped(messages))
-    return Scan(messages, stats.select("files_scanned", "files_failed", "bytes_scanned", "duplicates_dropped"))
-
-
-def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None = None, cutoff_ms: int | None = None, lexicon: Compiled | None = None, version: str = "", user_home: str | None = None, on_progress: Callable[[int, int], None] | None = None) -> DataFrame:
-    """The whole report of a home directory, as one row."""
-    found = scan(spark, home, harnesses, on_progress)
-    scored = report.score(d.since(found.messages, cutoff_ms), lexicon, user_home)
-    return report.build(scored, found.stats, version)
+class _FilesAndBytes(AccumulatorParam):
+    def zero(self, value: tuple[int, int]) -> tuple[int, int]:
+        return 0, 0
+
+    def addInPlace(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+        return a[0] + b[0], a[1] + b[1]
+
+
+def parsed(spark: SparkSession, listed: DataFrame, harnesses: list[str], done: Accumulator | None = None, open_file: Callable | None = None) -> DataFrame:
+    """path, error and the message of everything in the listed files, each read once. A row with an error says why
+    a file, or a range of it, couldn't be read; other rows of that file don't count."""
+    readers = {"claude": claude.read, "codex": codex.read}
+    parts = [readers[h](spark, listed, done=done, open_file=open_file) if h in readers else cursor.read(spark, listed, done) for h in harnesses]
+    parts = [p.select("path", "error", *_MESSAGE) for p in parts]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def watched(spark: SparkSession, listed: DataFrame, on_progress: Progress | None, work: Callable[[Accumulator | None], DataFrame]) -> DataFrame:
+    """What `work` gives. While it runs, `on_progress` is told how many files and bytes tasks have
+    read, as they end; at last it is told all."""
+    if on_progress is None:
+        return work(None)
+    files_, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    done, over = spark.sparkContext.accumulator((0, 0), _FilesAndBytes()), threading.Event()
+
+    def tell() -> None:
+        told = None
+        while not over.wait(POLL_SECONDS):
+            now = done.value
+            if now != told:  # tasks that ran twice count twice
+                on_progress(min(now[0], files_), files_, min(now[1], size))
+                told = now
+
+    thread = threading.Thread(target=tell, daemon=True)
+    thread.start()
+    try:
+        out = work(done)
+    finally:
+        over.set()
+        thread.join()
+    on_progress(files_, files_, size)
+    return out
+
+
+def facts(messages: DataFrame, lexicon: Compiled | None = None) -> DataFrame:
+    """What reports need of messages with path and error: a digest of each text, its words and its hits, and no text."""
+    return messages.select("path", "error", "harness", "role", "session_id", F.md5("text").alias("digest"), "ts", "cwd", F.coalesce(word_count("text"), F.lit(0)).alias("words"), find("text", lexicon).alias("hits"))
+
+
+def sound(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of files that could be read to their end, and the paths of those that couldn't, each once."""
+    failed = rows.filter("error IS NOT NULL").select("path").distinct()
+    fine = rows.filter("error IS NULL").drop("error")
+    # Failures are few or none; without one no row is joined.
+    return (fine if failed.isEmpty() else fine.join(failed, "path", "left_anti")), failed
+
+
+def statistics(listed: DataFrame, failed: DataFrame, messages: DataFrame) -> DataFrame:
+    """files_scanned, files_failed, bytes_scanned, duplicates_dropped: one row."""
+    all_ = listed.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_scanned"))
+    broken = failed.agg(F.count(F.lit(1)).alias("files_failed"))
+    return all_.crossJoin(broken).crossJoin(d.duplicates_dropped(messages)).select("files_scanned", "files_failed", "bytes_scanned", "duplicates_dropped")
+
+
+def wanted(harnesses: list[str] | None) -> list[str]:
+    return [h for h in files.ALL_HARNESSES if h in (harnesses or files.ALL_HARNESSES)]
+
+
+def _scanned(spark: SparkSession, home: str, harnesses: list[str] | None, on_progress: Progress | None, shape: Callable[[DataFrame], DataFrame], open_file: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    own = wanted(harnesses)
+    listed = kept(files.listing(spark, home, own), "listing")
+
+    def work(done: Accumulator | None) -> DataFrame:
+        return kept(shape(parsed(spark, listed, own, done, open_file)).withColumn("address", F.monotonically_increasing_id()), "scan")
+
+    fine, failed = sound(watched(spark, listed, on_progress, work))
+    messages = d.dedup(fine, "address")
+    return messages, statistics(listed, failed, messages)
+
+
+def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None, on_progress: Progress | None = None, open_file: Callable | None = None) -> Scan:
+    """Harnesses that are not asked for are not listed or read. The files are read when this is called, once, and what is
+    said in them is written to the shared folder. A file that can't be read, or breaks off, counts as failed once, none of its
+    messages counts, and it stops nothing. `open_file` opens a JSONL file on an executor, see files.lines()."""
+    messages, stats = _scanned(spark, home, harnesses, on_progress, lambda rows: rows, open_file)
+    return Scan(messages.select(*_MESSAGE, "ts_precision", "copies"), stats)
+
+
+def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None = None, cutoff_ms: int | None = None, lexicon: Compiled | None = None, version: str = "", user_home: str | None = None, on_progress: Progress | None = None) -> DataFrame:
+    """The whole report of a home directory, as one row. No text is written or shuffled: messages become facts where they are read."""
+    messages, stats = _scanned(spark, home, harnesses, on_progress, lambda rows: facts(rows, lexicon))
+    return report.build(report.score(d.since(messages, cutoff_ms), lexicon, user_home), stats, version)

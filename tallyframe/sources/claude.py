@@ -26,16 +26,19 @@ def parse(lines: DataFrame) -> DataFrame:
 
     Sidechain, meta and summary records go. A user record counts if its origin is human, or,
     without an origin, if it is plain text that no tool injected. Of an assistant record only text
-    blocks count. What is empty after cleaning, or has no valid time, goes."""
-    df = lines.select(F.regexp_replace("value", "\r$", "").alias("value")).filter(F.col("value") != "")
-    df = df.select(sj.once(sj.parse(F.col("value"))).alias("r"))
+    blocks count. What is empty after cleaning, or has no valid time, goes. Of lines of files the path stays, and so do
+    rows with an error."""
+    own = [c for c in ("path", "error") if c in lines.columns]
+    error = F.col("error").isNotNull() if "error" in own else F.lit(False)
+    df = lines.select(*own, F.regexp_replace("value", "\r$", "").alias("value")).filter(error | (F.col("value") != ""))
+    df = df.select(*own, sj.once(sj.parse(F.col("value")), error).alias("r"))
     r = F.col("r")
 
     def flag(name: str) -> Column:
         return F.coalesce(F.try_variant_get(r, f"$.{name}", "boolean"), F.lit(False))
 
     kind = sj.string(r, "$.type")
-    df = df.filter(_sound(r) & kind.isin("user", "assistant")).filter(~flag("isSidechain") & ~flag("isMeta") & ~flag("isCompactSummary"))
+    df = df.filter(error | (_sound(r) & kind.isin("user", "assistant"))).filter(error | (~flag("isSidechain") & ~flag("isMeta") & ~flag("isCompactSummary")))
     plain, content = sj.is_text(r, "$.message.content"), sj.string(r, "$.message.content")
     array = F.coalesce(sj.kind(sj.field(r, "$.message.content")).startswith("ARRAY<"), F.lit(False))
     blocks = sj.blocks_text(r, "$.message.content")
@@ -45,13 +48,13 @@ def parse(lines: DataFrame) -> DataFrame:
     human = F.when(modern, sj.string(r, "$.origin.kind") == "human").otherwise(typed)
     text = F.when(kind == "assistant", F.when(array, blocks)).when(F.coalesce(human, F.lit(False)), F.when(plain, content).when(array, blocks))
     done = df.select(
-        F.lit("claude").alias("harness"), F.when(kind == "user", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), F.lit("exact").alias("ts_precision"),
+        *own, F.lit("claude").alias("harness"), F.when(kind == "user", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), F.lit("exact").alias("ts_precision"),
         sj.string(r, "$.cwd").alias("cwd"), F.coalesce(sj.string(r, "$.sessionId"), F.lit("")).alias("session_id"), text.alias("raw"),
     )
     kept = ["harness", "role", "ts", "ts_precision", "cwd", "session_id"]
-    return done.filter(F.col("ts").isNotNull()).select(*kept, sj.once(strip("raw")).alias("text"))
+    return done.filter(error | F.col("ts").isNotNull()).select(*own, *kept, sj.once(strip("raw"), error).alias("text"))
 
 
-def read(spark: SparkSession, home: str) -> DataFrame:
-    own = files.roots(spark, home, "claude")
-    return parse(files.lines(spark, own)) if own else files.empty(spark)
+def read(spark: SparkSession, listed: DataFrame, **how) -> DataFrame:
+    """Messages of listed transcripts, with path and error; see files.lines()."""
+    return parse(files.lines(spark, listed.filter("harness = 'claude'"), **how))

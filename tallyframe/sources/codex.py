@@ -16,36 +16,39 @@ NEEDLES = ['"user_message"', '"agent_message"', '"session_meta"']
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Messages of lines (value, path, pos).
+    """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column.
 
     Most lines are dropped by a substring test before any is decoded. A file's first valid
     session_meta gives the directory and session of the messages after it; later ones are forks'
     and count for nothing. It is found by a hash aggregate, so no file is gathered or sorted."""
+    own = [c for c in ("error",) if c in lines.columns]
+    error = F.col("error").isNotNull() if own else F.lit(False)
     value = F.regexp_replace("value", "[\r\n]+$", "")
-    near = lines.filter(reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in NEEDLES]))
-    df = near.select("path", "pos", sj.once(sj.parse(value)).alias("r"))
+    near = lines.filter(error | reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in NEEDLES]))
+    df = near.select("path", "pos", *own, sj.once(sj.parse(value), error).alias("r"))
     r = F.col("r")
     sound = sj.all_of(
         sj.is_string(r, "$.type", optional=False), sj.is_string(r, "$.timestamp"), sj.is_object(r, "$.payload"), sj.is_string(r, "$.payload.type", optional=False),
         *[sj.is_string(r, f"$.payload.{f}") for f in ("message", "cwd", "session_id")],
     )
     has = F.coalesce(sj.kind(sj.field(r, "$.payload")).startswith("OBJECT<"), F.lit(False))
-    df = df.filter(sound & has)
+    df = df.filter(error | (sound & has))
     kind = sj.string(r, "$.type")
     metas = df.filter(kind == "session_meta").select("path", F.struct("pos", sj.string(r, "$.payload.cwd").alias("cwd"), F.coalesce(sj.string(r, "$.payload.session_id"), F.lit("")).alias("session")).alias("m"))
     first = metas.groupBy(F.col("path").alias("__path")).agg(F.min("m").alias("meta"))
     channel = sj.string(r, "$.payload.type")
-    said = df.filter((kind == "event_msg") & channel.isin("user_message", "agent_message")).select(
-        "path", "pos", F.when(channel == "user_message", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), sj.string(r, "$.payload.message").alias("raw")
+    said = df.filter(error | ((kind == "event_msg") & channel.isin("user_message", "agent_message"))).select(
+        "path", "pos", *own, F.when(channel == "user_message", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), sj.string(r, "$.payload.message").alias("raw")
     )
-    said = said.filter(F.col("ts").isNotNull()).select("path", "pos", "role", "ts", sj.once(strip("raw")).alias("text"))
+    said = said.filter(error | F.col("ts").isNotNull()).select("path", "pos", *own, "role", "ts", sj.once(strip("raw"), error).alias("text"))
     after = F.col("meta.pos") < F.col("pos")
     joined = said.join(first, F.col("path") == F.col("__path"), "left")
     return joined.select(
-        F.lit("codex").alias("harness"), "role", "ts", F.lit("exact").alias("ts_precision"), F.when(after, F.col("meta.cwd")).alias("cwd"), F.coalesce(F.when(after, F.col("meta.session")), F.lit("")).alias("session_id"), "text"
+        "path", *own, F.lit("codex").alias("harness"), "role", "ts", F.lit("exact").alias("ts_precision"), F.when(after, F.col("meta.cwd")).alias("cwd"), F.coalesce(F.when(after, F.col("meta.session")), F.lit("")).alias("session_id"), "text"
     )
 
 
-def read(spark: SparkSession, home: str) -> DataFrame:
-    own = files.roots(spark, home, "codex")
-    return parse(files.lines(spark, own)) if own else files.empty(spark)
+def read(spark: SparkSession, listed: DataFrame, **how) -> DataFrame:
+    """Messages of listed rollouts, with path and error; see files.lines(). Lines that count for nothing are
+    dropped where they are read."""
+    return parse(files.lines(spark, listed.filter("harness = 'codex'"), needles=NEEDLES, **how))

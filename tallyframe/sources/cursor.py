@@ -1,110 +1,249 @@
 """Cursor chats: a SQLite database a chat, with a meta.json beside it.
 
-Databases are read as bytes by Spark, from any file system, and opened in memory on the
-executors. What a write-ahead log holds beside a database is not seen.
+A database is opened in place, read-only and immutable, so a running program isn't disturbed and what a
+write-ahead log holds beside it is not seen. One that is larger than `spark.sql.files.maxPartitionBytes` is read in
+ranges of row numbers by several tasks. `spark.read.format("sqlite_blobs").load(path)` gives the same rows once
+register() was called. Databases of other file systems than local ones come as bytes through Spark's reader, and are opened in memory.
 """
 
 from __future__ import annotations
 
+import os
 import sqlite3
-from collections.abc import Iterator
+import urllib.parse
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import strict_json as sj
 from ..functions.shipping import ship
 from ..operators.clean import WHITE, strip
 from . import files
 
-_ROWS = "path string, dir string, modified long, pos long, data binary, failed boolean"
+_ROWS = "path string, pos long, data binary, error string"
 #: Epoch milliseconds that a calendar can show.
 _FIRST_MS, _LAST_MS = -62135596800000, 253402300799999
+#: Bytes of blobs that a batch holds, and rows.
+_BATCH_BYTES, _BATCH_ROWS = 4 << 20, 10_000
+#: Databases of other file systems come as one value, of no more bytes than an array has room for.
+MAX_FAR_BYTES = (1 << 31) - 1024
 
 
-def _blobs(content: bytes) -> list[bytes]:
-    """Values of blobs.data in scan order; nulls and numbers are none."""
+def _connect(path: str) -> sqlite3.Connection:
+    db = sqlite3.connect(f"file:{urllib.parse.quote(path)}?mode=ro&immutable=1", uri=True)
+    db.text_factory = bytes
+    return db
+
+
+def _in_memory(content: bytes) -> sqlite3.Connection:
     if content[18:20] == b"\x02\x02":  # journal mode WAL can't be opened in memory
         content = content[:18] + b"\x01\x01" + content[20:]
     db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    db.text_factory = bytes
+    return db
+
+
+def _blob_batch(path: str, places: list[int], values: list, why: str | None = None) -> pa.RecordBatch:
+    n = len(places)
+    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(places, pa.int64()), pa.array(values, pa.binary()), pa.array([why] * n, pa.string())], names=["path", "pos", "data", "error"])
+
+
+def read_blobs(path: str, first: int | None = None, last: int | None = None, connect: Callable[[str], sqlite3.Connection] = _connect) -> Iterator[pa.RecordBatch]:
+    """_ROWS of a database's blobs, or of those with row numbers from `first` to `last`: values of `data` that are blobs or text, with
+    the row number for a place. What fails gives a row with the reason."""
+    try:
+        db = connect(path)
+        try:
+            where = "" if first is None else f" WHERE rowid BETWEEN {int(first)} AND {int(last)}"
+            try:
+                found = db.execute(f"SELECT rowid, data FROM blobs{where} ORDER BY rowid")
+            except sqlite3.OperationalError as why:
+                if "rowid" not in str(why):
+                    raise
+                found = ((i, v) for i, (v,) in enumerate(db.execute("SELECT data FROM blobs")))  # a table without row numbers
+            places, values, size = [], [], 0
+            for place, value in found:
+                if isinstance(value, bytes):
+                    places.append(place)
+                    values.append(value)
+                    size += len(value)
+                    if size > _BATCH_BYTES or len(places) == _BATCH_ROWS:
+                        yield _blob_batch(path, places, values)
+                        places, values, size = [], [], 0
+            yield _blob_batch(path, places, values)
+        finally:
+            db.close()
+    except (sqlite3.Error, OSError, ValueError) as why:
+        yield _blob_batch(path, [0], [None], f"{type(why).__name__}: {why}")
+
+
+def ranges(path: str, size: int, split: int) -> list[tuple[int | None, int | None]]:
+    """Ranges of row numbers of a database of `size` bytes, each of about `split` bytes. One without row numbers is one range."""
+    if size <= split:
+        return [(None, None)]
     try:
-        db.deserialize(content)
-        db.text_factory = bytes
-        return [v for (v,) in db.execute("SELECT data FROM blobs") if isinstance(v, bytes)]
-    finally:
-        db.close()
+        db = _connect(path)
+        try:
+            low, high = db.execute("SELECT min(rowid), max(rowid) FROM blobs").fetchone()
+        finally:
+            db.close()
+    except sqlite3.Error:  # reading tells why
+        return [(None, None)]
+    if low is None:
+        return [(None, None)]
+    n = min(-(-size // split), high - low + 1)
+    edges = [low + (high - low + 1) * i // n for i in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _cut(split: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(path, size, k, *r) for path, size in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, r in enumerate(ranges(path, size, split))]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["path", "bytes", "part", "first", "last"])
 
 
-def _read_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(tell: Callable[[int, int], None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, folder, modified, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            try:
-                values, failed = _blobs(content), False
-            except (sqlite3.Error, ValueError):
-                values, failed = [None], True
-            n = len(values)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * n, pa.string()), pa.array([folder] * n, pa.string()), pa.array([modified] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(values, pa.binary()), pa.array([failed] * n)],
-                names=["path", "dir", "modified", "pos", "data", "failed"],
-            )
-
-
-def _binary(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
-    """The contents of the readable files of a name below `paths`."""
-    own = [files._uri(p) for p, _ in files.found(spark, paths, name) if files.readable(p)]
-    if not own:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(own)
-
-
-def blobs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row a blob, and one with `failed` for a database that can't be read."""
+        for path, size, part, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield from read_blobs(path, first, last)
+            if part == 0:
+                tell(1, size)
+
+
+def _read_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield from read_blobs(path, connect=lambda _, content=content: _in_memory(content))
+
+
+def blobs(spark: SparkSession, listed: DataFrame, done: Accumulator | None = None) -> DataFrame:
+    """Blobs of listed databases: path, dir, modified, pos, data, error; a row with an error for what can't be read."""
     ship(spark)
-    found = _binary(spark, paths, "store.db")
-    rows = found.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.unix_millis("modificationTime").alias("modified"), "content")
-    return rows.mapInArrow(_read_blobs, _ROWS)
+    split, tell = files.split_bytes(spark), files.teller(done)
+    near = listed.filter(~F.col("path").contains("://"))
+    parts = files.dealt(near, near.select("path", "bytes"), split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, part long, first long, last long")
+    rows = files.dealt(near, parts, split).mapInArrow(lambda it: _read(tell, it), _ROWS)
+    far = listed.filter(F.col("path").contains("://"))
+    if not far.isEmpty():
+        fits = F.col("bytes") <= MAX_FAR_BYTES
+        found = _far_contents(spark, [r[0] for r in far.filter(fits).select("path").toLocalIterator()])
+        rows = rows.unionByName(found.mapInArrow(_read_far, _ROWS))
+        rows = rows.unionByName(far.filter(~fits).select("path", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("data"), F.lit("the database is too large to be read from this file system").alias("error")))
+    times = listed.select(F.col("path").alias("__path"), "modified")
+    joined = rows.join(times, F.col("path") == F.col("__path"))
+    return joined.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "modified", "pos", "data", "error")
+
+
+def _far_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load([files._uri(p) for p in paths]).select("path", "content")
+
+
+def _read_metas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Directories to (dir, content) of the meta.json files that can be read."""
+    for b in batches:
+        rows = []
+        for folder in b.column(0).to_pylist():
+            try:
+                with open(os.path.join(folder, "meta.json"), "rb") as f:
+                    rows.append((folder, f.read()))
+            except OSError:
+                continue
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["dir", "content"])
 
 
-def metas(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """dir, cwd, created, updated of each meta.json; one bad field discards the file."""
-    found = _binary(spark, paths, "meta.json")
+def metas(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """dir, cwd, created, updated of each meta.json beside a listed database; one bad field discards the file."""
+    ship(spark)
+    folders = listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
+    near = folders.filter(~F.col("dir").contains("://"))
+    found = near.repartition(max(1, min(10_000, near.count() // files.TASK_FILES + 1))).mapInArrow(_read_metas, "dir string, content binary")
+    far = [r[0] for r in folders.filter(F.col("dir").contains("://")).toLocalIterator()]
+    if far:
+        own = [f"{d}/meta.json" for d in far if files.exists(spark, f"{d}/meta.json")]
+        found = found.unionByName(_far_contents(spark, own).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "content"))
     r = F.col("r")
-    parsed = found.select(F.regexp_replace("path", "/[^/]*$", "").alias("__dir"), F.col("content").cast("string").alias("t")).filter(F.is_valid_utf8("t")).select("__dir", sj.once(sj.parse(F.col("t"))).alias("r"))
+    parsed = found.select(F.col("dir").alias("__dir"), F.col("content").cast("string").alias("t")).filter(F.is_valid_utf8("t")).select("__dir", sj.once(sj.parse(F.col("t"))).alias("r"))
     sound = sj.all_of(sj.is_long(r, "$.createdAtMs"), sj.is_long(r, "$.updatedAtMs"), sj.is_string(r, "$.cwd"))
     fine = parsed.filter(sound)
     return fine.select("__dir", sj.string(r, "$.cwd").alias("meta_cwd"), F.try_variant_get(r, "$.createdAtMs", "long").alias("created"), F.try_variant_get(r, "$.updatedAtMs", "long").alias("updated"))
 
 
 def parse(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Messages of blobs (dir, modified, pos, data) and metas.
+    """Messages of blobs (dir, modified, pos, data) and metas, and the rows with an error, if the blobs have that column.
 
     Of a user's blob the first <user_query> counts, without one it is ambient. A chat's
     directory is its meta's, else that of the first `Workspace Path:` line of a user's blob, from there on. All
     messages of a chat have its time: updated, else created, else the file's."""
-    df = rows.select("dir", "modified", "pos", F.col("data").cast("string").alias("t")).filter(F.col("t").startswith("{") & F.is_valid_utf8("t"))
-    df = df.select("dir", "modified", "pos", sj.once(sj.parse(F.col("t"))).alias("r"))
+    own = [c for c in ("path", "error") if c in rows.columns]
+    error = F.col("error").isNotNull() if "error" in own else F.lit(False)
+    df = rows.select(*own, "dir", "modified", "pos", F.col("data").cast("string").alias("t")).filter(error | (F.col("t").startswith("{") & F.is_valid_utf8("t")))
+    df = df.select(*own, "dir", "modified", "pos", sj.once(sj.parse(F.col("t")), error).alias("r"))
     r = F.col("r")
-    df = df.filter(sj.is_string(r, "$.role", optional=False) & sj.is_content(r, "$.content"))
+    df = df.filter(error | (sj.is_string(r, "$.role", optional=False) & sj.is_content(r, "$.content")))
     content = F.when(sj.is_text(r, "$.content"), sj.string(r, "$.content")).otherwise(F.coalesce(sj.blocks_text(r, "$.content"), F.lit("")))
-    df = df.select("dir", "modified", "pos", sj.string(r, "$.role").alias("who"), content.alias("raw")).filter(F.col("who").isin("user", "assistant"))
+    df = df.select(*own, "dir", "modified", "pos", sj.string(r, "$.role").alias("who"), content.alias("raw")).filter(error | F.col("who").isin("user", "assistant"))
     at = F.regexp_extract("raw", rf"(?md)^[{WHITE.replace(chr(92) + 'n', '')}]*Workspace Path:([^\n]*)", 1)
     space = F.nullif(F.regexp_replace(at, f"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))
     found = df.filter("who = 'user'").select(F.col("dir").alias("__space_dir"), F.when(space.isNotNull(), F.struct("pos", space.alias("cwd"))).alias("s")).groupBy("__space_dir").agg(F.min("s").alias("space"))
     body = F.when(F.col("who") == "assistant", F.col("raw")).when(F.col("raw").rlike("(?s)<user_query>.*?</user_query>"), F.regexp_extract("raw", "(?s)<user_query>(.*?)</user_query>", 1))
-    said = df.select("dir", "modified", "pos", "who", sj.once(strip(body)).alias("text"))
+    said = df.select(*own, "dir", "modified", "pos", "who", sj.once(strip(body), error).alias("text"))
     joined = said.join(meta, F.col("dir") == F.col("__dir"), "left").join(found, F.col("dir") == F.col("__space_dir"), "left")
     stamp = F.coalesce("updated", "created")
     return joined.select(
-        F.lit("cursor").alias("harness"), F.when(F.col("who") == "user", "user").otherwise("agent").alias("role"), F.when(stamp.between(_FIRST_MS, _LAST_MS), stamp).otherwise(F.col("modified")).alias("ts"),
+        *own, F.lit("cursor").alias("harness"), F.when(F.col("who") == "user", "user").otherwise("agent").alias("role"), F.when(stamp.between(_FIRST_MS, _LAST_MS), stamp).otherwise(F.col("modified")).alias("ts"),
         F.lit("session").alias("ts_precision"), F.coalesce("meta_cwd", F.when(F.col("pos") >= F.col("space.pos"), F.col("space.cwd"))).alias("cwd"), F.element_at(F.split("dir", "/"), -1).alias("session_id"), "text",
     )
 
 
-def read(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
-    """Messages, and the paths of databases that can't be read."""
-    own = files.roots(spark, home, "cursor")
-    if not own:
-        return files.empty(spark), spark.createDataFrame([], "path string")
-    rows = blobs(spark, own)
-    return parse(rows.filter("not failed"), metas(spark, own)), rows.filter("failed").select("path")
+def read(spark: SparkSession, listed: DataFrame, done: Accumulator | None = None) -> DataFrame:
+    """Messages of listed chats, with path and error."""
+    own = listed.filter("harness = 'cursor'")
+    return parse(blobs(spark, own, done), metas(spark, own))
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, first: int | None, last: int | None):
+        self.path, self.first, self.last = path, first, last
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.split = options["path"], int(options.get("splitbytes", 128 << 20))
+
+    def partitions(self) -> list[InputPartition]:
+        own = files.local(self.path)
+        if own is None:
+            raise ValueError(f"sqlite_blobs reads local paths, not {self.path}")
+        found = [(own, os.path.getsize(own))] if os.path.isfile(own) else [(r[1], r[2]) for r in files.expand(("cursor", own, "store.db"), 1 << 62)]
+        return [_Range(p, *r) for p, size in sorted(found, key=lambda x: (-x[1], x[0])) for r in ranges(p, size, self.split)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        yield from read_blobs(partition.path, partition.first, partition.last)
+
+
+class SqliteBlobs(DataSource):
+    """Blobs of a chat database, or of all below a directory: path, pos, data, error. A partition is a database,
+    or a range of its row numbers of about `splitBytes` bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_blobs"
+
+    def schema(self) -> str:
+        return _ROWS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    ship(spark)
+    spark.dataSource.register(SqliteBlobs)

@@ -1,4 +1,9 @@
-"""A store of published reports: JSON documents by id, which expire."""
+"""A store of published reports: JSON documents by id, which expire.
+
+The table is partitioned by the day on which reports expire and by a bucket of their ids, and its files have a Bloom filter on the
+id. A read by id opens the files of one bucket and of days to come, whatever the number of reports; expire() deletes days that are
+over, whole folders of them. Many reports are checked by tasks and written together.
+"""
 
 from __future__ import annotations
 
@@ -10,18 +15,26 @@ import secrets
 import urllib.error
 import urllib.request
 import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import kept
+from ..functions.shipping import ship
+
 MAX_BYTES = 512 * 1024
 TTL_DAYS = 30
 TTL_SECONDS = TTL_DAYS * 86400
+BUCKETS = 64
 # Characters of an id, and its length.
 ID_ALPHABET = "0123456789abcdefghjkmnpqrstvwxyz"
 ID_LENGTH = 10
 _ID = re.compile(f"[{ID_ALPHABET}]{{{ID_LENGTH}}}")
-_SCHEMA = "report_id string, body string, expires_at timestamp"
+_SCHEMA = "report_id string, body string, expires_at timestamp, expires_on date, bucket int"
+_CHECKED = "row long, report_id string, status int, problem string, body string"
 
 
 class Problem(ValueError):
@@ -88,11 +101,47 @@ def check(raw: bytes, content_type: str = "application/json", declared: int | No
     return body
 
 
+def bucket(report_id: Column) -> Column:
+    return F.pmod(F.xxhash64(report_id), F.lit(BUCKETS)).cast("int")
+
+
+def _check_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, raw, content_type, declared) to _CHECKED, with a new id for each that is taken."""
+    for b in batches:
+        rows = []
+        for row, raw, kind, declared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            try:
+                rows.append((row, new_id(), 200, None, check(raw or b"", kind or "", declared)))
+            except Problem as p:
+                rows.append((row, None, p.status, str(p), None))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "report_id", "status", "problem", "body"])
+
+
+def put(rows: DataFrame, path: str) -> None:
+    """Stores reports (report_id, body, and expires_at, or else TTL_DAYS from now)."""
+    if "expires_at" not in rows.columns:
+        rows = rows.withColumn("expires_at", F.current_timestamp() + F.make_interval(secs=F.lit(TTL_SECONDS)))
+    placed = rows.select("report_id", "body", "expires_at", F.to_date("expires_at").alias("expires_on"), bucket(F.col("report_id")).alias("bucket"))
+    sorted_ = placed.repartition("expires_on", "bucket").sortWithinPartitions("expires_on", "bucket", "report_id")
+    sorted_.write.mode("append").partitionBy("expires_on", "bucket").option("compression", "gzip").option("parquet.bloom.filter.enabled#report_id", "true").parquet(path)
+
+
+def publish_all(requests: DataFrame, path: str) -> DataFrame:
+    """Checks and stores many reports, in tasks. `requests` has row (which tells them apart), raw, content_type and declared; the
+    result row, report_id, status, problem, and expires_in_days of those that are stored."""
+    ship(requests.sparkSession)
+    asked = requests.select("row", F.col("raw").cast("binary"), "content_type", F.col("declared").cast("long"))
+    checked = kept(asked.mapInArrow(_check_all, _CHECKED), "published")  # ids are made once
+    put(checked.filter("status = 200").select("report_id", "body"), path)
+    return checked.select("row", "report_id", "status", "problem", F.when(F.col("status") == 200, F.lit(TTL_DAYS)).alias("expires_in_days"))
+
+
 def publish(spark: SparkSession, path: str, raw: bytes, content_type: str = "application/json", declared: int | None = None) -> dict:
     """Checks and stores a report: its id, link and days to live."""
     body, report_id = check(raw, content_type, declared), new_id()
-    row = spark.createDataFrame([(report_id, body)], "report_id string, body string")
-    row.select("report_id", "body", (F.current_timestamp() + F.make_interval(secs=F.lit(TTL_SECONDS))).alias("expires_at")).write.mode("append").partitionBy("report_id").option("compression", "gzip").parquet(path)
+    put(spark.createDataFrame([(report_id, body)], "report_id string, body string"), path)
     return {"id": report_id, "url": f"{host()}/r/{report_id}", "expires_in_days": TTL_DAYS}
 
 
@@ -122,18 +171,41 @@ def send(url: str, body: bytes) -> dict:
         raise RuntimeError(f"what {where} answered is not a link") from None
 
 
+def live(spark: SparkSession, path: str) -> DataFrame:
+    """Reports that haven't expired; days that are over are not listed."""
+    rows = spark.read.schema(_SCHEMA).parquet(path)
+    return rows.filter((F.col("expires_on") >= F.to_date(F.current_timestamp())) & (F.col("expires_at") > F.current_timestamp()))
+
+
+def find(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+    """A report's row, from the files of its bucket."""
+    own = spark.range(1).select(bucket(F.lit(report_id))).first()[0]
+    return live(spark, path).filter((F.col("bucket") == own) & (F.col("report_id") == report_id))
+
+
 def read(spark: SparkSession, path: str, report_id: str) -> str:
-    """A report's body as it was stored; the id prunes to one partition."""
+    """A report's body as it was stored."""
     if not is_id(report_id):
         raise Problem(404, "no such report")
-    rows = live(spark, path).filter(F.col("report_id") == report_id).select("body").take(1)
+    rows = find(spark, path, report_id).select("body").take(1)
     if not rows:
         raise Problem(404, "this report has expired or never existed")
     return rows[0][0]
 
 
-def live(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_SCHEMA).parquet(path).filter(F.col("expires_at") > F.current_timestamp())
+def expire(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the days on which all reports have expired; says which."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    today = str(spark.sql("SELECT to_date(current_timestamp())").first()[0])
+    try:
+        names = [e.getPath().getName() for e in fs.listStatus(where(path))]
+    except Py4JJavaError:  # nothing was ever stored
+        return []
+    over = sorted(n.partition("=")[2] for n in names if n.startswith("expires_on=") and n.partition("=")[2] < today)
+    for day in over:
+        fs.delete(where(f"{path}/expires_on={day}"), True)
+    return over
 
 
 def load(spark: SparkSession, body: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import dataclasses
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import sql, strict_json
 from tallyframe.operators import clean, lexicon, matcher
 from tallyframe.operators.lexicon import ALLOWLIST, LEXICON, SUFFIXES, Overrides, compile_lexicon, load_overrides
 
@@ -46,6 +48,38 @@ def test_random_against_model(spark, overrides):
     assert words(spark, texts, overrides) == [[w for w, _ in model.find(t, c)] for t in texts]
 
 
+def test_automaton_finds_what_the_pattern_finds(spark):
+    """Random lexicons whose words begin, end and lie in each other, over random texts."""
+    rng = random.Random(17)
+    for _ in range(4):
+        letters = "abe'"
+        add = [("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))), rng.choice(["mild", "strong"])) for _ in range(40)]
+        c = compile_lexicon(Overrides(add, ["hell"], ["abba", "assy"]))
+        texts = ["".join(rng.choice([*letters, *letters, " ", " ", "@", "3", "*", "é", "ing", "s", "fuck", "\x01", "_"]) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, ""]
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+        rows = df.select("i", matcher.find("text", c).alias("p"), matcher.find("text", dataclasses.replace(c, pattern="")).alias("a")).collect()
+        assert all(r["p"] == r["a"] for r in rows)
+        assert all([tuple(h) for h in r["a"]] == model.find(texts[r["i"]], c) for r in rows if texts[r["i"]] is not None)
+
+
+def test_a_hundred_thousand_words(spark, monkeypatch):
+    syllables = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    added = [("".join(syllables[i // 50**k % 50] for k in range(4)), "mild") for i in range(0, 5_000_000, 50)]
+    c = compile_lexicon(Overrides(added, [], []))
+    assert not c.pattern and len(c.spellings) > 250_000
+    texts = [f"say {w} or {w}zz {w.upper()}s damn" for w, _ in added[::997]]
+    got = words_of(spark, texts, c)
+    assert got == [[w, w, "damn"] for w, _ in added[::997]]
+    monkeypatch.setattr(matcher, "MAX_LEXICON_BYTES", 1 << 20)
+    with pytest.raises(ValueError, match="broadcast"):
+        matcher.find("text", c)
+
+
+def words_of(spark, texts, compiled):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [[h["word"] for h in r["h"]] for r in df.select("i", matcher.find("text", compiled).alias("h")).orderBy("i").collect()]
+
+
 def test_overrides(spark):
     assert words(spark, ["hell damn"], Overrides(remove=["hell"])) == [["damn"]]
     assert words(spark, ["drat it"], Overrides(add=[("DRAT", "mild")])) == [["drat"]]
@@ -99,3 +133,23 @@ def test_strip_random_against_model(spark):
     parts = ["<system-reminder>", "</system-reminder>", "<user_query ", "</user_query>", "<heartbeat/", "```", "~~~", "\n", "\n", "`", "/a/b", "~/x", "../", "a/b", ",", "(", " ", "\t", " ", "word", "é", "# Response annotations:", "\r", "## My request", "<recommended_plugins>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     assert strip(spark, texts) == [model.strip(t) for t in texts]
+
+
+def test_sql_functions(spark):
+    """The same as the Column functions, without Python in the plan."""
+    rng = random.Random(21)
+    parts = ["<system-reminder>", "</system-reminder>", "<user_query ", "```", "~~~", "\n", "`", "/a/b", "~/x", "./a", "a/b", ",", " ", "\t", "fuck", "sh1t", "ass", "'s", "\\", "'", "hell", "é", "# Response annotations:", "## My request for Codex:"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)] + [None, ""]
+    times = ["2027-01-02T03:04:05Z", "2027-01-02t03:04:05.5+02:00", "2027-01-02", "2027-13-02T03:04:05Z", None]
+    spark.createDataFrame([(i, t, times[i % 5]) for i, t in enumerate(texts)], "i int, t string, at string").createOrReplaceTempView("sql_texts")
+    for overrides in (None, Overrides([("hello", "mild"), ("shitty'", "strong")], ["ass"], ["fuckers"])):
+        c = compile_lexicon(overrides)
+        assert "tally_find" in sql.register(spark, c)
+        df = spark.sql("SELECT *, tally_strip(t) AS s, tally_find(t) AS h, tally_word_count(t) AS n, tally_normalise(t) AS f, tally_rfc3339_ms(at) AS ms, tally_weight(tally_find(t)) AS w FROM sql_texts")
+        h = matcher.find("t", c)
+        own = [clean.strip("t").alias("s2"), h.alias("h2"), clean.word_count("t").alias("n2"), matcher.normalise("t").alias("f2"), strict_json.rfc3339_ms(F.col("at")).alias("ms2"), matcher.weight(h).alias("w2")]
+        for r in df.select("*", *own).collect():
+            assert all(r[k] == r[k + "2"] for k in ("s", "h", "f", "ms", "w")), r
+            assert r["t"] is None or r["n"] == r["n2"]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
