@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -129,6 +129,13 @@ def capped_weights(sizes: dict[str, int], max_share: Fraction = MAX_SHARE) -> di
     return got
 
 
+def rising_weights(sizes: dict[str, int]) -> dict[str, Fraction]:
+    """Unequal weights by rule: the i-th source by name (from 1) has i parts."""
+    names = sorted(s for s, n in sizes.items() if n)
+    total = len(names) * (len(names) + 1) // 2
+    return {s: Fraction(i + 1, total) for i, s in enumerate(names)}
+
+
 def quota(sizes: dict[str, int], weights: dict, block_docs: int = BLOCK_DOCS) -> dict[str, int]:
     """Blocks of each source that the weights leave in the mix; the source that bounds it keeps all."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -181,13 +188,13 @@ def _late(parts: list[int], total: int, length: int, over: list[int], blocks: li
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t, pa.int64())], names=b.schema.names)
 
 
-def mix(docs: DataFrame, weights: dict | None = None, *, block_docs: int = BLOCK_DOCS, segment: int = SEGMENT, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | Callable[[dict[str, int]], dict] | None = None, *, block_docs: int = BLOCK_DOCS, segment: int = SEGMENT, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with its place in the mix: doc_id, source, block (in its source),
     slot (of the schedule), position (in its block), in_mix; `carry` columns follow, prefixed `__in_`.
 
     `slot` then `position` is the order to read in; slots run without gaps, a block each. Weights are shares
     of blocks of `block_docs` documents (the last of a source may be short), taken exactly: give Fraction
-    where a double isn't the weight meant. Up to the slot where the first source would run out, each source is
+    where a double isn't the weight meant. They may be a function of the sources' numbers of documents. Up to the slot where the first source would run out, each source is
     less than one block off its weight; blocks left then follow by earliest deadline.
     in_mix is false only for what the weights exclude: the mix has as many documents as keep
     every source at its weight, the least of size over weight, and takes each source's first
@@ -210,6 +217,7 @@ def mix(docs: DataFrame, weights: dict | None = None, *, block_docs: int = BLOCK
     sizes = {r[0]: r[1] for r in ranked.groupBy("__source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group small sources first")
+    weights = weights(sizes) if callable(weights) else weights
     weights = capped_weights(sizes) if weights is None else {("" if s is None else s): w for s, w in weights.items() if sizes.get(s or "")}
     names, parts, total = whole_weights(weights)
     blocks = [-(-sizes[s] // block_docs) for s in names]
@@ -228,4 +236,4 @@ def mix(docs: DataFrame, weights: dict | None = None, *, block_docs: int = BLOCK
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), rising_weights)
