@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: A table of offsets up to this size is broadcast.
 MAX_BROADCAST_BYTES = 8 << 20
 
+#: Bits of a row's place in its task in what monotonically_increasing_id() gives.
+_PLACES = 33
+
 _own_dir: dict[str, str] = {}
 _libc: list = []
 
@@ -61,7 +65,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
@@ -149,6 +153,18 @@ def group_index(df: DataFrame, group: list[str], order: list[str], out: str) ->
     return rows.join(offsets, on).withColumn(out, F.col("__before") + F.col("__index")).drop("__part", "__index", "__p", "__before", *names)
 
 
+def ranked(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """A 1-based LONG rank `out` of all rows in `order`. Rows are dealt by range, sorted and written, so ranks are fixed; the
+    number of rows before each file comes from a table of a row a file."""
+    mark = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(dealt.select("*", F.shiftright(mark, _PLACES).alias("__part"), mark.bitwiseAND((1 << _PLACES) - 1).alias("__place")))
+    sizes = placed.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(out, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__p", "__before")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is its component's smallest node.
 

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_BYTES, cut, table
+from .common import MAX_BROADCAST_BYTES, cut, ranked, table
 
 BUCKETS = 10_000
 MAX_N = 1
@@ -30,8 +30,6 @@ SEED = 2024
 #: Words are runs of letters and digits of ASCII, and of all that is beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a task that monotonically_increasing_id() leaves room for.
-_PLACES = 33
 
 
 def words(text: Column) -> Column:
@@ -86,18 +84,6 @@ def weigh(docs: DataFrame, gain: DataFrame, *, max_n: int = MAX_N, buckets: int
     return sums.select("doc_id", "n_words", "n_features", mean.cast("long").alias("weight")).withColumn("score", F.col("weight") + gumbel)
 
 
-def ranked(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """A 1-based LONG rank `out` of all rows in `order`. Rows are dealt by range, sorted and written, so ranks are fixed; the
-    number of rows before each file comes from a table of a row a file."""
-    mark = F.monotonically_increasing_id()
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(dealt.select("*", F.shiftright(mark, _PLACES).alias("__part"), mark.bitwiseAND((1 << _PLACES) - 1).alias("__place")))
-    sizes = placed.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(out, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__p", "__before")
-
-
 def resample(docs: DataFrame, target: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS, max_n: int = MAX_N, buckets: int = BUCKETS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank for every row of `docs`; rank is null where a row isn't drawn.
 

@@ -5,7 +5,10 @@ The packing needs only how many pieces there are of each length, a table of at m
 local search then improves the underfull ones: it moves a document, exchanges one for
 one, or two for one, between two bins whenever that raises the sum of squared fills, until
 no exchange does or there are as few bins as the sum of lengths allows; bins that empty are gone.
-Every partner can be found, by index; nothing else bounds the search. The plan says for each length which ranks go to
+Every partner can be found, by index. Where there are more than UNIT pieces, that many times fewer of each length are
+packed and searched, and their bins are taken so many times; what the division leaves, and the pieces of the emptiest bins, are
+packed in the same way until all are. So the driver's work hangs on the number of lengths, and on the number of pieces
+by its logarithm alone. The plan says for each length which ranks go to
 which sequences and offsets. Pieces get their rank inside their length by a range
 partitioning that splits common lengths, look up their place, and no task ever holds a bin.
 """
@@ -19,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, group_index, ship, table
+from .common import arrow, cut, group_index, ranked, ship, table
 from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces that are searched at once, and the share of bins (one in so many) that are packed again with what is left.
+UNIT = 50_000
+SPARE = 100
 #: Rows of a plan that is broadcast (32 bytes each); a longer one is joined.
 MAX_BROADCAST_ROWS = 1 << 18
 #: Ranks of a length that a longer plan is joined by at once.
@@ -242,9 +248,33 @@ def local_search(bins: Counter, capacity: int) -> Counter:
     return done + under.number
 
 
+def search(counts: dict[int, int], capacity: int, unit: int = UNIT) -> Counter:
+    """Best-fit decreasing and local search, on at most `unit` pieces at a time (and never fewer than lengths)."""
+    total = sum(counts.values())
+    times = -(-total // max(unit, 2 * len(counts)))
+    base = {n: c // times for n, c in counts.items() if c >= times} if times else {}
+    found = local_search(best_fit_decreasing(base, capacity), capacity)
+    if times <= 1:
+        return found
+    spare = sum(found.values()) // SPARE + 1
+    out: Counter = Counter()
+    for p in sorted(found, key=lambda p: (sum(p), p)):
+        free = min(spare, found[p]) if sum(p) < capacity else 0
+        spare -= free
+        if found[p] > free:
+            out[p] = (found[p] - free) * times
+    rest = Counter(counts)
+    for p, m in out.items():
+        for n in p:
+            rest[n] -= m
+    return out + search({n: c for n, c in rest.items() if c}, capacity, unit)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, np.ndarray]:
     """Bins, and the segments (length, first rank, first sequence, offset) sorted by the first two."""
-    bins = local_search(best_fit_decreasing(counts, capacity), capacity)
+    bins = best_fit_decreasing(counts, capacity)
+    if sum(bins.values()) > -(-sum(n * c for n, c in counts.items()) // capacity):
+        bins = min(search(counts, capacity), bins, key=lambda b: sum(b.values()))
     given: Counter = Counter()
     rows, sequence = [], 0
     for pattern in sorted(bins, reverse=True):
@@ -260,40 +290,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, np.
 
 
 def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, order) to a row a piece."""
     enc = encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             b = batch.slice(at, 512)
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids, order in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(END_ID))
                 n = len(ids)
                 first = n % capacity or min(n, capacity)
                 ends = [*range(first, n + 1, capacity)]
                 for k, end in enumerate(ends):
                     begin = ends[k - 1] if k else 0
-                    rows.append((doc, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes()), order))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "order"])
 
 
-def tokenize(docs: DataFrame, *, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a piece: doc_id, piece, start, length, ids_crc32. A document longer than the
+def tokenize(docs: DataFrame, *, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
+    """A row a piece: doc_id, piece, start, length, ids_crc32, order. A document longer than the
     capacity is cut so that all pieces but the first are full."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.transform(arrow, lambda it: _pieces(path, capacity, it), _PIECE)
+    place = F.lit(0) if order is None else order
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), place.cast("long").alias("order"))
+    return source.transform(arrow, lambda it: _pieces(path, capacity, it), _PIECE + ", order long")
 
 
 def _place(segments: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = (segments[:, 0] << 44) + segments[:, 1]
     for b in batches:
-        length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
+        length, rank = b.column(3).to_numpy(), b.column(6).to_numpy()
         at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
         found = segments[at]
         yield pa.RecordBatch.from_arrays(
-            [*b.columns[:5], pa.array(found[:, 2] + rank - found[:, 1]), pa.array(found[:, 3])], names=[*b.schema.names[:5], "sequence_id", "offset"]
+            [*b.columns[:6], pa.array(found[:, 2] + rank - found[:, 1]), pa.array(found[:, 3])], names=[*b.schema.names[:6], "sequence_id", "offset"]
         )
 
 
@@ -308,12 +340,23 @@ def _joined(ranked: DataFrame, segments: np.ndarray, counts: dict[int, int]) ->
     lots = spread.groupBy("length", "lot").agg(F.collect_list(F.struct("first", "sequence", "at")).alias("own"))  # RANKS at most
     found = ranked.withColumn("lot", F.expr(f"__rank div {RANKS}")).join(lots, ["length", "lot"])
     found = found.withColumn("own", F.array_max(F.filter("own", lambda s: s["first"] <= F.col("__rank"))))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own.sequence") + F.col("__rank") - F.col("own.first")).alias("sequence_id"), F.col("own.at").alias("offset"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "order", (F.col("own.sequence") + F.col("__rank") - F.col("own.first")).alias("sequence_id"), F.col("own.at").alias("offset"))
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _in_order(placed: DataFrame) -> DataFrame:
+    """Sequences numbered anew, in the order of their first documents."""
+    placed = cut(placed)
+    firsts = placed.groupBy(F.col("sequence_id").alias("__s")).agg(F.min("order").alias("__first"))
+    numbers = ranked(firsts, [F.asc_nulls_last("__first"), F.asc("__s")], "__n")
+    return placed.join(numbers, F.col("sequence_id") == F.col("__s")).withColumn("sequence_id", F.col("__n") - 1).drop("__s", "__first", "__n")
+
+
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    With `order`, a LONG of the documents, pieces of a length are taken in that order, and sequences are numbered in the order of
+    their first documents, nulls last, so that reading them in turn follows it as nearly as full sequences can. Otherwise pieces go by id.
+
     A null text is an empty one, a single end id. Repeated rows are packed each. Extra
     columns are not read. An empty table gives no rows. Sequence ids run from 0 without gaps.
     """
@@ -322,14 +365,16 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    pieces = cut(tokenize(docs, path=path, capacity=capacity, id_col=id_col, text_col=text_col))
+    pieces = cut(tokenize(docs, path=path, capacity=capacity, id_col=id_col, text_col=text_col, order=order))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     _, segments = plan(counts, capacity)
-    ranked = group_index(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "__rank").select("doc_id", "piece", "start", "length", "ids_crc32", "__rank")
+    rows = group_index(pieces, ["length"], ["order", "doc_id", "piece", "start", "ids_crc32"], "__rank").select("doc_id", "piece", "start", "length", "ids_crc32", "order", "__rank")
     if len(segments) > MAX_BROADCAST_ROWS:
-        return _joined(ranked, segments, counts)
-    held = spark.sparkContext.broadcast(segments)
-    return ranked.transform(arrow, lambda it: _place(held.value, it), _PIECE + ", sequence_id long, offset long")
+        placed = _joined(rows, segments, counts)
+    else:
+        held = spark.sparkContext.broadcast(segments)
+        placed = rows.transform(arrow, lambda it: _place(held.value, it), _PIECE + ", order long, sequence_id long, offset long")
+    return (placed if order is None else _in_order(placed)).drop("order")
 
 
 def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

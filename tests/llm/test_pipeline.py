@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tallyframe.llm import packing, quality_rules
+from tallyframe.llm import packing, quality_rules, source_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,26 @@ def test_stages_of_odd_rows(spark):
             assert ids[4] == ids[5] == 1  # texts without words link with nothing
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(pieces) == 8 and sorted(r["length"] for r in pieces)[:3] == [1, 1, 1]
+
+
+def test_packing_follows_the_mix(spark, tmp_path):
+    """Sequences come in the order of the mix's files, and without the mixing stage they are others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mix(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    order = {r["doc_id"]: r["o"] for r in mixed.select("doc_id", corpus_pipeline._file_order(mixed).alias("o")).collect()}
+    slots = {r["doc_id"]: (r["slot"], r["position"]) for r in source_mix.mix(docs).collect()}
+    assert sorted(order, key=order.get) == sorted(slots, key=slots.get)
+
+    def packed(frame):
+        firsts, held = {}, {}
+        for r in corpus_pipeline.pack(spark, frame, SF).collect():
+            firsts[r["sequence_id"]] = min(firsts.get(r["sequence_id"], 1 << 62), order[r["doc_id"]])
+            held.setdefault(r["sequence_id"], set()).add((r["doc_id"], r["piece"]))
+        return [firsts[i] for i in sorted(firsts)], [held[i] for i in sorted(held)]
+
+    firsts, held = packed(mixed)
+    assert firsts == sorted(firsts)
+    others, without = packed(docs)
+    assert others != sorted(others) and held != without
+    assert corpus_pipeline._file_order(spark.createDataFrame([(1, "x")], "doc_id long, text string")) is None

@@ -255,6 +255,47 @@ def test_packing_search_against_the_optimum():
     assert over <= 2
 
 
+@pytest.mark.parametrize("unit", [50, 400, 3000])
+def test_packing_search_in_units(unit):
+    """Whatever the unit: every piece once, no bin too full, and no more bins than best fit decreasing makes, but a few."""
+    for seed, (n, low, high) in enumerate([(5000, 500, 1200), (3000, 1, 2048), (7, 3, 5), (4000, 700, 710), (1, 9, 9)]):
+        rng = random.Random(seed)
+        counts = Counter(rng.randint(low, high) for _ in range(n))
+        found = packing.search(counts, 2048, unit)
+        assert held(found) == counts and all(0 < sum(p) <= 2048 for p in found)
+        assert sum(packing.plan(counts)[0].values()) <= sum(packing.best_fit_decreasing(counts, 2048).values())
+    assert packing.search({}, 2048) == Counter()
+
+
+def test_packing_search_takes_no_longer_for_more_pieces():
+    counts = {n: 2_000_000 + 1009 * n % 700_000 for n in range(500, 1201)}  # over 10^9 pieces
+    began = time.perf_counter()
+    bins, segments = packing.plan(counts)
+    assert time.perf_counter() - began < 120
+    bound = sum(n * c for n, c in counts.items()) / 2048
+    before = sum(packing.best_fit_decreasing(counts, 2048).values())
+    assert held(bins) == Counter(counts) and sum(bins.values()) - bound <= 0.4 * (before - bound)
+    assert len(segments) < packing.MAX_BROADCAST_ROWS
+
+
+def test_pack_in_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CAPACITY", 64)
+    rng = random.Random(3)
+    rows = [(i, " word" * rng.randint(1, 90), rng.randrange(1000) if i % 40 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(5)
+    got = packing.pack(docs, capacity=64, order=F.col("place")).collect()
+    plain = packing.pack(docs, capacity=64).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in plain)
+    place = {i: (p is None, p or 0) for i, _, p in rows}
+    firsts, fill = {}, Counter()
+    for r in got:
+        firsts[r["sequence_id"]] = min(firsts.get(r["sequence_id"], (True, 1000)), place[r["doc_id"]])
+        fill[r["sequence_id"]] += r["length"]
+    n = len(firsts)
+    assert sorted(firsts) == list(range(n)) and n == len({r["sequence_id"] for r in plain}) and max(fill.values()) <= 64
+    assert [firsts[i] for i in range(n)] == sorted(firsts.values())
+
+
 def test_pack(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -578,6 +619,21 @@ def read_in_order(rows):
     return [next(iter(blocks[t])) for t in range(len(blocks))]
 
 
+def test_mix_by_rising_weights(spark):
+    """Ten sources of one size and stated weights: what the weights exclude is excluded, and shares hold at every slot."""
+    rows = [(i, f"text {i}", f"s{i % 10}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mix(docs, source_mix.rising_weights, block_docs=4, segment=64).collect()
+    inside = Counter(r["source"] for r in got if r["in_mix"])
+    assert inside == {f"s{k}": 40 * (k + 1) for k in range(10)} and len(got) == 4000
+    seen, weights = Counter(), source_mix.rising_weights(dict.fromkeys([f"s{k}" for k in range(10)], 1))
+    order = sorted({(r["slot"], r["source"]) for r in got if r["in_mix"]})
+    for t, source in order:
+        seen[source] += 1
+        assert all(abs(seen[s] - w * (t + 1)) < 1 for s, w in weights.items())
+    assert [t for t, _ in order] == list(range(550))
+
+
 @pytest.mark.parametrize("broadcast", [1 << 19, 0])
 def test_mix(spark, docs, broadcast, monkeypatch):
     monkeypatch.setattr(source_mix, "MAX_BROADCAST_SLOTS", broadcast)
@@ -595,6 +651,10 @@ def test_mix(spark, docs, broadcast, monkeypatch):
     due = [math.ceil((j + 1) / target[s]) for s, j in late]
     assert due == sorted(due)
     assert source_mix.mix(docs.limit(0)).count() == 0
+    monkeypatch.setattr(source_mix, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        source_mix.mix(docs)
+    monkeypatch.undo()
     part = source_mix.mix(docs, {"s0": 3.0, "s1": 1.0, "none": 5.0}, block_docs=1)
     assert part.filter("source = 's2' and (in_mix or slot is not null)").count() == 0
     assert source_mix.capped_weights({"a": 90, "b": 5, "c": 5}, Fraction(1, 2)) == {"a": Fraction(1, 2), "b": Fraction(1, 4), "c": Fraction(1, 4)}
