@@ -7,7 +7,8 @@ further columns there are and however they are named. Empty tables give empty ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard_join, line_dedup, packing, quality_rules, source_mix
@@ -45,9 +46,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _uncarry(ordered, docs.columns)
 
 
+def _file_order(docs: DataFrame) -> Column | None:
+    """The order of rows in a table's files, as the stage before wrote them; None of a table that isn't read from files."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    part, more = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(part, 43) + F.shiftleft(more, 33) + F.col("_metadata.row_index")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a piece with its place in a sequence. Null and empty texts are a piece of one token."""
-    return packing.pack(docs)
+    """A row a piece with its place in a sequence. Sequences follow the mix: the order of rows in the files that the
+    mixing stage wrote, or ids where there are no files. Null and empty texts are a piece of one token."""
+    return packing.pack(docs, order=_file_order(docs))
 
 
 STAGES = [
