@@ -28,6 +28,7 @@ from ..sources import files
 from .scan import Progress, facts, parsed, statistics, wanted, watched
 
 FACTS = "path string, error string, harness string, role string, session_id string, digest string, ts long, cwd string, words long, hits array<struct<word:string,tier:string>>, address long"
+_WRITTEN = ["path", "error", "harness", "role", "session_id", "digest", "ts", "cwd", "words", "hits"]
 MANIFEST = "harness string, path string, bytes long, version string, part long, failed boolean, live boolean"
 #: Bits of an address inside its part (19 for the task, 33 for the row), and parts that are read together at most.
 _ADDRESS_BITS = 52
@@ -93,7 +94,7 @@ class State:
         if not fresh.isEmpty():
 
             def work(done: Accumulator | None) -> DataFrame:
-                return self._write(facts(parsed(spark, fresh, own, done), self.lexicon), part)
+                return self._write(parsed(spark, fresh, own, done, slim=facts(self.lexicon)).select(*_WRITTEN), part)
 
             failed = watched(spark, fresh, on_progress, work).filter("error IS NOT NULL").select("path").distinct()
         live = ["harness", "path", "bytes", "version", "part"]
@@ -114,8 +115,7 @@ class State:
 
     def _compact(self, manifest: DataFrame, part: int) -> DataFrame:
         """Facts that count as one part, and its manifest."""
-        rows = self.live(manifest).select(*[c for c in self.facts([]).columns if c not in ("part", "address")])
-        self._write(rows, part)
+        self._write(self.live(manifest).select(*_WRITTEN), part)
         fine = manifest.filter("live").withColumn("part", F.lit(part).cast("long"))
         fine.write.mode("overwrite").parquet(f"{self.path}/files/scan={part}")
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/files/scan={part}")

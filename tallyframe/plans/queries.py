@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import gzip
+import json
 import os
 import shutil
 import sqlite3
@@ -12,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..functions import sql, strict_json
 from ..functions.shared import kept, shared_folder
 from ..functions.shipping import ship
 from ..operators import clean, dashboard, matcher, report
 from ..operators import dedup as d
 from ..operators.diff import differences
-from ..operators.lexicon import Overrides, compile_lexicon
+from ..operators.lexicon import Overrides, compile_lexicon, load_overrides
 from ..operators.since import parse_since
 from ..sources import claude, codex, cursor, export, files, store
 from . import oracle as o
@@ -31,7 +33,8 @@ ORACLE_SQL: dict[str, str] = {}
 CUSTOM = compile_lexicon(Overrides([("the", "mild"), ("and", "strong"), ("th", "acronym")], ["idiot", "stupid"], ["these", "thes"]))
 #: Wraps documents in what cleaning removes. It is the same in both dialects.
 INJECTED = """CASE doc_id % 6 WHEN 0 THEN concat('<system-reminder>note</system-reminder>', text) WHEN 1 THEN concat(text, ' <user_info a="b">tail')
-  WHEN 2 THEN concat('```py', chr(10), 'x = 1', chr(10), '```', chr(10), text, chr(10), '~~~', chr(10), 'open') WHEN 3 THEN concat(text, ' `code` /usr/lib/x ~/a/b and/or http://a.b/c ./ok (./a) ``')
+  WHEN 2 THEN concat('```py', chr(10), 'x = 1', chr(10), '```', chr(10), text, chr(10), '~~~', chr(10), 'open') WHEN 3 THEN concat(text,
+    ' `code` /usr/lib/x ~/a/b and/or http://a.b/c ./ok (./a) ``')
   WHEN 4 THEN concat(text, chr(10), '# Response annotations: x') ELSE concat('>>> TRANSCRIPT START', text) END"""
 
 
@@ -115,7 +118,10 @@ def match_empty(spark, sf_dir):
 _LISTED = ", ".join(f"({o.quoted(w)}, {o.quoted(t)})" for w, t in dict.fromkeys(compile_lexicon().spellings.values()))
 
 
-@query(f"WITH m AS (SELECT doc_id AS id, text FROM documents), {o.hits('m')} SELECT v.word, v.tier, count(h.id) AS count FROM (VALUES {_LISTED}) v(word, tier) LEFT JOIN h ON h.word = v.word GROUP BY ALL")
+@query(
+    f"WITH m AS (SELECT doc_id AS id, text FROM documents), {o.hits('m')} SELECT v.word, v.tier, count(h.id) AS count FROM (VALUES {_LISTED}) v(word, "
+    f"tier) LEFT JOIN h ON h.word = v.word GROUP BY ALL"
+)
 def lexicon_list(spark, sf_dir):
     """The built-in words, and how often each is found."""
     from ..operators.lexicon import LEXICON
@@ -165,12 +171,18 @@ def _replayed(spark, sf_dir):
     return m.unionByName(m.filter("doc_id % 2 = 0").withColumns({"ts": F.col("ts") + 1000, "address": F.expr("2 * doc_id + 1")}))
 
 
-@query(f"WITH {o.MESSAGES} SELECT harness, role, session_id, md5(text) AS digest, min(ts) AS ts, min(cwd) AS cwd, count(*) AS copies FROM {_REPLAYED} GROUP BY harness, role, session_id, text")
+@query(
+    f"WITH {o.MESSAGES} SELECT harness, role, session_id, md5(text) AS digest, min(ts) AS ts, min(cwd) AS cwd, count(*) AS copies FROM {_REPLAYED} GROUP "
+    f"BY harness, role, session_id, text"
+)
 def dedup_replay(spark, sf_dir):
     return d.dedup(_replayed(spark, sf_dir), "address").select("harness", "role", "session_id", F.md5("text").alias("digest"), "ts", "cwd", "copies")
 
 
-@query(f"WITH {o.MESSAGES}, k AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cwd END AS cwd FROM raw) SELECT md5(text) AS digest, CASE WHEN count(cwd) = count(*) THEN min(cwd) END AS cwd FROM k GROUP BY text")
+@query(
+    f"WITH {o.MESSAGES}, k AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cwd END AS cwd FROM raw) SELECT md5(text) AS digest, CASE WHEN "
+    f"count(cwd) = count(*) THEN min(cwd) END AS cwd FROM k GROUP BY text"
+)
 def dedup_tiebreak_null_cwd(spark, sf_dir):
     m = messages(spark, sf_dir).withColumns({"cwd": F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cwd END"), "ts": F.lit(0).cast("long"), "harness": F.lit("claude"), "role": F.lit("user"), "session_id": F.lit("")})
     return d.dedup(m, "doc_id").select(F.md5("text").alias("digest"), "cwd")
@@ -181,7 +193,10 @@ def duplicates_dropped(spark, sf_dir):
     return d.duplicates_dropped(d.dedup(messages(spark, sf_dir), "doc_id"))
 
 
-@query(f"WITH {o.MESSAGES}, x AS (SELECT harness, role, session_id, text, min(ts) AS ts FROM {_REPLAYED} GROUP BY ALL) SELECT harness, role, session_id, md5(text) AS digest, ts FROM x WHERE ts >= 1704326400000")
+@query(
+    f"WITH {o.MESSAGES}, x AS (SELECT harness, role, session_id, text, min(ts) AS ts FROM {_REPLAYED} GROUP BY ALL) SELECT harness, role, session_id, "
+    f"md5(text) AS digest, ts FROM x WHERE ts >= 1704326400000"
+)
 def since_after_dedup(spark, sf_dir):
     kept = d.since(d.dedup(_replayed(spark, sf_dir), "address"), parse_since("2024-01-04"))
     return kept.select("harness", "role", "session_id", F.md5("text").alias("digest"), "ts")
@@ -197,12 +212,27 @@ def chronological(spark, sf_dir):
 _S = o.scored()
 _SUMS = "CAST(coalesce(sum(words), 0) AS BIGINT) AS words, CAST(coalesce(sum(swears), 0) AS BIGINT) AS swears"
 _HARNESS = "CAST(sum(swears) AS BIGINT) AS swears, count(*) FILTER (swears > 0)"
-_TOTALS = f"(SELECT *, {o.rate('swears', 'prompts')} AS swears_per_100_prompts FROM (SELECT count(DISTINCT (harness, session_id)) AS sessions, count(*) AS prompts, {_SUMS}, count(*) FILTER (swears > 0) AS prompts_with_swear FROM s WHERE role = 'user'))"
-_AGENT = f"(SELECT *, {o.rate('swears', 'messages')} AS swears_per_100_messages FROM (SELECT count(*) AS messages, {_SUMS}, count(*) FILTER (swears > 0) AS messages_with_swear FROM s WHERE role = 'agent'))"
-_BY_HARNESS = f"(SELECT *, {o.rate('swears', 'prompts')} AS rate FROM (SELECT harness, count(*) AS prompts, {_HARNESS} AS prompts_with_swear FROM s WHERE role = 'user' GROUP BY harness))"
-_DAILY = "(SELECT day AS date, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears, CAST(sum(weight) AS BIGINT) AS weight FROM s WHERE role = 'user' GROUP BY day)"
+_TOTALS = (
+    f"(SELECT *, {o.rate('swears', 'prompts')} AS swears_per_100_prompts FROM (SELECT count(DISTINCT (harness, session_id)) AS sessions, count(*) AS "
+    f"prompts, {_SUMS}, count(*) FILTER (swears > 0) AS prompts_with_swear FROM s WHERE role = 'user'))"
+)
+_AGENT = (
+    f"(SELECT *, {o.rate('swears', 'messages')} AS swears_per_100_messages FROM (SELECT count(*) AS messages, {_SUMS}, count(*) FILTER (swears > 0) AS "
+    f"messages_with_swear FROM s WHERE role = 'agent'))"
+)
+_BY_HARNESS = (
+    f"(SELECT *, {o.rate('swears', 'prompts')} AS rate FROM (SELECT harness, count(*) AS prompts, {_HARNESS} AS prompts_with_swear FROM s WHERE role = "
+    f"'user' GROUP BY harness))"
+)
+_DAILY = (
+    "(SELECT day AS date, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears, CAST(sum(weight) AS BIGINT) AS weight FROM s WHERE role = 'user' "
+    "GROUP BY day)"
+)
 _AGENT_DAILY = "(SELECT day AS date, harness, count(*) AS messages, CAST(sum(swears) AS BIGINT) AS swears FROM s WHERE role = 'agent' GROUP BY day, harness)"
-_PROJECTS = f"(SELECT *, {o.rate('swears', 'prompts')} AS rate FROM (SELECT project AS name, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears FROM s WHERE role = 'user' GROUP BY project))"
+_PROJECTS = (
+    f"(SELECT *, {o.rate('swears', 'prompts')} AS rate FROM (SELECT project AS name, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears FROM s "
+    f"WHERE role = 'user' GROUP BY project))"
+)
 
 
 def _words_sql(role: str) -> str:
@@ -214,7 +244,10 @@ def totals(spark, sf_dir):
     return report.totals(scored(spark, sf_dir))
 
 
-@query("SELECT count(DISTINCT (CASE doc_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'cursor' END, source)) AS sessions FROM documents WHERE doc_id % 4 <> 0")
+@query(
+    "SELECT count(DISTINCT (CASE doc_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'cursor' END, source)) AS sessions FROM documents WHERE doc_id "
+    "% 4 <> 0"
+)
 def sessions(spark, sf_dir):
     return report.totals(scored(spark, sf_dir)).select("sessions")
 
@@ -244,7 +277,10 @@ def agent_totals(spark, sf_dir):
     return report.agent_totals(scored(spark, sf_dir))
 
 
-@query(f"{_S} SELECT harness, prompts AS messages, swears, n AS messages_with_swear, {o.rate('swears', 'prompts')} AS rate FROM (SELECT harness, count(*) AS prompts, {_HARNESS} AS n FROM s WHERE role = 'agent' GROUP BY harness)")
+@query(
+    f"{_S} SELECT harness, prompts AS messages, swears, n AS messages_with_swear, {o.rate('swears', 'prompts')} AS rate FROM (SELECT harness, count(*) AS "
+    f"prompts, {_HARNESS} AS n FROM s WHERE role = 'agent' GROUP BY harness)"
+)
 def agent_by_harness(spark, sf_dir):
     return report.agent_by_harness(scored(spark, sf_dir))
 
@@ -264,12 +300,16 @@ def session_precision(spark, sf_dir):
     return report.session_precision_prompts(scored(spark, sf_dir))
 
 
-@query(f"{_S} SELECT harness, day, project, grouping(harness, day, project) AS level, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears FROM s WHERE role = 'user' GROUP BY GROUPING SETS ((), (harness), (day), (project))")
+@query(
+    f"{_S} SELECT harness, day, project, grouping(harness, day, project) AS level, count(*) AS prompts, CAST(sum(swears) AS BIGINT) AS swears FROM s "
+    f"WHERE role = 'user' GROUP BY GROUPING SETS ((), (harness), (day), (project))"
+)
 def rollup_totals(spark, sf_dir):
     return report.rollup_totals(scored(spark, sf_dir))
 
 
-_NOTES = """list_filter([CASE WHEN a > 0 THEN a || ' Cursor prompts have session-level timestamps only; they are dated by when their chat was last touched.' END, CASE WHEN b > 0 THEN b || ' files could not be read.' END,
+_NOTES = """list_filter([CASE WHEN a > 0 THEN a || ' Cursor prompts have session-level timestamps only; they are dated by when their chat was last touched.'
+    END, CASE WHEN b > 0 THEN b || ' files could not be read.' END,
   CASE WHEN c > 0 THEN c || ' replayed prompts were collapsed; agent harnesses rewrite session history on fork and resume.' END], lambda x: x IS NOT NULL)"""
 
 
@@ -294,8 +334,10 @@ def _report(spark, sf_dir):
 
 
 @query(
-    f"""{_S}, t AS {_TOTALS}, a AS {_AGENT} SELECT {_MADE} AS generated_at, '1.2.3' AS version, (SELECT prompts FROM t) AS prompts, (SELECT swears_per_100_prompts FROM t) AS rate, (SELECT messages FROM a) AS messages,
-  (SELECT count(*) FROM {_DAILY}) AS days, (SELECT count(*) FROM {_PROJECTS}) AS projects, (SELECT string_agg(word, ',' ORDER BY count DESC, word) FROM {_words_sql('user')}) AS words,
+    f"""{_S}, t AS {_TOTALS}, a AS {_AGENT} SELECT {_MADE} AS generated_at, '1.2.3' AS version, (SELECT prompts FROM t) AS prompts, (SELECT
+    swears_per_100_prompts FROM t) AS rate, (SELECT messages FROM a) AS messages,
+  (SELECT count(*) FROM {_DAILY}) AS days, (SELECT count(*) FROM {_PROJECTS}) AS projects, (SELECT string_agg(word, ',' ORDER BY count DESC, word) FROM
+    {_words_sql('user')}) AS words,
   (SELECT string_agg(name, ',' ORDER BY swears DESC, prompts DESC, name) FROM {_PROJECTS}) AS names, {_DROPPED} AS duplicates"""
 )
 def report_json(spark, sf_dir):
@@ -337,8 +379,10 @@ def active_days(spark, sf_dir):
     return dashboard.active_days(report.daily(scored(spark, sf_dir)))
 
 
-_TIMELINE = f"""d AS {_DAILY}, a AS {_AGENT_DAILY}, t AS (SELECT date, coalesce(any_value(d.prompts), 0) AS prompts, coalesce(any_value(d.swears), 0) AS user_swears,
-  CAST(coalesce(sum(a.swears) FILTER (harness = 'claude'), 0) AS BIGINT) AS claude, CAST(coalesce(sum(a.swears) FILTER (harness = 'codex'), 0) AS BIGINT) AS codex, CAST(coalesce(sum(a.swears) FILTER (harness = 'cursor'), 0) AS BIGINT) AS cursor
+_TIMELINE = f"""d AS {_DAILY}, a AS {_AGENT_DAILY}, t AS (SELECT date, coalesce(any_value(d.prompts), 0) AS prompts, coalesce(any_value(d.swears), 0) AS
+    user_swears,
+  CAST(coalesce(sum(a.swears) FILTER (harness = 'claude'), 0) AS BIGINT) AS claude, CAST(coalesce(sum(a.swears) FILTER (harness = 'codex'), 0) AS BIGINT) AS
+    codex, CAST(coalesce(sum(a.swears) FILTER (harness = 'cursor'), 0) AS BIGINT) AS cursor
   FROM (SELECT date FROM d UNION SELECT date FROM a) x LEFT JOIN d USING (date) LEFT JOIN a USING (date) GROUP BY date)"""
 
 
@@ -348,18 +392,24 @@ def timeline_dense(spark, sf_dir):
     return dashboard.timeline(report.daily(s), report.agent_daily(s))
 
 
-@query(f"{_S}, {_TIMELINE} SELECT max_prompts, max_swears, CAST(round(max_swears / 2) AS BIGINT) AS half_tick FROM (SELECT greatest(max(prompts), 1) AS max_prompts, greatest(max(user_swears), max(claude), max(codex), max(cursor), 1) AS max_swears FROM t)")
+@query(
+    f"{_S}, {_TIMELINE} SELECT max_prompts, max_swears, CAST(round(max_swears / 2) AS BIGINT) AS half_tick FROM (SELECT greatest(max(prompts), 1) AS "
+    f"max_prompts, greatest(max(user_swears), max(claude), max(codex), max(cursor), 1) AS max_swears FROM t)"
+)
 def timeline_scale(spark, sf_dir):
     s = scored(spark, sf_dir)
     return dashboard.timeline_scale(dashboard.timeline(report.daily(s), report.agent_daily(s)))
 
 
 def _calendar_sql(daily: str) -> str:
-    return f"""d AS {daily}, e AS (SELECT min(CAST(date AS DATE)) AS a, max(CAST(date AS DATE)) AS b, min(ln(1 + weight)) FILTER (weight > 0) AS floor, max(ln(1 + weight)) FILTER (weight > 0) - min(ln(1 + weight)) FILTER (weight > 0) AS span FROM d),
+    return f"""d AS {daily}, e AS (SELECT min(CAST(date AS DATE)) AS a, max(CAST(date AS DATE)) AS b, min(ln(1 + weight)) FILTER (weight > 0) AS floor,
+    max(ln(1 + weight)) FILTER (weight > 0) - min(ln(1 + weight)) FILTER (weight > 0) AS span FROM d),
   b AS (SELECT a - CAST(isodow(a) - 1 + 14 AS INTEGER) AS a, b + CAST(7 - isodow(b) + 14 AS INTEGER) AS b, floor, span FROM e),
-  c AS (SELECT strftime(day, '%Y-%m-%d') AS date, CAST((CAST(day AS DATE) - b.a) // 7 AS BIGINT) AS week, CAST(isodow(day) - 1 AS BIGINT) AS weekday, floor, span FROM b, generate_series(CAST(b.a AS TIMESTAMP), CAST(b.b AS TIMESTAMP), INTERVAL 1 DAY) g(day)),
+  c AS (SELECT strftime(day, '%Y-%m-%d') AS date, CAST((CAST(day AS DATE) - b.a) // 7 AS BIGINT) AS week, CAST(isodow(day) - 1 AS BIGINT) AS weekday, floor,
+    span FROM b, generate_series(CAST(b.a AS TIMESTAMP), CAST(b.b AS TIMESTAMP), INTERVAL 1 DAY) g(day)),
   cal AS (SELECT date, week, weekday, coalesce(prompts, 0) AS prompts, coalesce(swears, 0) AS swears, coalesce(weight, 0) AS weight,
-    CASE WHEN prompts IS NULL THEN 'empty' WHEN weight = 0 THEN 'quiet' WHEN span <= 0 THEN '7' ELSE CAST(CAST(least(7, greatest(ceil(7 * (ln(1 + weight) - floor) / span), 1)) AS BIGINT) AS VARCHAR) END AS shade FROM c LEFT JOIN d USING (date))"""
+    CASE WHEN prompts IS NULL THEN 'empty' WHEN weight = 0 THEN 'quiet' WHEN span <= 0 THEN '7' ELSE CAST(CAST(least(7, greatest(ceil(7 * (ln(1 + weight) -
+    floor) / span), 1)) AS BIGINT) AS VARCHAR) END AS shade FROM c LEFT JOIN d USING (date))"""
 
 
 @query(f"{_S}, {_calendar_sql(_DAILY)} SELECT * FROM cal")
@@ -385,7 +435,11 @@ def calendar_months(spark, sf_dir):
     return dashboard.month_labels(dashboard.calendar(_event_days(spark, sf_dir)))
 
 
-@query(f"{_S}, w AS (SELECT *, row_number() OVER (ORDER BY count DESC, word) AS n FROM {_words_sql('user')}) SELECT lpad(CAST(n AS VARCHAR), 2, '0') AS rank, word, tier, count, printf('%.1f', share * 100) AS percent, count / CAST(greatest(max(count) OVER (), 1) AS DOUBLE) AS width FROM w WHERE n <= 12")
+@query(
+    f"{_S}, w AS (SELECT *, row_number() OVER (ORDER BY count DESC, word) AS n FROM {_words_sql('user')}) SELECT lpad(CAST(n AS VARCHAR), 2, '0') AS "
+    f"rank, word, tier, count, printf('%.1f', share * 100) AS percent, count / CAST(greatest(max(count) OVER (), 1) AS DOUBLE) AS width FROM w WHERE n <= "
+    f"12"
+)
 def word_list_bars(spark, sf_dir):
     return dashboard.word_list(report.top_words(scored(spark, sf_dir)))
 
@@ -405,18 +459,28 @@ def snapshot_expiry(spark, sf_dir):
     return dashboard.expires_on(_report(spark, sf_dir))
 
 
-@query(f"{_S} SELECT format('{{:,}}', swears) || ' swears · ' || format('{{:,}}', prompts) || ' prompts · ' || format('{{:,}}', sessions) || ' sessions' AS summary, (SELECT string_agg(word, ',' ORDER BY count DESC, word) FROM (SELECT * FROM {_words_sql('user')} ORDER BY count DESC, word LIMIT 5)) AS chips FROM {_TOTALS}")
+@query(
+    f"{_S} SELECT format('{{:,}}', swears) || ' swears · ' || format('{{:,}}', prompts) || ' prompts · ' || format('{{:,}}', sessions) || ' sessions' AS "
+    f"summary, (SELECT string_agg(word, ',' ORDER BY count DESC, word) FROM (SELECT * FROM {_words_sql('user')} ORDER BY count DESC, word LIMIT 5)) AS "
+    f"chips FROM {_TOTALS}"
+)
 def share_card(spark, sf_dir):
     s = scored(spark, sf_dir)
     return dashboard.share_card(report.totals(s), report.top_words(s))
 
 
-@query(f"{_S} SELECT printf('%.1f', swears_per_100_prompts) || ' swears per 100 prompts' AS title, format('{{:,}}', swears) || ' swears across ' || format('{{:,}}', prompts) || ' prompts typed at coding agents.' AS description FROM {_TOTALS}")
+@query(
+    f"{_S} SELECT printf('%.1f', swears_per_100_prompts) || ' swears per 100 prompts' AS title, format('{{:,}}', swears) || ' swears across ' || "
+    f"format('{{:,}}', prompts) || ' prompts typed at coding agents.' AS description FROM {_TOTALS}"
+)
 def page_title(spark, sf_dir):
     return dashboard.page_title(report.totals(scored(spark, sf_dir)))
 
 
-@query(f"{_S} SELECT CASE WHEN a.swears = 0 THEN 'never' ELSE 'ratio' END AS callout, CAST(CAST(round(swears_per_100_prompts / nullif(swears_per_100_messages, 0e0)) AS BIGINT) AS VARCHAR) AS times FROM {_TOTALS} t, {_AGENT} a")
+@query(
+    f"{_S} SELECT CASE WHEN a.swears = 0 THEN 'never' ELSE 'ratio' END AS callout, CAST(CAST(round(swears_per_100_prompts / "
+    f"nullif(swears_per_100_messages, 0e0)) AS BIGINT) AS VARCHAR) AS times FROM {_TOTALS} t, {_AGENT} a"
+)
 def agent_callout(spark, sf_dir):
     s = scored(spark, sf_dir)
     return dashboard.agent_callout(report.totals(s), report.agent_totals(s))
@@ -438,7 +502,8 @@ def _stamp():
 
 
 @query(
-    f"""SELECT 'claude' AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, {_TS} AS ts, '/w/' || (conv_id % 3) AS cwd, CAST(conv_id AS VARCHAR) AS session_id, md5({_SQUEEZED}) AS digest
+    f"""SELECT 'claude' AS harness, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, {_TS} AS ts, '/w/' || (conv_id % 3) AS cwd, CAST(conv_id AS
+    VARCHAR) AS session_id, md5({_SQUEEZED}) AS digest
   FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 AND NOT (role = 'user' AND turn % 7 = 3) AND {_SQUEEZED} IS NOT NULL"""
 )
 def jsonl_user_filter(spark, sf_dir):
@@ -455,8 +520,10 @@ def jsonl_user_filter(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT *, min(turn) FILTER (turn % 3 = 1) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, {_TS} AS ts,
-  CASE WHEN turn >= first THEN '/w/' || first END AS cwd, CASE WHEN turn >= first THEN 's' || conv_id || '-' || first ELSE '' END AS session_id, md5({_SQUEEZED}) AS digest FROM c WHERE role IN ('user', 'assistant') AND {_SQUEEZED} IS NOT NULL"""
+    f"""WITH c AS (SELECT *, min(turn) FILTER (turn % 3 = 1) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT CASE role WHEN 'user' THEN 'user'
+    ELSE 'agent' END AS role, {_TS} AS ts,
+  CASE WHEN turn >= first THEN '/w/' || first END AS cwd, CASE WHEN turn >= first THEN 's' || conv_id || '-' || first ELSE '' END AS session_id,
+    md5({_SQUEEZED}) AS digest FROM c WHERE role IN ('user', 'assistant') AND {_SQUEEZED} IS NOT NULL"""
 )
 def codex_meta_fill(spark, sf_dir):
     """Codex events, with a session_meta before every third turn; the first one of a file counts."""
@@ -471,8 +538,10 @@ def codex_meta_fill(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT *, min(turn) FILTER (role = 'user' AND turn % 4 = 2) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role,
-  CASE WHEN conv_id % 2 = 0 THEN 1704067200000 + conv_id ELSE 1700000000000 END AS ts, CASE WHEN conv_id % 2 = 0 THEN '/meta' WHEN turn >= first THEN '/w/' || first END AS cwd, CAST(conv_id AS VARCHAR) AS session_id, md5({_SQUEEZED}) AS digest
+    f"""WITH c AS (SELECT *, min(turn) FILTER (role = 'user' AND turn % 4 = 2) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT CASE role WHEN
+    'user' THEN 'user' ELSE 'agent' END AS role,
+  CASE WHEN conv_id % 2 = 0 THEN 1704067200000 + conv_id ELSE 1700000000000 END AS ts, CASE WHEN conv_id % 2 = 0 THEN '/meta' WHEN turn >= first THEN '/w/' ||
+    first END AS cwd, CAST(conv_id AS VARCHAR) AS session_id, md5({_SQUEEZED}) AS digest
   FROM c WHERE (role = 'assistant' OR role = 'user' AND turn % 4 <> 2) AND {_SQUEEZED} IS NOT NULL"""
 )
 def cursor_query_extract(spark, sf_dir):
@@ -549,7 +618,8 @@ def _home(spark, sf_dir):
 
 
 _SAID = f"""l AS ({_LOGGED}), said AS (
-  SELECT CASE conv_id % 2 WHEN 0 THEN 'claude' ELSE 'codex' END AS harness, {_USER} AS role, {_TS} AS ts, NULL AS cwd, CASE conv_id % 2 WHEN 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, {_SQUEEZED} AS t,
+  SELECT CASE conv_id % 2 WHEN 0 THEN 'claude' ELSE 'codex' END AS harness, {_USER} AS role, {_TS} AS ts, NULL AS cwd, CASE conv_id % 2 WHEN 0 THEN
+    CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, {_SQUEEZED} AS t,
     CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 2 ELSE 1 END AS copies FROM l
   UNION ALL SELECT 'cursor', {_USER}, 1704067200000 + conv_id, '/meta', CAST(conv_id AS VARCHAR), {_SQUEEZED}, 1 FROM l WHERE conv_id % 6 = 0)"""
 
@@ -561,7 +631,8 @@ def home_messages(spark, sf_dir):
 
 
 @query(
-    f"""WITH l AS ({_LOGGED}) SELECT count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) + count(DISTINCT conv_id) FILTER (conv_id % 3 = 0) AS files_scanned,
+    f"""WITH l AS ({_LOGGED}) SELECT count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) + count(DISTINCT conv_id)
+    FILTER (conv_id % 3 = 0) AS files_scanned,
   count(DISTINCT conv_id) FILTER (conv_id % 6 = 3) AS files_failed, count(*) FILTER (conv_id % 2 = 1 AND turn % 3 = 0) AS duplicates_dropped FROM l"""
 )
 def home_statistics(spark, sf_dir):
@@ -569,14 +640,18 @@ def home_statistics(spark, sf_dir):
     return scan(spark, _home(spark, sf_dir)).stats.filter("bytes_scanned > 0").drop("bytes_scanned")
 
 
-_LINE_BYTES = """length('2024-01-01T00:00:00.000Z') + strlen(to_json(text)) + CASE WHEN conv_id % 2 = 1 THEN strlen('{"type":"event_msg","timestamp":"","payload":{"type":"","message":}}') + CASE role WHEN 'user' THEN 12 ELSE 13 END
-  WHEN role = 'user' THEN strlen('{"type":"user","message":{"content":},"origin":{"kind":"human"},"timestamp":"","sessionId":""}') + length(CAST(conv_id AS VARCHAR))
+_LINE_BYTES = """length('2024-01-01T00:00:00.000Z') + strlen(to_json(text)) + CASE WHEN conv_id % 2 = 1 THEN
+    strlen('{"type":"event_msg","timestamp":"","payload":{"type":"","message":}}') + CASE role WHEN 'user' THEN 12 ELSE 13 END
+  WHEN role = 'user' THEN strlen('{"type":"user","message":{"content":},"origin":{"kind":"human"},"timestamp":"","sessionId":""}') + length(CAST(conv_id AS
+    VARCHAR))
   ELSE strlen('{"type":"assistant","message":{"content":[{"type":"text","text":}]},"timestamp":"","sessionId":""}') + length(CAST(conv_id AS VARCHAR)) END + 1"""
 
 
 @query(
-    f"""WITH l AS ({_LOGGED}), b AS (SELECT *, {_LINE_BYTES} AS bytes FROM l) SELECT 'claude' AS harness, count(DISTINCT conv_id) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM b WHERE conv_id % 2 = 0
-  UNION ALL SELECT 'codex', count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (turn % 3 = 0), CAST(sum(bytes) + sum(bytes) FILTER (turn % 3 = 0) AS BIGINT) FROM b WHERE conv_id % 2 = 1 HAVING count(*) > 0
+    f"""WITH l AS ({_LOGGED}), b AS (SELECT *, {_LINE_BYTES} AS bytes FROM l) SELECT 'claude' AS harness, count(DISTINCT conv_id) AS files, CAST(sum(bytes) AS
+    BIGINT) AS bytes FROM b WHERE conv_id % 2 = 0
+  UNION ALL SELECT 'codex', count(DISTINCT conv_id) + count(DISTINCT conv_id) FILTER (turn % 3 = 0), CAST(sum(bytes) + sum(bytes) FILTER (turn % 3 = 0) AS
+    BIGINT) FROM b WHERE conv_id % 2 = 1 HAVING count(*) > 0
   UNION ALL SELECT 'cursor', count(DISTINCT conv_id), NULL FROM b WHERE conv_id % 3 = 0 HAVING count(*) > 0"""
 )
 def home_files(spark, sf_dir):
@@ -585,7 +660,10 @@ def home_files(spark, sf_dir):
     return listed.groupBy("harness").agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("harness") != "cursor", F.col("bytes"))).alias("bytes"))
 
 
-@query(f"WITH l AS ({_LOGGED}) SELECT CAST(conv_id AS VARCHAR) AS chat, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role FROM l WHERE conv_id % 6 = 0")
+@query(
+    f"WITH l AS ({_LOGGED}) SELECT CAST(conv_id AS VARCHAR) AS chat, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role FROM l WHERE "
+    f"conv_id % 6 = 0"
+)
 def sqlite_source(spark, sf_dir):
     """Blobs of real databases by the data source, in ranges of rows; the broken ones are left out, the log's rows unseen."""
     cursor.register(spark)
@@ -594,7 +672,10 @@ def sqlite_source(spark, sf_dir):
     return rows.filter("error IS NULL").select(F.element_at(F.split("path", "/"), -2).alias("chat"), "pos", F.get_json_object(F.col("data").cast("string"), "$.role").alias("role"))
 
 
-@query(f"SELECT 'codex' AS harness, {_USER} AS role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 2 = 1 GROUP BY ALL")
+@query(
+    f"SELECT 'codex' AS harness, {_USER} AS role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 2 = 1 GROUP "
+    f"BY ALL"
+)
 def home_one_harness(spark, sf_dir):
     return scan(spark, _home(spark, sf_dir), [files.parse_harness(" CODEX ")]).messages.groupBy("harness", "role").agg(F.count(F.lit(1)).alias("messages"))
 
@@ -649,7 +730,10 @@ def store_round_trip(spark, sf_dir):
 # Functions for SQL, lexicons too large for a regular expression, structural differences.
 
 
-@query(f"WITH m AS (SELECT doc_id AS id, {INJECTED} AS text FROM documents), {o.hits('m')} SELECT m.id AS doc_id, md5({o.strip('m.text')}) AS digest, count(h.id) AS hits, CAST(coalesce(sum(h.weight), 0) AS BIGINT) AS weight FROM m LEFT JOIN h ON h.id = m.id GROUP BY m.id, m.text")
+@query(
+    f"WITH m AS (SELECT doc_id AS id, {INJECTED} AS text FROM documents), {o.hits('m')} SELECT m.id AS doc_id, md5({o.strip('m.text')}) AS digest, "
+    f"count(h.id) AS hits, CAST(coalesce(sum(h.weight), 0) AS BIGINT) AS weight FROM m LEFT JOIN h ON h.id = m.id GROUP BY m.id, m.text"
+)
 def sql_clean_and_match(spark, sf_dir):
     """Cleaning and matching in SQL alone."""
     sql.register(spark)
@@ -677,7 +761,8 @@ def match_automaton(spark, sf_dir):
 
 @query(
     """SELECT doc_id AS id, '/totals/prompts' AS path, CAST(n_chars AS VARCHAR) AS a, CAST(n_chars + 1 AS VARCHAR) AS b FROM documents WHERE n_chars % 2 = 1
-  UNION ALL SELECT doc_id, '/days', 'array[3]', 'array[2]' FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, '/days/1', '{"d":"x"}', '5' FROM documents WHERE n_chars % 7 = 0
+  UNION ALL SELECT doc_id, '/days', 'array[3]', 'array[2]' FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, '/days/1', '{"d":"x"}', '5' FROM
+    documents WHERE n_chars % 7 = 0
   UNION ALL SELECT doc_id, '/note', '{"by":"' || lang || '"}', '<missing>' FROM documents WHERE n_chars % 5 = 0"""
 )
 def report_diff(spark, sf_dir):
@@ -685,3 +770,44 @@ def report_diff(spark, sf_dir):
     a = """concat('{"generated_at":"1","totals":{"prompts":', n_chars, ',"rate":50},"days":[1,{"d":"x"},3],"note":{"by":"', lang, '"}}')"""
     b = """concat('{"days":[1,', IF(n_chars % 7 = 0, '5', '{"d":"x"}'), IF(n_chars % 3 = 0, ']', ',3]'), ',"generated_at":"2"', IF(n_chars % 5 = 0, '', concat(',"note":{"by":"', lang, '"}')), ',"totals":{"rate":50.0,"prompts":', n_chars + n_chars % 2, '}}')"""
     return differences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(a).alias("a"), F.expr(b).alias("b")))
+
+
+# The lexicon file, the command, projects by their `.git`.
+
+
+@query(_doc_hits_sql("text", CUSTOM))
+def lexicon_file(spark, sf_dir):
+    """CUSTOM's words, written as a user's lexicon file and read from it."""
+    own = shared_folder(spark, "lexicon")
+    lists = {"remove": ["idiot", "stupid"], "allow": ["these", "thes"]}
+    lines = [f"{k} = {json.dumps(v)}" for k, v in lists.items()] + ["[add]", *(f'"{w}" = " {t.upper()} "' for w, t in (("the", "mild"), ("and", "strong"), ("th", "acronym"))), 'bad = "none"']
+    kept(export.write_lines(spark.createDataFrame([("lexicon.toml", i, x) for i, x in enumerate(lines)], "path string, pos int, value string"), own), "written")
+    return _doc_hits(table(spark, sf_dir, "documents"), compile_lexicon(load_overrides(f"{files.local(own)}/lexicon.toml")))
+
+
+@query(
+    f"WITH {_SAID}, r AS (SELECT harness, count(*) AS prompts FROM said WHERE role = 'user' AND harness = 'codex' GROUP BY harness) SELECT harness, "
+    f"prompts, 0 AS files_failed, (SELECT count(*) FROM l WHERE conv_id % 2 = 1 AND turn % 3 = 0) AS duplicates FROM r"
+)
+def command_json(spark, sf_dir):
+    """What the command prints for one harness, read again."""
+    said = cli.run(["--json", "--harness", "Codex"], spark, _home(spark, sf_dir))
+    r = store.load(spark, said)
+    return r.select(F.explode("by_harness").alias("h"), "coverage").select("h.harness", "h.prompts", "coverage.files_failed", F.col("coverage.duplicates_dropped").alias("duplicates"))
+
+
+_HAS_GIT = "ascii(substr(source, length(source), 1)) % 2 = 0"
+
+
+@query(
+    f"WITH {o.MESSAGES} SELECT CASE WHEN {_HAS_GIT} THEN source ELSE 'x' END AS project, count(*) AS messages FROM (SELECT split_part(cwd, '/', -1) AS "
+    f"source FROM m) GROUP BY ALL"
+)
+def project_lookup(spark, sf_dir):
+    """Directories below one with `.git` are that one's project, others their own; the file system is asked once for each."""
+    home = shared_folder(spark, "projects")
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    place = F.when(F.expr(_HAS_GIT), F.concat(F.lit("w/"), "source", F.lit("/.git"))).otherwise(F.concat(F.lit("w/"), "source", F.lit("/none")))
+    kept(export.write_lines(sources.select(place.alias("path"), F.lit(0).alias("pos"), F.lit("gitdir: x").alias("value")), home), "written")
+    m = messages(spark, sf_dir).withColumn("cwd", F.concat(F.lit(f"{files.local(home)}/w/"), "session_id", F.lit("/deep/x")))
+    return report.score(d.dedup(m, "doc_id"), home=files.local(home)).groupBy("project").agg(F.sum("n").alias("messages"))

@@ -41,13 +41,13 @@ class _FilesAndBytes(AccumulatorParam):
         return a[0] + b[0], a[1] + b[1]
 
 
-def parsed(spark: SparkSession, listed: DataFrame, harnesses: list[str], done: Accumulator | None = None, open_file: Callable | None = None) -> DataFrame:
+def parsed(spark: SparkSession, listed: DataFrame, harnesses: list[str], done: Accumulator | None = None, open_file: Callable | None = None, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """path, error and the message of everything in the listed files, each read once. A row with an error says why
-    a file, or a range of it, couldn't be read; other rows of that file don't count."""
+    a file, or a range of it, couldn't be read; other rows of that file don't count. `slim` puts other columns in the place of text as soon as it is read."""
     readers = {"claude": claude.read, "codex": codex.read}
-    parts = [readers[h](spark, listed, done=done, open_file=open_file) if h in readers else cursor.read(spark, listed, done) for h in harnesses]
-    parts = [p.select("path", "error", *_MESSAGE) for p in parts]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [readers[h](spark, listed, slim, done=done, open_file=open_file) if h in readers else cursor.read(spark, listed, slim, done) for h in harnesses]
+    held = [c for c in parts[0].columns if c not in ("path", "error", "ts_precision", *_MESSAGE)]
+    return reduce(DataFrame.unionByName, [p.select("path", "error", *[c for c in _MESSAGE if c in p.columns], *held) for p in parts])
 
 
 def watched(spark: SparkSession, listed: DataFrame, on_progress: Progress | None, work: Callable[[Accumulator | None], DataFrame]) -> DataFrame:
@@ -77,9 +77,13 @@ def watched(spark: SparkSession, listed: DataFrame, on_progress: Progress | None
     return out
 
 
-def facts(messages: DataFrame, lexicon: Compiled | None = None) -> DataFrame:
-    """What reports need of messages with path and error: a digest of each text, its words and its hits, and no text."""
-    return messages.select("path", "error", "harness", "role", "session_id", F.md5("text").alias("digest"), "ts", "cwd", F.coalesce(word_count("text"), F.lit(0)).alias("words"), find("text", lexicon).alias("hits"))
+def facts(lexicon: Compiled | None = None) -> Callable[[DataFrame], DataFrame]:
+    """What reports need of messages in the place of their text: its digest, words and hits."""
+
+    def slim(messages: DataFrame) -> DataFrame:
+        return messages.select("*", F.md5("text").alias("digest"), F.coalesce(word_count("text"), F.lit(0)).alias("words"), find("text", lexicon).alias("hits")).drop("text")
+
+    return slim
 
 
 def sound(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,12 +105,12 @@ def wanted(harnesses: list[str] | None) -> list[str]:
     return [h for h in files.ALL_HARNESSES if h in (harnesses or files.ALL_HARNESSES)]
 
 
-def _scanned(spark: SparkSession, home: str, harnesses: list[str] | None, on_progress: Progress | None, shape: Callable[[DataFrame], DataFrame], open_file: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def _scanned(spark: SparkSession, home: str, harnesses: list[str] | None, on_progress: Progress | None, slim: Callable[[DataFrame], DataFrame] | None, open_file: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     own = wanted(harnesses)
     listed = kept(files.listing(spark, home, own), "listing")
 
     def work(done: Accumulator | None) -> DataFrame:
-        return kept(shape(parsed(spark, listed, own, done, open_file)).withColumn("address", F.monotonically_increasing_id()), "scan")
+        return kept(parsed(spark, listed, own, done, open_file, slim).withColumn("address", F.monotonically_increasing_id()), "scan")
 
     fine, failed = sound(watched(spark, listed, on_progress, work))
     messages = d.dedup(fine, "address")
@@ -117,11 +121,11 @@ def scan(spark: SparkSession, home: str, harnesses: list[str] | None = None, on_
     """Harnesses that are not asked for are not listed or read. The files are read when this is called, once, and what is
     said in them is written to the shared folder. A file that can't be read, or breaks off, counts as failed once, none of its
     messages counts, and it stops nothing. `open_file` opens a JSONL file on an executor, see files.lines()."""
-    messages, stats = _scanned(spark, home, harnesses, on_progress, lambda rows: rows, open_file)
+    messages, stats = _scanned(spark, home, harnesses, on_progress, None, open_file)
     return Scan(messages.select(*_MESSAGE, "ts_precision", "copies"), stats)
 
 
 def report_for(spark: SparkSession, home: str, *, harnesses: list[str] | None = None, cutoff_ms: int | None = None, lexicon: Compiled | None = None, version: str = "", user_home: str | None = None, on_progress: Progress | None = None) -> DataFrame:
     """The whole report of a home directory, as one row. No text is written or shuffled: messages become facts where they are read."""
-    messages, stats = _scanned(spark, home, harnesses, on_progress, lambda rows: facts(rows, lexicon))
+    messages, stats = _scanned(spark, home, harnesses, on_progress, facts(lexicon))
     return report.build(report.score(d.since(messages, cutoff_ms), lexicon, user_home), stats, version)

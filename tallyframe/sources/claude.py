@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,7 @@ def parse(lines: DataFrame) -> DataFrame:
     return done.filter(error | F.col("ts").isNotNull()).select(*own, *kept, sj.once(strip("raw"), error).alias("text"))
 
 
-def read(spark: SparkSession, listed: DataFrame, **how) -> DataFrame:
-    """Messages of listed transcripts, with path and error; see files.lines()."""
-    return parse(files.lines(spark, listed.filter("harness = 'claude'"), **how))
+def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, **how) -> DataFrame:
+    """Messages of listed transcripts, with path and error; see files.lines(). `slim` puts other columns in the place of `text`."""
+    found = parse(files.lines(spark, listed.filter("harness = 'claude'"), **how))
+    return slim(found) if slim else found

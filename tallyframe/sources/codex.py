@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from . import files
 NEEDLES = ['"user_message"', '"agent_message"', '"session_meta"']
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column.
+def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column. `slim` puts
+    other columns in the place of `text`, before rows are joined with their file's session.
 
     Most lines are dropped by a substring test before any is decoded. A file's first valid
     session_meta gives the directory and session of the messages after it; later ones are forks'
@@ -41,14 +43,16 @@ def parse(lines: DataFrame) -> DataFrame:
         "path", "pos", *own, F.when(channel == "user_message", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), sj.string(r, "$.payload.message").alias("raw")
     )
     said = said.filter(error | F.col("ts").isNotNull()).select("path", "pos", *own, "role", "ts", sj.once(strip("raw"), error).alias("text"))
+    said = slim(said) if slim else said
+    held = [c for c in said.columns if c not in ("path", "pos", *own, "role", "ts")]
     after = F.col("meta.pos") < F.col("pos")
     joined = said.join(first, F.col("path") == F.col("__path"), "left")
     return joined.select(
-        "path", *own, F.lit("codex").alias("harness"), "role", "ts", F.lit("exact").alias("ts_precision"), F.when(after, F.col("meta.cwd")).alias("cwd"), F.coalesce(F.when(after, F.col("meta.session")), F.lit("")).alias("session_id"), "text"
+        "path", *own, F.lit("codex").alias("harness"), "role", "ts", F.lit("exact").alias("ts_precision"), F.when(after, F.col("meta.cwd")).alias("cwd"), F.coalesce(F.when(after, F.col("meta.session")), F.lit("")).alias("session_id"), *held
     )
 
 
-def read(spark: SparkSession, listed: DataFrame, **how) -> DataFrame:
+def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, **how) -> DataFrame:
     """Messages of listed rollouts, with path and error; see files.lines(). Lines that count for nothing are
     dropped where they are read."""
-    return parse(files.lines(spark, listed.filter("harness = 'codex'"), needles=NEEDLES, **how))
+    return parse(files.lines(spark, listed.filter("harness = 'codex'"), needles=NEEDLES, **how), slim)

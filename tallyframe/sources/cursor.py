@@ -103,15 +103,16 @@ def ranges(path: str, size: int, split: int) -> list[tuple[int | None, int | Non
 
 def _cut(split: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(path, size, k, *r) for path, size in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, r in enumerate(ranges(path, size, split))]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["path", "bytes", "part", "first", "last"])
+        rows = [(path, size, modified, k, *r) for path, size, modified in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, r in enumerate(ranges(path, size, split))]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["path", "bytes", "modified", "part", "first", "last"])
 
 
 def _read(tell: Callable[[int, int], None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, size, part, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            yield from read_blobs(path, first, last)
+        for path, size, modified, part, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for found in read_blobs(path, first, last):
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array([modified] * found.num_rows, pa.int64())], names=[*found.schema.names, "modified"])
             if part == 0:
                 tell(1, size)
 
@@ -127,17 +128,15 @@ def blobs(spark: SparkSession, listed: DataFrame, done: Accumulator | None = Non
     ship(spark)
     split, tell = files.split_bytes(spark), files.teller(done)
     near = listed.filter(~F.col("path").contains("://"))
-    parts = files.dealt(near, near.select("path", "bytes"), split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, part long, first long, last long")
-    rows = files.dealt(near, parts, split).mapInArrow(lambda it: _read(tell, it), _ROWS)
+    parts = files.dealt(near, near.select("path", "bytes", "modified"), split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, modified long, part long, first long, last long")
+    rows = files.dealt(near, parts, split).mapInArrow(lambda it: _read(tell, it), _ROWS + ", modified long")
     far = listed.filter(F.col("path").contains("://"))
     if not far.isEmpty():
         fits = F.col("bytes") <= MAX_FAR_BYTES
-        found = _far_contents(spark, [r[0] for r in far.filter(fits).select("path").toLocalIterator()])
-        rows = rows.unionByName(found.mapInArrow(_read_far, _ROWS))
-        rows = rows.unionByName(far.filter(~fits).select("path", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("data"), F.lit("the database is too large to be read from this file system").alias("error")))
-    times = listed.select(F.col("path").alias("__path"), "modified")
-    joined = rows.join(times, F.col("path") == F.col("__path"))
-    return joined.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "modified", "pos", "data", "error")
+        found = _far_contents(spark, [r[0] for r in far.filter(fits).select("path").toLocalIterator()]).mapInArrow(_read_far, _ROWS)
+        too_large = far.filter(~fits).select("path", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("data"), F.lit("the database is too large to be read from this file system").alias("error"))
+        rows = rows.unionByName(found.unionByName(too_large).join(far.select("path", "modified"), "path"))
+    return rows.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "modified", "pos", "data", "error")
 
 
 def _far_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -176,8 +175,9 @@ def metas(spark: SparkSession, listed: DataFrame) -> DataFrame:
     return fine.select("__dir", sj.string(r, "$.cwd").alias("meta_cwd"), F.try_variant_get(r, "$.createdAtMs", "long").alias("created"), F.try_variant_get(r, "$.updatedAtMs", "long").alias("updated"))
 
 
-def parse(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def parse(rows: DataFrame, meta: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Messages of blobs (dir, modified, pos, data) and metas, and the rows with an error, if the blobs have that column.
+    `slim` puts other columns in the place of `text`, before rows are joined with their chat's.
 
     Of a user's blob the first <user_query> counts, without one it is ambient. A chat's
     directory is its meta's, else that of the first `Workspace Path:` line of a user's blob, from there on. All
@@ -192,21 +192,23 @@ def parse(rows: DataFrame, meta: DataFrame) -> DataFrame:
     df = df.select(*own, "dir", "modified", "pos", sj.string(r, "$.role").alias("who"), content.alias("raw")).filter(error | F.col("who").isin("user", "assistant"))
     at = F.regexp_extract("raw", rf"(?md)^[{WHITE.replace(chr(92) + 'n', '')}]*Workspace Path:([^\n]*)", 1)
     space = F.nullif(F.regexp_replace(at, f"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))
-    found = df.filter("who = 'user'").select(F.col("dir").alias("__space_dir"), F.when(space.isNotNull(), F.struct("pos", space.alias("cwd"))).alias("s")).groupBy("__space_dir").agg(F.min("s").alias("space"))
+    found = df.filter("who = 'user'").select(F.col("dir").alias("__space_dir"), F.when(space.isNotNull(), F.struct("pos", space.alias("cwd"))).alias("s")).filter("s IS NOT NULL").groupBy("__space_dir").agg(F.min("s").alias("space"))
     body = F.when(F.col("who") == "assistant", F.col("raw")).when(F.col("raw").rlike("(?s)<user_query>.*?</user_query>"), F.regexp_extract("raw", "(?s)<user_query>(.*?)</user_query>", 1))
     said = df.select(*own, "dir", "modified", "pos", "who", sj.once(strip(body), error).alias("text"))
+    said = slim(said) if slim else said
+    held = [c for c in said.columns if c not in (*own, "dir", "modified", "pos", "who")]
     joined = said.join(meta, F.col("dir") == F.col("__dir"), "left").join(found, F.col("dir") == F.col("__space_dir"), "left")
     stamp = F.coalesce("updated", "created")
     return joined.select(
         *own, F.lit("cursor").alias("harness"), F.when(F.col("who") == "user", "user").otherwise("agent").alias("role"), F.when(stamp.between(_FIRST_MS, _LAST_MS), stamp).otherwise(F.col("modified")).alias("ts"),
-        F.lit("session").alias("ts_precision"), F.coalesce("meta_cwd", F.when(F.col("pos") >= F.col("space.pos"), F.col("space.cwd"))).alias("cwd"), F.element_at(F.split("dir", "/"), -1).alias("session_id"), "text",
+        F.lit("session").alias("ts_precision"), F.coalesce("meta_cwd", F.when(F.col("pos") >= F.col("space.pos"), F.col("space.cwd"))).alias("cwd"), F.element_at(F.split("dir", "/"), -1).alias("session_id"), *held,
     )
 
 
-def read(spark: SparkSession, listed: DataFrame, done: Accumulator | None = None) -> DataFrame:
+def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, done: Accumulator | None = None) -> DataFrame:
     """Messages of listed chats, with path and error."""
     own = listed.filter("harness = 'cursor'")
-    return parse(blobs(spark, own, done), metas(spark, own))
+    return parse(blobs(spark, own, done), metas(spark, own), slim)
 
 
 class _Range(InputPartition):

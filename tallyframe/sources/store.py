@@ -87,6 +87,7 @@ def looks_like_report(value: object) -> bool:
 
 def check(raw: bytes, content_type: str = "application/json", declared: int | None = None) -> str:
     """The body to store, or a Problem."""
+    # The statuses and texts of refusals, here and in inflate() and read().
     if "application/json" not in content_type:
         raise Problem(415, "send application/json")
     if (declared or 0) > MAX_BYTES or len(raw) > MAX_BYTES:

@@ -27,7 +27,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["match_hits", "match_add_remove_allow", "strip_full", "dedup_replay", "top_words", "totals", "timeline_dense", "calendar_shade", "word_list_bars", "codex_meta_fill", "page_title", "agent_callout", "coverage_line", "home_messages", "home_statistics", "home_files", "sqlite_source", "home_incremental", "home_report", "home_one_harness", "store_round_trip", "report_json", "lexicon_list", "snapshot_expiry", "sql_clean_and_match", "sql_match_overrides", "match_automaton", "report_diff"])
+@pytest.mark.parametrize("name", ["match_hits", "match_add_remove_allow", "strip_full", "dedup_replay", "top_words", "totals", "timeline_dense", "calendar_shade", "word_list_bars", "codex_meta_fill", "page_title", "agent_callout", "coverage_line", "home_messages", "home_statistics", "home_files", "sqlite_source", "home_incremental", "home_report", "home_one_harness", "store_round_trip", "report_json", "lexicon_list", "snapshot_expiry", "sql_clean_and_match", "sql_match_overrides", "match_automaton", "report_diff", "lexicon_file", "command_json", "project_lookup"])
 def test_query_against_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     want = duck.sql(ORACLE_SQL[name])

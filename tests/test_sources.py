@@ -378,6 +378,12 @@ def _document(made):
     return d
 
 
+def test_report_of_facts_is_that_of_messages(spark, home):
+    found = scan(spark, str(home))
+    scored = report.score(found.messages, home=str(home))
+    assert _document(report.build(scored, found.stats, "1")) == _document(report_for(spark, str(home), version="1", user_home=str(home)))
+
+
 def test_incremental_report_is_that_of_a_full_scan(spark, home):
     """After files are added, changed, deleted, mended, and after facts are rewritten; only what has changed is read."""
     state, lexicon = str(home.parent / "state"), compile_lexicon(Overrides([("again", "mild")], [], []))
