@@ -39,6 +39,8 @@ N_COMMON = 16
 #: Character classes: upper case, digits, white space, sentence marks, symbols, and all else.
 #: What remains of a text without the pattern's characters gives a class's count.
 UPPER, DIGITS, MARKS, SYMBOLS = r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^.,;:!?'\"()\-]+", r"[^#*$%&|<>]+"
+#: What a text is first reduced to, in its one pass: the characters of any of these four, so that each is counted in a short string.
+OTHERS = r"[^\p{Lu}\p{Nd}.,;:!?'\"()\-#*$%&|<>]+"
 N_CLASS = 6
 
 WINDOW = 8
@@ -91,14 +93,15 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = docs.select(
         *keep,
         F.length(text).cast("long").alias("__chars"),
-        F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
-        *[F.length(F.regexp_replace(text, c, "")).cast("long").alias(n) for n, c in (("__upper", UPPER), ("__digits", DIGITS), ("__marks", MARKS))],
+        F.regexp_replace(text, OTHERS, "").alias("__few"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
         F.split(text, r"[\x20\x09-\x0D]+").alias("__words"),
     )
     # White space at an end leaves an empty string there, an empty text a single one.
     padded = (F.get("__words", F.lit(0)) == "") | (F.element_at("__words", -1) == "")
-    df = df.select(*df.columns[:-1], F.when(padded, F.array_remove("__words", "")).otherwise(F.col("__words")).alias("__words"))
+    classes = (("n_symbols", SYMBOLS), ("__upper", UPPER), ("__digits", DIGITS), ("__marks", MARKS))
+    counted = [F.length(F.regexp_replace("__few", c, "")).cast("long").alias(n) for n, c in classes]
+    df = df.select(*keep, "__chars", *counted, "__lines", F.when(padded, F.array_remove("__words", "")).otherwise(F.col("__words")).alias("__words"))
     known = sorted({x for ws in COMMON_WORDS.values() for w in ws for x in (w, w.capitalize(), w.upper())})
     small = [*keep, "__chars", "n_symbols", "__upper", "__digits", "__marks"]
     df = df.select(
