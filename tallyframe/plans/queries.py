@@ -23,6 +23,7 @@ from ..operators.diff import differences
 from ..operators.lexicon import Overrides, compile_lexicon, load_overrides
 from ..operators.since import parse_since
 from ..sources import claude, codex, cursor, export, files, store
+from ..streaming import corrections
 from . import oracle as o
 from .incremental import State
 from .scan import report_for, scan
@@ -519,6 +520,17 @@ def jsonl_user_filter(spark, sf_dir):
     return claude.parse(c.select(line.alias("value"))).select("harness", "role", "ts", "cwd", "session_id", F.md5("text").alias("digest"))
 
 
+def _rollout_lines(spark, sf_dir):
+    """A rollout a conversation, with a session_meta before every third turn."""
+    c = table(spark, sf_dir, "conversations")
+    channel = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("token_count")
+    said = F.to_json(F.struct(F.lit("event_msg").alias("type"), _stamp().alias("timestamp"), F.struct(channel.alias("type"), F.col("text").alias("message")).alias("payload")))
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/"), F.col("turn").cast("string")).alias("cwd"), F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("session_id")).alias("payload")))
+    return c.select(said.alias("value"), F.col("conv_id").cast("string").alias("path"), F.expr("turn * 2 + 1").alias("pos")).unionByName(
+        c.filter("turn % 3 = 1").select(meta.alias("value"), F.col("conv_id").cast("string").alias("path"), F.expr("turn * 2").alias("pos"))
+    )
+
+
 @query(
     f"""WITH c AS (SELECT *, min(turn) FILTER (turn % 3 = 1) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT CASE role WHEN 'user' THEN 'user'
     ELSE 'agent' END AS role, {_TS} AS ts,
@@ -526,15 +538,30 @@ def jsonl_user_filter(spark, sf_dir):
     md5({_SQUEEZED}) AS digest FROM c WHERE role IN ('user', 'assistant') AND {_SQUEEZED} IS NOT NULL"""
 )
 def codex_meta_fill(spark, sf_dir):
-    """Codex events, with a session_meta before every third turn; the first one of a file counts."""
-    c = table(spark, sf_dir, "conversations")
-    channel = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("token_count")
-    said = F.to_json(F.struct(F.lit("event_msg").alias("type"), _stamp().alias("timestamp"), F.struct(channel.alias("type"), F.col("text").alias("message")).alias("payload")))
-    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/"), F.col("turn").cast("string")).alias("cwd"), F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("session_id")).alias("payload")))
-    lines = c.select(said.alias("value"), F.col("conv_id").cast("string").alias("path"), F.expr("turn * 2 + 1").alias("pos")).unionByName(
-        c.filter("turn % 3 = 1").select(meta.alias("value"), F.col("conv_id").cast("string").alias("path"), F.expr("turn * 2").alias("pos"))
-    )
-    return codex.parse(lines).select("role", "ts", "cwd", "session_id", F.md5("text").alias("digest"))
+    """The first session_meta of a rollout counts."""
+    return codex.parse(_rollout_lines(spark, sf_dir)).select("role", "ts", "cwd", "session_id", F.md5("text").alias("digest"))
+
+
+@query(
+    f"""WITH c AS (SELECT *, min(turn) FILTER (turn % 3 = 1) OVER (PARTITION BY conv_id) AS first FROM conversations), l AS (SELECT CASE role WHEN 'user' THEN
+    'user' ELSE 'agent' END AS role, {_TS} AS ts, CASE WHEN turn >= first THEN '/w/' || first END AS cwd, CASE WHEN turn >= first THEN 's' || conv_id || '-' ||
+    first ELSE '' END AS session_id, md5({_SQUEEZED}) AS digest, CASE WHEN conv_id % 2 = 1 THEN 2 ELSE 1 END AS n FROM c WHERE role IN ('user', 'assistant')
+    AND {_SQUEEZED} IS NOT NULL),
+  g AS (SELECT role, session_id, digest, min(struct_pack(ts := ts, cwd := coalesce(cwd, ''))) AS v, CAST(sum(n) AS BIGINT) AS copies FROM l GROUP BY ALL)
+  SELECT role, session_id, digest, v.ts AS ts, nullif(v.cwd, '') AS cwd, copies FROM g"""
+)
+def stream_corrections(spark, sf_dir):
+    """The same rollouts as a stream: a third of their lines a micro-batch, in no order, and odd ones replayed in a second file."""
+    lines = _rollout_lines(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+    replayed = lines.filter("cast(path AS long) % 2 = 1").withColumn("path", F.concat(F.lit("r"), "path"))
+    place, log, checkpoint = (shared_folder(spark, n) for n in ("lines", "log", "checkpoint"))
+    all_ = lines.unionByName(replayed)
+    for third in range(3):  # a micro-batch each, as a trigger takes the oldest files first
+        all_.filter(F.pmod(F.xxhash64("path", "pos"), F.lit(3)) == third).write.mode("append").parquet(f"{place}/third={third}")
+    rollouts = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", max(1, -(-len(spark.read.parquet(place).inputFiles()) // 3))).parquet(place)
+    query_ = corrections.start(spark, log, checkpoint, rollouts=rollouts.select("value", "path", "pos"), availableNow=True)
+    query_.awaitTermination()
+    return corrections.current(spark, log).drop("harness")
 
 
 @query(

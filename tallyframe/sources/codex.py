@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json as sj
@@ -16,15 +16,9 @@ from . import files
 NEEDLES = ['"user_message"', '"agent_message"', '"session_meta"']
 
 
-def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column. `slim` puts
-    other columns in the place of `text`, before rows are joined with their file's session.
-
-    Most lines are dropped by a substring test before any is decoded. A file's first valid
-    session_meta gives the directory and session of the messages after it; later ones are forks'
-    and count for nothing. It is found by a hash aggregate, so no file is gathered or sorted."""
-    own = [c for c in ("error",) if c in lines.columns]
-    error = F.col("error").isNotNull() if own else F.lit(False)
+def _decoded(lines: DataFrame, own: list[str], error: Column) -> DataFrame:
+    """path, pos and the valid record `r` of lines that may count, and rows with an error. Most lines
+    are dropped by a substring test before any is decoded."""
     value = F.regexp_replace("value", "[\r\n]+$", "")
     near = lines.filter(error | reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in NEEDLES]))
     df = near.select("path", "pos", *own, sj.once(sj.parse(value), error).alias("r"))
@@ -34,14 +28,42 @@ def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None
         *[sj.is_string(r, f"$.payload.{f}") for f in ("message", "cwd", "session_id")],
     )
     has = F.coalesce(sj.kind(sj.field(r, "$.payload")).startswith("OBJECT<"), F.lit(False))
-    df = df.filter(error | (sound & has))
-    kind = sj.string(r, "$.type")
-    metas = df.filter(kind == "session_meta").select("path", F.struct("pos", sj.string(r, "$.payload.cwd").alias("cwd"), F.coalesce(sj.string(r, "$.payload.session_id"), F.lit("")).alias("session")).alias("m"))
+    return df.filter(error | (sound & has))
+
+
+def _columns() -> dict[str, Column]:
+    """What records `r` say, by name."""
+    r = F.col("r")
+    kind, channel = sj.string(r, "$.type"), sj.string(r, "$.payload.type")
+    return {
+        "mark": kind == "session_meta", "said": (kind == "event_msg") & channel.isin("user_message", "agent_message"), "cwd": sj.string(r, "$.payload.cwd"), "session": F.coalesce(sj.string(r, "$.payload.session_id"), F.lit("")),
+        "role": F.when(channel == "user_message", "user").otherwise("agent"), "ts": sj.rfc3339_ms(sj.string(r, "$.timestamp")), "raw": sj.string(r, "$.payload.message"),
+    }
+
+
+def events(lines: DataFrame) -> DataFrame:
+    """Sessions (`mark`, with cwd and session) and messages (role, ts, text) of lines, not joined yet: what a
+    stream can tell of each line alone."""
+    c = _columns()
+    df = _decoded(lines, [], F.lit(False)).filter(c["mark"] | c["said"])
+    rows = df.select("path", "pos", *[c[k].alias(k) for k in ("mark", "role", "ts", "raw")], *[F.when(c["mark"], c[k]).alias(k) for k in ("cwd", "session")])
+    said = rows.filter(F.col("mark") | F.col("ts").isNotNull())
+    return said.select("path", "pos", "mark", "cwd", "session", "role", "ts", sj.once(strip("raw"), F.col("mark")).alias("text"))
+
+
+def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column. `slim` puts
+    other columns in the place of `text`, before rows are joined with their file's session.
+
+    A file's first valid session_meta gives the directory and session of the messages after it; later ones are forks'
+    and count for nothing. It is found by a hash aggregate, so no file is gathered or sorted."""
+    own = [c for c in ("error",) if c in lines.columns]
+    error = F.col("error").isNotNull() if own else F.lit(False)
+    c = _columns()
+    df = _decoded(lines, own, error)
+    metas = df.filter(c["mark"]).select("path", F.struct("pos", c["cwd"].alias("cwd"), c["session"].alias("session")).alias("m"))
     first = metas.groupBy(F.col("path").alias("__path")).agg(F.min("m").alias("meta"))
-    channel = sj.string(r, "$.payload.type")
-    said = df.filter(error | ((kind == "event_msg") & channel.isin("user_message", "agent_message"))).select(
-        "path", "pos", *own, F.when(channel == "user_message", "user").otherwise("agent").alias("role"), sj.rfc3339_ms(sj.string(r, "$.timestamp")).alias("ts"), sj.string(r, "$.payload.message").alias("raw")
-    )
+    said = df.filter(error | c["said"]).select("path", "pos", *own, *[c[k].alias(k) for k in ("role", "ts", "raw")])
     said = said.filter(error | F.col("ts").isNotNull()).select("path", "pos", *own, "role", "ts", sj.once(strip("raw"), error).alias("text"))
     said = slim(said) if slim else said
     held = [c for c in said.columns if c not in ("path", "pos", *own, "role", "ts")]
