@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..operators.clean import ANY_TAG, FENCES, PREAMBLES, REJECT_MARKERS, TAGS, WHITE
-from ..operators.lexicon import FOLD_FROM, FOLD_TO, TIER_WEIGHT, Compiled, compile_lexicon
+from ..operators.lexicon import FOLD_FROM, FOLD_TO, MASKED, TIER_WEIGHT, Compiled, compile_lexicon
 from .strict_json import RFC3339
 
 PREFIX = "tally_"
@@ -44,15 +44,15 @@ def _find(t: str, lexicon: Compiled) -> str:
     if not lexicon.spellings:
         return f"CAST(array() AS {kind})"
     fold, pattern = f"{quoted(FOLD_FROM)}, {quoted(FOLD_TO)}", quoted(lexicon.pattern)
-    found = f"regexp_extract_all({t}, {pattern}, 1)"
-    if lexicon.plain:
-        kept = f"filter({found}, m -> m <> '')"
-    else:
+    found = f"regexp_extract_all(x, {pattern}, 1)"
+    if lexicon.quick:
+        found = f"CASE WHEN x RLIKE {quoted(MASKED)} THEN {found} ELSE regexp_extract_all(x, {quoted(lexicon.quick)}, 1) END"
+    kept = f"transform(filter(get(transform(array({t}), x -> {found}), 0), m -> m <> ''), m -> translate(m, {fold}))"
+    if not lexicon.plain:
         allowed = ", ".join(quoted(a) for a in sorted(lexicon.allow))
-        pairs = f"zip_with({found}, regexp_extract_all({t}, {pattern}, 2), (m, r) -> named_struct('m', m, 'r', r))"
-        kept = f"transform(filter({pairs}, p -> p.m <> '' AND NOT array_contains(array({allowed}), translate(concat(p.m, p.r), {fold}))), p -> p.m)"
+        kept = f"transform(filter({kept}, m -> NOT array_contains(array({allowed}), m)), m -> regexp_extract(m, {quoted(lexicon.spelling)}, 0))"
     words, tiers = (f"map({', '.join(f'{quoted(s)}, {quoted(w[i])}' for s, w in lexicon.spellings.items())})" for i in (0, 1))
-    return f"CAST(transform(transform({kept}, m -> translate(m, {fold})), m -> named_struct('word', element_at({words}, m), 'tier', element_at({tiers}, m))) AS {kind})"
+    return f"CAST(transform({kept}, m -> named_struct('word', element_at({words}, m), 'tier', element_at({tiers}, m))) AS {kind})"
 
 
 def functions(lexicon: Compiled | None = None) -> list[tuple[str, str, str, str]]:

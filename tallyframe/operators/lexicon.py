@@ -108,12 +108,18 @@ MAX_PATTERN = 2_000
 @dataclass(frozen=True)
 class Compiled:
     """What matching needs: spellings with their word and tier, the regular expression (empty of more than MAX_PATTERN
-    spellings), and the allowed whole words. `plain`: no user words, for which the allowlist never matters."""
+    spellings), and the allowed whole words. `plain`: no user words, for which the allowlist never matters.
+
+    Group 1 of `pattern` is a hit, with the rest of its word unless `plain`. `quick` is the same for texts in which no
+    mask stands before a word character (see MASKED), and empty where words hold other characters; `spelling` is
+    what of a hit and the rest of its word is the hit."""
 
     spellings: dict[str, tuple[str, str]]
     pattern: str
     allow: frozenset[str]
     plain: bool
+    quick: str = ""
+    spelling: str = ""
 
 
 def _trie_pattern(words: list[str]) -> str:
@@ -155,6 +161,10 @@ def unfolded(c: str) -> str:
 #: Characters of words, once folded: `@`, `$` and `!` fold to letters, no word character folds to anything else.
 _WORD = "[" + r"\w'" + "".join(re.escape(f) for f, t in zip(FOLD_FROM, FOLD_TO, strict=True) if t.isalpha() and not f.isalnum()) + "]"
 
+#: A mask before a word character. What begins inside another spelling is no part of a longer word only after one, so in texts
+#: without any, rejected matches hide nothing and need not be found.
+MASKED = unfolded(MASK) + _WORD
+
 
 def compile_lexicon(overrides: Overrides | None = None) -> Compiled:
     """Built-in words without the removed ones, then the added ones; a word keeps its first tier."""
@@ -176,7 +186,13 @@ def compile_lexicon(overrides: Overrides | None = None) -> Compiled:
         return Compiled(spellings, "", allow, False)
     trie = _trie_pattern(list(spellings))
     ends = "|".join("".join(map(unfolded, s)) for s in SUFFIXES)
-    # Most characters begin no word. An accepted match has groups 1 and 2; a rejected one is consumed by the last branch.
-    gate = f"(?={_one_of(''.join(dict.fromkeys(_raw(s[0]) for s in spellings)))})"
-    pattern = rf"{gate}(?:(?<!{_WORD})((?>{trie})(?=({_WORD}*))(?=(?:{ends})?(?!{_WORD})))|(?>{trie}))"
-    return Compiled(spellings, pattern, allow, not overrides.add and not overrides.allow)
+    # Most characters begin no word.
+    gate = f"(?={''.join(_one_of(''.join(dict.fromkeys(_raw(s[i]) for s in spellings))) for i in range(min(2, min(map(len, spellings)))))})"
+    plain = not overrides.add and not overrides.allow
+    rest = "" if plain else f"{_WORD}*"
+    hit = rf"(?>{trie})(?=(?:{ends})?(?!{_WORD})){rest}"
+    # An accepted match has group 1; a rejected one is consumed by the last branch.
+    pattern = rf"{gate}(?:(?<!{_WORD})(?=({hit}))(?>{trie})|(?>{trie}))"
+    simple = all(re.fullmatch(rf"[a-z0-9_'{MASK}]+", s) and MASK * 2 not in s for s in spellings)
+    quick = rf"{gate}(?<!{_WORD})({hit})" if simple else ""
+    return Compiled(spellings, pattern, allow, plain, quick, f"^(?>{trie})")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .lexicon import FOLD_FROM, FOLD_TO, MAX_PATTERN, SUFFIXES, TIER_WEIGHT, Compiled, compile_lexicon
+from .clean import let
+from .lexicon import FOLD_FROM, FOLD_TO, MASKED, MAX_PATTERN, SUFFIXES, TIER_WEIGHT, Compiled, compile_lexicon
 
 #: Bytes of spellings, words and allowed words that are broadcast.
 MAX_LEXICON_BYTES = 256 << 20
@@ -91,17 +92,16 @@ def find(text: Column | str, lexicon: Compiled | None = None) -> Column:
         return F.array().cast(_NONE)
     if not lexicon.pattern:
         return _automaton(text, lexicon)
-    pattern = F.lit(lexicon.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(1))
-    if lexicon.plain:
-        kept = F.filter(found, lambda m: m != "")
-    else:
-        tails = F.regexp_extract_all(text, pattern, F.lit(2))
+
+    def all_of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(lexicon.pattern), F.lit(1))
+        return F.when(t.rlike(MASKED), found).otherwise(F.regexp_extract_all(t, F.lit(lexicon.quick), F.lit(1))) if lexicon.quick else found
+
+    text = F.col(text) if isinstance(text, str) else text
+    kept = F.transform(F.filter(let(text, all_of), lambda m: m != ""), normalise)
+    if not lexicon.plain:
         allowed = F.array(*[F.lit(a) for a in sorted(lexicon.allow)])
-        pairs = F.arrays_zip(found.alias("m"), tails.alias("t"))
-        fine = F.filter(pairs, lambda p: (p["m"] != "") & ~F.array_contains(allowed, normalise(F.concat(p["m"], p["t"]))))
-        kept = F.transform(fine, lambda p: p["m"])
-    kept = F.transform(kept, normalise)
+        kept = F.transform(F.filter(kept, lambda m: ~F.array_contains(allowed, m)), lambda m: F.regexp_extract(m, lexicon.spelling, 0))
     words = F.create_map(*[F.lit(x) for s, (w, _) in lexicon.spellings.items() for x in (s, w)])
     tiers = F.create_map(*[F.lit(x) for s, (_, t) in lexicon.spellings.items() for x in (s, t)])
     return F.transform(kept, lambda m: F.struct(F.element_at(words, m).alias("word"), F.element_at(tiers, m).alias("tier")))
@@ -115,5 +115,6 @@ def weight(hits: Column | str) -> Column:
 
 
 def tally(scored: DataFrame, hits: str = "hits") -> DataFrame:
-    """Hits by word and tier: word, tier, count."""
-    return scored.select(F.explode(hits).alias("h")).groupBy(F.col("h.word").alias("word"), F.col("h.tier").alias("tier")).agg(F.count(F.lit(1)).alias("count"))
+    """Hits by word and tier: word, tier, count. An outer generator, as of another the optimizer tests the size first, and
+    makes the hits again for each test."""
+    return scored.select(F.explode_outer(hits).alias("h")).filter("h IS NOT NULL").groupBy(F.col("h.word").alias("word"), F.col("h.tier").alias("tier")).agg(F.count(F.lit(1)).alias("count"))
