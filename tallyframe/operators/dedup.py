@@ -26,7 +26,8 @@ def winners(rows: DataFrame, key: list[str], address: str) -> DataFrame:
     times = each.groupBy(*key, "ts").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.count(F.lit(1)).alias("folders"))
     first = times.groupBy(*key).agg(F.min("ts").alias("__ts"), F.sum("n").alias("copies"), F.min_by("a", "ts").alias("__a"), F.min_by("folders", "ts").alias("__folders"))
     tied = first.filter("__folders > 1").select(*[F.col(k).alias(f"__{k}") for k in key], "__ts")
-    same = [each[k].eqNullSafe(F.col(f"__{k}")) for k in key] + [each["ts"] == F.col("__ts")]
+    # Null-safe, as a test for nulls would make this side another table than `first`'s, and read all rows once more.
+    same = [each[k].eqNullSafe(F.col(f"__{k}")) for k in key] + [each["ts"].eqNullSafe(F.col("__ts"))]
     settled = each.join(tied, same).groupBy(*[f"__{k}" for k in key]).agg(F.min(F.struct("cwd", "a")).alias("__least"))
     one = first.join(settled, [first[k].eqNullSafe(settled[f"__{k}"]) for k in key], "left")
     return one.select(F.coalesce("__least.a", "__a").alias(f"__{address}"), "copies")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projects import with_projects
@@ -108,11 +108,11 @@ def projects(scored: DataFrame) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, role: str) -> DataFrame:
-    """Words by count, then name; shares of a total that is one row."""
+    """Words by count, then name; shares of a total over the rows of the words, so that messages are read once."""
     own = scored.filter(F.col("role") == role)
     words = own.filter(F.col("word").isNotNull()).groupBy("word", "tier").agg(F.sum("count").alias("count")) if "word" in scored.columns else tally(own)
-    total = words.agg(F.sum("count").alias("total"))
-    return words.crossJoin(F.broadcast(total)).select("word", "tier", "count", (F.col("count") / F.col("total")).alias("share")).orderBy(F.desc("count"), "word")
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return words.select("word", "tier", "count", (F.col("count") / total).alias("share")).orderBy(F.desc("count"), "word")
 
 
 def top_words(scored: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from ..sources import claude, codex, cursor, export, files, store
 from ..streaming import corrections
 from . import oracle as o
 from .incremental import State
-from .scan import report_for, scan
+from .scan import facts, report_for, scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,7 +61,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str, lexicon=None) -> DataFrame:
-    return report.score(d.dedup(messages(spark, sf_dir), "doc_id"), lexicon, look_up=False)
+    """Facts of the deduplicated messages: no text is shuffled."""
+    return report.score(d.dedup(facts(lexicon)(messages(spark, sf_dir)), "doc_id"), look_up=False)
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -764,14 +765,15 @@ def store_round_trip(spark, sf_dir):
 def sql_clean_and_match(spark, sf_dir):
     """Cleaning and matching in SQL alone."""
     sql.register(spark)
-    return spark.sql(f"SELECT doc_id, md5(tally_strip(t)) AS digest, CAST(size(tally_find(t)) AS BIGINT) AS hits, tally_weight(tally_find(t)) AS weight FROM (SELECT doc_id, {INJECTED} AS t FROM {{docs}})", docs=table(spark, sf_dir, "documents"))
+    found = f"SELECT doc_id, md5(tally_strip(t)) AS digest, tally_find(t) AS h FROM (SELECT doc_id, {INJECTED} AS t FROM {{docs}})"  # (one call, as each is worked out)
+    return spark.sql(f"SELECT doc_id, digest, CAST(size(h) AS BIGINT) AS hits, tally_weight(h) AS weight FROM ({found})", docs=table(spark, sf_dir, "documents"))
 
 
 @query(_doc_hits_sql("text", CUSTOM))
 def sql_match_overrides(spark, sf_dir):
     sql.register(spark, CUSTOM)
-    hits = "SELECT doc_id, tally_find(text) AS hits FROM {docs}"  # (SQL functions can't stand in a generator)
-    return spark.sql(f"SELECT doc_id, h.word, h.tier, count(*) AS n FROM ({hits}) LATERAL VIEW explode(hits) x AS h GROUP BY ALL", docs=table(spark, sf_dir, "documents"))
+    hits = "SELECT doc_id, tally_find(text) AS hits FROM {docs}"  # (SQL functions can't stand in a generator; an outer one, see matcher.tally())
+    return spark.sql(f"SELECT doc_id, h.word, h.tier, count(*) AS n FROM ({hits}) LATERAL VIEW OUTER explode(hits) x AS h WHERE h IS NOT NULL GROUP BY ALL", docs=table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT page_id, len({o.tokens('html')}) AS words, md5({o.strip('html')}) AS digest FROM pages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import sql, strict_json
 from tallyframe.operators import clean, lexicon, matcher
 from tallyframe.operators.lexicon import ALLOWLIST, LEXICON, SUFFIXES, Overrides, compile_lexicon, load_overrides
+from tallyframe.plans.queries import QUERIES
 
 from . import model
 
@@ -153,3 +154,30 @@ def test_sql_functions(spark):
             assert r["t"] is None or r["n"] == r["n2"]
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("overrides", [None, Overrides([("the", "mild"), ("a\x01\x01", "mild")]), Overrides([("the", "mild"), ("th", "acronym")], [], ["thes", "these"])])
+def test_quick_pattern_finds_what_the_whole_one_finds(spark, overrides):
+    """On texts with a mask at the end of words at most; a word that holds two masks rules it out."""
+    c = compile_lexicon(overrides)
+    assert bool(c.quick) == (not overrides or bool(overrides.allow))
+    rng = random.Random(8)
+    parts = [w for w, _ in LEXICON] + SUFFIXES + ALLOWLIST + ["the", "th* ", "f# ", "'", "_", ".", "é", "4", " ", " ", "* ", "#.", "\x01-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("*", matcher.find("text", c).alias("q"), matcher.find("text", dataclasses.replace(c, quick="")).alias("p"), F.col("text").rlike(lexicon.MASKED).alias("m"))
+    rows = df.collect()
+    assert all(r["q"] == r["p"] for r in rows) and any(not r["m"] and r["q"] for r in rows)
+    assert [[h["word"] for h in r["q"]] for r in rows] == [[w for w, _ in model.find(t, c)] for t in texts]
+
+
+@pytest.mark.parametrize("name", ["match_tally", "sql_match_overrides", "sql_clean_and_match", "top_words", "projects"])
+def test_hits_are_made_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2, "the quick pattern and the whole one, each once"
+
+
+def test_messages_are_scored_before_they_are_joined(spark):
+    """No text above a join."""
+    plan = QUERIES["projects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "text#" not in above
