@@ -605,6 +605,7 @@ def _spoil(batches):
                 os.truncate(path, os.path.getsize(path) // 2)
             else:
                 db = sqlite3.connect(path)
+                db.execute("PRAGMA synchronous=OFF")
                 db.execute("PRAGMA journal_mode=WAL")
                 db.setconfig(sqlite3.SQLITE_DBCONFIG_NO_CKPT_ON_CLOSE, True)
                 db.execute("INSERT INTO blobs VALUES ('late', ?)", (b'{"role": "assistant", "content": "unseen"}',))

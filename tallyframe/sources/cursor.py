@@ -29,6 +29,8 @@ _ROWS = "path string, pos long, data binary, error string"
 _FIRST_MS, _LAST_MS = -62135596800000, 253402300799999
 #: Bytes of blobs that a batch holds, and rows.
 _BATCH_BYTES, _BATCH_ROWS = 4 << 20, 10_000
+#: The data source: bytes that a task reads, what opening a database counts as, and tasks that there are at least where these have a range each.
+_TASK_BYTES, _OPEN_BYTES, _LEAST_TASKS = 32 << 20, 64 << 10, 64
 #: Databases of other file systems come as one value, of no more bytes than an array has room for.
 MAX_FAR_BYTES = (1 << 31) - 1024
 
@@ -211,9 +213,30 @@ def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], Dat
     return parse(blobs(spark, own, done), metas(spark, own), slim)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, first: int | None, last: int | None):
-        self.path, self.first, self.last = path, first, last
+class _Ranges(InputPartition):
+    """Of each database (path, bytes), ranges `first` to `last` - 1 of those that it is cut to."""
+
+    def __init__(self, some: list[tuple[str, int, int, int]]):
+        self.some = some
+
+
+def packed(found: list[tuple[str, int]], split: int) -> list[_Ranges]:
+    """Databases (path, bytes) dealt to tasks, whose number hangs on bytes and not on databases or ranges. No database is opened."""
+    total = sum(size + _OPEN_BYTES for _, size in found)
+    most = max(split, min(_TASK_BYTES, total // _LEAST_TASKS))
+    out, held, weight = [], [], 0
+    for path, size in found:
+        parts = max(1, -(-size // split))
+        each = max(1, most // split)  # ranges of a task
+        for first in range(0, parts, each):
+            last = min(parts, first + each)
+            own = _OPEN_BYTES + size * (last - first) // parts
+            if held and weight + own > most:
+                out.append(_Ranges(held))
+                held, weight = [], 0
+            held.append((path, size, first, last))
+            weight += own
+    return [*out, _Ranges(held)] if held else out
 
 
 class _Reader(DataSourceReader):
@@ -225,15 +248,17 @@ class _Reader(DataSourceReader):
         if own is None:
             raise ValueError(f"sqlite_blobs reads local paths, not {self.path}")
         found = [(own, os.path.getsize(own))] if os.path.isfile(own) else [(r[1], r[2]) for r in files.expand(("cursor", own, "store.db"), 1 << 62)]
-        return [_Range(p, *r) for p, size in sorted(found, key=lambda x: (-x[1], x[0])) for r in ranges(p, size, self.split)]
+        return packed(sorted(found, key=lambda x: (-x[1], x[0])), self.split)
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        yield from read_blobs(partition.path, partition.first, partition.last)
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        for path, size, first, last in partition.some:
+            for r in ranges(path, size, self.split)[first:last]:
+                yield from read_blobs(path, *r)
 
 
 class SqliteBlobs(DataSource):
-    """Blobs of a chat database, or of all below a directory: path, pos, data, error. A partition is a database,
-    or a range of its row numbers of about `splitBytes` bytes."""
+    """Blobs of a chat database, or of all below a directory: path, pos, data, error. Databases are read in ranges
+    of row numbers of about `splitBytes` bytes; a partition has some of these, of one or many databases."""
 
     @classmethod
     def name(cls) -> str:

@@ -19,6 +19,8 @@ from ..functions.shipping import ship
 from . import files
 
 WRITTEN = "path string, rows long, bytes long"
+#: Files whose names a task holds at most before it hands them on.
+LOT = 1_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -39,6 +41,7 @@ def _write_database(path: str, values: Iterator[bytes | None]) -> int:
     db, n = sqlite3.connect(path), 0
     try:
         db.execute("PRAGMA journal_mode=OFF")
+        db.execute("PRAGMA synchronous=OFF")  # the file gets its name when it is whole; waiting for the disk once a file adds up
         db.execute("CREATE TABLE blobs (id TEXT PRIMARY KEY, data BLOB)")
         for v in values:
             db.execute("INSERT INTO blobs VALUES (?, ?)", (f"{n:012}", v))
@@ -49,10 +52,15 @@ def _write_database(path: str, values: Iterator[bytes | None]) -> int:
     return n
 
 
+def _done_batch(done: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*done, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], names=["path", "rows", "bytes"])
+
+
 def _write(home: str, writer: Callable[[str, Iterator], int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = _rows(batches)
     row = next(rows, None)
-    done = []
+    done: list[tuple] = []
     while row is not None:
         name = row[0]
 
@@ -69,8 +77,10 @@ def _write(home: str, writer: Callable[[str, Iterator], int], batches: Iterator[
         size = os.path.getsize(part)
         os.replace(part, path)
         done.append((path, n, size))
-    columns = list(zip(*done, strict=True)) or [()] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], names=["path", "rows", "bytes"])
+        if len(done) == LOT:
+            yield _done_batch(done)
+            done.clear()
+    yield _done_batch(done)
 
 
 def _written(rows: DataFrame, home: str, writer: Callable[[str, Iterator], int]) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import sqlite3
 import threading
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,19 @@ def test_databases_in_ranges(spark, tmp_path, small_splits):
     assert spark.read.format("sqlite_blobs").load(str(tmp_path / "plain" / "store.db")).count() == 500
 
 
+def test_many_small_databases_share_tasks():
+    """Every range of every database is in one task; the tasks' number hangs on bytes."""
+    small = [(f"/x/{i}/store.db", 12_288) for i in range(20_000)]
+    found = [("/x/large/store.db", (1 << 30) + 1), *small, ("/x/empty/store.db", 0)]
+    tasks = cursor.packed(found, 8192)
+    assert 64 <= len(tasks) < 200
+    held = [(path, k) for t in tasks for path, _, first, last in t.some for k in range(first, last)]
+    assert len(held) == len(set(held))
+    assert {p: n for p, n in Counter(p for p, _ in held).items()} == {p: max(1, -(-size // 8192)) for p, size in found}
+    large = [("/x/a/store.db", (256 << 20) + 1), ("/x/b/store.db", 100)]
+    assert [t.some for t in cursor.packed(large, 128 << 20)] == [[(*large[0], k, k + 1)] for k in range(2)] + [[(*large[0], 2, 3), (*large[1], 0, 1)]]
+
+
 @pytest.fixture
 def home(tmp_path):
     own = tmp_path / "home"
