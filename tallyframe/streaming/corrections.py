@@ -44,19 +44,19 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         was = now = tuple(self.first.get()) if self.first.exists() else None
-        new = set()
+        new = {}
         for r in rows:
             if r["mark"]:
                 if now is None or r["pos"] < now[0]:
                     now = (r["pos"], r["cwd"], r["session"])
             elif not self.said.containsKey((r["pos"],)):
-                self.said.updateValue((r["pos"],), (r["role"], r["ts"], r["digest"]))
-                new.add(r["pos"])
+                new[r["pos"]] = (r["role"], r["ts"], r["digest"])
+                self.said.updateValue((r["pos"],), new[r["pos"]])
         if now != was:
             self.first.update(now)
             known = ((k[0], v) for k, v in self.said.iterator())
         else:
-            known = ((pos, self.said.getValue((pos,))) for pos in new)
+            known = new.items()  # not asked of the state again
         for pos, v in known:
             before, after = self._place(was, pos), self._place(now, pos)
             if pos in new:
