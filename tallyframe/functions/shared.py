@@ -32,4 +32,12 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """The table written once and read back: later steps neither make it again nor lose it with an executor."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what kept() wrote, before the application ends."""
+    where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._path)
+    where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projects import with_projects
+from ..functions.shared import discard, kept
 from .clean import word_count
 from .lexicon import Compiled
 from .matcher import find, tally, weight
@@ -183,9 +184,10 @@ def _many(df: DataFrame, name: str, *order: Column) -> DataFrame:
 def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generated_at: str | None = None) -> DataFrame:
     """The report as one row of nested columns; to_json of the row is the document.
 
-    Messages, or cells of them, are read in one pass; the sections are sums of cells, which are kept until release()."""
+    Messages, or cells of them, are read in one pass; the sections are sums of cells, which are written once, in as few parts
+    as they fill, and kept until release()."""
     spark = scored.sparkSession
-    scored = (scored if "word" in scored.columns else cells(scored)).persist()
+    scored = kept(scored if "word" in scored.columns else cells(scored), "cells")
     if isinstance(stats, ScanStats):
         stats = spark.createDataFrame([tuple(vars(stats).values())], "files_scanned long, files_failed long, bytes_scanned long, duplicates_dropped long")
     by_count = (-F.col("count"), F.col("word"))
@@ -214,7 +216,7 @@ def build(scored: DataFrame, stats: DataFrame | ScanStats, version: str, generat
 
 def release(report: DataFrame) -> None:
     """Give up what build() keeps, once the report is read."""
-    report._kept.unpersist()
+    discard(report._kept)
 
 
 def to_json(report: DataFrame) -> DataFrame:
