@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json as sj
+from ..functions.shared import kept
 from ..operators.clean import strip
 from . import files
 
@@ -51,21 +52,24 @@ def events(lines: DataFrame) -> DataFrame:
     return said.select("path", "pos", "mark", "cwd", "session", "role", "ts", sj.once(strip("raw"), F.col("mark")).alias("text"))
 
 
-def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Messages of lines (value, path, pos), and the rows with an error, if the lines have that column. `slim` puts
-    other columns in the place of `text`, before rows are joined with their file's session.
+    other columns in the place of `text`, before rows are joined with their file's session; `hold` may write what was read,
+    which is named twice.
 
     A file's first valid session_meta gives the directory and session of the messages after it; later ones are forks'
     and count for nothing. It is found by a hash aggregate, so no file is gathered or sorted."""
     own = [c for c in ("error",) if c in lines.columns]
     error = F.col("error").isNotNull() if own else F.lit(False)
     c = _columns()
-    df = _decoded(lines, own, error)
-    metas = df.filter(c["mark"]).select("path", F.struct("pos", c["cwd"].alias("cwd"), c["session"].alias("session")).alias("m"))
-    first = metas.groupBy(F.col("path").alias("__path")).agg(F.min("m").alias("meta"))
-    said = df.filter(error | c["said"]).select("path", "pos", *own, *[c[k].alias(k) for k in ("role", "ts", "raw")])
-    said = said.filter(error | F.col("ts").isNotNull()).select("path", "pos", *own, "role", "ts", sj.once(strip("raw"), error).alias("text"))
-    said = slim(said) if slim else said
+    mark = F.coalesce(c["mark"], F.lit(False))
+    df = _decoded(lines, own, error).filter(error | mark | c["said"])
+    meta = F.when(mark, F.struct("pos", c["cwd"].alias("cwd"), c["session"].alias("session"))).alias("m")
+    rows = df.select("path", "pos", *own, meta, "r").select("path", "pos", *own, "m", *[(F.when(F.col("m").isNull(), c[k]) if k == "raw" else c[k]).alias(k) for k in ("role", "ts", "raw")])
+    rows = rows.filter(error | F.col("m").isNotNull() | F.col("ts").isNotNull()).select("path", "pos", *own, "m", "role", "ts", sj.once(strip("raw"), error | F.col("m").isNotNull()).alias("text"))
+    both = hold(slim(rows) if slim else rows)
+    said = both.filter("m IS NULL").drop("m")
+    first = both.filter("m IS NOT NULL").groupBy(F.col("path").alias("__path")).agg(F.min("m").alias("meta"))
     held = [c for c in said.columns if c not in ("path", "pos", *own, "role", "ts")]
     after = F.col("meta.pos") < F.col("pos")
     joined = said.join(first, F.col("path") == F.col("__path"), "left")
@@ -77,4 +81,4 @@ def parse(lines: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None
 def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, **how) -> DataFrame:
     """Messages of listed rollouts, with path and error; see files.lines(). Lines that count for nothing are
     dropped where they are read."""
-    return parse(files.lines(spark, listed.filter("harness = 'codex'"), needles=NEEDLES, **how), slim)
+    return parse(files.lines(spark, listed.filter("harness = 'codex'"), needles=NEEDLES, **how), slim, lambda df: kept(df, "rollouts"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import strict_json as sj
+from ..functions.shared import kept
 from ..functions.shipping import ship
 from ..operators.clean import WHITE, strip
 from . import files
@@ -130,8 +131,11 @@ def blobs(spark: SparkSession, listed: DataFrame, done: Accumulator | None = Non
     ship(spark)
     split, tell = files.split_bytes(spark), files.teller(done)
     near = listed.filter(~F.col("path").contains("://"))
-    parts = files.dealt(near, near.select("path", "bytes", "modified"), split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, modified long, part long, first long, last long")
-    rows = files.dealt(near, parts, split).mapInArrow(lambda it: _read(tell, it), _ROWS + ", modified long")
+    whole, large = near.select("path", "bytes", "modified").filter(F.col("bytes") <= split), near.select("path", "bytes", "modified").filter(F.col("bytes") > split)
+    parts = whole.select("*", *[F.lit(x).cast("long").alias(c) for c, x in (("part", 0), ("first", None), ("last", None))])
+    if not large.isEmpty():  # only these are opened to be cut
+        parts = parts.unionByName(files.dealt(large, large, split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, modified long, part long, first long, last long"))
+    rows = files.dealt(near, parts, split).mapInArrow(lambda it: files.together(_read(tell, it)), _ROWS + ", modified long")
     far = listed.filter(F.col("path").contains("://"))
     if not far.isEmpty():
         fits = F.col("bytes") <= MAX_FAR_BYTES
@@ -149,15 +153,23 @@ def _far_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _read_metas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Directories to (dir, content) of the meta.json files that can be read."""
+
+    def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["dir", "content"])
+
     for b in batches:
-        rows = []
+        rows, size = [], 0
         for folder in b.column(0).to_pylist():
             try:
                 with open(os.path.join(folder, "meta.json"), "rb") as f:
                     rows.append((folder, f.read()))
             except OSError:
                 continue
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["dir", "content"])
+            size += len(rows[-1][1])
+            if size > _BATCH_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+        yield batch(rows)
 
 
 def metas(spark: SparkSession, listed: DataFrame) -> DataFrame:
@@ -177,9 +189,9 @@ def metas(spark: SparkSession, listed: DataFrame) -> DataFrame:
     return fine.select("__dir", sj.string(r, "$.cwd").alias("meta_cwd"), F.try_variant_get(r, "$.createdAtMs", "long").alias("created"), F.try_variant_get(r, "$.updatedAtMs", "long").alias("updated"))
 
 
-def parse(rows: DataFrame, meta: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def parse(rows: DataFrame, meta: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Messages of blobs (dir, modified, pos, data) and metas, and the rows with an error, if the blobs have that column.
-    `slim` puts other columns in the place of `text`, before rows are joined with their chat's.
+    `slim` puts other columns in the place of `text`, before rows are joined with their chat's; `hold` may write what was read, which is named twice.
 
     Of a user's blob the first <user_query> counts, without one it is ambient. A chat's
     directory is its meta's, else that of the first `Workspace Path:` line of a user's blob, from there on. All
@@ -192,13 +204,16 @@ def parse(rows: DataFrame, meta: DataFrame, slim: Callable[[DataFrame], DataFram
     df = df.filter(error | (sj.is_string(r, "$.role", optional=False) & sj.is_content(r, "$.content")))
     content = F.when(sj.is_text(r, "$.content"), sj.string(r, "$.content")).otherwise(F.coalesce(sj.blocks_text(r, "$.content"), F.lit("")))
     df = df.select(*own, "dir", "modified", "pos", sj.string(r, "$.role").alias("who"), content.alias("raw")).filter(error | F.col("who").isin("user", "assistant"))
+    df = df.select(*own, "dir", "modified", "pos", "who", sj.once(F.col("raw"), error).alias("raw"))
     at = F.regexp_extract("raw", rf"(?md)^[{WHITE.replace(chr(92) + 'n', '')}]*Workspace Path:([^\n]*)", 1)
     space = F.nullif(F.regexp_replace(at, f"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))
-    found = df.filter("who = 'user'").select(F.col("dir").alias("__space_dir"), F.when(space.isNotNull(), F.struct("pos", space.alias("cwd"))).alias("s")).filter("s IS NOT NULL").groupBy("__space_dir").agg(F.min("s").alias("space"))
     body = F.when(F.col("who") == "assistant", F.col("raw")).when(F.col("raw").rlike("(?s)<user_query>.*?</user_query>"), F.regexp_extract("raw", "(?s)<user_query>(.*?)</user_query>", 1))
-    said = df.select(*own, "dir", "modified", "pos", "who", sj.once(strip(body), error).alias("text"))
-    said = slim(said) if slim else said
-    held = [c for c in said.columns if c not in (*own, "dir", "modified", "pos", "who")]
+    df = df.select(*own, "dir", "modified", "pos", "who", F.when((F.col("who") == "user") & space.isNotNull(), F.struct("pos", space.alias("cwd"))).alias("s"), body.alias("body"))
+    said = df.select(*own, "dir", "modified", "pos", "who", "s", sj.once(strip("body"), error | F.col("s").isNotNull()).alias("text")).withColumn("__said", error | F.col("text").isNotNull())
+    both = hold(slim(said) if slim else said)
+    held = [c for c in both.columns if c not in (*own, "dir", "modified", "pos", "who", "s", "__said")]
+    said = both.filter("__said").drop("s", "__said")
+    found = both.filter("s IS NOT NULL").groupBy(F.col("dir").alias("__space_dir")).agg(F.min("s").alias("space"))
     joined = said.join(meta, F.col("dir") == F.col("__dir"), "left").join(found, F.col("dir") == F.col("__space_dir"), "left")
     stamp = F.coalesce("updated", "created")
     return joined.select(
@@ -210,7 +225,7 @@ def parse(rows: DataFrame, meta: DataFrame, slim: Callable[[DataFrame], DataFram
 def read(spark: SparkSession, listed: DataFrame, slim: Callable[[DataFrame], DataFrame] | None = None, done: Accumulator | None = None) -> DataFrame:
     """Messages of listed chats, with path and error."""
     own = listed.filter("harness = 'cursor'")
-    return parse(blobs(spark, own, done), metas(spark, own), slim)
+    return parse(blobs(spark, own, done), metas(spark, own), slim, lambda df: kept(df, "chats"))
 
 
 class _Ranges(InputPartition):
@@ -251,9 +266,8 @@ class _Reader(DataSourceReader):
         return packed(sorted(found, key=lambda x: (-x[1], x[0])), self.split)
 
     def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
-        for path, size, first, last in partition.some:
-            for r in ranges(path, size, self.split)[first:last]:
-                yield from read_blobs(path, *r)
+        own = ((path, *r) for path, size, first, last in partition.some for r in ranges(path, size, self.split)[first:last])
+        return files.together(b for r in own for b in read_blobs(*r))
 
 
 class SqliteBlobs(DataSource):

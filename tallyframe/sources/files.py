@@ -44,8 +44,8 @@ _FOUND = LISTED + ", name string, folder boolean"
 LINES = "value string, path string, pos long, error string"
 #: Entries that a task lists before it hands on the directories that are left.
 STEP_ENTRIES = 20_000
-#: Directories that a task of a step takes.
-STEP_FOLDERS = 64
+#: Directories that a task of a step takes, where there are more than tasks can run at a time, and at most on average.
+STEP_FOLDERS, MOST_FOLDERS = 64, 1_024
 #: Bytes that are read at once, and that a batch of lines holds.
 BLOCK = 4 << 20
 #: Files that a reading task takes at most, on average.
@@ -130,6 +130,11 @@ def _expand_all(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield _found_batch(held)
 
 
+def step_tasks(n: int, slots: int) -> int:
+    """Tasks of a step over n directories: one each of few, else some for each slot, and more where these had too many."""
+    return max(1, min(10_000, n, max(STEP_FOLDERS, 4 * slots, -(-n // MOST_FOLDERS))))
+
+
 def walk(spark: SparkSession, starts: list[tuple[str, str, str]], most: int = STEP_ENTRIES) -> DataFrame:
     """LISTED rows of the files below directories (harness, path, pattern), each file once."""
     own = [(h, at, g) for h, p, g in starts if (at := local(p)) is not None]
@@ -138,7 +143,7 @@ def walk(spark: SparkSession, starts: list[tuple[str, str, str]], most: int = ST
         ship(spark)
         frontier, n = spark.createDataFrame(own, "harness string, path string, name string"), len(own)
         while n:
-            dealt = frontier.repartition(max(1, min(10_000, n if n < STEP_FOLDERS else -(-n // STEP_FOLDERS) * 4)), "path")
+            dealt = frontier.repartition(step_tasks(n, spark.sparkContext.defaultParallelism), "path")
             step = kept(dealt.mapInArrow(lambda it: _expand_all(most, it), _FOUND), "walk")
             steps.append(step.filter("not folder"))
             frontier = step.filter("folder").select("harness", "path", "name")
@@ -210,6 +215,21 @@ def dealt(listed: DataFrame, rows: DataFrame, split: int) -> DataFrame:
     return rows.repartition(max(1, min(100_000, -(-size // split) + n // TASK_FILES, n + size // split)))
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BLOCK bytes, or of `rows` rows. Most files are small, and a batch costs Spark more than its rows do."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= BLOCK:
+            yield pa.concat_batches(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _line_batch(path: str, held: list[bytes], at: list[int]) -> pa.RecordBatch:
     n = len(held)
     return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([path] * n, pa.string()), pa.array(at, pa.int64()), pa.nulls(n, pa.string())], names=["value", "path", "pos", "error"])
@@ -295,7 +315,7 @@ def lines(spark: SparkSession, listed: DataFrame, *, needles: list[str] | None =
     ranges = near.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"), "bytes")
     ranges = ranges.select("path", "begin", F.when(F.col("begin") + split >= F.col("bytes"), F.greatest("bytes", F.lit(1))).otherwise(F.col("begin") + split).alias("end"), "bytes")
     opener, wanted, tell = open_file or _open, [n.encode() for n in needles or []], teller(done)
-    rows = dealt(near, ranges, split).mapInArrow(lambda it: _read_lines(opener, wanted, tell, it), "value binary, path string, pos long, error string")
+    rows = dealt(near, ranges, split).mapInArrow(lambda it: together(_read_lines(opener, wanted, tell, it)), "value binary, path string, pos long, error string")
     rows = rows.select(F.col("value").cast("string").alias("value"), "path", "pos", "error")
     if not open_file and not (far := listed.filter(F.col("path").contains("://"))).isEmpty():
         rows = rows.unionByName(far_lines(spark, far))
