@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -28,6 +30,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's few rows. They come as Arrow, so that no task starts a Python process to unpack them, as for a plain list."""
+    names = StructType.fromDDL(schema).names
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))), schema) if rows else spark.range(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in StructType.fromDDL(schema)])
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """The table written once and read back: later steps neither make it again nor lose it with an executor."""
     path = shared_folder(df.sparkSession, name)

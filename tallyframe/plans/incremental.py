@@ -20,7 +20,7 @@ from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import kept
+from ..functions.shared import kept, small
 from ..operators import dedup as d
 from ..operators import report
 from ..operators.lexicon import Compiled, compile_lexicon
@@ -63,13 +63,13 @@ class State:
         """The last scan's number and manifest."""
         last = max(self._numbers("files"), default=0)
         if not last:
-            return 0, self.spark.createDataFrame([], MANIFEST)
+            return 0, small(self.spark, [], MANIFEST)
         return last, self.spark.read.schema(MANIFEST).parquet(f"{self.path}/files/scan={last}")
 
     def facts(self, parts: list[int]) -> DataFrame:
         """Facts of some parts, with their part; addresses are unique in a part."""
         if not parts:
-            return self.spark.createDataFrame([], FACTS + ", part long")
+            return small(self.spark, [], FACTS + ", part long")
         own = [self.spark.read.schema(FACTS).parquet(f"{self.path}/facts/part={p}").withColumn("part", F.lit(p).cast("long")) for p in parts]
         out = own[0]
         for o in own[1:]:
@@ -90,7 +90,7 @@ class State:
         known = old.filter(F.col("live") & ~F.col("failed")).select("harness", "path", "version", "part")
         joined = kept(listed.join(known, ["harness", "path", "version"], "left"), "known")
         fresh = joined.filter("part IS NULL").drop("part")
-        failed = spark.createDataFrame([], "path string")
+        failed = small(spark, [], "path string")
         if not fresh.isEmpty():
 
             def work(done: Accumulator | None) -> DataFrame:

@@ -597,21 +597,18 @@ _LOGGED = "SELECT conv_id, turn, role, 'c' || conv_id || 't' || turn || ' ' || t
 _USER = "CASE role WHEN 'user' THEN 'user' ELSE 'agent' END"
 
 
-def _spoil(batches):
+def _spoil(path):
     """Chats with even names get a blob in a write-ahead log, others are cut in the middle."""
-    for b in batches:
-        for path in b.column(0).to_pylist():
-            if int(path.split("/")[-2]) % 2:
-                os.truncate(path, os.path.getsize(path) // 2)
-            else:
-                db = sqlite3.connect(path)
-                db.execute("PRAGMA synchronous=OFF")
-                db.execute("PRAGMA journal_mode=WAL")
-                db.setconfig(sqlite3.SQLITE_DBCONFIG_NO_CKPT_ON_CLOSE, True)
-                db.execute("INSERT INTO blobs VALUES ('late', ?)", (b'{"role": "assistant", "content": "unseen"}',))
-                db.commit()
-                db.close()
-        yield b
+    if int(path.split("/")[-2]) % 2:
+        os.truncate(path, os.path.getsize(path) // 2)
+    else:
+        db = sqlite3.connect(path)
+        db.execute("PRAGMA synchronous=OFF")
+        db.execute("PRAGMA journal_mode=WAL")
+        db.setconfig(sqlite3.SQLITE_DBCONFIG_NO_CKPT_ON_CLOSE, True)
+        db.execute("INSERT INTO blobs VALUES ('late', ?)", (b'{"role": "assistant", "content": "unseen"}',))
+        db.commit()
+        db.close()
 
 
 def _logs(spark, sf_dir):
@@ -642,7 +639,7 @@ def _home(spark, sf_dir):
     home = shared_folder(spark, "home")
     lines, chats = _logs(spark, sf_dir)
     kept(export.write_lines(lines, home), "written")
-    kept(export.write_databases(chats, home).mapInArrow(_spoil, export.WRITTEN), "written")
+    kept(export.write_databases(chats, home, _spoil), "written")
     return home
 
 

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import strict_json as sj
-from ..functions.shared import kept
+from ..functions.shared import kept, small
 from ..functions.shipping import ship
+from ..functions.workers import tidy
 from ..operators.clean import WHITE, strip
 from . import files
 
@@ -134,12 +135,12 @@ def blobs(spark: SparkSession, listed: DataFrame, done: Accumulator | None = Non
     whole, large = near.select("path", "bytes", "modified").filter(F.col("bytes") <= split), near.select("path", "bytes", "modified").filter(F.col("bytes") > split)
     parts = whole.select("*", *[F.lit(x).cast("long").alias(c) for c, x in (("part", 0), ("first", None), ("last", None))])
     if not large.isEmpty():  # only these are opened to be cut
-        parts = parts.unionByName(files.dealt(large, large, split).mapInArrow(lambda it: _cut(split, it), "path string, bytes long, modified long, part long, first long, last long"))
-    rows = files.dealt(near, parts, split).mapInArrow(lambda it: files.together(_read(tell, it)), _ROWS + ", modified long")
+        parts = parts.unionByName(files.dealt(large, large, split).mapInArrow(tidy(lambda it: _cut(split, it)), "path string, bytes long, modified long, part long, first long, last long"))
+    rows = files.dealt(near, parts, split).mapInArrow(tidy(lambda it: files.together(_read(tell, it))), _ROWS + ", modified long")
     far = listed.filter(F.col("path").contains("://"))
     if not far.isEmpty():
         fits = F.col("bytes") <= MAX_FAR_BYTES
-        found = _far_contents(spark, [r[0] for r in far.filter(fits).select("path").toLocalIterator()]).mapInArrow(_read_far, _ROWS)
+        found = _far_contents(spark, [r[0] for r in far.filter(fits).select("path").toLocalIterator()]).mapInArrow(tidy(_read_far), _ROWS)
         too_large = far.filter(~fits).select("path", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("data"), F.lit("the database is too large to be read from this file system").alias("error"))
         rows = rows.unionByName(found.unionByName(too_large).join(far.select("path", "modified"), "path"))
     return rows.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "modified", "pos", "data", "error")
@@ -147,7 +148,7 @@ def blobs(spark: SparkSession, listed: DataFrame, done: Accumulator | None = Non
 
 def _far_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
-        return spark.createDataFrame([], "path string, content binary")
+        return small(spark, [], "path string, content binary")
     return spark.read.format("binaryFile").load([files._uri(p) for p in paths]).select("path", "content")
 
 
@@ -177,7 +178,7 @@ def metas(spark: SparkSession, listed: DataFrame) -> DataFrame:
     ship(spark)
     folders = listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
     near = folders.filter(~F.col("dir").contains("://"))
-    found = near.repartition(max(1, min(10_000, near.count() // files.TASK_FILES + 1))).mapInArrow(_read_metas, "dir string, content binary")
+    found = near.repartition(max(1, min(10_000, near.count() // files.TASK_FILES + 1))).mapInArrow(tidy(_read_metas), "dir string, content binary")
     far = [r[0] for r in folders.filter(F.col("dir").contains("://")).toLocalIterator()]
     if far:
         own = [f"{d}/meta.json" for d in far if files.exists(spark, f"{d}/meta.json")]

@@ -16,16 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.workers import tidy
 from . import files
 
 WRITTEN = "path string, rows long, bytes long"
 #: Files whose names a task holds at most before it hands them on.
 LOT = 1_000
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for at in range(0, b.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, ROWS).columns), strict=True)
 
 
 def _write_text(path: str, values: Iterator[bytes | None]) -> int:
@@ -57,7 +61,7 @@ def _done_batch(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], names=["path", "rows", "bytes"])
 
 
-def _write(home: str, writer: Callable[[str, Iterator], int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(home: str, writer: Callable[[str, Iterator], int], after: Callable[[str], None] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = _rows(batches)
     row = next(rows, None)
     done: list[tuple] = []
@@ -76,6 +80,8 @@ def _write(home: str, writer: Callable[[str, Iterator], int], batches: Iterator[
         n = writer(part, own())
         size = os.path.getsize(part)
         os.replace(part, path)
+        if after:
+            after(path)
         done.append((path, n, size))
         if len(done) == LOT:
             yield _done_batch(done)
@@ -83,13 +89,13 @@ def _write(home: str, writer: Callable[[str, Iterator], int], batches: Iterator[
     yield _done_batch(done)
 
 
-def _written(rows: DataFrame, home: str, writer: Callable[[str, Iterator], int]) -> DataFrame:
+def _written(rows: DataFrame, home: str, writer: Callable[[str, Iterator], int], after: Callable[[str], None] | None = None) -> DataFrame:
     own = files.local(home)
     if own is None:
         raise ValueError(f"log files are written to local paths, not to {home}")
     ship(rows.sparkSession)
     dealt = rows.repartition("path").sortWithinPartitions("path", "pos").select("path", F.col("value").cast("binary"))
-    return dealt.mapInArrow(lambda it: _write(own, writer, it), WRITTEN)
+    return dealt.mapInArrow(tidy(lambda it: _write(own, writer, after, it)), WRITTEN)
 
 
 def write_lines(rows: DataFrame, home: str) -> DataFrame:
@@ -97,6 +103,7 @@ def write_lines(rows: DataFrame, home: str) -> DataFrame:
     return _written(rows, home, _write_text)
 
 
-def write_databases(rows: DataFrame, home: str) -> DataFrame:
-    """The same to a chat database a path, a blob a row in the order of pos; null values stay null."""
-    return _written(rows, home, _write_database)
+def write_databases(rows: DataFrame, home: str, after: Callable[[str], None] | None = None) -> DataFrame:
+    """The same to a chat database a path, a blob a row in the order of pos; null values stay null. `after` is given each
+    database's path when it is whole, by the task that wrote it: a step of its own would keep a second Python process a task."""
+    return _written(rows, home, _write_database, after)

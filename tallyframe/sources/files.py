@@ -26,8 +26,9 @@ from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import kept, shared_folder
+from ..functions.shared import kept, shared_folder, small
 from ..functions.shipping import ship
+from ..functions.workers import tidy
 
 ALL_HARNESSES = ["claude", "codex", "cursor"]
 # Where each harness keeps its logs, below the home directory, and their names.
@@ -90,7 +91,7 @@ def _entry(harness: str, path: str, name: str) -> tuple:
 def expand(start: tuple[str, str, str], most: int) -> Iterator[tuple]:
     """Rows of _FOUND below a directory (harness, path, pattern), depth first: regular files that fit, whatever their
     names; links are not followed, directories that can't be read are passed over. After `most` entries the directories
-    that are left are rows themselves."""
+    that are left are rows themselves, also those of a large directory as they are met, so no more than `most` are held."""
     harness, root, name = start
     todo, seen = [root], 0
     while todo:
@@ -103,7 +104,10 @@ def expand(start: tuple[str, str, str], most: int) -> Iterator[tuple]:
                     seen += 1
                     try:
                         if e.is_dir(follow_symlinks=False):
-                            todo.append(e.path)
+                            if seen > most:
+                                yield harness, e.path, None, None, None, name, True
+                            else:
+                                todo.append(e.path)
                         elif e.is_file(follow_symlinks=False) and fnmatch.fnmatchcase(e.name, name):
                             yield _entry(harness, e.path, name)
                     except OSError:
@@ -141,10 +145,10 @@ def walk(spark: SparkSession, starts: list[tuple[str, str, str]], most: int = ST
     steps = []
     if own:
         ship(spark)
-        frontier, n = spark.createDataFrame(own, "harness string, path string, name string"), len(own)
+        frontier, n = small(spark, own, "harness string, path string, name string"), len(own)
         while n:
             dealt = frontier.repartition(step_tasks(n, spark.sparkContext.defaultParallelism), "path")
-            step = kept(dealt.mapInArrow(lambda it: _expand_all(most, it), _FOUND), "walk")
+            step = kept(dealt.mapInArrow(tidy(lambda it: _expand_all(most, it)), _FOUND), "walk")
             steps.append(step.filter("not folder"))
             frontier = step.filter("folder").select("harness", "path", "name")
             n = frontier.count()
@@ -152,7 +156,7 @@ def walk(spark: SparkSession, starts: list[tuple[str, str, str]], most: int = ST
         if local(p) is None:
             steps.append(_walk_far(spark, h, p, g))
     if not steps:
-        return spark.createDataFrame([], LISTED)
+        return small(spark, [], LISTED)
     found = reduce(DataFrame.unionByName, [s.select("harness", "path", "bytes", "modified", "version") for s in steps])
     return found.dropDuplicates(["harness", "path"]) if len(starts) > 1 and len({p for _, p, _ in starts}) < len(starts) else found
 
@@ -202,7 +206,7 @@ def listing(spark: SparkSession, home: str, harnesses: list[str]) -> DataFrame:
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MESSAGE)
+    return small(spark, [], MESSAGE)
 
 
 def split_bytes(spark: SparkSession) -> int:
@@ -315,7 +319,7 @@ def lines(spark: SparkSession, listed: DataFrame, *, needles: list[str] | None =
     ranges = near.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"), "bytes")
     ranges = ranges.select("path", "begin", F.when(F.col("begin") + split >= F.col("bytes"), F.greatest("bytes", F.lit(1))).otherwise(F.col("begin") + split).alias("end"), "bytes")
     opener, wanted, tell = open_file or _open, [n.encode() for n in needles or []], teller(done)
-    rows = dealt(near, ranges, split).mapInArrow(lambda it: together(_read_lines(opener, wanted, tell, it)), "value binary, path string, pos long, error string")
+    rows = dealt(near, ranges, split).mapInArrow(tidy(lambda it: together(_read_lines(opener, wanted, tell, it))), "value binary, path string, pos long, error string")
     rows = rows.select(F.col("value").cast("string").alias("value"), "path", "pos", "error")
     if not open_file and not (far := listed.filter(F.col("path").contains("://"))).isEmpty():
         rows = rows.unionByName(far_lines(spark, far))
