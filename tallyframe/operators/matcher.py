@@ -92,19 +92,46 @@ def find(text: Column | str, lexicon: Compiled | None = None) -> Column:
         return F.array().cast(_NONE)
     if not lexicon.pattern:
         return _automaton(text, lexicon)
+    kept = F.transform(F.filter(_captured(text, lexicon), lambda m: m != ""), normalise)
+    if not lexicon.plain:
+        kept = F.transform(F.filter(kept, lambda m: ~_allowed(m, lexicon)), lambda m: F.regexp_extract(m, lexicon.spelling, 0))
+    return F.transform(kept, lambda m: _entry(m, lexicon))
+
+
+def _captured(text: Column | str, lexicon: Compiled) -> Column:
+    """Hits of a text as they are written, in order, with the rest of their words unless the lexicon is plain; what was rejected is empty."""
 
     def all_of(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(lexicon.pattern), F.lit(1))
         return F.when(t.rlike(MASKED), found).otherwise(F.regexp_extract_all(t, F.lit(lexicon.quick), F.lit(1))) if lexicon.quick else found
 
-    text = F.col(text) if isinstance(text, str) else text
-    kept = F.transform(F.filter(let(text, all_of), lambda m: m != ""), normalise)
-    if not lexicon.plain:
-        allowed = F.array(*[F.lit(a) for a in sorted(lexicon.allow)])
-        kept = F.transform(F.filter(kept, lambda m: ~F.array_contains(allowed, m)), lambda m: F.regexp_extract(m, lexicon.spelling, 0))
+    return let(F.col(text) if isinstance(text, str) else text, all_of)
+
+
+def _allowed(folded: Column, lexicon: Compiled) -> Column:
+    return F.array_contains(F.array(*[F.lit(a) for a in sorted(lexicon.allow)]), folded)
+
+
+def _entry(spelling: Column, lexicon: Compiled) -> Column:
     words = F.create_map(*[F.lit(x) for s, (w, _) in lexicon.spellings.items() for x in (s, w)])
     tiers = F.create_map(*[F.lit(x) for s, (_, t) in lexicon.spellings.items() for x in (s, t)])
-    return F.transform(kept, lambda m: F.struct(F.element_at(words, m).alias("word"), F.element_at(tiers, m).alias("tier")))
+    return F.struct(F.element_at(words, spelling).alias("word"), F.element_at(tiers, spelling).alias("tier"))
+
+
+def counts(texts: DataFrame, by: list[str], text: str = "text", lexicon: Compiled | None = None) -> DataFrame:
+    """Hits of `text` by the columns `by`, word and tier: these and n.
+
+    A hit's word hangs on its characters alone, so equal ones are counted before they are folded, allowed and looked
+    up: a text has far more hits than different ones."""
+    lexicon = lexicon or compile_lexicon()
+    word = [F.col("h.word").alias("word"), F.col("h.tier").alias("tier")]
+    if not lexicon.pattern:
+        return texts.select(*by, F.explode_outer(find(text, lexicon)).alias("h")).filter("h IS NOT NULL").groupBy(*by, *word).agg(F.count(F.lit(1)).alias("n"))
+    written = texts.select(*by, F.explode_outer(_captured(text, lexicon)).alias("__m")).filter("__m <> ''").groupBy(*by, "__m").agg(F.count(F.lit(1)).alias("n"))
+    folded = written.withColumn("__m", normalise("__m"))
+    if not lexicon.plain:
+        folded = folded.filter(~_allowed(F.col("__m"), lexicon)).withColumn("__m", F.regexp_extract("__m", lexicon.spelling, 0))
+    return folded.withColumn("h", _entry(F.col("__m"), lexicon)).groupBy(*by, *word).agg(F.sum("n").alias("n"))
 
 
 def weight(hits: Column | str) -> Column:

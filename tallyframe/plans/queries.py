@@ -70,8 +70,7 @@ def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_hits(df: DataFrame, lexicon=None) -> DataFrame:
-    exploded = df.select("doc_id", F.explode(matcher.find("text", lexicon)).alias("h"))
-    return exploded.groupBy("doc_id", F.col("h.word").alias("word"), F.col("h.tier").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return matcher.counts(df, ["doc_id"], "text", lexicon)
 
 
 def _doc_hits_sql(text: str, lexicon=None) -> str:

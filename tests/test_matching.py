@@ -181,3 +181,22 @@ def test_messages_are_scored_before_they_are_joined(spark):
     plan = QUERIES["projects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join Inner")]
     assert "text#" not in above
+
+
+def test_equal_hits_are_counted_before_they_are_judged(spark):
+    from collections import Counter
+
+    from tallyframe.plans.queries import CUSTOM
+
+    rng = random.Random(5)
+    words = ["the", "The", "THESE", "these", "thesis", "and", "ands", "th1s", "fuck", "f*ck", "FUCKING", "idiot", "shitake", "dumb*hit", "assess", "a", "x", "ſ"]
+    rows = [(i % 7, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(200)] + [(8, None), (9, ""), (None, "the fuck")]
+    texts = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    large = lexicon.compile_lexicon(lexicon.Overrides([(f"word{i}", "mild") for i in range(lexicon.MAX_PATTERN)] + [("the", "mild")]))
+    nothing = lexicon.compile_lexicon(lexicon.Overrides(remove=lexicon.lexicon_words()))
+    for own in (None, CUSTOM, large, nothing):
+        got = matcher.counts(texts, ["id"], "text", own)
+        want = Counter((r.id, h.word, h.tier) for r in texts.select("id", matcher.find("text", own).alias("h")).collect() for h in r.h or [])
+        assert {(r.id, r.word, r.tier): r.n for r in got.collect()} == want and got.columns == ["id", "word", "tier", "n"]
+    plan = matcher.counts(texts, ["id"], "text", CUSTOM)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "lambda m" not in plan
