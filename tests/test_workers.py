@@ -2,8 +2,12 @@
 
 import os
 import sqlite3
+import subprocess
+import sys
+import time
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 
 from tallyframe.functions import workers
@@ -110,3 +114,48 @@ def test_a_writer_makes_objects_of_some_rows_at_a_time(monkeypatch):
 
     assert [v for _, v in export._rows(iter([Batch()]))] == list(range(2_500))
     assert seen == [1_000, 1_000, 500]
+
+
+ONE_SLOT = """
+import sys
+from pyspark.sql import SparkSession
+from tallyframe.plans import queries
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+queries.QUERIES[sys.argv[1]](spark, sys.argv[2]).collect()
+"""
+
+
+def _workers(top):
+    """Python processes that tasks of a program run in, daemons among them."""
+    parents, out = {}, set()
+    for pid in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            with open(f"/proc/{pid}/stat") as f, open(f"/proc/{pid}/cmdline") as c:
+                parents[int(pid)] = int(f.read().rpartition(")")[2].split()[1]), "pyspark.daemon" in c.read()
+        except OSError:  # it has ended
+            continue
+    for pid, (_, own) in parents.items():
+        at = pid
+        while own and at in parents and at != top:
+            at = parents[at][0]
+        if own and at == top:
+            out.add(pid)
+    return out
+
+
+@pytest.mark.parametrize("name", ["home_statistics", "home_one_harness"])
+def test_a_slot_has_one_python_process_in_a_whole_scan(name):
+    """One worker and its daemon: what a slot has besides would add to an executor with each slot that an input keeps busy."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.Popen([sys.executable, "-c", ONE_SLOT, name, SF], cwd=root, stderr=subprocess.DEVNULL)
+    most, before, end = 0, set(), time.time() + 300
+    try:
+        while run.poll() is None and time.time() < end:
+            now = _workers(run.pid)
+            most, before = max(most, len(now & before)), now  # those that were there twice: one may end as the next begins
+            time.sleep(0.2)
+        assert run.poll() == 0
+    finally:
+        run.kill()
+        run.wait()
+    assert most == 2
